@@ -1 +1,161 @@
-"""placeholder"""
+"""Snapshot queries: trees, diffs, carry-forward, regeneration sets, versions, set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.keys import is_supported_ext, is_test_path
+from ..operators.incremental import list_versions, version_pairs
+from ..operators.ordered import row_index
+from ..operators.snapshots import carry_forward, scan_tree, snapshot_diff, to_regenerate
+from .registry import T, register
+from .synth import first_line, snapshot_v1, snapshot_v2
+
+_V1 = """(select doc_id, case when source like '%3' then source || '/latest' else source end || '/' || lang || '/doc_'
+        || doc_id || case lang when 'en' then '.js' when 'de' then '.ts' when 'fr' then '.tsx' else '.css' end as rel_path,
+        text as content from documents)"""
+_V2 = f"""(select v.rel_path, case when l.quality = 0 then v.content || ' (edited)' else v.content end as content
+        from {_V1} v left join labels l on v.doc_id = l.doc_id where coalesce(l.toxic, 0) = 0
+        union all select 'bench/new_' || item_id || '.js', text from benchmark)"""
+_SUP = "lower(regexp_extract(rel_path, '\\.[^./]*$', 0)) in ('.js', '.jsx', '.ts', '.tsx')"
+
+
+def _folders_sql(src):
+    return f"""(select distinct unnest(list_transform(range(1, len(string_split(rel_path, '/'))),
+                 lambda i: array_to_string(string_split(rel_path, '/')[1:i], '/'))) as folder from {src})"""
+
+
+_DIFF_SQL = f"""
+with o as (select rel_path as path, content from {_V1} where {_SUP}),
+     n as (select rel_path as path, content from {_V2} where {_SUP}),
+files as (
+  select 'file' as level,
+         case when o.path is null then 'added' when n.path is null then 'removed'
+              when o.content <> n.content then 'modified' end as change,
+         coalesce(o.path, n.path) as path
+  from o full outer join n on o.path = n.path),
+fo as {_folders_sql(_V1)}, fn as {_folders_sql(_V2)},
+dirs as (
+  select 'folder' as level, case when fo.folder is null then 'added' when fn.folder is null then 'removed' end as change,
+         coalesce(fo.folder, fn.folder) as path
+  from fo full outer join fn on fo.folder = fn.folder),
+diff as (select * from files where change is not null union all select * from dirs where change is not null)
+"""
+
+
+def _snapshots(spark, root):
+    docs = T(spark, root, "documents")
+    return snapshot_v1(docs), snapshot_v2(docs, T(spark, root, "labels"), T(spark, root, "benchmark"))
+
+
+def _diff(spark, root):
+    v1, v2 = _snapshots(spark, root)
+    return snapshot_diff(v1, v2)
+
+
+@register("snapshot_diff", _DIFF_SQL + "select level, change, path from diff")
+def q_snapshot_diff(spark, root):
+    return _diff(spark, root)
+
+
+@register("sorted_lists", _DIFF_SQL + """
+select level, change, path, row_number() over (partition by level, change order by path) - 1 as pos from diff""")
+def q_sorted_lists(spark, root):
+    return row_index(_diff(spark, root), ["level", "change"], ["path"], "pos")
+
+
+@register("scan_tree", f"""
+select distinct 'file' as kind, rel_path as path from {_V1}
+union all select 'folder', folder from {_folders_sql(_V1)}""")
+def q_scan_tree(spark, root):
+    v1, _ = _snapshots(spark, root)
+    return scan_tree(v1, [])
+
+
+_OLD_DOCS = f"""(select rel_path, string_split(content, chr(10))[1] as doc from {_V1}
+                where {_SUP} and not contains(rel_path, 'test'))"""
+_CHANGED = "(select path from diff where level = 'file' and change in ('removed', 'modified'))"
+_REGEN = f"""(select rel_path, string_split(content, chr(10))[1] as doc from {_V2}
+             where {_SUP} and not contains(rel_path, 'test')
+               and rel_path in (select path from diff where level = 'file' and change in ('added', 'modified')))"""
+
+
+def _old_docs(spark, root):
+    v1, _ = _snapshots(spark, root)
+    return v1.filter(is_supported_ext("rel_path")).select("rel_path", first_line(F.col("content")).alias("doc"))
+
+
+def _carried(spark, root, literal=False):
+    return carry_forward(_old_docs(spark, root), _diff(spark, root), {"instance_key": "v2"},
+                         literal_substring=literal).select("instance_key", "rel_path", "doc")
+
+
+@register("carry_forward", _DIFF_SQL + f"""
+select 'v2' as instance_key, rel_path, doc from {_OLD_DOCS} where rel_path not in {_CHANGED}""")
+def q_carry_forward(spark, root):
+    return _carried(spark, root)
+
+
+@register("carry_forward_literal", _DIFF_SQL + f"""
+select 'v2' as instance_key, rel_path, doc from {_OLD_DOCS} d
+where not exists (select 1 from {_CHANGED} c where contains(d.rel_path, c.path))""")
+def q_carry_forward_literal(spark, root):
+    return _carried(spark, root, literal=True)
+
+
+def _regen(spark, root):
+    _, v2 = _snapshots(spark, root)
+    items = v2.filter(is_supported_ext("rel_path") & ~is_test_path("rel_path")) \
+        .select("rel_path", first_line(F.col("content")).alias("doc"))
+    return to_regenerate(items, _diff(spark, root))
+
+
+@register("to_regenerate", _DIFF_SQL + f"select rel_path from {_REGEN}")
+def q_to_regenerate(spark, root):
+    return _regen(spark, root).select("rel_path")
+
+
+@register("merged_docs", _DIFF_SQL + f"""
+select rel_path, doc, 'carried' as origin from {_OLD_DOCS} where rel_path not in {_CHANGED}
+union all select rel_path, doc, 'regenerated' from {_REGEN}""")
+def q_merged_docs(spark, root):
+    carried = _carried(spark, root).select("rel_path", "doc", F.lit("carried").alias("origin"))
+    regen = _regen(spark, root).select("rel_path", "doc", F.lit("regenerated").alias("origin"))
+    return carried.unionByName(regen)
+
+
+@register("set_difference", """
+select 'only_documents' as side, doc_id from (select doc_id from documents except select doc_id from labels)
+union all select 'only_labels', doc_id from (select doc_id from labels except select doc_id from documents)""")
+def q_set_difference(spark, root):
+    d = T(spark, root, "documents").select("doc_id")
+    lab = T(spark, root, "labels").select("doc_id")
+    return (d.exceptAll(lab).distinct().select(F.lit("only_documents").alias("side"), "doc_id")
+            .unionByName(lab.exceptAll(d).distinct().select(F.lit("only_labels").alias("side"), "doc_id")))
+
+
+@register("set_common", "select doc_id from documents intersect select doc_id from labels")
+def q_set_common(spark, root):
+    return T(spark, root, "documents").select("doc_id").intersect(T(spark, root, "labels").select("doc_id"))
+
+
+@register("version_pairs", """
+with v as (select distinct o_custkey as repo, o_orderkey as new_id from orders),
+r as (select repo, new_id, row_number() over (partition by repo order by new_id) - 1 as version_no,
+             lag(new_id) over (partition by repo order by new_id) as old_id from v)
+select repo, old_id, new_id, version_no,
+       case when old_id is not null then cast(repo as varchar) || ': ' || old_id || ' -> ' || new_id end as label
+from r""")
+def q_version_pairs(spark, root):
+    o = T(spark, root, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("number"))
+    return version_pairs(o, ["repo"], "number")
+
+
+@register("list_versions", """
+with v as (select distinct 'cust/' || o_custkey as repo, o_orderkey as number from orders)
+select repo, number, row_number() over (partition by repo order by number) - 1 as version_no from v""")
+def q_list_versions(spark, root):
+    o = T(spark, root, "orders")
+    paths = o.select(F.concat(F.lit("cust/"), F.col("o_custkey"), F.lit("/"), F.col("o_orderkey"),
+                              F.lit("/main.js")).alias("path"))
+    return list_versions(paths, "path")

@@ -30,3 +30,31 @@ def retrieval_chunks(emb: DataFrame) -> DataFrame:
     return emb.select("label", F.col("vec_id").alias("chunk_id"),
                       F.concat(F.lit("file_"), F.floor(F.col("vec_id") / FILE_SPAN).cast("string")).alias("rel_path"),
                       "embedding")
+
+
+def doc_path(doc_id, source, lang):
+    """Path of a document seen as a source file: ``<source>[/latest]/<lang>/doc_<id><ext>``."""
+    folder = F.when(source.endswith("3"), F.concat(source, F.lit("/latest"))).otherwise(source)
+    ext = (F.when(lang == "en", ".js").when(lang == "de", ".ts").when(lang == "fr", ".tsx").otherwise(".css"))
+    return F.concat(folder, F.lit("/"), lang, F.lit("/doc_"), doc_id.cast("string"), ext)
+
+
+def snapshot_v1(docs: DataFrame) -> DataFrame:
+    """Old snapshot: every document as a file."""
+    return docs.select("doc_id", doc_path(F.col("doc_id"), F.col("source"), F.col("lang")).alias("rel_path"),
+                       F.col("text").alias("content"))
+
+
+def snapshot_v2(docs: DataFrame, labels: DataFrame, bench: DataFrame) -> DataFrame:
+    """New snapshot: toxic-labelled files removed, quality-0 files edited, benchmark items added."""
+    v1 = snapshot_v1(docs).join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
+    kept = v1.filter(F.coalesce(F.col("toxic"), F.lit(0)) == 0).select(
+        "rel_path", F.when(F.col("quality") == 0, F.concat("content", F.lit(" (edited)"))).otherwise(F.col("content"))
+        .alias("content"))
+    added = bench.select(F.concat(F.lit("bench/new_"), F.col("item_id").cast("string"), F.lit(".js")).alias("rel_path"),
+                         F.col("text").alias("content"))
+    return kept.unionByName(added)
+
+
+def first_line(text):
+    return F.get(F.split(text, "\n", -1), 0)
