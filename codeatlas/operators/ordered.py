@@ -78,7 +78,10 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
     types = [df.schema[v].dataType for v in value_cols]
     schema = T.StructType(df.schema.fields + [T.StructField(o, t) for o, t in zip(out_cols, types)]
                           + [T.StructField("_pid", T.IntegerType())])
-    scanned = ranged.mapInPandas(_block_scan(group_cols, value_cols, out_cols), schema)
+    # Materialised once: both the block totals and the final join read it, and it cuts the lineage
+    # so chains of scans keep small plans and recover from a lost executor without a re-scan.
+    ensure_checkpoint_dir(spark)
+    scanned = ranged.mapInPandas(_block_scan(group_cols, value_cols, out_cols), schema).checkpoint()
     blocks = scanned.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(f"_blk{i}") for i, v in enumerate(value_cols)])
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_pid", *group_cols, *[
