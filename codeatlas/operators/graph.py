@@ -92,7 +92,7 @@ def imports_by_file(edges: DataFrame, inst_cols: list[str]) -> DataFrame:
 _HEADERS = [
     (r"(?m)\bfunction\b(\s*\*?\s*)" + IDENT + r"\s*\(", r"function$1("),
     (r"\bnew\s+" + IDENT + r"(\s*\()", r"new _$1"),
-    (r"(?m)^(\s*(?:(?:static|async|get|set)\s+)*)" + IDENT + r"(\s*\([^)]*\)\s*\{)", r"$1$2"),
+    (r"(?m)^(\s*)(?:(?:static|async|get|set)\s+)*" + IDENT + r"(\s*\([^)]*\)\s*\{)", r"$1$2"),
 ]
 _BLANK_ML = r"(?m)\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|/\*(?s:.*?)\*/|//.*$"
 
@@ -133,3 +133,38 @@ def callee_refs(calls: DataFrame, edges: DataFrame, offered: DataFrame, inst_col
     e = edges.select(*inst_cols, "src_path", "dst_path")
     o = offered.select(*inst_cols, F.col(path_col).alias("dst_path"), F.col("callee").alias("call_name"), "callee_line")
     return c.join(e, [*inst_cols, "src_path"]).join(o, [*inst_cols, "dst_path", "call_name"])
+
+
+def docs_ready(elements: DataFrame, refs: DataFrame, documented: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Elements (not yet documented) all of whose callees already have docs: a universal
+    condition as two anti-joins - refs to undocumented callees mark the caller unresolved."""
+    dst = [f"dst_{c}" for c in id_cols]
+    undone = refs.join(documented.select(*[F.col(c).alias(d) for c, d in zip(id_cols, dst)]), dst, "left_anti")
+    blocked = undone.select(*[F.col(f"src_{c}").alias(c) for c in id_cols]).distinct()
+    todo = elements.join(documented.select(*id_cols), id_cols, "left_anti")
+    return todo.join(blocked, id_cols, "left_anti")
+
+
+def doc_waves(elements: DataFrame, refs: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Documentation schedule: level 0 = elements without callees; level k = elements whose
+    callees all sit on levels < k.  Elements never reached (cycles, missing callees, or callees
+    that depend on those) are ``forced``.  One round per level, each a pair of anti-joins over
+    the reference table, checkpointed so lineage stays one round deep."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(elements.sparkSession)
+    nodes = elements.select(*id_cols).distinct()
+    srcs = refs.select(*[F.col(f"src_{c}").alias(c) for c in id_cols]).distinct()
+    done = nodes.join(srcs, id_cols, "left_anti").withColumn("level", F.lit(0)).checkpoint()
+    pending = nodes.join(done.select(*id_cols), id_cols, "left_anti").checkpoint()
+    level = 0
+    while not pending.isEmpty():
+        level += 1
+        ready = docs_ready(pending, refs, done, id_cols).checkpoint()
+        if ready.isEmpty():
+            break
+        done = done.unionByName(ready.withColumn("level", F.lit(level))).checkpoint()
+        pending = pending.join(ready, id_cols, "left_anti").checkpoint()
+    out = done.withColumn("forced", F.lit(False)).unionByName(
+        pending.withColumn("level", F.lit(None).cast("int")).withColumn("forced", F.lit(True)))
+    return out
