@@ -30,8 +30,8 @@ def media_route(name) -> tuple[Column, Column]:
 
 
 def data_uri(mime, payload) -> Column:
-    """``data:<mime>;base64,<base64 of payload>``."""
-    return F.concat(F.lit("data:"), _c(mime), F.lit(";base64,"), F.base64(_c(payload)))
+    """``data:<mime>;base64,<base64 of payload>`` (one line: MIME line breaks removed)."""
+    return F.concat(F.lit("data:"), _c(mime), F.lit(";base64,"), F.regexp_replace(F.base64(_c(payload)), "[\r\n]", ""))
 
 
 def snapped_size(height, width, high_res: bool = False) -> tuple[Column, Column]:
