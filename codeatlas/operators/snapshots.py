@@ -78,24 +78,12 @@ def carry_forward(old_docs: DataFrame, diff: DataFrame, new_key: dict, path_col:
     return kept
 
 
-_KEY_LEN = 8
-
-
 def _substring_hits(docs: DataFrame, changed: DataFrame, path_col: str) -> DataFrame:
-    """Doc paths that contain some changed path as a substring, as an equi-join: the doc side
-    emits, at every start offset, its substrings of length 1.._KEY_LEN; a changed path keys on its
-    first min(len, _KEY_LEN) characters; the residual ``startswith`` check settles longer paths."""
-    k = _KEY_LEN
-    n = F.char_length(path_col)
-    d = (docs.select(path_col).distinct()
-         .select(path_col, F.explode(F.sequence(F.lit(1), n)).alias("_o"))
-         .select(path_col, "_o", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), n - F.col("_o") + 1))).alias("_l"))
-         .select(path_col, F.expr(f"substring({path_col}, _o)").alias("_tail"), "_l",
-                 F.expr(f"substring({path_col}, _o, _l)").alias("_key")))
-    c = changed.select("path", F.least(F.lit(k), F.char_length("path")).alias("_l"),
-                       F.substring("path", 1, k).alias("_key"))
-    hits = d.join(c, ["_key", "_l"]).filter(F.col("_tail").startswith(F.col("path")))
-    return hits.select(path_col).distinct()
+    """Doc paths that contain some changed path as a substring (keyed equi-join)."""
+    from .context import contains_join
+
+    return contains_join(docs, changed.withColumnRenamed("path", "_needle"), [], path_col, "_needle") \
+        .select(path_col).distinct()
 
 
 def to_regenerate(items: DataFrame, diff: DataFrame, path_col: str = "rel_path") -> DataFrame:
