@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .ordered import count_before, follow_chain, row_index, running_sum
+from .ordered import count_before, follow_chain, largest_group, row_index, running_sum
 
 IDENT = r"[A-Za-z_$][\w$]*"
 # Words that look like calls or method headers but are not.
@@ -43,7 +43,8 @@ DECL_PATTERNS = (
 )
 
 
-def source_lines(files: DataFrame, key_cols: list[str], content_col: str = "content") -> DataFrame:
+def source_lines(files: DataFrame, key_cols: list[str], content_col: str = "content",
+                 max_group_rows: int | None = None) -> DataFrame:
     """``key + (line_no, text, code, off)``: ``code`` is the line with strings/comments blanked,
     ``off`` the 0-based character offset of the line in the file."""
     ls = files.select(*key_cols, F.posexplode(F.split(F.col(content_col), "\n", -1)).alias("_p", "text")) \
@@ -51,21 +52,21 @@ def source_lines(files: DataFrame, key_cols: list[str], content_col: str = "cont
     t = F.ltrim(F.col("text"))
     code = F.when(t.startswith("/*") | t.startswith("*"), F.lit("")).otherwise(F.regexp_replace("text", _BLANK, " "))
     ls = ls.withColumn("code", code).withColumn("_w", (F.char_length("text") + 1).cast("long"))
-    ls = running_sum(ls, key_cols, ["line_no"], "_w", "off")
+    ls = running_sum(ls, key_cols, ["line_no"], "_w", "off", max_group_rows)
     return ls.withColumn("off", F.col("off") - F.col("_w")).drop("_w")
 
 
-def brace_pairs(lines: DataFrame, key_cols: list[str]) -> DataFrame:
+def brace_pairs(lines: DataFrame, key_cols: list[str], max_group_rows: int | None = None) -> DataFrame:
     """``key + (open_line, open_k, close_line, level)`` for matched braces; ``open_k`` is the
     0-based index of the brace among the brace characters of its line."""
     br = lines.select(*key_cols, "line_no", F.regexp_replace("code", r"[^{}]", "").alias("_b")) \
         .filter(F.col("_b") != "")
     ev = br.select(*key_cols, "line_no", F.posexplode(F.split("_b", "")).alias("k", "ch")) \
         .filter(F.col("ch") != "") \
-        .withColumn("_d", F.when(F.col("ch") == "{", 1).otherwise(-1).cast("long"))
-    ev = running_sum(ev, key_cols, ["line_no", "k"], "_d", "_depth")
+        .withColumn("_d", F.when(F.col("ch") == "{", 1).otherwise(-1).cast("long")).checkpoint()
+    ev = running_sum(ev, key_cols, ["line_no", "k"], "_d", "_depth", max_group_rows)
     ev = ev.withColumn("level", F.when(F.col("ch") == "{", F.col("_depth")).otherwise(F.col("_depth") + 1))
-    ev = row_index(ev, [*key_cols, "level"], ["line_no", "k"], "_i")
+    ev = row_index(ev, [*key_cols, "level"], ["line_no", "k"], "_i", max_group_rows)
     pairs = ev.groupBy(*key_cols, "level", F.floor(F.col("_i") / 2).alias("_pair")).agg(
         F.min_by(F.struct("line_no", "k"), F.col("_i")).alias("_o"),
         F.max_by(F.struct("line_no", "ch"), F.col("_i")).alias("_c"),
@@ -127,7 +128,10 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
     the element (blank lines allowed between it and the element), each line stripped.
     """
     key_cols = list(key_cols)
-    ls = source_lines(files, key_cols, content_col).checkpoint()
+    # One measurement bounds every later per-file scan: lines per file (declarations, elements,
+    # return lines are subsets of lines, one per line at most); braces are measured separately.
+    lines_bound = largest_group(files.select(*key_cols, F.posexplode(F.split(F.col(content_col), "\n", -1))), key_cols)
+    ls = source_lines(files, key_cols, content_col, lines_bound).checkpoint()
     pairs = brace_pairs(ls, key_cols)
     decls = declarations(ls, key_cols)
     path_col = key_cols[-1]
@@ -148,21 +152,21 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
     end = F.coalesce(F.col("_end1"), F.when(braced_next, F.col("_end2")), F.col("line_no"))
     kind = F.when(F.col("decl") == "class", "class").when(F.col("decl") == "interface", "type").otherwise("function")
     el = d.select(*key_cols, kind.alias("kind"), F.col("decl"), F.col("raw_name"), F.col("param_text"),
-                  F.col("line_no").alias("start_line"), end.alias("end_line"), F.col("col"))
+                  F.col("line_no").alias("start_line"), end.alias("end_line"), F.col("col")).checkpoint()
 
     # Enclosing class (any depth) of every function: see _innermost_class.
     classes = el.filter(F.col("kind") == "class").select(*key_cols, F.col("start_line").alias("_cs"),
                                                          F.col("end_line").alias("_ce"))
-    cls_ord = row_index(classes, key_cols, ["_cs"], "_cord")
+    cls_ord = row_index(classes, key_cols, ["_cs"], "_cord", lines_bound)
     fun = el.filter(F.col("kind") == "function")
-    owner = _innermost_class(fun.select(*key_cols, "start_line", "end_line", "col"), cls_ord, key_cols)
+    owner = _innermost_class(fun.select(*key_cols, "start_line", "end_line", "col"), cls_ord, key_cols, lines_bound)
     el = el.join(owner, [*key_cols, "start_line", "col"], "left")
 
     # Ordinals: classes and top-level functions numbered in document order per file.
     top = F.col("kind").isin("class") | ((F.col("kind") == "function") & F.col("_owner").isNull())
     el = el.withColumn("_isfun", ((F.col("kind") == "function") & F.col("_owner").isNull()).cast("long")) \
         .withColumn("_iscls", (F.col("kind") == "class").cast("long"))
-    el = running_sum(el, key_cols, ["start_line", "col"], ["_isfun", "_iscls"], ["_fun_n", "_cls_n"])
+    el = running_sum(el, key_cols, ["start_line", "col"], ["_isfun", "_iscls"], ["_fun_n", "_cls_n"], lines_bound)
     anon = F.col("raw_name").isNull() | (F.col("raw_name") == "") | (F.col("decl") == "arrow")
     fun_before = F.col("_fun_n") - F.col("_isfun")
     name = (F.when((F.col("kind") == "function") & anon, F.concat(F.lit("function_"), (fun_before + 1).cast("string")))
@@ -183,14 +187,15 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
 
     # has_return: return lines inside the span, from running counts of return lines.
     rl = ls.select(*key_cols, "line_no", F.col("code").rlike(r"(?:^|[^\w$.])return(?:[^\w$]|$)").cast("long").alias("_r"))
-    rl = running_sum(rl, key_cols, ["line_no"], "_r", "_rc")
+    rl = running_sum(rl, key_cols, ["line_no"], "_r", "_rc", lines_bound)
     at_end = rl.select(*key_cols, F.col("line_no").alias("end_line"), F.col("_rc").alias("_re"))
     before = rl.select(*key_cols, (F.col("line_no") + 1).alias("start_line"), F.col("_rc").alias("_rb"))
     el = el.join(at_end, [*key_cols, "end_line"], "left").join(before, [*key_cols, "start_line"], "left")
     has_ret = (F.coalesce("_re", F.lit(0)) - F.coalesce("_rb", F.lit(0))) > 0
     el = el.withColumn("has_return", F.when(F.col("kind") == "class", F.lit(False)).otherwise(has_ret)).drop("_re", "_rb")
 
-    el = el.join(leading_comments(ls, el.select(*key_cols, "start_line").distinct(), key_cols),
+    el = el.checkpoint()
+    el = el.join(leading_comments(ls, el.select(*key_cols, "start_line").distinct(), key_cols, lines_bound),
                  [*key_cols, "start_line"], "left")
 
     # Content: the file text from the start of the first line to the end of the last line.
@@ -205,7 +210,7 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
     return el.withColumn("signature", sig).drop("_file", "_so", "_eo", "_o1", "_o2")
 
 
-def _innermost_class(fun: DataFrame, classes: DataFrame, key_cols: list[str]) -> DataFrame:
+def _innermost_class(fun: DataFrame, classes: DataFrame, key_cols: list[str], bound: int | None = None) -> DataFrame:
     """For every function ``(key, start_line, col)`` the ordinal of the innermost class whose span
     contains its start line, as ``_owner`` (functions outside classes are not returned).
 
@@ -217,22 +222,26 @@ def _innermost_class(fun: DataFrame, classes: DataFrame, key_cols: list[str]) ->
     cls = classes.withColumn("_cid", F.col("_cord") + 1)
 
     def depth_at(probes, id_col, line_col):
-        a = count_before(cls, probes, key_cols, "_cs", line_col, id_col, inclusive=True, out_col="_ns")
-        b = count_before(cls, probes, key_cols, "_ce", line_col, id_col, inclusive=False, out_col="_ne")
+        b2 = None if bound is None else 2 * bound
+        a = count_before(cls, probes, key_cols, "_cs", line_col, id_col, inclusive=True, out_col="_ns", max_group_rows=b2)
+        b = count_before(cls, probes, key_cols, "_ce", line_col, id_col, inclusive=False, out_col="_ne",
+                         max_group_rows=b2)
         return a.join(b, [*key_cols, id_col]).select(*key_cols, id_col, (F.col("_ns") - F.col("_ne")).alias("_depth"))
 
     cdepth = depth_at(cls.select(*key_cols, "_cid", "_cs"), "_cid", "_cs")
-    cls_d = row_index(cls.join(cdepth, [*key_cols, "_cid"]), [*key_cols, "_depth"], ["_cs", "_cid"], "_k")
+    cls_d = row_index(cls.join(cdepth, [*key_cols, "_cid"]), [*key_cols, "_depth"], ["_cs", "_cid"], "_k", bound) \
+        .checkpoint()
     fp = fun.select(*key_cols, "start_line", "col").distinct() \
         .withColumn("_pid", F.monotonically_increasing_id()).checkpoint()
     fp = fp.join(depth_at(fp, "_pid", "start_line"), [*key_cols, "_pid"]).filter(F.col("_depth") > 0)
-    k = count_before(cls_d, fp, [*key_cols, "_depth"], "_cs", "start_line", "_pid", inclusive=True, out_col="_kk")
+    k = count_before(cls_d, fp, [*key_cols, "_depth"], "_cs", "start_line", "_pid", inclusive=True, out_col="_kk",
+                     max_group_rows=None if bound is None else 2 * bound)
     owner = k.join(cls_d.select(*key_cols, "_depth", (F.col("_k") + 1).alias("_kk"), "_cid"), [*key_cols, "_depth", "_kk"])
     return fp.join(owner.select(*key_cols, "_pid", "_cid"), [*key_cols, "_pid"]) \
         .select(*key_cols, "start_line", "col", F.col("_cid").alias("_owner"))
 
 
-def leading_comments(lines: DataFrame, starts: DataFrame, key_cols: list[str]) -> DataFrame:
+def leading_comments(lines: DataFrame, starts: DataFrame, key_cols: list[str], bound: int | None = None) -> DataFrame:
     """``key + (start_line, signature)``: the contiguous block of comment lines directly above
     ``start_line``, skipping blank lines between the block and the element, each line stripped."""
     t = F.trim(F.col("text"))
@@ -241,7 +250,7 @@ def leading_comments(lines: DataFrame, starts: DataFrame, key_cols: list[str]) -
     prev = ls.select(*key_cols, (F.col("line_no") + 1).alias("line_no"), F.col("_cls").alias("_prev"))
     isl = ls.join(prev, [*key_cols, "line_no"], "left") \
         .withColumn("_chg", (F.col("_prev").isNull() | (F.col("_prev") != F.col("_cls"))).cast("long"))
-    isl = running_sum(isl, key_cols, ["line_no"], "_chg", "_island")
+    isl = running_sum(isl, key_cols, ["line_no"], "_chg", "_island", bound).checkpoint()
     islands = isl.groupBy(*key_cols, "_island").agg(F.first("_cls").alias("_cls"), F.min("line_no").alias("_first"),
                                                     F.max("line_no").alias("_last"))
     above = starts.select(*key_cols, "start_line", (F.col("start_line") - 1).alias("line_no")) \
@@ -277,9 +286,12 @@ def drop_overlaps(elements: DataFrame, key_cols: list[str]) -> DataFrame:
     starting after j's end, a lower-bound lookup on start lines; the chain is followed by pointer
     doubling."""
     f = elements.filter((F.col("kind") == "function") & F.col("parent_ordinal").isNull())
-    f = row_index(f, key_cols, ["start_line", "col"], "_i").checkpoint()
+    f = f.checkpoint()
+    bound = largest_group(f, key_cols)
+    f = row_index(f, key_cols, ["start_line", "col"], "_i", bound).checkpoint()
     probes = f.select(*key_cols, "_i", "end_line")
-    lb = count_before(f, probes, key_cols, "start_line", "end_line", "_i", inclusive=True, out_col="_lb")
+    lb = count_before(f, probes, key_cols, "start_line", "end_line", "_i", inclusive=True, out_col="_lb",
+                      max_group_rows=2 * bound)
     ptr = lb.select(*key_cols, F.col("_i").alias("idx"), F.greatest(F.col("_i") + 1, F.col("_lb")).alias("nxt"))
     kept = follow_chain(ptr, key_cols, "idx", "nxt").withColumnRenamed("idx", "_i")
     keep_f = f.join(kept, [*key_cols, "_i"], "left_semi").drop("_i")

@@ -4,9 +4,10 @@ Several operators of the library are sequential folds in their original form (gr
 greedy overlap removal).  A Spark window partitioned by the group key would put a whole group into
 one task, so a hot group would serialise the job.  The three building blocks here avoid that:
 
-* ``running_sum``   - inclusive prefix sum within a group in a total order.  Rows are
-  range-partitioned on ``(group, order)`` so a large group is spread over many tasks; every task
-  sums its own contiguous block (vectorised, Arrow batches), a small table with one row per
+* ``running_sum``   - inclusive prefix sum within a group in a total order.  The largest group is
+  measured first; if every group fits comfortably in one task a plain window runs.  Otherwise rows
+  are range-partitioned on ``(group, order)`` so a large group is spread over many tasks; every
+  task sums its own contiguous block (vectorised, Arrow batches), a small table with one row per
   ``(task, group)`` block gives each block its carry-in, and a join adds it back.
 * ``count_before``  - for probe rows, how many item rows of the same group sort before a probe
   value (an as-of / lower-bound lookup), built on ``running_sum`` over the union of both sides.
@@ -61,16 +62,48 @@ def _block_scan(group_cols: list[str], value_cols: list[str], out_cols: list[str
     return scan
 
 
-def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols, out_cols) -> DataFrame:
+# Largest group (rows) that one task may sort in the window path.  Above it, or when the caller
+# cannot bound its groups, the range-partitioned scan takes over.  Tests set it to 0 to force
+# the scan path on small data.
+WINDOW_GROUP_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, group_cols: list[str]) -> int:
+    """Row count of the largest group: one aggregation job with map-side partial counts."""
+    if not group_cols:
+        return df.count()
+    return int(df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0)
+
+
+def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols, out_cols,
+                max_group_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` within ``group_cols`` ordered by ``order_cols``.
 
     ``order_cols`` must make the order total inside a group (end it with a unique id).  Group
     columns must be non-null; null values count as 0.  Equivalent to
-    ``sum(value) over (partition by group order by order rows unbounded preceding)``
-    without the one-task-per-group limit of that window.
+    ``sum(value) over (partition by group order by order rows unbounded preceding)``.
+
+    The largest group is measured first (or given as ``max_group_rows``).  When it is at most
+    WINDOW_GROUP_ROWS that window is used as is (one codegen'd sort per group).  Otherwise the
+    range-partitioned block scan runs, which spreads a hot group over many tasks.
     """
     value_cols = [value_cols] if isinstance(value_cols, str) else list(value_cols)
     out_cols = [out_cols] if isinstance(out_cols, str) else list(out_cols)
+    if max_group_rows is None:
+        max_group_rows = largest_group(df, group_cols) if WINDOW_GROUP_ROWS > 0 else WINDOW_GROUP_ROWS + 1
+    if max_group_rows <= WINDOW_GROUP_ROWS:
+        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \
+            .orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df
+        for v, o in zip(value_cols, out_cols):
+            t = df.schema[v].dataType
+            out = out.withColumn(o, F.sum(F.coalesce(F.col(v), F.lit(0).cast(t))).over(w).cast(t))
+        return out
+    return _scan_running_sum(df, group_cols, order_cols, value_cols, out_cols)
+
+
+def _scan_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
+                      out_cols: list[str]) -> DataFrame:
     spark = df.sparkSession
     keys = [*group_cols, *order_cols]
     n = target_partitions(spark)
@@ -92,17 +125,20 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
     return out.drop("_pid", *[f"_off{i}" for i in range(len(out_cols))])
 
 
-def row_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "idx") -> DataFrame:
+def row_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "idx",
+              max_group_rows: int | None = None) -> DataFrame:
     """0-based position of each row inside its group (``row_number() - 1``), skew-safe."""
     ones = df.withColumn("_one", F.lit(1).cast("long"))
-    out = running_sum(ones, group_cols, order_cols, "_one", out_col)
+    out = running_sum(ones, group_cols, order_cols, "_one", out_col, max_group_rows)
     return out.withColumn(out_col, F.col(out_col) - 1).drop("_one")
 
 
 def count_before(items: DataFrame, probes: DataFrame, group_cols: list[str], item_key: str,
-                 probe_key: str, probe_id: str, inclusive: bool = False, out_col: str = "n_before") -> DataFrame:
+                 probe_key: str, probe_id: str, inclusive: bool = False, out_col: str = "n_before",
+                 max_group_rows: int | None = None) -> DataFrame:
     """For every probe row: the number of items of its group whose key is ``<`` the probe key
     (``<=`` when ``inclusive``).  Returns ``group_cols + [probe_id, out_col]``.
+    ``max_group_rows`` bounds items + probes of one group when the caller knows it.
 
     When item keys are non-decreasing in item order this is the lower-bound index of the probe
     key, i.e. an as-of lookup, computed as one ordered scan of the union of items and probes.
@@ -118,7 +154,7 @@ def count_before(items: DataFrame, probes: DataFrame, group_cols: list[str], ite
                        F.lit(probe_rank).alias("_side"), F.col(probe_id).cast("long").alias("_pid_"),
                        F.lit(0).cast("long").alias("_is_item"))
     both = it.unionByName(pr)
-    scanned = running_sum(both, group_cols, ["_k", "_side", "_pid_"], "_is_item", "_cnt")
+    scanned = running_sum(both, group_cols, ["_k", "_side", "_pid_"], "_is_item", "_cnt", max_group_rows)
     return (scanned.filter(F.col("_is_item") == 0)
             .select(*group_cols, F.col("_pid_").alias(probe_id), F.col("_cnt").alias(out_col)))
 
@@ -141,9 +177,10 @@ def follow_chain(pointers: DataFrame, group_cols: list[str], idx: str = "idx", n
     jump = jump.checkpoint()
     while True:
         # next^t for t in [2^r, 2^(r+1)): all strictly beyond the reached set, so no dedup needed.
+        # `reached` stays a union of checkpointed pieces, so its plan is one level deep.
         new = reached.join(jump, keys).select(*group_cols, F.col("_to").alias(idx)).checkpoint()
         if new.isEmpty():
             return reached
-        reached = reached.unionByName(new).checkpoint()
+        reached = reached.unionByName(new)
         j2 = jump.select(*group_cols, F.col(idx).alias("_to"), F.col("_to").alias("_to2"))
         jump = jump.join(j2, [*group_cols, "_to"]).select(*group_cols, idx, F.col("_to2").alias("_to")).checkpoint()

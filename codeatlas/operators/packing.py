@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .ordered import count_before, follow_chain, running_sum
+from .ordered import count_before, follow_chain, largest_group, running_sum
 
 PROMPT_BUDGET = 128000
 
@@ -37,7 +37,9 @@ def pack_batches(items: DataFrame, group_cols: list[str], order_cols: list[str],
     base = (items.withColumn("_sz", F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")))
             .withColumn("_one", F.lit(1).cast("long"))
             .withColumn("_bud", bud.cast("long")))
-    scanned = running_sum(base, group_cols, order_cols, ["_one", "_sz"], ["idx", "_S"])
+    base = base.checkpoint()
+    bound = largest_group(base, group_cols)   # every later scan is over the same groups
+    scanned = running_sum(base, group_cols, order_cols, ["_one", "_sz"], ["idx", "_S"], bound)
     scanned = scanned.withColumn("idx", F.col("idx") - 1).drop("_one").checkpoint()
     # Threshold T[j] = prefix before the batch opened at j + budget.  Faithful mode: an item that
     # opens a batch by overflowing is not counted in it (only item 0 that fits is).
@@ -46,12 +48,13 @@ def pack_batches(items: DataFrame, group_cols: list[str], order_cols: list[str],
     thr = counted if not faithful else F.when((F.col("idx") == 0) & (F.col("_sz") < F.col("_bud")), counted) \
         .otherwise(uncounted)
     probes = scanned.select(*group_cols, "idx", thr.alias("_T"))
-    lb = count_before(scanned, probes, group_cols, "_S", "_T", "idx", inclusive=False, out_col="_lb")
+    lb = count_before(scanned, probes, group_cols, "_S", "_T", "idx", inclusive=False, out_col="_lb",
+                      max_group_rows=2 * bound)
     pointers = lb.select(*group_cols, "idx", F.greatest(F.col("idx") + 1, F.col("_lb")).alias("nxt"))
     starts = follow_chain(pointers, group_cols, "idx", "nxt").withColumn("_start", F.lit(1).cast("long"))
     marked = scanned.join(starts, [*group_cols, "idx"], "left") \
         .withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))
-    numbered = running_sum(marked, group_cols, ["idx"], "_start", "batch_no")
+    numbered = running_sum(marked, group_cols, ["idx"], "_start", "batch_no", bound)
     sizes = numbered.groupBy(*group_cols, "batch_no").agg(F.count(F.lit(1)).alias("_n"),
                                                           F.max(F.col("_sz") >= F.col("_bud")).alias("_big"))
     out = (numbered.join(sizes, [*group_cols, "batch_no"])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .ordered import follow_chain, row_index, running_sum
+from .ordered import follow_chain, largest_group, row_index, running_sum
 
 FRAME_STEP = 2
 SIMILARITY_THRESHOLD = 0.995
@@ -25,7 +25,8 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
               threshold: float, step: int = FRAME_STEP) -> DataFrame:
     """Kept frames: ``group + order + (value, kept_no)``; ``kept_no`` is 1-based."""
     ensure_checkpoint_dir(frames.sparkSession)
-    f = row_index(frames, group_cols, order_cols, "_raw")
+    bound = largest_group(frames, group_cols)
+    f = row_index(frames, group_cols, order_cols, "_raw", bound)
     f = f.filter(F.col("_raw") % step == 0).withColumn("idx", (F.col("_raw") / step).cast("long")) \
         .withColumn("_v", F.col(value_col).cast("double")).drop("_raw").checkpoint()
     n_max = f.groupBy(*group_cols).agg(F.max("idx").alias("_last"))
@@ -54,7 +55,7 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
     ptr = state.select(*group_cols, F.col("_j").alias("idx"), F.col("_pos").alias("nxt"))
     kept = follow_chain(ptr, group_cols, "idx", "nxt").withColumn("_one", F.lit(1).cast("long"))
     out = f.join(kept, [*group_cols, "idx"])
-    out = running_sum(out, group_cols, ["idx"], "_one", "kept_no")
+    out = running_sum(out, group_cols, ["idx"], "_one", "kept_no", bound)
     return out.drop("_one", "_v")
 
 
