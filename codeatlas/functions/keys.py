@@ -89,7 +89,7 @@ def move_first(arr, x) -> Column:
     """Move the first occurrence of ``x`` to the front; unchanged copy when absent."""
     a, v = _c(arr), _c(x)
     pos = F.array_position(a, v)
-    rest = F.filter(a, lambda e, i: i + 1 != pos)
+    rest = F.concat(F.slice(a, 1, F.greatest(pos - 1, F.lit(0))), F.slice(a, pos + 1, F.greatest(F.size(a) - pos, F.lit(0))))
     return F.when(pos > 0, F.concat(F.array(v), rest)).otherwise(a)
 
 

@@ -44,8 +44,9 @@ def _before_summary(text: Column) -> Column:
     # A marker line is skipped before the stop test, so it never stops the reading.
     stop = F.array_position(F.transform(ls, lambda x: (x.contains("Summary") | x.contains("SUMMARY"))
                                         & ~x.contains(NO_ELEMENTS_MARKER)), True)
-    kept = F.filter(ls, lambda x, i: ((stop == 0) | (i + 1 < stop)) & ~x.contains(NO_ELEMENTS_MARKER))
-    return F.array_join(kept, "\n")
+    # slice (not an index test inside the lambda): the stop position is computed once per row.
+    head = F.slice(ls, 1, F.when(stop > 0, stop - 1).otherwise(F.size(ls)))
+    return F.array_join(F.filter(head, lambda x: ~x.contains(NO_ELEMENTS_MARKER)), "\n")
 
 
 def fenced_elements(df: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
@@ -64,8 +65,7 @@ def fenced_elements(df: DataFrame, key_cols: list[str], text_col: str) -> DataFr
                  F.transform(F.slice("_ls", 2, F.greatest(F.size("_ls") - 1, F.lit(0))),
                              lambda x: strip(F.element_at(F.split(x, ":", -1), -1))).alias("_els")) \
         .filter(F.col("rel_path").contains("/") | F.col("rel_path").contains("\\"))
-    pairs = b.select(*key_cols, "rel_path", F.explode("_els").alias("element")).distinct()
-    files = b.select(*key_cols, "rel_path").distinct()
-    bare = files.join(pairs.select(*key_cols, "rel_path").distinct(), [*key_cols, "rel_path"], "left_anti") \
-        .withColumn("element", F.lit(None).cast("string"))
-    return pairs.unionByName(bare)
+    # One pass: the set of elements per (answer, file) - bounded by that answer's text - then
+    # one row per element, or one row with a null element for a file listed without any.
+    sets = b.groupBy(*key_cols, "rel_path").agg(F.array_distinct(F.flatten(F.collect_list("_els"))).alias("_set"))
+    return sets.select(*key_cols, "rel_path", F.explode_outer("_set").alias("element"))

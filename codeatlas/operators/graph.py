@@ -158,12 +158,16 @@ def doc_waves(elements: DataFrame, refs: DataFrame, id_cols: list[str]) -> DataF
     done = nodes.join(srcs, id_cols, "left_anti").withColumn("level", F.lit(0)).checkpoint()
     pending = nodes.join(done.select(*id_cols), id_cols, "left_anti").checkpoint()
     level = 0
+    src = [f"src_{c}" for c in id_cols]
+    # Only references of callers not on level 0 matter; materialised once for all rounds.
+    live = refs.join(pending.select(*[F.col(c).alias(x) for c, x in zip(id_cols, src)]), src, "left_semi").checkpoint()
     while not pending.isEmpty():
         level += 1
-        ready = docs_ready(pending, refs, done, id_cols).checkpoint()
+        ready = docs_ready(pending, live, done, id_cols).checkpoint()
         if ready.isEmpty():
             break
-        done = done.unionByName(ready.withColumn("level", F.lit(level))).checkpoint()
+        # `done` stays a union of checkpointed pieces (shallow plan, no extra job).
+        done = done.unionByName(ready.withColumn("level", F.lit(level)))
         pending = pending.join(ready, id_cols, "left_anti").checkpoint()
     out = done.withColumn("forced", F.lit(False)).unionByName(
         pending.withColumn("level", F.lit(None).cast("int")).withColumn("forced", F.lit(True)))

@@ -34,7 +34,7 @@ def load_instances(dev: DataFrame, test: DataFrame, key_cols: list[str], order_c
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Resume: work items whose output does not exist yet."""
-    return work.join(done.select(*keys).distinct(), keys, "left_anti")
+    return work.join(done.select(*keys), keys, "left_anti")
 
 
 def ready_inputs(work: DataFrame, upstream: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,8 +41,10 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
         half = 1 << (m - 1)
         right = prev.select(*group_cols, (F.col("idx") - half).alias("idx"), F.col("_mn").alias("_mn2"),
                             F.col("_mx").alias("_mx2"))
-        tables.append(prev.join(right, [*group_cols, "idx"]).select(
-            *group_cols, "idx", F.least("_mn", "_mn2").alias("_mn"), F.greatest("_mx", "_mx2").alias("_mx")).checkpoint())
+        nxt = prev.join(right, [*group_cols, "idx"]).select(
+            *group_cols, "idx", F.least("_mn", "_mn2").alias("_mn"), F.greatest("_mx", "_mx2").alias("_mx"))
+        # Cut lineage every few levels: plans stay small, a lost executor redoes few joins.
+        tables.append(nxt.checkpoint() if m % 4 == 0 else nxt)
     # Descent: from pos = j + 1 jump 2^m frames while the whole block stays inside j's band.
     state = f.select(*group_cols, F.col("idx").alias("_j"), (F.col("idx") + 1).alias("_pos"),
                      (F.col("_v") - threshold).alias("_lo"), (F.col("_v") + threshold).alias("_hi"))
@@ -51,7 +53,9 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
         j = state.join(t, [*group_cols, "_pos"], "left")
         inside = F.col("_mn").isNotNull() & (F.col("_mn") >= F.col("_lo")) & (F.col("_mx") <= F.col("_hi"))
         state = j.select(*group_cols, "_j", F.when(inside, F.col("_pos") + (1 << m)).otherwise(F.col("_pos"))
-                         .alias("_pos"), "_lo", "_hi").checkpoint()
+                         .alias("_pos"), "_lo", "_hi")
+        if m % 4 == 0:
+            state = state.checkpoint()
     ptr = state.select(*group_cols, F.col("_j").alias("idx"), F.col("_pos").alias("nxt"))
     kept = follow_chain(ptr, group_cols, "idx", "nxt").withColumn("_one", F.lit(1).cast("long"))
     out = f.join(kept, [*group_cols, "idx"])
