@@ -26,39 +26,54 @@ def scan_tree(files: DataFrame, key_cols: list[str], path_col: str = "rel_path")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, path_col: str = "rel_path",
-                  content_col: str = "content") -> DataFrame:
-    """Folder- and file-level changes between two snapshots of one repo.
+                  content_col: str = "content", key_cols: list[str] | None = None) -> DataFrame:
+    """Folder- and file-level changes between snapshots.
 
     Folders: added / removed.  Supported source files: added / removed by path, and modified
     when the bytes differ (SHA-256 compare).  Other files are ignored.  Rows
-    ``(level, change, path)``; the presentation order added, removed, modified (each sorted) is
-    ``orderBy(level, change_order, path)`` on the result.
+    ``key + (level, change, path)``; the presentation order added, removed, modified (each
+    sorted) is ``orderBy(level, change_order, path)`` on the result.  ``key_cols`` (e.g. repo and
+    pair id, see ``snapshot_pairs``) diff every pair of a whole fleet of repositories in one job:
+    the full outer joins are keyed on ``key + path``.
     """
+    k = list(key_cols or [])
+
     def fs(df):
         return (df.filter(is_supported_ext(F.col(path_col)))
-                .select(F.col(path_col).alias("path"), F.sha2(F.col(content_col).cast("binary"), 256).alias("h")))
-
-    o, n = fs(old).alias("o"), fs(new).alias("n")
-    j = o.join(n, "path", "full_outer")
-    change = (F.when(F.col("o.h").isNull(), "added").when(F.col("n.h").isNull(), "removed")
-              .when(F.col("o.h") != F.col("n.h"), "modified"))
-    files = j.select(F.lit("file").alias("level"), change.alias("change"), "path").filter(F.col("change").isNotNull())
-    fo = folders(old, [], path_col).alias("fo")
-    fn = folders(new, [], path_col).alias("fn")
-    fj = fo.join(fn, "folder", "full_outer")
-    fchange = F.when(F.col("fo.folder").isNull(), "added").when(F.col("fn.folder").isNull(), "removed")
-    dirs = (fj.select(F.lit("folder").alias("level"), fchange.alias("change"), F.col("folder").alias("path"))
+                .select(*k, F.col(path_col).alias("path"), F.sha2(F.col(content_col).cast("binary"), 256).alias("h")))
+
+    j = fs(old).withColumnRenamed("h", "_ho").join(fs(new).withColumnRenamed("h", "_hn"), [*k, "path"], "full_outer")
+    change = (F.when(F.col("_ho").isNull(), "added").when(F.col("_hn").isNull(), "removed")
+              .when(F.col("_ho") != F.col("_hn"), "modified"))
+    files = j.select(*k, F.lit("file").alias("level"), change.alias("change"), "path").filter(F.col("change").isNotNull())
+    fo = folders(old, k, path_col).withColumn("_o", F.lit(True))
+    fn = folders(new, k, path_col).withColumn("_n", F.lit(True))
+    fj = fo.join(fn, [*k, "folder"], "full_outer")
+    fchange = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed")
+    dirs = (fj.select(*k, F.lit("folder").alias("level"), fchange.alias("change"), F.col("folder").alias("path"))
             .filter(F.col("change").isNotNull()))
     return dirs.unionByName(files)
 
 
-def changed_paths(diff: DataFrame) -> DataFrame:
+def snapshot_pairs(files: DataFrame, pairs: DataFrame, repo_cols: list[str], number_col: str = "number"
+                   ) -> tuple[DataFrame, DataFrame]:
+    """Old and new sides for a batch diff: every file of snapshot ``old_id`` and of ``new_id``
+    tagged with ``(repo, new_id)`` (``pairs`` as produced by ``version_pairs``).  Equi-joins only;
+    each snapshot is read for the two pairs it belongs to."""
+    p = pairs.filter(F.col("old_id").isNotNull()).select(*repo_cols, "old_id", "new_id")
+    old = files.join(p.withColumnRenamed("old_id", number_col), [*repo_cols, number_col]).drop(number_col)
+    new = files.join(p.drop("old_id").withColumn(number_col, F.col("new_id")), [*repo_cols, number_col]).drop(number_col)
+    return old, new
+
+
+def changed_paths(diff: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
     """File paths removed or modified by a diff (the docs that can no longer be carried)."""
-    return diff.filter((F.col("level") == "file") & F.col("change").isin("removed", "modified")).select("path")
+    return diff.filter((F.col("level") == "file") & F.col("change").isin("removed", "modified")) \
+        .select(*(key_cols or []), "path")
 
 
-def carry_forward(old_docs: DataFrame, diff: DataFrame, new_key: dict, path_col: str = "rel_path",
-                  literal_substring: bool = False) -> DataFrame:
+def carry_forward(old_docs: DataFrame, diff: DataFrame, new_key: dict | None = None, path_col: str = "rel_path",
+                  literal_substring: bool = False, key_cols: list[str] | None = None) -> DataFrame:
     """Docs of files that did not change are copied to the new snapshot (key columns replaced by
     ``new_key``).  Docs of removed or modified files are dropped, as are docs of test paths.
 
@@ -67,27 +82,30 @@ def carry_forward(old_docs: DataFrame, diff: DataFrame, new_key: dict, path_col:
     equi-join on every suffix of the doc path that starts at a character position, so no
     nested-loop join is needed.
     """
+    k = list(key_cols or [])
     docs = old_docs.filter(~is_test_path(F.col(path_col)))
-    changed = changed_paths(diff)
+    changed = changed_paths(diff, k)
     if literal_substring:
-        kept = docs.join(_substring_hits(docs, changed, path_col), path_col, "left_anti")
+        kept = docs.join(_substring_hits(docs, changed, path_col, k), [*k, path_col], "left_anti")
     else:
-        kept = docs.join(changed.withColumnRenamed("path", path_col), path_col, "left_anti")
-    for k, v in new_key.items():
+        kept = docs.join(changed.withColumnRenamed("path", path_col), [*k, path_col], "left_anti")
+    for k, v in (new_key or {}).items():
         kept = kept.withColumn(k, F.lit(v))
     return kept
 
 
-def _substring_hits(docs: DataFrame, changed: DataFrame, path_col: str) -> DataFrame:
-    """Doc paths that contain some changed path as a substring (keyed equi-join)."""
+def _substring_hits(docs: DataFrame, changed: DataFrame, path_col: str, key_cols: list[str]) -> DataFrame:
+    """Doc paths that contain some changed path of the same pair as a substring (keyed equi-join)."""
     from .context import contains_join
 
-    return contains_join(docs, changed.withColumnRenamed("path", "_needle"), [], path_col, "_needle") \
-        .select(path_col).distinct()
+    return contains_join(docs, changed.withColumnRenamed("path", "_needle"), key_cols, path_col, "_needle") \
+        .select(*key_cols, path_col).distinct()
 
 
-def to_regenerate(items: DataFrame, diff: DataFrame, path_col: str = "rel_path") -> DataFrame:
+def to_regenerate(items: DataFrame, diff: DataFrame, path_col: str = "rel_path",
+                  key_cols: list[str] | None = None) -> DataFrame:
     """Items (elements or files) of the new snapshot whose file was added or modified."""
+    k = list(key_cols or [])
     changed = diff.filter((F.col("level") == "file") & F.col("change").isin("added", "modified")) \
-        .select(F.col("path").alias(path_col))
-    return items.join(changed, path_col, "left_semi")
+        .select(*k, F.col("path").alias(path_col))
+    return items.join(changed, [*k, path_col], "left_semi")

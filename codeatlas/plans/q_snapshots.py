@@ -159,3 +159,64 @@ def q_list_versions(spark, root):
     paths = o.select(F.concat(F.lit("cust/"), F.col("o_custkey"), F.lit("/"), F.col("o_orderkey"),
                               F.lit("/main.js")).alias("path"))
     return list_versions(paths, "path")
+
+
+# -- every consecutive version pair of every repository, diffed in one job -------------------------
+from ..operators.snapshots import snapshot_pairs  # noqa: E402
+from .synth import snapshot_versions  # noqa: E402
+
+_VERSIONS_SQL = f"""
+v1 as (select regexp_extract(rel_path, '^(src\\d+)', 1) as repo, 1 as number, rel_path, content from {_V1}),
+v2 as (select case when regexp_extract(rel_path, '^(src\\d+)', 1) = '' then 'bench'
+                   else regexp_extract(rel_path, '^(src\\d+)', 1) end as repo, 2 as number, rel_path, content from {_V2}),
+q1 as (select v.rel_path from {_V1} v join labels l on v.doc_id = l.doc_id where l.quality = 1),
+v3 as (select repo, 3 as number, rel_path,
+              case when rel_path in (select rel_path from q1) then content || ' (v3)' else content end as content from v2),
+allv as (select * from v1 union all select * from v2 union all select * from v3),
+pairs as (select distinct repo, number - 1 as old_id, number as new_id from allv where number > 1
+          and repo in (select repo from allv a2 where a2.number = allv.number - 1)),
+o as (select p.repo, p.new_id, a.rel_path as path, a.content from pairs p join allv a on a.repo = p.repo and a.number = p.old_id
+      where {_SUP.replace('rel_path', 'a.rel_path')}),
+n as (select p.repo, p.new_id, a.rel_path as path, a.content from pairs p join allv a on a.repo = p.repo and a.number = p.new_id
+      where {_SUP.replace('rel_path', 'a.rel_path')}),
+fo as (select distinct p.repo, p.new_id, unnest(list_transform(range(1, len(string_split(a.rel_path, '/'))),
+          lambda i: array_to_string(string_split(a.rel_path, '/')[1:i], '/'))) as folder
+       from pairs p join allv a on a.repo = p.repo and a.number = p.old_id),
+fn as (select distinct p.repo, p.new_id, unnest(list_transform(range(1, len(string_split(a.rel_path, '/'))),
+          lambda i: array_to_string(string_split(a.rel_path, '/')[1:i], '/'))) as folder
+       from pairs p join allv a on a.repo = p.repo and a.number = p.new_id)
+"""
+
+
+@register("snapshot_diff_all", "with " + _VERSIONS_SQL + """
+select coalesce(o.repo, n.repo) as repo, coalesce(o.new_id, n.new_id) as new_id, 'file' as level,
+       case when o.path is null then 'added' when n.path is null then 'removed' else 'modified' end as change,
+       coalesce(o.path, n.path) as path
+from o full outer join n on o.repo = n.repo and o.new_id = n.new_id and o.path = n.path
+where o.path is null or n.path is null or o.content <> n.content
+union all
+select coalesce(fo.repo, fn.repo), coalesce(fo.new_id, fn.new_id), 'folder',
+       case when fo.folder is null then 'added' else 'removed' end, coalesce(fo.folder, fn.folder)
+from fo full outer join fn on fo.repo = fn.repo and fo.new_id = fn.new_id and fo.folder = fn.folder
+where fo.folder is null or fn.folder is null""")
+def q_snapshot_diff_all(spark, root):
+    files = snapshot_versions(T(spark, root, "documents"), T(spark, root, "labels"), T(spark, root, "benchmark"))
+    pairs = version_pairs(files.select("repo", "number").distinct(), ["repo"], "number")
+    old, new = snapshot_pairs(files, pairs, ["repo"])
+    d = snapshot_diff(old, new, key_cols=["repo", "new_id"])
+    return d.select("repo", F.col("new_id").cast("int").alias("new_id"), "level", "change", "path")
+
+
+@register("regen_counts", "with " + _VERSIONS_SQL + """
+select coalesce(o.repo, n.repo) as repo, coalesce(o.new_id, n.new_id) as new_id, count(*) as n_regenerate
+from o full outer join n on o.repo = n.repo and o.new_id = n.new_id and o.path = n.path
+where (o.path is null or o.content <> n.content) and not contains(n.path, 'test')
+group by all""")
+def q_regen_counts(spark, root):
+    files = snapshot_versions(T(spark, root, "documents"), T(spark, root, "labels"), T(spark, root, "benchmark"))
+    pairs = version_pairs(files.select("repo", "number").distinct(), ["repo"], "number")
+    old, new = snapshot_pairs(files, pairs, ["repo"])
+    d = snapshot_diff(old, new, key_cols=["repo", "new_id"])
+    items = new.filter(is_supported_ext("rel_path") & ~is_test_path("rel_path")).select("repo", "new_id", "rel_path")
+    regen = to_regenerate(items, d, key_cols=["repo", "new_id"])
+    return regen.groupBy("repo", F.col("new_id").cast("int").alias("new_id")).agg(F.count(F.lit(1)).alias("n_regenerate"))

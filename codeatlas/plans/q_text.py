@@ -170,7 +170,7 @@ _ELEMENT_ANSWERS_SQL = f"""(select doc_id, 'Analysis' || {_NL} || '```' || {_NL}
       else '```' || {_NL} || source || '/extra.ts' || {_NL} || '```' || {_NL} end as answer from documents)"""
 
 
-@register("fenced_elements", f"""
+_FENCED_ELEMENTS_SQL = f"""
 with t as (select doc_id, string_split(answer, {_NL}) as ls from {_ELEMENT_ANSWERS_SQL}),
 s as (select doc_id, ls, coalesce(list_position(list_transform(ls, lambda x: (contains(x, 'Summary') or contains(x, 'SUMMARY'))
           and not contains(x, 'This file contains no relevant functions/classes')), true), 0) as st from t),
@@ -185,7 +185,10 @@ p as (select distinct doc_id, rel_path, unnest(els) as element from f)
 select doc_id, rel_path, element from p
 union all
 select distinct doc_id, rel_path, cast(null as varchar) from f
-where not exists (select 1 from p where p.doc_id = f.doc_id and p.rel_path = f.rel_path)""")
+where not exists (select 1 from p where p.doc_id = f.doc_id and p.rel_path = f.rel_path)"""
+
+
+@register("fenced_elements", _FENCED_ELEMENTS_SQL)
 def q_fenced_elements(spark, root):
     return fenced_elements(element_answers(spark, root), ["doc_id"], "answer")
 
@@ -217,3 +220,11 @@ def q_token_count(spark, root):
     d = T(spark, root, "documents")
     tok = X.token_count("text")
     return d.select("doc_id", tok.alias("tokens"), X.within_budget(tok, X.ELEMENT_TOKEN_CAP, strict=False).alias("within_cap"))
+
+
+@register("buggy_file_counts", f"""
+select doc_id, count(distinct rel_path) as n_files, count(element) as n_elements
+from ({_FENCED_ELEMENTS_SQL}) x group by doc_id""")
+def q_buggy_file_counts(spark, root):
+    fe = fenced_elements(element_answers(spark, root), ["doc_id"], "answer")
+    return fe.groupBy("doc_id").agg(F.countDistinct("rel_path").alias("n_files"), F.count("element").alias("n_elements"))

@@ -58,3 +58,20 @@ def snapshot_v2(docs: DataFrame, labels: DataFrame, bench: DataFrame) -> DataFra
 
 def first_line(text):
     return F.get(F.split(text, "\n", -1), 0)
+
+
+def snapshot_versions(docs: DataFrame, labels: DataFrame, bench: DataFrame) -> DataFrame:
+    """Three snapshots per repository (repo = document source): 1 = every document, 2 = the
+    edited snapshot of ``snapshot_v2``, 3 = snapshot 2 with quality-1 files edited as well.
+    ``(repo, number, rel_path, content)``."""
+    v1 = snapshot_v1(docs).join(docs.select("doc_id", "source"), "doc_id").select(
+        F.col("source").alias("repo"), F.lit(1).alias("number"), "rel_path", "content")
+    v2 = snapshot_v2(docs, labels, bench)
+    repo = F.coalesce(F.regexp_extract("rel_path", r"^(src\d+)", 1), F.lit(""))
+    repo = F.when(repo == "", F.lit("bench")).otherwise(repo)
+    v2r = v2.select(repo.alias("repo"), F.lit(2).alias("number"), "rel_path", "content")
+    q1 = snapshot_v1(docs).join(labels.filter(F.col("quality") == 1).select("doc_id"), "doc_id").select("rel_path")
+    v3r = v2r.join(q1.withColumn("_e", F.lit(True)), "rel_path", "left").select(
+        "repo", F.lit(3).alias("number"), "rel_path",
+        F.when(F.col("_e"), F.concat("content", F.lit(" (v3)"))).otherwise(F.col("content")).alias("content"))
+    return v1.unionByName(v2r).unionByName(v3r)
