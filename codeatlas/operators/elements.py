@@ -77,32 +77,30 @@ def brace_pairs(lines: DataFrame, key_cols: list[str], max_group_rows: int | Non
 
 
 def declarations(lines: DataFrame, key_cols: list[str]) -> DataFrame:
-    """One row per declaration line: ``decl`` kind, raw name, parameter text, 1-based column."""
+    """One row per declaration line: ``decl`` kind, raw name, parameter text, 1-based column.
+    The kind is decided once per line (first matching pattern); name, parameters and column are
+    then extracted with that pattern only."""
     code = F.col("code")
     decl = F.lit(None).cast("string")
-    name = F.lit(None).cast("string")
-    params = F.lit(None).cast("string")
-    col = F.lit(None).cast("int")
     for kind, pat in reversed(DECL_PATTERNS):
         hit = code.rlike(pat)
         if kind == "method":
-            mname = F.regexp_extract(code, pat, 1)
-            hit = hit & ~mname.isin(*KEYWORDS)
+            hit = hit & ~F.regexp_extract(code, pat, 1).isin(*KEYWORDS)
         decl = F.when(hit, F.lit(kind)).otherwise(decl)
-        if kind == "arrow":
-            n, p = F.lit(""), F.regexp_extract(code, pat, 1)
-            c = F.regexp_instr(code, F.lit(pat))
-        elif kind in ("function", "method"):
-            n, p = F.regexp_extract(code, pat, 1), F.regexp_extract(code, pat, 2)
-            c = F.regexp_instr(code, F.lit(pat))
-        else:
-            n, p = F.regexp_extract(code, pat, 1), F.lit(None).cast("string")
-            c = F.regexp_instr(code, F.lit(pat))
-        name = F.when(hit, n).otherwise(name)
-        params = F.when(hit, p).otherwise(params)
-        col = F.when(hit, c.cast("int")).otherwise(col)
-    return lines.select(*key_cols, "line_no", "code", decl.alias("decl"), name.alias("raw_name"),
-                        params.alias("param_text"), col.alias("col")).filter(F.col("decl").isNotNull())
+    tagged = lines.select(*key_cols, "line_no", "code", decl.alias("decl")).filter(F.col("decl").isNotNull())
+
+    def by_kind(fn):
+        out = F.lit(None)
+        for kind, pat in DECL_PATTERNS:
+            out = F.when(F.col("decl") == kind, fn(kind, pat)).otherwise(out)
+        return out
+
+    name = by_kind(lambda k, p: F.lit("") if k == "arrow" else F.regexp_extract(code, p, 1))
+    params = by_kind(lambda k, p: F.regexp_extract(code, p, 1) if k == "arrow"
+                     else F.regexp_extract(code, p, 2) if k in ("function", "method") else F.lit(None).cast("string"))
+    col = by_kind(lambda k, p: F.regexp_instr(code, F.lit(p)).cast("int"))
+    return tagged.select(*key_cols, "line_no", "code", "decl", name.cast("string").alias("raw_name"),
+                         params.cast("string").alias("param_text"), col.cast("int").alias("col"))
 
 
 def _brace_index_from(code, col) -> F.Column:
