@@ -3,7 +3,7 @@ FILE_UNITS consecutive part keys per file, INSTANCE_FILES files per repository s
 
 Unit kinds (p_size % 4), line by line:
 
-0  ``import { fn_q } from './mod_<q div 40>';`` / [``// <p_name>`` when p_size % 3 = 0] /
+0  ``import { fn_q } from './mod_<q div 40><ext>';`` / [``// <p_name>`` when p_size % 3 = 0] /
    ``function fn_<pk>(a, b) {`` / ``  const v = fn_q(a) + b;`` / [``  return v;`` when p_size even] / ``}``
 1  ``class Part<pk> {`` / ``  get_<pk>(x) {`` / ``    return fn_q(x);`` / ``  }`` /
    ``  static make() { return new Part<pk>(); }`` / ``}``
@@ -12,7 +12,8 @@ Unit kinds (p_size % 4), line by line:
    ``  return util(items);`` / ``};``
 3  ``interface Shape<pk> {`` / ``  size: number;`` / ``}`` / ``const one_<pk> = (z) => z * 2;``
 
-with q = pk div 2.  A file is a 3-line header (comment, ``import React from 'react';``, an import
+with q = max(pk - 40, 0) (the same slot in the previous file, imported with its extension).
+A file is a 3-line header (comment, ``import React from 'react';``, an import
 of its own stylesheet) followed by its units separated by blank lines.  The generator's arithmetic
 gives the true elements, spans, comments, returns, calls and imports; the SQL twins of the code
 queries are computed from that arithmetic, while the Spark queries parse the generated text.
@@ -30,13 +31,15 @@ HEADER_LINES = 3
 
 def _units(part: DataFrame) -> DataFrame:
     pk = F.col("p_partkey")
-    q = F.floor(pk / 2).cast("long")
+    q = F.greatest(pk - FILE_UNITS, F.lit(0)).cast("long")
+    q_file = F.floor(q / FILE_UNITS).cast("long")
+    q_ext = F.when(q_file % 3 == 0, F.lit(".ts")).otherwise(F.lit(".js"))
     kind = (F.col("p_size") % 4).cast("int")
     c0 = F.col("p_size") % 3 == 0
     even = F.col("p_size") % 2 == 0
     s = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
     k0 = F.concat_ws("\n",
-                     s("import { fn_", q, " } from './mod_", F.floor(q / FILE_UNITS), "';"),
+                     s("import { fn_", q, " } from './mod_", q_file, q_ext, "';"),
                      F.when(c0, s("// ", F.col("p_name"))),
                      s("function fn_", pk, "(a, b) {"),
                      s("  const v = fn_", q, "(a) + b;"),
@@ -86,7 +89,7 @@ UNITS_SQL = f"""
               'src/mod_' || (p_partkey // {FILE_UNITS}) || case when (p_partkey // {FILE_UNITS}) % 3 = 0 then '.ts'
                  else '.js' end as rel_path,
               p_partkey // {FILE_UNITS} as file_no,
-              p_partkey as pk, p_partkey // 2 as q, p_size % 4 as kind, p_name,
+              p_partkey as pk, greatest(p_partkey - {FILE_UNITS}, 0) as q, p_size % 4 as kind, p_name,
               case when p_size % 3 = 0 then 1 else 0 end as c, case when p_size % 2 = 0 then 1 else 0 end as r,
               case p_size % 4 when 0 then 4 + (case when p_size % 3 = 0 then 1 else 0 end)
                                           + (case when p_size % 2 = 0 then 1 else 0 end)
@@ -99,7 +102,8 @@ UNITS_SQL = f"""
 
 def _unit_lines_sql() -> str:
     return """list_filter(case kind
-      when 0 then ['import { fn_' || q || ' } from ''./mod_' || (q // 40) || ''';',
+      when 0 then ['import { fn_' || q || ' } from ''./mod_' || (q // 40)
+                   || case when (q // 40) % 3 = 0 then '.ts' else '.js' end || ''';',
                    case when c = 1 then '// ' || p_name end,
                    'function fn_' || pk || '(a, b) {', '  const v = fn_' || q || '(a) + b;',
                    case when r = 1 then '  return v;' end, '}']

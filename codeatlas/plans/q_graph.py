@@ -24,9 +24,10 @@ specs as (
   union all
   select instance_key, rel_path, case when file_no % 3 = 0 then '.ts' else '.js' end,
          1 + row_number() over (partition by rel_path order by pk),
-         case when kind = 0 then './mod_' || (q // 40) else '../lib/util_' || (pk % 5) end,
-         case when kind = 0 then 'src/mod_' || (q // 40) else 'lib/util_' || (pk % 5) end
-         || case when file_no % 3 = 0 then '.ts' else '.js' end
+         case when kind = 0 then './mod_' || (q // 40) || case when (q // 40) % 3 = 0 then '.ts' else '.js' end
+              else '../lib/util_' || (pk % 5) end,
+         case when kind = 0 then 'src/mod_' || (q // 40) || case when (q // 40) % 3 = 0 then '.ts' else '.js' end
+              else 'lib/util_' || (pk % 5) || case when file_no % 3 = 0 then '.ts' else '.js' end end
   from u where kind in (0, 2)),
 edges as (select instance_key, rel_path as src_path, dst as dst_path, min(pos) as pos from specs
           where dst is not null group by all),
