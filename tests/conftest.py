@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -11,10 +10,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from codeatlas.session import get_session
 
-    scratch = tempfile.mkdtemp(prefix="codeatlas-tests-")
-    s = get_session("local[4]", shuffle_partitions=8,
-                    extra={"spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
-                           "spark.local.dir": os.path.join(scratch, "local")})
+    # spark.checkpoint.dir is taken from the configuration when set; get_session creates a
+    # scratch folder only when it is unset (local runs).
+    s = get_session("local[4]", shuffle_partitions=8)
     yield s
     s.stop()
 
