@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from . import ordered
 from .ordered import count_before, follow_chain, largest_group, row_index, running_sum
 
 IDENT = r"[A-Za-z_$][\w$]*"
@@ -286,6 +287,9 @@ def drop_overlaps(elements: DataFrame, key_cols: list[str]) -> DataFrame:
     f = elements.filter((F.col("kind") == "function") & F.col("parent_ordinal").isNull())
     f = f.checkpoint()
     bound = largest_group(f, key_cols)
+    others = elements.filter(~((F.col("kind") == "function") & F.col("parent_ordinal").isNull()))
+    if bound <= ordered.FOLD_GROUP_ROWS:
+        return others.unionByName(_drop_overlaps_small_files(f, key_cols))
     f = row_index(f, key_cols, ["start_line", "col"], "_i", bound).checkpoint()
     probes = f.select(*key_cols, "_i", "end_line")
     lb = count_before(f, probes, key_cols, "start_line", "end_line", "_i", inclusive=True, out_col="_lb",
@@ -293,10 +297,25 @@ def drop_overlaps(elements: DataFrame, key_cols: list[str]) -> DataFrame:
     ptr = lb.select(*key_cols, F.col("_i").alias("idx"), F.greatest(F.col("_i") + 1, F.col("_lb")).alias("nxt"))
     kept = follow_chain(ptr, key_cols, "idx", "nxt").withColumnRenamed("idx", "_i")
     keep_f = f.join(kept, [*key_cols, "_i"], "left_semi").drop("_i")
-    others = elements.filter(~((F.col("kind") == "function") & F.col("parent_ordinal").isNull()))
     return others.unionByName(keep_f)
 
 
+def _drop_overlaps_small_files(f: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Bounded files: the greedy rule as a loop over each file's functions in one task."""
+
+    def fold(pdf):
+        pdf = pdf.sort_values(["start_line", "col"], kind="mergesort")
+        keep, last_end = [], None
+        for s, e in zip(pdf["start_line"].tolist(), pdf["end_line"].tolist()):
+            take = last_end is None or s > last_end
+            keep.append(take)
+            if take:
+                last_end = e
+        return pdf[keep]
+
+    return ordered.fold_in_groups(f, key_cols, fold, f.schema)
+
+
 def definitions(elements: DataFrame, key_cols: list[str]) -> DataFrame:
     """Named function, class and method declarations; for a name declared twice in a file the
     last one wins (an aggregation keyed on (file, name), no window)."""

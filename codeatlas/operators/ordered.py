@@ -184,3 +184,14 @@ def follow_chain(pointers: DataFrame, group_cols: list[str], idx: str = "idx", n
         reached = reached.unionByName(new)
         j2 = jump.select(*group_cols, F.col(idx).alias("_to"), F.col("_to").alias("_to2"))
         jump = jump.join(j2, [*group_cols, "_to"]).select(*group_cols, idx, F.col("_to2").alias("_to")).checkpoint()
+
+
+# Largest group folded sequentially inside one task (Arrow batch -> pandas -> loop).  Groups are
+# measured first; above this bound the parallel next-pointer + chain formulation runs.  Tests set
+# it to 0 to force the parallel path.
+FOLD_GROUP_ROWS = 200_000
+
+
+def fold_in_groups(df, group_cols: list[str], fn, schema):
+    """``applyInPandas`` wrapper used by the bounded-group fast paths (one task per group)."""
+    return df.groupBy(*group_cols).applyInPandas(fn, schema)

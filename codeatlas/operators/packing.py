@@ -6,6 +6,9 @@ is counted in it.  An item that is over budget on its own forms a batch flagged
 Every item lands in exactly one batch (the original loses the overflowing last item and can
 emit an empty first batch; ``faithful`` reproduces those quirks on the result).
 
+When the largest group is at most ``FOLD_GROUP_ROWS`` items the rule runs as a loop per group in
+one task; otherwise the parallel formulation below runs.
+
 Parallel formulation: with inclusive prefix sums ``S`` of the sizes, a batch opened at item
 ``j`` ends before the first ``k > j`` with ``S[k] - S[j-1] >= budget``, so
 ``next(j) = max(j + 1, #{k : S[k] < S[j-1] + budget})`` - a lower-bound lookup, computed for all
@@ -18,8 +21,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from . import ordered
 from .ordered import count_before, follow_chain, largest_group, running_sum
 
 PROMPT_BUDGET = 128000
@@ -39,6 +44,8 @@ def pack_batches(items: DataFrame, group_cols: list[str], order_cols: list[str],
             .withColumn("_bud", bud.cast("long")))
     base = base.checkpoint()
     bound = largest_group(base, group_cols)   # every later scan is over the same groups
+    if bound <= ordered.FOLD_GROUP_ROWS:
+        return _pack_small_groups(base, group_cols, order_cols, faithful).drop("_sz", "_bud", "_one")
     scanned = running_sum(base, group_cols, order_cols, ["_one", "_sz"], ["idx", "_S"], bound)
     scanned = scanned.withColumn("idx", F.col("idx") - 1).drop("_one").checkpoint()
     # Threshold T[j] = prefix before the batch opened at j + budget.  Faithful mode: an item that
@@ -65,6 +72,42 @@ def pack_batches(items: DataFrame, group_cols: list[str], order_cols: list[str],
     return out.drop("_sz", "_bud")
 
 
+def _pack_small_groups(base: DataFrame, group_cols: list[str], order_cols: list[str], faithful: bool) -> DataFrame:
+    """Bounded groups: the greedy rule as a loop over each group's items in one task."""
+    schema = T.StructType(base.schema.fields + [T.StructField("idx", T.LongType()),
+                                                T.StructField("batch_no", T.LongType()),
+                                                T.StructField("oversize", T.BooleanType())])
+
+    def fold(pdf):
+        pdf = pdf.sort_values(order_cols, kind="mergesort").reset_index(drop=True)
+        sz, bud = pdf["_sz"].tolist(), pdf["_bud"].tolist()
+        n = len(sz)
+        batch = [0] * n
+        b, acc = 1, 0
+        for k in range(n):
+            if k == 0:
+                acc = sz[0] if (not faithful or sz[0] < bud[0]) else 0
+            elif acc + sz[k] >= bud[k]:
+                b += 1
+                acc = 0 if faithful else sz[k]
+            else:
+                acc += sz[k]
+            batch[k] = b
+        pdf["idx"] = range(n)
+        pdf["batch_no"] = batch
+        counts = pdf.groupby("batch_no")["idx"].transform("size")
+        pdf["oversize"] = (counts == 1) & (pdf["_sz"] >= pdf["_bud"]) if not faithful else False
+        if faithful and n:
+            starts = pdf["batch_no"].diff().fillna(1) != 0
+            lost = (pdf.index == n - 1) & starts & (pdf.index > 0)
+            pdf = pdf[~lost].copy()
+            if sz[0] >= bud[0]:
+                pdf["batch_no"] = pdf["batch_no"] + 1
+        return pdf
+
+    return ordered.fold_in_groups(base, group_cols, fold, schema)
+
+
 def _literal_quirks(packed: DataFrame, group_cols: list[str]) -> DataFrame:
     """Reproduce the original's losses: an item that overflows as the group's last item is never
     emitted, and a first item that overflows on its own leaves an empty batch in front."""

@@ -6,15 +6,18 @@ frames.  Sequential in its original form; here every frame j gets ``next(j)`` =
 frame outside the band ``[v_j - threshold, v_j + threshold]``, found for all frames at once by a
 descent over a doubling table of range minima/maxima (one equi-join per level), and the kept
 frames are the chain ``first, next(first), ...`` followed by pointer doubling.  All joins are on
-``(group, index)``, so a very long sequence is spread over many tasks.
+``(group, index)``, so a very long sequence is spread over many tasks.  Sequences no longer than
+``FOLD_GROUP_ROWS`` frames are folded with a loop per sequence in one task instead.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from . import ordered
 from .ordered import follow_chain, largest_group, row_index, running_sum
 
 FRAME_STEP = 2
@@ -26,6 +29,8 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
     """Kept frames: ``group + order + (value, kept_no)``; ``kept_no`` is 1-based."""
     ensure_checkpoint_dir(frames.sparkSession)
     bound = largest_group(frames, group_cols)
+    if bound <= ordered.FOLD_GROUP_ROWS:
+        return _keyframes_small_groups(frames, group_cols, order_cols, value_col, threshold, step)
     f = row_index(frames, group_cols, order_cols, "_raw", bound)
     f = f.filter(F.col("_raw") % step == 0).withColumn("idx", (F.col("_raw") / step).cast("long")) \
         .withColumn("_v", F.col(value_col).cast("double")).drop("_raw").checkpoint()
@@ -63,6 +68,29 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
     return out.drop("_one", "_v")
 
 
+def _keyframes_small_groups(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
+                            threshold: float, step: int) -> DataFrame:
+    """Bounded sequences: the rule as a loop over each sequence in one task."""
+    schema = T.StructType(frames.schema.fields + [T.StructField("idx", T.LongType()),
+                                                  T.StructField("kept_no", T.LongType())])
+
+    def fold(pdf):
+        pdf = pdf.sort_values(order_cols, kind="mergesort").reset_index(drop=True)
+        s = pdf.iloc[::step].copy()
+        s["idx"] = range(len(s))
+        keep, last = [], None
+        for i, v in enumerate(s[value_col].astype(float).tolist()):
+            take = i == 0 or abs(v - last) > threshold
+            keep.append(take)
+            if take:
+                last = v
+        out = s[keep].copy()
+        out["kept_no"] = range(1, len(out) + 1)
+        return out
+
+    return ordered.fold_in_groups(frames, group_cols, fold, schema)
+
+
 def keyframe_counts(kept: DataFrame, frames: DataFrame, group_cols: list[str]) -> DataFrame:
     """Per sequence: frames saved and total frames (the original progress report)."""
     total = frames.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("total_frames"))

@@ -23,4 +23,5 @@ def force_scan(monkeypatch):
     from codeatlas.operators import ordered
 
     monkeypatch.setattr(ordered, "WINDOW_GROUP_ROWS", 0)
+    monkeypatch.setattr(ordered, "FOLD_GROUP_ROWS", 0)
     yield

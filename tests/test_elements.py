@@ -72,3 +72,8 @@ def test_leading_comments_fixture(spark):
 def test_call_names(spark):
     df = spark.createDataFrame([("function f(a) {\n  g(a); obj.m(); new K(1); if (x) { h(2); }\n  // z(3)\n}",)], "c string")
     assert df.select(call_names("c").alias("x")).first()["x"] == ["g", "h"]
+
+
+def test_drop_overlaps_fixture_chain_path(spark, force_scan):
+    test_drop_overlaps_fixture(spark)
+    test_drop_overlaps_keeps_outer(spark)

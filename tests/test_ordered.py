@@ -65,13 +65,17 @@ def _pack_reference(sizes, budget):
     return batches
 
 
+@pytest.mark.parametrize("chain", [False, True])
 @pytest.mark.parametrize("sizes,expect", [
     ([4, 4, 1, 4, 4], [1, 1, 1, 2, 2]),
     ([4, 4, 4], [1, 1, 2]),
     ([12, 1, 1], [1, 2, 2]),
     ([4, 4, 9, 4], [1, 1, 2, 3]),
 ])
-def test_pack_batches_fixture(spark, sizes, expect):
+def test_pack_batches_fixture(spark, monkeypatch, chain, sizes, expect):
+    from codeatlas.operators import ordered
+    if chain:
+        monkeypatch.setattr(ordered, "FOLD_GROUP_ROWS", 0)
     df = spark.createDataFrame([("i", k, s) for k, s in enumerate(sizes)], "inst string, k long, size long")
     out = pack_batches(df, ["inst"], ["k"], "size", budget=10)
     got = [r["batch_no"] for r in sorted(out.collect(), key=lambda r: r["k"])]
@@ -80,7 +84,11 @@ def test_pack_batches_fixture(spark, sizes, expect):
     assert over[0] == (sizes[0] >= 10)
 
 
-def test_pack_batches_faithful(spark):
+@pytest.mark.parametrize("chain", [False, True])
+def test_pack_batches_faithful(spark, monkeypatch, chain):
+    from codeatlas.operators import ordered
+    if chain:
+        monkeypatch.setattr(ordered, "FOLD_GROUP_ROWS", 0)
     # literal rule: 4 4 4 -> [0,1] and item 2 lost; 12 1 1 -> empty first batch, then [0,1,2].
     df = spark.createDataFrame([("a", 0, 4), ("a", 1, 4), ("a", 2, 4), ("b", 0, 12), ("b", 1, 1), ("b", 2, 1)],
                                "inst string, k long, size long")
@@ -122,6 +130,7 @@ def test_keyframes_against_brute_force(spark, monkeypatch, scan):
     from codeatlas.operators import ordered
     if scan:
         monkeypatch.setattr(ordered, "WINDOW_GROUP_ROWS", 0)
+        monkeypatch.setattr(ordered, "FOLD_GROUP_ROWS", 0)
     rnd = random.Random(11)
     values = [round(rnd.uniform(0, 50), 2) for _ in range(120)]
     df = spark.createDataFrame([("s", k, v) for k, v in enumerate(values)], "seq string, k long, v double")
