@@ -301,19 +301,18 @@ def drop_overlaps(elements: DataFrame, key_cols: list[str]) -> DataFrame:
 
 
 def _drop_overlaps_small_files(f: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Bounded files: the greedy rule as a loop over each file's functions in one task."""
-
-    def fold(pdf):
-        pdf = pdf.sort_values(["start_line", "col"], kind="mergesort")
-        keep, last_end = [], None
-        for s, e in zip(pdf["start_line"].tolist(), pdf["end_line"].tolist()):
-            take = last_end is None or s > last_end
-            keep.append(take)
-            if take:
-                last_end = e
-        return pdf[keep]
-
-    return ordered.fold_in_groups(f, key_cols, fold, f.schema)
+    """Bounded files: the greedy rule as one loop per partition over functions in file order."""
+
+    def init(r):
+        return {"end": None}
+
+    def step(st, r):
+        if st["end"] is None or r["start_line"] > st["end"]:
+            st["end"] = r["end_line"]
+            return st, ()
+        return st, None
+
+    return ordered.fold_in_groups(f, key_cols, ["start_line", "col"], step, init, f.schema, ["start_line", "end_line"])
 
 
 def definitions(elements: DataFrame, key_cols: list[str]) -> DataFrame:

@@ -192,6 +192,39 @@ def follow_chain(pointers: DataFrame, group_cols: list[str], idx: str = "idx", n
 FOLD_GROUP_ROWS = 200_000
 
 
-def fold_in_groups(df, group_cols: list[str], fn, schema):
-    """``applyInPandas`` wrapper used by the bounded-group fast paths (one task per group)."""
-    return df.groupBy(*group_cols).applyInPandas(fn, schema)
+def fold_in_groups(df, group_cols: list[str], order_cols: list[str], step, init, schema, uses: list[str]):
+    """Sequential fold of every group in one pass per partition (bounded groups only).
+
+    Rows are hash-partitioned by group and sorted by ``(group, order)``; one Python loop walks
+    each partition's Arrow batches, calling ``step(state, row) -> (state, out_values | None)``
+    with ``state = init(row)`` at the first row of a group (``row`` holds the ``uses`` columns
+    only).  Returned values are appended as the
+    extra columns of ``schema`` (rows with ``None`` are dropped).  State carries across batch
+    boundaries, so no group is ever materialised as a whole in Python.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = df.repartition(n, *group_cols).sortWithinPartitions(*group_cols, *order_cols)
+    in_cols = df.columns
+    extra = [f.name for f in schema.fields[len(in_cols):]]
+
+    def run(batches):
+        import pandas as pd
+
+        key, state = None, None
+        for pdf in batches:
+            keys = list(zip(*[pdf[c].tolist() for c in group_cols]))
+            rows = pdf[uses].to_dict("records")
+            keep, outs = [], []
+            for i, (k, r) in enumerate(zip(keys, rows)):
+                if k != key:
+                    key, state = k, init(r)
+                state, out = step(state, r)
+                if out is not None:
+                    keep.append(i)
+                    outs.append(out)
+            res = pdf.iloc[keep].reset_index(drop=True)
+            for j, c in enumerate(extra):
+                res[c] = pd.Series([o[j] for o in outs], dtype="object") if outs else pd.Series([], dtype="object")
+            yield res
+
+    return ranged.mapInPandas(run, schema)

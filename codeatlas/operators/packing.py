@@ -73,39 +73,33 @@ def pack_batches(items: DataFrame, group_cols: list[str], order_cols: list[str],
 
 
 def _pack_small_groups(base: DataFrame, group_cols: list[str], order_cols: list[str], faithful: bool) -> DataFrame:
-    """Bounded groups: the greedy rule as a loop over each group's items in one task."""
+    """Bounded groups: the greedy rule as one loop per partition over groups sorted in order.
+    Produces ``idx`` and ``batch_no``; oversize and the literal quirks use the same aggregations
+    as the parallel path."""
     schema = T.StructType(base.schema.fields + [T.StructField("idx", T.LongType()),
-                                                T.StructField("batch_no", T.LongType()),
-                                                T.StructField("oversize", T.BooleanType())])
-
-    def fold(pdf):
-        pdf = pdf.sort_values(order_cols, kind="mergesort").reset_index(drop=True)
-        sz, bud = pdf["_sz"].tolist(), pdf["_bud"].tolist()
-        n = len(sz)
-        batch = [0] * n
-        b, acc = 1, 0
-        for k in range(n):
-            if k == 0:
-                acc = sz[0] if (not faithful or sz[0] < bud[0]) else 0
-            elif acc + sz[k] >= bud[k]:
-                b += 1
-                acc = 0 if faithful else sz[k]
-            else:
-                acc += sz[k]
-            batch[k] = b
-        pdf["idx"] = range(n)
-        pdf["batch_no"] = batch
-        counts = pdf.groupby("batch_no")["idx"].transform("size")
-        pdf["oversize"] = (counts == 1) & (pdf["_sz"] >= pdf["_bud"]) if not faithful else False
-        if faithful and n:
-            starts = pdf["batch_no"].diff().fillna(1) != 0
-            lost = (pdf.index == n - 1) & starts & (pdf.index > 0)
-            pdf = pdf[~lost].copy()
-            if sz[0] >= bud[0]:
-                pdf["batch_no"] = pdf["batch_no"] + 1
-        return pdf
-
-    return ordered.fold_in_groups(base, group_cols, fold, schema)
+                                                T.StructField("batch_no", T.LongType())])
+
+    def init(r):
+        return {"k": -1, "b": 1, "acc": 0}
+
+    def step(st, r):
+        k, sz, bud = st["k"] + 1, r["_sz"], r["_bud"]
+        if k == 0:
+            st["acc"] = sz if (not faithful or sz < bud) else 0
+        elif st["acc"] + sz >= bud:
+            st["b"] += 1
+            st["acc"] = 0 if faithful else sz
+        else:
+            st["acc"] += sz
+        st["k"] = k
+        return st, (k, st["b"])
+
+    numbered = ordered.fold_in_groups(base, group_cols, order_cols, step, init, schema, ["_sz", "_bud"])
+    sizes = numbered.groupBy(*group_cols, "batch_no").agg(F.count(F.lit(1)).alias("_n"),
+                                                          F.max(F.col("_sz") >= F.col("_bud")).alias("_big"))
+    out = (numbered.join(sizes, [*group_cols, "batch_no"])
+           .withColumn("oversize", (F.col("_n") == 1) & F.col("_big")).drop("_n", "_big"))
+    return _literal_quirks(out, group_cols) if faithful else out
 
 
 def _literal_quirks(packed: DataFrame, group_cols: list[str]) -> DataFrame:

@@ -70,25 +70,25 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
 
 def _keyframes_small_groups(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
                             threshold: float, step: int) -> DataFrame:
-    """Bounded sequences: the rule as a loop over each sequence in one task."""
+    """Bounded sequences: the rule as one loop per partition over sequences sorted in order."""
     schema = T.StructType(frames.schema.fields + [T.StructField("idx", T.LongType()),
                                                   T.StructField("kept_no", T.LongType())])
 
-    def fold(pdf):
-        pdf = pdf.sort_values(order_cols, kind="mergesort").reset_index(drop=True)
-        s = pdf.iloc[::step].copy()
-        s["idx"] = range(len(s))
-        keep, last = [], None
-        for i, v in enumerate(s[value_col].astype(float).tolist()):
-            take = i == 0 or abs(v - last) > threshold
-            keep.append(take)
-            if take:
-                last = v
-        out = s[keep].copy()
-        out["kept_no"] = range(1, len(out) + 1)
-        return out
+    def init(r):
+        return {"raw": -1, "kept": 0, "last": None}
 
-    return ordered.fold_in_groups(frames, group_cols, fold, schema)
+    def advance(st, r):
+        st["raw"] += 1
+        if st["raw"] % step:
+            return st, None
+        v = float(r[value_col])
+        if st["kept"] == 0 or abs(v - st["last"]) > threshold:
+            st["kept"] += 1
+            st["last"] = v
+            return st, (st["raw"] // step, st["kept"])
+        return st, None
+
+    return ordered.fold_in_groups(frames, group_cols, order_cols, advance, init, schema, [value_col])
 
 
 def keyframe_counts(kept: DataFrame, frames: DataFrame, group_cols: list[str]) -> DataFrame:
