@@ -129,7 +129,7 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
     key_cols = list(key_cols)
     # One measurement bounds every later per-file scan: lines per file (declarations, elements,
     # return lines are subsets of lines, one per line at most); braces are measured separately.
-    lines_bound = largest_group(files.select(*key_cols, F.posexplode(F.split(F.col(content_col), "\n", -1))), key_cols)
+    lines_bound = int(files.agg(F.max(F.size(F.split(F.col(content_col), "\n", -1)))).first()[0] or 0)
     ls = source_lines(files, key_cols, content_col, lines_bound).checkpoint()
     pairs = brace_pairs(ls, key_cols)
     decls = declarations(ls, key_cols)

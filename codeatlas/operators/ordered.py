@@ -202,8 +202,8 @@ def fold_in_groups(df, group_cols: list[str], order_cols: list[str], step, init,
     extra columns of ``schema`` (rows with ``None`` are dropped).  State carries across batch
     boundaries, so no group is ever materialised as a whole in Python.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartition(n, *group_cols).sortWithinPartitions(*group_cols, *order_cols)
+    # Partitioned by columns only: adaptive execution sizes (coalesces) the partitions.
+    ranged = df.repartition(*group_cols).sortWithinPartitions(*group_cols, *order_cols)
     in_cols = df.columns
     extra = [f.name for f in schema.fields[len(in_cols):]]
 
