@@ -114,3 +114,17 @@ def numbered_list(items) -> Column:
     """``1. a`` newline ``2. b`` ... from an array of strings (each item followed by a blank line)."""
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x,
                                                              F.lit("\n"))), "")
+
+
+def token_count_udf(encode):
+    """Pluggable exact counter: wrap any ``encode(str) -> sequence`` (for example a BPE
+    tokenizer's ``encode``) as an Arrow-batched pandas UDF returning the token count per row.
+    Texts are encoded in batches inside the executors; nothing is gathered on the driver."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: len(encode(t))).astype("int64")
+
+    return count

@@ -89,3 +89,12 @@ def test_snapshot_diff_and_carry_forward(spark):
     ours = sorted(r["rel_path"] for r in carry_forward(docs, diff, {"instance_key": "v2"}).collect())
     literal = sorted(r["rel_path"] for r in carry_forward(docs, diff, {"instance_key": "v2"}, literal_substring=True).collect())
     assert ours == ["a.jsx", "b.js"] and literal == ["b.js"]
+
+
+def test_token_count_pluggable(spark):
+    df = spark.createDataFrame([("a b c",), ("",), (None,)], "t string")
+    counter = X.token_count_udf(str.split)
+    got = [r["n"] for r in df.select(counter("t").alias("n")).collect()]
+    assert got == [3, 0, 0]
+    approx = [r["n"] for r in df.select(X.token_count("t").alias("n")).collect()]
+    assert approx == [3, 0, 0]
