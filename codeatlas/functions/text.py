@@ -4,6 +4,7 @@ so they scale with the number of rows and never gather text across rows."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,10 +121,7 @@ def token_count_udf(encode):
     """Pluggable exact counter: wrap any ``encode(str) -> sequence`` (for example a BPE
     tokenizer's ``encode``) as an Arrow-batched pandas UDF returning the token count per row.
     Texts are encoded in batches inside the executors; nothing is gathered on the driver."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("long")
+    @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(lambda t: len(encode(t))).astype("int64")
 
