@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from . import ordered
-from .ordered import count_before, follow_chain, largest_group, row_index, running_sum
+from .ordered import count_before, count_before_many, follow_chain, largest_group, row_index, running_sum
 
 IDENT = r"[A-Za-z_$][\w$]*"
 # Words that look like calls or method headers but are not.
@@ -221,11 +221,10 @@ def _innermost_class(fun: DataFrame, classes: DataFrame, key_cols: list[str], bo
     cls = classes.withColumn("_cid", F.col("_cord") + 1)
 
     def depth_at(probes, id_col, line_col):
-        b2 = None if bound is None else 2 * bound
-        a = count_before(cls, probes, key_cols, "_cs", line_col, id_col, inclusive=True, out_col="_ns", max_group_rows=b2)
-        b = count_before(cls, probes, key_cols, "_ce", line_col, id_col, inclusive=False, out_col="_ne",
-                         max_group_rows=b2)
-        return a.join(b, [*key_cols, id_col]).select(*key_cols, id_col, (F.col("_ns") - F.col("_ne")).alias("_depth"))
+        b3 = None if bound is None else 3 * bound
+        c = count_before_many([(cls, "_cs", True, "_ns"), (cls, "_ce", False, "_ne")], probes, key_cols, line_col,
+                              id_col, b3)
+        return c.select(*key_cols, id_col, (F.col("_ns") - F.col("_ne")).alias("_depth"))
 
     cdepth = depth_at(cls.select(*key_cols, "_cid", "_cs"), "_cid", "_cs")
     cls_d = row_index(cls.join(cdepth, [*key_cols, "_cid"]), [*key_cols, "_depth"], ["_cs", "_cid"], "_k", bound) \

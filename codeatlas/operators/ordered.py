@@ -143,20 +143,38 @@ def count_before(items: DataFrame, probes: DataFrame, group_cols: list[str], ite
     When item keys are non-decreasing in item order this is the lower-bound index of the probe
     key, i.e. an as-of lookup, computed as one ordered scan of the union of items and probes.
     """
-    key_type = T.DoubleType() if isinstance(items.schema[item_key].dataType, (T.DoubleType, T.FloatType)) \
-        else T.LongType()
-    # At equal keys the side sorted first is the one counted as "before".
-    item_rank, probe_rank = (0, 1) if inclusive else (1, 0)
-    it = items.select(*group_cols, F.col(item_key).cast(key_type).alias("_k"),
-                      F.lit(item_rank).alias("_side"), F.lit(None).cast("long").alias("_pid_"),
-                      F.lit(1).cast("long").alias("_is_item"))
-    pr = probes.select(*group_cols, F.col(probe_key).cast(key_type).alias("_k"),
-                       F.lit(probe_rank).alias("_side"), F.col(probe_id).cast("long").alias("_pid_"),
-                       F.lit(0).cast("long").alias("_is_item"))
-    both = it.unionByName(pr)
-    scanned = running_sum(both, group_cols, ["_k", "_side", "_pid_"], "_is_item", "_cnt", max_group_rows)
-    return (scanned.filter(F.col("_is_item") == 0)
-            .select(*group_cols, F.col("_pid_").alias(probe_id), F.col("_cnt").alias(out_col)))
+    return count_before_many([(items, item_key, inclusive, out_col)], probes, group_cols, probe_key, probe_id,
+                             max_group_rows)
+
+
+def count_before_many(item_sets, probes: DataFrame, group_cols: list[str], probe_key: str, probe_id: str,
+                      max_group_rows: int | None = None) -> DataFrame:
+    """Several ``count_before`` lookups against the same probes in one ordered scan.
+
+    ``item_sets`` is a list of ``(items, item_key, inclusive, out_col)``.  At equal keys inclusive
+    items sort before the probe and strict items after it, so one running sum per set counts
+    exactly the items "before" each probe."""
+    first = item_sets[0]
+    dt = first[0].schema[first[1]].dataType
+    key_type = T.DoubleType() if isinstance(dt, (T.DoubleType, T.FloatType)) else T.LongType()
+    ind = [f"_is{i}" for i in range(len(item_sets))]
+    parts = []
+    for i, (items, item_key, inclusive, _) in enumerate(item_sets):
+        parts.append(items.select(*group_cols, F.col(item_key).cast(key_type).alias("_k"),
+                                  F.lit(0 if inclusive else 2).alias("_side"), F.lit(None).cast("long").alias("_pid_"),
+                                  *[F.lit(1 if j == i else 0).cast("long").alias(c) for j, c in enumerate(ind)]))
+    parts.append(probes.select(*group_cols, F.col(probe_key).cast(key_type).alias("_k"), F.lit(1).alias("_side"),
+                               F.col(probe_id).cast("long").alias("_pid_"),
+                               *[F.lit(0).cast("long").alias(c) for c in ind]))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    outs = [o for (_, _, _, o) in item_sets]
+    scanned = running_sum(both, group_cols, ["_k", "_side", "_pid_"], ind, [f"_c{i}" for i in range(len(ind))],
+                          max_group_rows)
+    return (scanned.filter(F.col("_side") == 1)
+            .select(*group_cols, F.col("_pid_").alias(probe_id),
+                    *[F.col(f"_c{i}").alias(o) for i, o in enumerate(outs)]))
 
 
 def follow_chain(pointers: DataFrame, group_cols: list[str], idx: str = "idx", nxt: str = "nxt",

@@ -51,7 +51,8 @@ e as (
 
 
 def _files(spark, root):
-    return source_files(T(spark, root, "part"))
+    # Materialised once: the generated files feed several branches of every code query.
+    return source_files(T(spark, root, "part")).checkpoint()
 
 
 def _elements(spark, root):

@@ -37,11 +37,12 @@ internal as (select * from edges e where exists (select 1 from files f where f.i
 
 
 def _files(spark, root):
-    return source_files(T(spark, root, "part"))
+    # Materialised once: the generated files feed several branches of every code query.
+    return source_files(T(spark, root, "part")).checkpoint()
 
 
-def _edges(spark, root):
-    return import_edges(_files(spark, root), KEY)
+def _edges(spark, root, files=None):
+    return import_edges(files if files is not None else _files(spark, root), KEY)
 
 
 @register("import_specs", _SPECS_SQL + "select rel_path, cast(pos as bigint) as pos, spec from specs")
@@ -66,19 +67,22 @@ union all
 select distinct instance_key, dst_path, cast(null as varchar) from edges e
 where not exists (select 1 from files f where f.instance_key = e.instance_key and f.rel_path = e.dst_path)""")
 def q_graph_nodes(spark, root):
-    return graph_nodes(_files(spark, root), _edges(spark, root), INST)
+    files = _files(spark, root)
+    return graph_nodes(files, _edges(spark, root, files), INST)
 
 
 @register("internal_imports", _SPECS_SQL + "select instance_key, src_path, dst_path from internal")
 def q_internal_imports(spark, root):
-    return internal_imports(_edges(spark, root), _files(spark, root), INST).select(*INST, "src_path", "dst_path")
+    files = _files(spark, root)
+    return internal_imports(_edges(spark, root, files), files, INST).select(*INST, "src_path", "dst_path")
 
 
 @register("imports_by_file", _SPECS_SQL + """
 select instance_key, src_path, count(*) as n_imports, string_agg(dst_path, ',' order by pos) as targets
 from internal group by instance_key, src_path""")
 def q_imports_by_file(spark, root):
-    return imports_by_file(internal_imports(_edges(spark, root), _files(spark, root), INST), INST)
+    files = _files(spark, root)
+    return imports_by_file(internal_imports(_edges(spark, root, files), files, INST), INST)
 
 
 # -- calls and callee resolution ------------------------------------------------------------
@@ -97,8 +101,8 @@ refs as (
 """
 
 
-def _elements(spark, root):
-    return code_elements(_files(spark, root), KEY)
+def _elements(spark, root, files=None):
+    return code_elements(files if files is not None else _files(spark, root), KEY)
 
 
 @register("call_names", _SPECS_SQL + "," + _CALLS_SQL + """
@@ -110,9 +114,10 @@ def q_call_names(spark, root):
 
 
 def _refs(spark, root):
-    el = _elements(spark, root).checkpoint()
+    files = _files(spark, root)
+    el = _elements(spark, root, files).checkpoint()
     calls = element_calls(el, KEY)
-    edges = internal_imports(_edges(spark, root), _files(spark, root), INST)
+    edges = internal_imports(_edges(spark, root, files), files, INST)
     offered = callables(drop_overlaps(el, KEY), KEY)
     return callee_refs(calls, edges, offered, INST), el
 
