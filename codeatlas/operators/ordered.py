@@ -68,11 +68,22 @@ def _block_scan(group_cols: list[str], value_cols: list[str], out_cols: list[str
 WINDOW_GROUP_ROWS = 2_000_000
 
 
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Row count of the largest group: one aggregation job with map-side partial counts."""
+# Rows per task in the range-partitioned scan; the partition count grows with the data.
+SCAN_ROWS_PER_PARTITION = 4_000_000
+
+
+def group_stats(df: DataFrame, group_cols: list[str]) -> tuple[int, int]:
+    """``(largest group, total rows)`` in one aggregation job with map-side partial counts."""
     if not group_cols:
-        return df.count()
-    return int(df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0)
+        n = df.count()
+        return n, n
+    r = df.groupBy(*group_cols).count().agg(F.max("count"), F.sum("count")).first()
+    return int(r[0] or 0), int(r[1] or 0)
+
+
+def largest_group(df: DataFrame, group_cols: list[str]) -> int:
+    """Row count of the largest group."""
+    return group_stats(df, group_cols)[0]
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols, out_cols,
@@ -89,8 +100,9 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
     """
     value_cols = [value_cols] if isinstance(value_cols, str) else list(value_cols)
     out_cols = [out_cols] if isinstance(out_cols, str) else list(out_cols)
+    total = None
     if max_group_rows is None:
-        max_group_rows = largest_group(df, group_cols) if WINDOW_GROUP_ROWS > 0 else WINDOW_GROUP_ROWS + 1
+        max_group_rows, total = group_stats(df, group_cols) if WINDOW_GROUP_ROWS > 0 else (WINDOW_GROUP_ROWS + 1, None)
     if max_group_rows <= WINDOW_GROUP_ROWS:
         w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \
             .orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,14 +111,18 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
             t = df.schema[v].dataType
             out = out.withColumn(o, F.sum(F.coalesce(F.col(v), F.lit(0).cast(t))).over(w).cast(t))
         return out
-    return _scan_running_sum(df, group_cols, order_cols, value_cols, out_cols)
+    return _scan_running_sum(df, group_cols, order_cols, value_cols, out_cols, total)
 
 
 def _scan_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
-                      out_cols: list[str]) -> DataFrame:
+                      out_cols: list[str], total_rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     keys = [*group_cols, *order_cols]
-    n = target_partitions(spark)
+    if total_rows is None:
+        total_rows = df.count()
+    # Enough range partitions that a task scans about SCAN_ROWS_PER_PARTITION rows, however large
+    # the hot group is; never fewer than the configured shuffle width.
+    n = max(target_partitions(spark), -(-total_rows // SCAN_ROWS_PER_PARTITION))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     types = [df.schema[v].dataType for v in value_cols]
     schema = T.StructType(df.schema.fields + [T.StructField(o, t) for o, t in zip(out_cols, types)]

@@ -21,6 +21,7 @@ def test_running_sum_matches_window(spark, monkeypatch, scan):
     from codeatlas.operators import ordered
     if scan:
         monkeypatch.setattr(ordered, "WINDOW_GROUP_ROWS", 0)
+        monkeypatch.setattr(ordered, "SCAN_ROWS_PER_PARTITION", 100)   # the hot group spans ~20 tasks
     rnd = random.Random(7)
     data = [(rnd.choice(["a", "b", "hot"] + ["hot"] * 5), i, rnd.randint(0, 9)) for i in range(3000)]
     df = spark.createDataFrame(data, "g string, i long, v long")
