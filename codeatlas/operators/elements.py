@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from . import ordered
-from .ordered import count_before, count_before_many, follow_chain, largest_group, row_index, running_sum
+from .ordered import count_before, count_before_many, follow_chain, group_stats, largest_group, row_index, running_sum
 
 IDENT = r"[A-Za-z_$][\w$]*"
 # Words that look like calls or method headers but are not.
@@ -285,10 +285,10 @@ def drop_overlaps(elements: DataFrame, key_cols: list[str]) -> DataFrame:
     doubling."""
     f = elements.filter((F.col("kind") == "function") & F.col("parent_ordinal").isNull())
     f = f.checkpoint()
-    bound = largest_group(f, key_cols)
+    bound, total = group_stats(f, key_cols)
     others = elements.filter(~((F.col("kind") == "function") & F.col("parent_ordinal").isNull()))
     if bound <= ordered.FOLD_GROUP_ROWS:
-        return others.unionByName(_drop_overlaps_small_files(f, key_cols))
+        return others.unionByName(_drop_overlaps_small_files(f, key_cols, total))
     f = row_index(f, key_cols, ["start_line", "col"], "_i", bound).checkpoint()
     probes = f.select(*key_cols, "_i", "end_line")
     lb = count_before(f, probes, key_cols, "start_line", "end_line", "_i", inclusive=True, out_col="_lb",
@@ -299,7 +299,7 @@ def drop_overlaps(elements: DataFrame, key_cols: list[str]) -> DataFrame:
     return others.unionByName(keep_f)
 
 
-def _drop_overlaps_small_files(f: DataFrame, key_cols: list[str]) -> DataFrame:
+def _drop_overlaps_small_files(f: DataFrame, key_cols: list[str], total: int | None = None) -> DataFrame:
     """Bounded files: the greedy rule as one loop per partition over functions in file order."""
 
     def init(r):
@@ -311,7 +311,8 @@ def _drop_overlaps_small_files(f: DataFrame, key_cols: list[str]) -> DataFrame:
             return st, ()
         return st, None
 
-    return ordered.fold_in_groups(f, key_cols, ["start_line", "col"], step, init, f.schema, ["start_line", "end_line"])
+    return ordered.fold_in_groups(f, key_cols, ["start_line", "col"], step, init, f.schema, ["start_line", "end_line"],
+                                  total)
 
 
 def definitions(elements: DataFrame, key_cols: list[str]) -> DataFrame:

@@ -226,7 +226,8 @@ def follow_chain(pointers: DataFrame, group_cols: list[str], idx: str = "idx", n
 FOLD_GROUP_ROWS = 200_000
 
 
-def fold_in_groups(df, group_cols: list[str], order_cols: list[str], step, init, schema, uses: list[str]):
+def fold_in_groups(df, group_cols: list[str], order_cols: list[str], step, init, schema, uses: list[str],
+                   total_rows: int | None = None):
     """Sequential fold of every group in one pass per partition (bounded groups only).
 
     Rows are hash-partitioned by group and sorted by ``(group, order)``; one Python loop walks
@@ -236,8 +237,14 @@ def fold_in_groups(df, group_cols: list[str], order_cols: list[str], step, init,
     extra columns of ``schema`` (rows with ``None`` are dropped).  State carries across batch
     boundaries, so no group is ever materialised as a whole in Python.
     """
-    # Partitioned by columns only: adaptive execution sizes (coalesces) the partitions.
-    ranged = df.repartition(*group_cols).sortWithinPartitions(*group_cols, *order_cols)
+    # Partitioned by the group columns.  When the data needs more tasks than the shuffle setting
+    # gives, the count is sized by rows; otherwise adaptive execution may coalesce partitions.
+    width = -(-(total_rows or 0) // SCAN_ROWS_PER_PARTITION)
+    if width > target_partitions(df.sparkSession):
+        ranged = df.repartition(width, *group_cols)
+    else:
+        ranged = df.repartition(*group_cols)
+    ranged = ranged.sortWithinPartitions(*group_cols, *order_cols)
     in_cols = df.columns
     extra = [f.name for f in schema.fields[len(in_cols):]]
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from . import ordered
-from .ordered import count_before, follow_chain, largest_group, running_sum
+from .ordered import count_before, follow_chain, group_stats, running_sum
 
 PROMPT_BUDGET = 128000
 
@@ -43,9 +43,9 @@ def pack_batches(items: DataFrame, group_cols: list[str], order_cols: list[str],
             .withColumn("_one", F.lit(1).cast("long"))
             .withColumn("_bud", bud.cast("long")))
     base = base.checkpoint()
-    bound = largest_group(base, group_cols)   # every later scan is over the same groups
+    bound, total = group_stats(base, group_cols)   # every later scan is over the same groups
     if bound <= ordered.FOLD_GROUP_ROWS:
-        return _pack_small_groups(base, group_cols, order_cols, faithful).drop("_sz", "_bud", "_one")
+        return _pack_small_groups(base, group_cols, order_cols, faithful, total).drop("_sz", "_bud", "_one")
     scanned = running_sum(base, group_cols, order_cols, ["_one", "_sz"], ["idx", "_S"], bound)
     scanned = scanned.withColumn("idx", F.col("idx") - 1).drop("_one").checkpoint()
     # Threshold T[j] = prefix before the batch opened at j + budget.  Faithful mode: an item that
@@ -72,7 +72,8 @@ def pack_batches(items: DataFrame, group_cols: list[str], order_cols: list[str],
     return out.drop("_sz", "_bud")
 
 
-def _pack_small_groups(base: DataFrame, group_cols: list[str], order_cols: list[str], faithful: bool) -> DataFrame:
+def _pack_small_groups(base: DataFrame, group_cols: list[str], order_cols: list[str], faithful: bool,
+                       total: int | None = None) -> DataFrame:
     """Bounded groups: the greedy rule as one loop per partition over groups sorted in order.
     Produces ``idx`` and ``batch_no``; oversize and the literal quirks use the same aggregations
     as the parallel path."""
@@ -94,7 +95,7 @@ def _pack_small_groups(base: DataFrame, group_cols: list[str], order_cols: list[
         st["k"] = k
         return st, (k, st["b"])
 
-    numbered = ordered.fold_in_groups(base, group_cols, order_cols, step, init, schema, ["_sz", "_bud"])
+    numbered = ordered.fold_in_groups(base, group_cols, order_cols, step, init, schema, ["_sz", "_bud"], total)
     sizes = numbered.groupBy(*group_cols, "batch_no").agg(F.count(F.lit(1)).alias("_n"),
                                                           F.max(F.col("_sz") >= F.col("_bud")).alias("_big"))
     out = (numbered.join(sizes, [*group_cols, "batch_no"])

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from . import ordered
-from .ordered import follow_chain, largest_group, row_index, running_sum
+from .ordered import follow_chain, group_stats, row_index, running_sum
 
 FRAME_STEP = 2
 SIMILARITY_THRESHOLD = 0.995
@@ -28,9 +28,9 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
               threshold: float, step: int = FRAME_STEP) -> DataFrame:
     """Kept frames: ``group + order + (value, kept_no)``; ``kept_no`` is 1-based."""
     ensure_checkpoint_dir(frames.sparkSession)
-    bound = largest_group(frames, group_cols)
+    bound, total = group_stats(frames, group_cols)
     if bound <= ordered.FOLD_GROUP_ROWS:
-        return _keyframes_small_groups(frames, group_cols, order_cols, value_col, threshold, step)
+        return _keyframes_small_groups(frames, group_cols, order_cols, value_col, threshold, step, total)
     f = row_index(frames, group_cols, order_cols, "_raw", bound)
     f = f.filter(F.col("_raw") % step == 0).withColumn("idx", (F.col("_raw") / step).cast("long")) \
         .withColumn("_v", F.col(value_col).cast("double")).drop("_raw").checkpoint()
@@ -69,7 +69,7 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
 
 
 def _keyframes_small_groups(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
-                            threshold: float, step: int) -> DataFrame:
+                            threshold: float, step: int, total: int | None = None) -> DataFrame:
     """Bounded sequences: the rule as one loop per partition over sequences sorted in order."""
     schema = T.StructType(frames.schema.fields + [T.StructField("idx", T.LongType()),
                                                   T.StructField("kept_no", T.LongType())])
@@ -88,7 +88,7 @@ def _keyframes_small_groups(frames: DataFrame, group_cols: list[str], order_cols
             return st, (st["raw"] // step, st["kept"])
         return st, None
 
-    return ordered.fold_in_groups(frames, group_cols, order_cols, advance, init, schema, [value_col])
+    return ordered.fold_in_groups(frames, group_cols, order_cols, advance, init, schema, [value_col], total)
 
 
 def keyframe_counts(kept: DataFrame, frames: DataFrame, group_cols: list[str]) -> DataFrame:
