@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from . import ordered
-from .ordered import count_before, count_before_many, follow_chain, group_stats, largest_group, row_index, running_sum
+from .ordered import count_before, count_before_many, follow_chain, group_stats, row_index, running_sum
 
 IDENT = r"[A-Za-z_$][\w$]*"
 # Words that look like calls or method headers but are not.

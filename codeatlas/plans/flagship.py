@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packing import pack_batches
-from ..operators.retrieval import retrieved_files, topk_similar
+from ..operators.retrieval import topk_similar
 from ..sources.tables import table
 from .synth import retrieval_chunks, retrieval_queries
 

@@ -47,7 +47,7 @@ def q_batch_counts(spark, root):
 from ..operators.context import (attach_docs, attach_element_type, attach_instance, distinct_knowledge,  # noqa: E402
                                  element_diff, file_description, first_doc_wins, match_paths, prune_context)
 from ..operators.elements import file_lines  # noqa: E402
-from .code_fixture import FILE_UNITS, INSTANCE_FILES  # noqa: E402
+from .code_fixture import FILE_UNITS  # noqa: E402
 from .synth import snapshot_v1, snapshot_v2  # noqa: E402
 
 _V1_PATHS = """(select case when source like '%3' then source || '/latest' else source end || '/' || lang || '/doc_'

@@ -1,6 +1,6 @@
 """Code element extraction on hand-written sources."""
 
-from codeatlas.operators.elements import code_elements, drop_overlaps, leading_comments, source_lines
+from codeatlas.operators.elements import code_elements, drop_overlaps
 from codeatlas.operators.graph import call_names
 
 SRC = """// a

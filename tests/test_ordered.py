@@ -5,7 +5,6 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from codeatlas.operators.ordered import count_before, follow_chain, row_index, running_sum
 from codeatlas.operators.packing import pack_batches

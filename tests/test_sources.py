@@ -5,7 +5,6 @@ import os
 import struct
 import tempfile
 
-from pyspark.sql import functions as F
 
 from codeatlas.operators.elements import code_elements
 from codeatlas.operators.graph import graph_nodes, import_edges

@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from codeatlas.operators.context import contains_join, match_paths
 from codeatlas.operators.retrieval import chunk_recursive
