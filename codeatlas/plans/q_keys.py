@@ -157,13 +157,15 @@ def q_basename_rel_path(spark, root):
     return p.select("page_id", K.basename("url").alias("base"), K.rel_path("url", drop=3).alias("rel"))
 
 
+# Needles per document (its own "asset" strings): its first word and the letter "é".
 @register("strip_image_lines", """
 select doc_id, array_to_string(list_filter(string_split(text, chr(10)),
-         lambda l: not (contains(l, 'Th') or contains(l, 'é'))), chr(10)) as statement
+         lambda l: not (contains(l, string_split(text, ' ')[1]) or contains(l, 'é'))), chr(10)) as statement
 from documents""")
 def q_strip_image_lines(spark, root):
     d = T(spark, root, "documents")
-    return d.select("doc_id", K.strip_lines_containing("text", F.array(F.lit("Th"), F.lit("é"))).alias("statement"))
+    needles = F.array(F.substring_index("text", " ", 1), F.lit("é"))   # cheap inside the per-line lambda
+    return d.select("doc_id", K.strip_lines_containing("text", needles).alias("statement"))
 
 
 @register("element_type", """
