@@ -39,9 +39,16 @@ def test_every_query_has_a_twin_or_is_documented():
     assert missing == {"chunk_recursive"}
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
-    got = E.queries()[name](spark, SF).toPandas()
+    sdf = E.queries()[name](spark, SF)
+    spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    sql_types = {c[0]: str(c[1]) for c in con.execute(f"select * from ({E.oracle_sql()[name]}) limit 0").description}
+    assert spark_types == sql_types
+    got = sdf.toPandas()
     want = con.execute(E.oracle_sql()[name]).df()
     gc, gr = _rows(got)
     wc, wr = _rows(want)
