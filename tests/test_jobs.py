@@ -40,3 +40,62 @@ def test_sample_keyframes(spark):
     assert sorted(r["frame_no"] for r in kept.collect()) == [0, 4]
     c = counts.first()
     assert (c["saved_frames"], c["total_frames"]) == (2, 7)
+
+
+def test_refresh_summarise_and_media(spark):
+    old = spark.createDataFrame([("i", "a.js", "1"), ("i", "b.js", "1")], "instance_key string, rel_path string, content string")
+    new = spark.createDataFrame([("i", "a.js", "2"), ("i", "b.js", "1"), ("i", "c.js", "1")],
+                                "instance_key string, rel_path string, content string")
+    old_docs = spark.createDataFrame([("i", "a.js", "A"), ("i", "b.js", "B")], "instance_key string, rel_path string, doc string")
+    elements = spark.createDataFrame([("i", "a.js", 1), ("i", "c.js", 2), ("i", "b.js", 3)],
+                                     "instance_key string, rel_path string, element_id long")
+    refs = spark.createDataFrame([(1, 2)], "src_element_id long, dst_element_id long")
+    carried, todo, waves = jobs.refresh_docs(old_docs, old, new, elements, refs, "i2")
+    assert [r["rel_path"] for r in carried.collect()] == ["b.js"]
+    assert sorted(r["element_id"] for r in todo.collect()) == [1, 2]
+    assert {r["element_id"]: r["level"] for r in waves.collect()} == {2: 0, 1: 1}
+
+    docs = spark.createDataFrame([("i", "a.js", 2, "**Code Description**: two\n**Note**: x"),
+                                  ("i", "a.js", 1, "**Code Description**: one")],
+                                 "instance_key string, rel_path string, start_line int, doc string")
+    s = jobs.summarise_files(docs).first()
+    assert s["description"] == "1. **Code Description**: one\n\n2. **Code Description**: two\n\n"
+    assert s["prompt"].startswith("Describe this js file.")
+
+    assets = spark.createDataFrame([("i", "a.png", 480, 640)], "instance_key string, name string, height int, width int")
+    frames = spark.createDataFrame([], "frame string, height int, width int")
+    m = jobs.media_budget(assets, frames).first()
+    assert (m["image_tokens"], m["text_budget"]) == (391, 128000 - 391)
+
+
+def test_retrieval_and_context_jobs(spark):
+    files = _files(spark)
+    file_docs = spark.createDataFrame([("i", "src/a.js", "**Conclusion**: calls g"), ("i", "src/b.js", None)],
+                                      "instance_key string, rel_path string, doc string")
+    chunks = jobs.chunk_file_docs(file_docs.fillna({"doc": ""}))
+    assert chunks.filter("chunk like 'Filename: src/a.js%'").count() == 1
+    vec = spark.createDataFrame([("i", 1, "src/a.js", [0.0, 1.0]), ("i", 2, "src/b.js", [1.0, 0.0])],
+                                "instance_key string, chunk_id long, rel_path string, embedding array<float>")
+    q = spark.createDataFrame([("i", 7, [0.1, 0.9])], "instance_key string, query_id long, embedding array<float>")
+    got = sorted((r["rel_path"], r["best_rank"]) for r in jobs.retrieve_files(file_docs, vec, q, k=1).collect())
+    assert got == [("src/a.js", 1)]
+    retrieved = spark.createDataFrame([("i", "a.js"), ("i", "src/b.js")], "instance_key string, rel_path string")
+    ctx = jobs.file_contexts(retrieved, files, file_docs, budget=1000).collect()
+    assert sorted((r["rel_path"], r["batch_no"]) for r in ctx) == [("src/a.js", 1), ("src/b.js", 1)]
+    assert {r["rel_path"]: r["summary"] for r in ctx}["src/b.js"] == "None"
+
+    answers = spark.createDataFrame([("i", "```\nsrc/a.js\nsrc/b.js\n```")], "instance_key string, answer string")
+    el_docs = spark.createDataFrame([("i", "src/a.js", "f", "**f**: x\nbody\n**Note**: n")],
+                                    "instance_key string, rel_path string, name string, doc string")
+    meta = spark.createDataFrame([("i", "src/a.js", "f", "Function", 1)],
+                                 "instance_key string, rel_path string, name string, type string, ordinal long")
+    ec = jobs.element_contexts(answers, files, el_docs, meta).collect()
+    assert [(r["name"], r["type"], r["summary"]) for r in ec] == [("f", "Function", "body\n")]
+
+
+def test_write_statement(spark, tmp_path):
+    from codeatlas.sources import sinks as K
+
+    df = spark.createDataFrame([("k", "  text \n")], "instance_key string, problem_statement string")
+    K.write_statement(df, str(tmp_path / "st"))
+    assert spark.read.parquet(str(tmp_path / "st")).first()["problem_statement"] == "text"
