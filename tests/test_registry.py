@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from codeatlas.plans import registry
 from codeatlas.sources.tables import DRIVER_TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -35,14 +36,14 @@ def con():
 
 
 def test_every_query_has_a_twin_or_is_documented():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(registry.queries()) - set(registry.oracle_sql())
     assert missing == {"chunk_recursive"}
 
 
 _TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
     sdf = E.queries()[name](spark, SF)
     spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
