@@ -5,20 +5,27 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 # White space other than blank and newline; texts with it are cut by the careful pattern below.
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# A full stop or comma that doesn't follow a letter or digit, or that other punctuation follows.
+_RUN = re.compile(r"[.,](?:(?<![^\W_].)|(?=[^\w\s]|_))", re.DOTALL)
+# Byte-level alphabets write printable Latin-1 bytes as themselves and the others from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
 _READY: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers.  Byte-level BPE never joins across a blank or
-    newline that stands between non-blanks, so a text is cut there and each distinct chunk goes to
-    the tokenizers library once.  Other kinds of tokenizer get whole texts."""
+    newline that stands between non-blanks, nor a letter with a full stop or comma, so a text is cut
+    there and each distinct chunk goes to the tokenizers library once.  Other kinds of tokenizer get
+    whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
@@ -30,10 +37,27 @@ class Encoder:
         self.cuts = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                      and spec.get("normalizer") is None)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.model = self.tok.model
         self.cache: dict[str, bytes] = {}
 
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
+        """A word of letters, with or without the blank before it, is one piece for the model; other
+        chunks go through the whole tokenizer."""
+        out: list[bytes] = [b""] * len(chunks)
+        rest = []
+        for i, c in enumerate(chunks):
+            if c.removeprefix(" ").isalpha():
+                seen = c.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS)
+                ids = [t.id for t in self.model.tokenize(seen)]
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._each([chunks[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def _chunks(self, text: str) -> list[str] | None:
         """Keys of the cache: a chunk that follows a blank without it, others behind a NUL mark."""
@@ -41,24 +65,31 @@ class Encoder:
             return None
         if _ODD.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
             return ["\0" + c for c in _CUT.split(text)]
-        first, *rest = text.replace("\n", " \0\n").split(" ")
-        return ["\0" + first, *rest] if first else rest
+        text = text.replace("\n", " \0\n \0")
+        if not _RUN.search(text):
+            text = text.replace(".", " \0.").replace(",", " \0,")
+        parts = text.split(" ")
+        parts[0] = "\0" + parts[0]
+        return parts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each whole text (null: none).  The cache is bounded; chunks beyond it are encoded
-        once per call."""
+        """Ids of each whole text (null: none).  The cache is bounded; a chunk that isn't in it is
+        encoded once per call."""
         chunks = [self._chunks(t) if t else [] for t in texts]
-        new = list({c for cs in chunks if cs for c in cs}.difference(self.cache))
+        get = self.cache.get
+        found = [list(map(get, cs)) if cs is not None else None for cs in chunks]
+        new = list({c for cs, vs in zip(chunks, found, strict=True) if vs and None in vs
+                    for c, v in zip(cs, vs, strict=True) if v is None})
         got = dict(zip(new, self._encode([c[1:] if c[:1] == "\0" else " " + c for c in new]), strict=True))
+        out = []
+        for t, cs, vs in zip(texts, chunks, found, strict=True):
+            if cs is None:
+                out.append(self._each([t])[0])
+            else:
+                out.append(b"".join([got[c] if v is None else v for c, v in zip(cs, vs, strict=True)] if None in vs else vs))
         room = CACHE_CHUNKS - len(self.cache)
-        if len(got) <= room:
-            self.cache.update(got)
-            look = self.cache.__getitem__
-        else:
-            self.cache.update(list(got.items())[:max(0, room)])
-            look = (got | {c: self.cache[c] for cs in chunks if cs for c in cs if c not in got}).__getitem__
-        return [b"".join(map(look, cs)) if cs is not None else self._encode([t])[0]
-                for t, cs in zip(texts, chunks, strict=True)]
+        self.cache.update(got if len(got) <= room else list(got.items())[:max(0, room)])
+        return out
 
 
 def encoder(path: str) -> Encoder:
