@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
-from . import langid, mixing, packing, simhash
+from . import fingerprints, langid, mixing, packing, sharding, simhash
 from .common import on_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,13 @@ def op7(spark, sf_dir):
 @query("op8_simhash")
 def op8(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_fingerprints")
+def op4(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sharding")
+def op10(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))

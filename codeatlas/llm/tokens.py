@@ -9,7 +9,7 @@ import struct
 
 import numpy as np
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_500_000
 # White space other than blank and newline; texts with it are cut by the careful pattern below.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
