@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
-from . import fingerprints, langid, mixing, packing, sharding, simhash
+from . import chat, fingerprints, langid, mixing, packing, sharding, simhash, warc
 from .common import on_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,44 @@ def op4(spark, sf_dir):
 @query("op10_sharding")
 def op10(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc", """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, cast(strlen(h) as bigint) as payload_bytes, sha256(h) as payload_digest from p),
+m as (select *, min(page_id) over (partition by payload_digest) as low from d)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> low then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> low then low end as refers_to
+from m""")
+def op2(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+@query("op5_chat", r"""
+with r as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o as (select *, lag(role) over w as before, row_number() over w as n, count(*) over (partition by conv_id) as last
+      from r window w as (partition by conv_id order by turn, role, text)),
+e as (select *, length(regexp_replace(replace(text, '\', '\\'),
+        '([\[<])(SYS\]|/SYS\]|INST\]|/INST\]|s>|/s>|TURN\]|/TURN\]|AS\]|NONE\])', '\1\\\2', 'g')) as body,
+      coalesce(case when n = 1 then role in ('system', 'user')
+                    when before = 'system' or before = 'assistant' then role = 'user'
+                    when before = 'user' then role = 'assistant' end, false) as allowed
+      from o)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(body + case role when 'system' then 11 when 'user' then 13 when 'assistant' then 7
+                else 17 + coalesce(length(role), 6) end) as bigint) as formatted_chars,
+       bool_and(allowed) as valid,
+       bool_and(allowed) and bool_or(n = last and role = 'assistant') as complete
+from e group by conv_id""".replace("\\\\", "\\"))
+def op5(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.format_and_read(rows.unionByName(own))
