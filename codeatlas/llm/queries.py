@@ -98,7 +98,7 @@ select conv_id, count(*) as n_turns,
                 else 17 + coalesce(length(role), 6) end) as bigint) as formatted_chars,
        bool_and(allowed) as valid,
        bool_and(allowed) and bool_or(n = last and role = 'assistant') as complete
-from e group by conv_id""".replace("\\\\", "\\"))
+from e group by conv_id""")
 def op5(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"

@@ -151,12 +151,16 @@ def _members(stream):
         data = rest or stream.read(BLOCK)
         rest = b""
         if not data:
+            if z is not None:
+                raise ValueError("an archive ends within a record")
             return
         if z is None:
             z = zlib.decompressobj(31)
-        yield z.decompress(data, BLOCK)
-        while z.unconsumed_tail:
-            yield z.decompress(z.unconsumed_tail, BLOCK)
+        out = z.decompress(data, BLOCK)
+        yield out
+        while not z.eof and (z.unconsumed_tail or len(out) == BLOCK):
+            out = z.decompress(z.unconsumed_tail, BLOCK)
+            yield out
         if z.eof:
             rest, z = z.unused_data, None
             yield None
