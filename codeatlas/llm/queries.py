@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
-from . import chat, fingerprints, langid, mixing, packing, sharding, simhash, warc
+from . import chat, fingerprints, langid, mixing, packing, sharding, simhash, vectors, warc
 from .common import on_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op5(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.format_and_read(rows.unionByName(own))
+
+
+@query("op9_vector_graph")
+def op9(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
