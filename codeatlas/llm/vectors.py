@@ -90,12 +90,13 @@ def build_graph(unit: np.ndarray, seed: int = 5) -> list[np.ndarray]:
     return [np.fromiter(sorted(x), np.int64, len(x)) for x in sets]
 
 
-def range_search(unit: np.ndarray, adjacency: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) found with cosine >= threshold: every node is a query, in lockstep.  A greedy
+def range_search(unit: np.ndarray, adjacency: list[np.ndarray], threshold: float,
+                 queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) found with cosine >= threshold: all ``queries`` (nodes) walk in lockstep.  A greedy
     beam walks from the medoid to the query's surroundings; then each hit's neighbours are looked at
     until no hit is new."""
     n = len(unit)
-    if n < 2:
+    if n < 2 or not len(queries):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     width = max(1, max(map(len, adjacency)))
     links = np.full((n, width), -1, np.int64)
@@ -103,9 +104,9 @@ def range_search(unit: np.ndarray, adjacency: list[np.ndarray], threshold: float
         links[i, :len(x)] = x
     found_i, found_j = [], []
     start = medoid(unit)
-    block = max(1, min(n, (1 << 24) // n, (1 << 17) // width))
-    for a in range(0, n, block):
-        q = np.arange(a, min(n, a + block))
+    block = max(1, min((1 << 24) // n, (1 << 17) // width))
+    for a in range(0, len(queries), block):
+        q = queries[a:a + block]
         m = len(q)
         rows = np.arange(m)
         seen = np.zeros((m, n), bool)
@@ -166,10 +167,10 @@ def range_search(unit: np.ndarray, adjacency: list[np.ndarray], threshold: float
 
 
 def shards_of(classes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """(cid, shard, vec) -> memberships (cid, shard, vec): shards above ``SHARD_ROWS`` are split among
+    """(cid, shard, vec) -> memberships (cid, shard, vec, home): shards above ``SHARD_ROWS`` are split among
     centres (their members of smallest hash), each vector joining its nearest centres, until none is
-    above.  A task holds one shard's centres and streams rows; hot shards are spread over tasks."""
-    rows, level = classes, 0
+    above; ``home`` marks the one shard of a vector that is nearest at each split.  A task holds one shard's centres and streams rows; hot shards are spread over tasks."""
+    rows, level = classes.withColumn("home", F.lit(True)), 0
     done: list[DataFrame] = []
     while True:
         sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_ROWS)
@@ -183,15 +184,16 @@ def shards_of(classes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("cid", F.lit(level)), "cid"))
         centres = (large.withColumn("rank", rank).where(F.col("rank") <= MOST_CENTRES).where("rank <= k")
                    .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-                   .select("shard", "salt", F.col("rank").cast("long").alias("cid"), "vec", F.lit(0).alias("row")))
+                   .select("shard", "salt", F.col("rank").cast("long").alias("cid"), "vec", "home", F.lit(0).alias("row")))
         dealt = (large.withColumn("salt", F.pmod(F.xxhash64("cid"), "salts").cast("int"))
-                 .select("shard", "salt", "cid", "vec", F.lit(1).alias("row")).unionByName(centres)
+                 .select("shard", "salt", "cid", "vec", "home", F.lit(1).alias("row")).unionByName(centres)
                  .repartition("shard", "salt").sortWithinPartitions("shard", "salt", "row"))
 
         def assign(batches):
             at, near = None, []
             for b in batches:
-                pdf = b.select(["shard", "salt", "row"]).to_pandas()
+                pdf = b.select(["shard", "salt", "row", "home"]).to_pandas()
+                home = pdf["home"].to_numpy()
                 cids = b.column("cid").to_numpy()
                 vecs = b.column("vec")
                 run = pdf["shard"].ne(pdf["shard"].shift()) | pdf["salt"].ne(pdf["salt"].shift()) | pdf["row"].ne(pdf["row"].shift())
@@ -212,15 +214,16 @@ def shards_of(classes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
                     r, c = np.nonzero(best >= best[:, :1] - MARGIN)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cids[lo:hi][r]), pa.array(np.full(len(r), key[0], np.int64)), pa.array(top[r, c]),
-                         part.take(pa.array(r))], names=["cid", "shard", "centre", "vec"])
+                         part.take(pa.array(r)), pa.array(home[lo:hi][r] & (c == 0))],
+                        names=["cid", "shard", "centre", "vec", "home"])
 
-        split = dealt.mapInArrow(assign, "cid long, shard long, centre long, vec array<float>")
-        rows = write_table(split.select("cid", F.xxhash64("shard", "centre").alias("shard"), "vec"), f"shards{level}")
+        split = dealt.mapInArrow(assign, "cid long, shard long, centre long, vec array<float>, home boolean")
+        rows = write_table(split.select("cid", F.xxhash64("shard", "centre").alias("shard"), "vec", "home"), f"shards{level}")
         level += 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.distinct() if level > 1 else out
+    return out
 
 
 def _adjacency(t: pa.Table) -> pa.Table:
@@ -237,23 +240,20 @@ def _links(threshold: float):
         x = _matrix(t["vec"], n)
         where = {c: i for i, c in enumerate(cids.tolist())}
         lists = [np.fromiter((where[c] for c in near if c in where), np.int64) for near in t["near"].to_pylist()]
-        i, j = range_search(_unit(x), lists, threshold - 1e-9)
+        home = t["home_shard"].to_numpy()
+        i, j = range_search(_unit(x), lists, threshold - 1e-9, np.flatnonzero(home == shard))
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         sure = np.concatenate([np.empty(0, bool), *(
             np.einsum("ij,ij->i", x[i[k:k + 65536]], x[j[k:k + 65536]]) / (norm[i[k:k + 65536]] * norm[j[k:k + 65536]]) >= threshold
             for k in range(0, len(i), 65536))])
         i, j = i[sure], j[sure]
-        # A pair that meets in several shards counts in the smallest of them only.
+        # A pair counts in the home shard of its first vector, or, where the second isn't a member of
+        # that, in the second's home shard.
         own = t["shards"].to_pylist()
         wide = max(map(len, own))
-        table = np.full((n, wide), np.iinfo(np.int64).max)
-        for k, s in enumerate(own):
-            table[k, :len(s)] = s
-        low = np.full(len(i), np.iinfo(np.int64).max)
-        for a in range(wide):
-            same = (table[j] == table[i, a][:, None]).any(1)
-            low = np.where(same, np.minimum(low, table[i, a]), low)
-        i, j = i[low == shard], j[low == shard]
+        table = np.array([[*x, *[x[0]] * (wide - len(x))] for x in own], np.int64)
+        here = (home[i] == shard) | (home[j] == shard) & ~(table[j] == home[i][:, None]).any(1)
+        i, j = i[here], j[here]
         sizes = t["size"].to_numpy()
         links = np.bincount(i, sizes[j], n) + np.bincount(j, sizes[i], n)
         lab = np.arange(n)
@@ -283,11 +283,12 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 def _linked(classes: DataFrame, overlap: int, threshold: float) -> DataFrame:
     """(cid, vec, size, shard) -> (cid, links, low): links found per shard, and spanning edges."""
     members = write_table(shards_of(classes.select("cid", "shard", "vec"), overlap), "members")
-    near = members.groupBy("shard").applyInArrow(_adjacency, "cid long, near array<long>")
+    near = members.select("cid", "shard", "vec").groupBy("shard").applyInArrow(_adjacency, "cid long, near array<long>")
     # Uniting the lists of a node's shards: as many lists as it has shards.
     near = near.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    own = members.groupBy("cid").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    full = members.join(near.join(own, "cid"), "cid").join(classes.select("cid", "size"), "cid")
+    own = members.groupBy("cid").agg(F.collect_set("shard").alias("shards"),
+                                     F.max(F.when(F.col("home"), F.col("shard"))).alias("home_shard"))
+    full = members.drop("home").join(near.join(own, "cid"), "cid").join(classes.select("cid", "size"), "cid")
     return cut(full.groupBy("shard").applyInArrow(_links(threshold), "cid long, links long, low long"))
 
 
@@ -323,7 +324,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Vectors compare within a label (and a length) only.  Equal vectors form one class that is searched
     once, whatever its size.  Classes are put into overlapping cluster shards; each shard builds a
     robust-pruned graph; a node's adjacency lists are united over its shards; then each shard searches
-    that graph for all its members from its medoid, verifies hits in double precision, and returns
+    that graph from its medoid for the vectors at home in it, verifies hits in double precision, and returns
     counts and spanning edges, no pairs.  If the audit finds less than ``AUDIT_RECALL`` of the links of
     a query set, the shards are rebuilt with twice the overlap, up to twice.
 
