@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
-from . import chat, fingerprints, langid, mixing, packing, sharding, simhash, vectors, warc
+from . import chat, fingerprints, langid, mixing, packing, sharding, simhash, tokenfiles, vectors, warc
 from .common import on_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op5(spark, sf_dir):
 @query("op9_vector_graph")
 def op9(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_id_blocks")
+def op6(spark, sf_dir):
+    return tokenfiles.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())

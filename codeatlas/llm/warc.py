@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shared_folder, write_table
+from .common import cut, open_store, shared_folder, write_table
 
 CHUNK = 1 << 14              # payload bytes of a chunk row
 FILE_BYTES = 32 << 20        # payload bytes of an archive file, about
@@ -25,15 +25,6 @@ RECORD = T.StructType([T.StructField(n, t) for n, t in (
     ("record_type", T.StringType()), ("refers_to", T.LongType()))])
 
 
-def _open(uri: str):
-    """(file system, path) for a folder of any store that Arrow reaches (file, hdfs, s3, gs)."""
-    from pyarrow import fs
-
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
-
-
 def chunk_table(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> the record table: page_id, digest (SHA-256 of the whole payload), copy,
     n_bytes, url, chunk_no, chunk.  A payload of n bytes gives max(1, ceil(n / CHUNK)) rows; chunks are
@@ -95,7 +86,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
              .sortWithinPartitions("page_id", "digest", "copy", "chunk_no"))
 
     def write(batches):
-        store, top = _open(folder)
+        store, top = open_store(folder)
         name = f"{top}/part-{TaskContext.get().partitionId():05d}.warc.gz"
         out = part = None
         records = 0
@@ -204,7 +195,7 @@ def read_records(stream):
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per record of the files of a manifest; a task streams one file at a time."""
     def read(batches):
-        store, _ = _open(folder)
+        store, _ = open_store(folder)
         for b in batches:
             for path in b.column("path").to_pylist():
                 with store.open_input_stream(path, compression=None) as f:
