@@ -20,7 +20,7 @@ BLOCK_IDS = 2048
 LANES = 2048
 SLOTS = 12                          # log2 of the slots of a context table
 MOST_ID = 1 << 16
-HEAD = struct.Struct("<IIII")       # ids, 16-bit words, crc32 of the ids, crc32 of the words
+HEAD = "<IIII"       # ids, 16-bit words, crc32 of the ids, crc32 of the words
 _M = np.uint64((1 << 48) - 1)
 _TOP, _BOT, _W = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64(16)
 
@@ -230,7 +230,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             _run(coder, lengths, ids)
         for i, words in zip(order, coder.finish(), strict=True):
             crc = zlib.crc32(blocks[i].astype("<u4").tobytes())
-            out[i] = HEAD.pack(len(blocks[i]), len(words) // 2, crc, zlib.crc32(words)) + words
+            out[i] = struct.pack(HEAD, len(blocks[i]), len(words) // 2, crc, zlib.crc32(words)) + words
     return out
 
 

@@ -20,7 +20,7 @@ from .common import open_store, shared_folder, write_table
 from .tokens import encoder, groups
 
 MAGIC = b"IDBLOCK1"
-TRAILER = struct.Struct("<QQQI4x")
+TRAILER = "<QQQI4x"
 FILE_BYTES = 16 << 20          # text bytes of a file, about
 END_ID = 2
 NULL_ID = -(1 << 63)           # stands for a null doc_id in the index
@@ -79,7 +79,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
             flush(True)
             table = np.array(index, "<i8").tobytes()
             out.write(table)
-            out.write(TRAILER.pack(blocks, len(index), at, zlib.crc32(table)))
+            out.write(struct.pack(TRAILER, blocks, len(index), at, zlib.crc32(table)))
             out.close()
             store.move(part, name)
             yield pa.RecordBatch.from_pydict(
@@ -92,8 +92,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
 def read_file(file):
     """Documents of one file in order, as (doc_id, [arrays of ids]); a group of blocks at a time."""
     size = file.size()
-    file.seek(size - TRAILER.size)
-    blocks, docs, at, crc = TRAILER.unpack(file.read(TRAILER.size))
+    file.seek(size - struct.calcsize(TRAILER))
+    blocks, docs, at, crc = struct.unpack(TRAILER, file.read(struct.calcsize(TRAILER)))
     file.seek(at)
     table = file.read(16 * docs)
     if zlib.crc32(table) != crc:
@@ -107,7 +107,7 @@ def read_file(file):
         for lo in range(0, blocks, idcoder.LANES):
             group = []
             for _ in range(min(idcoder.LANES, blocks - lo)):
-                head = idcoder.HEAD.unpack(file.read(idcoder.HEAD.size))
+                head = struct.unpack(idcoder.HEAD, file.read(struct.calcsize(idcoder.HEAD)))
                 group.append((head, file.read(2 * head[1])))
             yield np.concatenate(idcoder.decode_blocks(group)).astype("<u4")
 
