@@ -13,7 +13,7 @@ from .tokens import encoder, groups
 
 TIERS = (1024, 512, 256, 128)
 END_ID = 0
-BATCH_IDS = 1 << 21            # ids that are packed together
+BATCH_IDS = 1 << 20            # ids that are packed together
 STEP_IDS = 1 << 17             # ids of a step group, about
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
