@@ -22,6 +22,7 @@ RATE = 0.25
 CALIBRATION_SHARE = 0.2       # of the sampled rows; never trained on
 TARGET_ACCURACY = 0.99        # of accepted passages, on the calibration rows
 MAX_REJECTED = 0.002          # the threshold never rejects more of the calibration rows than this
+MAX_THRESHOLD = 0.35          # a text that mixes two learned languages evenly scores 1/2 and stays
 PIECE = 1 << 18               # characters worked on at once
 UNDETERMINED = "und"
 
@@ -186,7 +187,7 @@ def train(texts: list[str], labels: list[str], calibration: np.ndarray, seed: in
         acc = np.cumsum(right[by]) / np.arange(1, len(by) + 1)
         good = np.flatnonzero(acc >= TARGET_ACCURACY)
         accepted = max(good[-1] + 1 if len(good) else 0, int(np.ceil((1 - MAX_REJECTED) * len(by))))
-        model.threshold = float(top[by[min(accepted, len(by)) - 1]]) if accepted < len(by) else 0.0
+        model.threshold = min(MAX_THRESHOLD, float(top[by[min(accepted, len(by)) - 1]])) if accepted < len(by) else 0.0
     return model
 
 

@@ -1,0 +1,206 @@
+"""Language ID, SimHash, fingerprints, sharding and mixing against brute force."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import xxhash
+
+from codeatlas.llm import fingerprints, langid, mixing, sharding, simhash
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    want = got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    assert (got["held_out"] == want).all() and len(got) == docs.count()
+    held = got[got["held_out"]]
+    assert (held["lang"] == held["lang_pred"]).mean() > 0.97
+    assert got["score"].between(0, 1).all() and got["rejected"].mean() < 0.01
+
+
+def test_language_odd_rows(odd_docs, clashing, no_docs):
+    got = langid.identify(clashing).toPandas()
+    assert len(got) == odd_docs.count() and not got["held_out"].isna().any()
+    und = got[got["lang_pred"] == "und"]
+    assert len(und) == 5 and (und["score"] == 0).all() and und["rejected"].all()
+    assert langid.identify(no_docs).count() == 0
+    kept = langid.drop_rejected(clashing)
+    assert kept.columns == clashing.columns and kept.count() <= 8
+
+
+def test_language_pieces_equal_whole(monkeypatch):
+    model = langid.train(["hello world this is", "bonjour le monde ici"] * 20, ["en", "fr"] * 20, np.zeros(40, bool))
+    text = "hello world, bonjour le monde " * 300
+    whole = model.logits([text, "monde", ""])
+    monkeypatch.setattr(langid, "PIECE", 50)
+    assert np.allclose(whole, model.logits([text, "monde", ""]))
+
+
+def _simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    sh = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def _components(fps, ids, bits=2):
+    uniq = sorted(set(fps))
+    root = {f: f for f in uniq}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(uniq):
+        for b in uniq[:i]:
+            if (a ^ b).bit_count() <= bits:
+                root[find(a)] = find(b)
+    low = {}
+    for f, i in zip(fps, ids, strict=True):
+        r = find(f)
+        if i is not None:
+            low[r] = min(low.get(r, i), i)
+    return [low.get(find(f)) for f in fps]
+
+
+def test_simhash_matches_brute_force(spark, docs, odd_docs):
+    for df in (docs, odd_docs):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        fps = [_simhash(t) for _, t in rows]
+        want = sorted(zip([i for i, _ in rows], (f"{f:016x}" for f in fps), _components(fps, [i for i, _ in rows]), strict=True), key=repr)
+        got = sorted((tuple(r) for r in simhash.near_duplicates(df).select("doc_id", "fingerprint", "component_id").collect()), key=repr)
+        assert got == want
+
+
+def test_simhash_blocks_equal_whole(monkeypatch):
+    text = "Ab cd\tef gh\n" * 500
+    want = simhash.fingerprint(text)
+    from codeatlas.llm import common
+
+    monkeypatch.setattr(simhash, "word_blocks", lambda d: common.word_blocks(d, 37))
+    assert simhash.fingerprint(text) == want == _simhash(text)
+
+
+def test_fingerprint_links_of_a_large_near_group(spark):
+    rng = np.random.default_rng(1)
+    base = int(rng.integers(1, 1 << 62))
+    fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (300, 2))} | {int(x) for x in rng.integers(1, 1 << 62, 300)}
+    fps = sorted(fps)
+    from codeatlas.llm.components import connected_components
+
+    edges = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+    want = dict(zip(fps, _components(fps, fps), strict=True))
+    assert {f: got.get(f, f) for f in fps} == want
+
+
+def test_keep_one(docs, clashing, no_docs):
+    kept = simhash.keep_one(docs)
+    ids = {r["doc_id"] for r in simhash.near_duplicates(docs).where("doc_id = component_id").collect()}
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(ids)
+    odd = simhash.keep_one(clashing)
+    assert odd.columns == clashing.columns
+    # 1; the texts without words; 5; 6; the two texts of id 7; the words without an id; 8; 9
+    assert odd.count() == 9
+    assert simhash.keep_one(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0
+
+
+def _shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_fingerprints(docs, odd_docs, clashing, no_docs):
+    for ranges in (None, 3):
+        text = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), reverse=True)
+        got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
+        errors = []
+        for k, (i, t) in enumerate(text):
+            nxt = text[(k + 1) % len(text)][1]
+            edited = t[:len(t) - len(t) // 2] + nxt[:len(t) // 2]
+            r = got[i]
+            assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            a, b = _shingles(t), _shingles(edited)
+            errors.append(abs(len(a & b) / max(1, len(a | b)) - r["near_edited"]))
+            assert (r["fingerprint"] == r["edited_fingerprint"]) == (t == edited)
+        assert np.mean(errors) < 0.06
+    rows = fingerprints.fingerprints(clashing).toPandas()
+    assert len(rows) == odd_docs.count() and rows["near_next"].between(0, 1).all()
+    same = rows[rows["doc_id"] == 1]
+    assert same["fingerprint"].nunique() == 1
+    assert fingerprints.fingerprints(no_docs).count() == 0
+
+
+def test_neighbours_over_many_ranges(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)] + [(None, 500)], "doc_id long, th long")
+    got = {r["doc_id"]: r["next"]["doc_id"] for r in fingerprints.with_next(rows, ["doc_id", "th"], 64).collect()}
+    assert got == {i: i - 1 for i in range(1, 101)} | {0: None, None: 100}
+
+
+def test_sharding(spark, docs, odd_docs, clashing, no_docs):
+    for df, shards in ((docs, 40), (docs, 3), (clashing, 5)):
+        got = sharding.shard(df, shards).toPandas()
+        assert len(got) == df.count() and got["shard"].between(0, shards - 1).all()
+        for _, s in got.groupby("shard"):
+            assert sorted(s["slot"]) == list(range(len(s)))
+    want = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    got = sharding.shard(docs, 4).toPandas()
+    assert all(s == len(want[i]) + 16 and c == zlib.crc32(want[i])
+               for i, s, c in zip(got["doc_id"], got["size"], got["text_crc32"], strict=True))
+    assert got.groupby("text_crc32")["shard"].nunique().max() == 1
+    per = got.groupby("shard")["size"].sum()
+    assert per.max() - per.min() < 3 * got["size"].max()
+    assert sharding.shard(no_docs).count() == 0
+
+
+def test_sharding_cuts_a_hot_group(spark):
+    rows = spark.createDataFrame([(i, "x" * 100 if i % 3 == 0 else f"text {i} " * 10) for i in range(3000)], "doc_id long, text string")
+    per = sharding.shard(rows, 20).toPandas().groupby("shard")["size"].sum()
+    assert len(per) == 20 and per.max() < 1.1 * per.mean()
+
+
+def test_targets_by_hand(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 90)], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    assert np.isclose(sum(got.values()), 450) and got["a"] == 20
+    # a stops at 20; b 2, c 1 and the last 5 share 430, where the last stops at 180, then b at 200
+    assert got[None] == 180 and np.isclose(got["c"], 250 / 3) and np.isclose(got["b"], 500 / 3)
+
+
+def test_pivotal_keeps_words_and_expectations():
+    rng = np.random.default_rng(2)
+    total = np.zeros(60)
+    for run in range(400):
+        sizes = [int(x) for x in np.random.default_rng(9).integers(0, 50, 60)]
+        keys = [int(x) for x in rng.integers(0, 1 << 62, 60)]
+        out, left = mixing.pivotal(keys, sizes, [0.3] * 60)
+        assert sum(x is None for x in out) <= 1
+        x = np.array([left if v is None else v for v in out], float)
+        moved = np.array(sizes) > 0
+        assert np.isclose((x * sizes)[moved].sum(), 0.3 * sum(sizes))
+        total += x
+    assert abs(total.mean() / 400 - 0.3) < 0.03 and (np.abs(total / 400 - 0.3) < 0.15).all()
+
+
+def test_mixing(spark, docs, clashing, no_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 4)
+    monkeypatch.setattr(mixing, "FAN_IN", 2)
+    one, two = (mixing.mixed(docs).toPandas().sort_values("doc_id", ignore_index=True) for _ in range(2))
+    assert one.equals(two) and len(one) == docs.count()
+    words = {r["doc_id"]: (len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["source"]) for r in docs.collect()}
+    assert all(words[i][0] == s for i, s in zip(one["doc_id"], one["size"], strict=True))
+    assert (one["taken"] <= 2 * one["size"]).all()
+    one["source"] = one["doc_id"].map(lambda i: words[i][1])
+    for _, g in one.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max()
+    assert np.isclose(one.groupby("source")["target"].first().sum(), 1.5 * one["size"].sum())
+    odd = mixing.mixed(clashing).toPandas()
+    assert len(odd) == clashing.count() and (odd["taken"] <= 2 * odd["size"]).all()
+    rows = mixing.mix(clashing)
+    assert rows.columns == clashing.columns
+    assert mixing.mixed(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
