@@ -145,30 +145,41 @@ def docs_ready(elements: DataFrame, refs: DataFrame, documented: DataFrame, id_c
     return todo.join(blocked, id_cols, "left_anti")
 
 
-def doc_waves(elements: DataFrame, refs: DataFrame, id_cols: list[str]) -> DataFrame:
+def doc_waves(elements: DataFrame, refs: DataFrame, id_cols: list[str], documented: DataFrame | None = None) -> DataFrame:
     """Documentation schedule: level 0 = elements without callees; level k = elements whose
-    callees all sit on levels < k.  Elements never reached (cycles, missing callees, or callees
-    that depend on those) are ``forced``.  One round per level, each a pair of anti-joins over
-    the reference table, checkpointed so lineage stays one round deep."""
+    callees all sit on levels < k.  Callees in ``documented`` (docs carried from an earlier snapshot)
+    count as done from the start.  Elements never reached (cycles, missing callees, or callees
+    that depend on those) are ``forced``.
+
+    Counting of open callees: a round joins only the elements finished in the round before to the
+    reference table and subtracts from their callers' counts, so every reference is used once over
+    all rounds.  Rounds are checkpointed; lineage stays one round deep."""
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(elements.sparkSession)
+    src, dst = [f"src_{c}" for c in id_cols], [f"dst_{c}" for c in id_cols]
+
+    def named(df, cols):
+        return df.select(*[F.col(c).alias(x) for c, x in zip(id_cols, cols)])
+
     nodes = elements.select(*id_cols).distinct()
-    srcs = refs.select(*[F.col(f"src_{c}").alias(c) for c in id_cols]).distinct()
-    done = nodes.join(srcs, id_cols, "left_anti").withColumn("level", F.lit(0)).checkpoint()
-    pending = nodes.join(done.select(*id_cols), id_cols, "left_anti").checkpoint()
-    level = 0
-    src = [f"src_{c}" for c in id_cols]
-    # Only references of callers not on level 0 matter; materialised once for all rounds.
-    live = refs.join(pending.select(*[F.col(c).alias(x) for c, x in zip(id_cols, src)]), src, "left_semi").checkpoint()
-    while not pending.isEmpty():
-        level += 1
-        ready = docs_ready(pending, live, done, id_cols).checkpoint()
+    live = refs.select(*src, *dst).distinct().join(named(nodes, src), src, "left_semi")
+    if documented is not None:
+        live = live.join(named(documented, dst), dst, "left_anti")
+    live = live.checkpoint()
+    counts = live.groupBy(*[F.col(s).alias(c) for c, s in zip(id_cols, src)]).agg(F.count(F.lit(1)).alias("_open"))
+    left = nodes.join(counts, id_cols, "left").withColumn("_open", F.coalesce("_open", F.lit(0))).checkpoint()
+    done, level = None, 0
+    while True:
+        ready = left.filter(F.col("_open") == 0).select(*id_cols)
         if ready.isEmpty():
             break
-        # `done` stays a union of checkpointed pieces (shallow plan, no extra job).
-        done = done.unionByName(ready.withColumn("level", F.lit(level)))
-        pending = pending.join(ready, id_cols, "left_anti").checkpoint()
-    out = done.withColumn("forced", F.lit(False)).unionByName(
-        pending.withColumn("level", F.lit(None).cast("int")).withColumn("forced", F.lit(True)))
-    return out
+        wave = ready.withColumn("level", F.lit(level))
+        done = wave if done is None else done.unionByName(wave)
+        closed = (live.join(named(ready, dst), dst, "left_semi")
+                  .groupBy(*[F.col(s).alias(c) for c, s in zip(id_cols, src)]).agg(F.count(F.lit(1)).alias("_closed")))
+        left = (left.filter(F.col("_open") > 0).join(closed, id_cols, "left")
+                .withColumn("_open", F.col("_open") - F.coalesce("_closed", F.lit(0))).drop("_closed").checkpoint())
+        level += 1
+    forced = left.select(*id_cols).withColumn("level", F.lit(None).cast("int")).withColumn("forced", F.lit(True))
+    return forced if done is None else done.withColumn("forced", F.lit(False)).unionByName(forced)

@@ -24,10 +24,12 @@ def frames_of_gif(frames: DataFrame, frame_col: str = "frame") -> DataFrame:
 
 def frames_payload(gifs: DataFrame, frames: DataFrame, key_cols: list[str], frame_col: str = "frame") -> DataFrame:
     """Per gif asset: its key frames (ordered by frame number) sent as separate images when there
-    are fewer than 4, else as one video.  ``key + (gif, n_frames, payload, frames)``."""
+    are fewer than 4, else as one video.  ``key + (gif, n_frames, payload, frames)``.  Frames carry
+    ``key_cols``: gifs of two instances may share a name."""
     fr = frames_of_gif(frames, frame_col).withColumn(
         "_no", F.regexp_extract(F.col(frame_col), r"_(\d+)\.png$", 1).cast("long"))
-    j = gifs.select(*key_cols, F.col("name").alias("gif")).join(fr.select("gif", "_no", frame_col), "gif")
+    j = gifs.select(*key_cols, F.col("name").alias("gif")).join(
+        fr.select(*key_cols, "gif", "_no", frame_col), [*key_cols, "gif"])
     g = j.groupBy(*key_cols, "gif").agg(
         F.count(F.lit(1)).alias("n_frames"),
         F.array_sort(F.collect_list(F.struct("_no", frame_col))).alias("_f"))
@@ -39,10 +41,10 @@ def frames_payload(gifs: DataFrame, frames: DataFrame, key_cols: list[str], fram
 def instance_image_tokens(assets: DataFrame, frames: DataFrame, key_cols: list[str],
                           frame_col: str = "frame") -> DataFrame:
     """Vision tokens per instance: every non-gif asset by its own size, every gif by the sum over
-    its key frames.  Missing sizes count 0.  Sums are partial aggregations (no skew on a hot key)."""
+    its key frames of the same instance (frames carry ``key_cols``).  Missing sizes count 0.  Sums are partial aggregations (no skew on a hot key)."""
     still = assets.filter(~F.col("name").endswith(".gif")).select(
         *key_cols, image_tokens(F.col("height"), F.col("width")).alias("t"))
-    fr = frames_of_gif(frames, frame_col).select("gif", image_tokens(F.col("height"), F.col("width")).alias("t"))
+    fr = frames_of_gif(frames, frame_col).select(*key_cols, "gif", image_tokens(F.col("height"), F.col("width")).alias("t"))
     gif = assets.filter(F.col("name").endswith(".gif")).select(*key_cols, F.col("name").alias("gif")) \
-        .join(fr, "gif").select(*key_cols, "t")
+        .join(fr, [*key_cols, "gif"]).select(*key_cols, "t")
     return still.unionByName(gif).groupBy(*key_cols).agg(F.sum("t").cast("long").alias("image_tokens"))

@@ -20,7 +20,7 @@ one task, so a hot group would serialise the job.  The three building blocks her
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,12 +135,21 @@ def _scan_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_pid", *group_cols, *[
         F.coalesce(F.sum(f"_blk{i}").over(before), F.lit(0)).cast(t).alias(f"_off{i}") for i, t in enumerate(types)])
-    out = scanned.join(offsets, ["_pid", *group_cols])
+    named = offsets.withColumnsRenamed({c: f"_r{i}" for i, c in enumerate(["_pid", *group_cols])})
+    same = F.col("_pid") == F.col("_r0")
+    for i, c in enumerate(group_cols, 1):
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{i}"))
+    out = scanned.join(named, same).drop(*[f"_r{i}" for i in range(len(group_cols) + 1)])
     for i, o in enumerate(out_cols):
         out = out.withColumn(o, F.col(o) + F.col(f"_off{i}"))
     return out.drop("_pid", *[f"_off{i}" for i in range(len(out_cols))])
 
 
+def group_key(group_cols: list[str]) -> Column:
+    """One string per combination of group values, nulls included, to group and join by."""
+    return F.to_json(F.struct(*group_cols), {"ignoreNullFields": "false"})
+
+
 def row_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "idx",
               max_group_rows: int | None = None) -> DataFrame:
     """0-based position of each row inside its group (``row_number() - 1``), skew-safe."""

@@ -36,8 +36,14 @@ def pack_batches(items: DataFrame, group_cols: list[str], order_cols: list[str],
 
     ``budget`` is a number or the name of a per-group column (e.g. budget minus base prompt and
     image tokens of the instance).  ``order_cols`` must be a total order inside the group.
+    Null group values form groups of their own.
     """
     ensure_checkpoint_dir(items.sparkSession)
+    return _pack(items.withColumn("_g", ordered.group_key(group_cols)), ["_g"], order_cols, size_col, budget,
+                 faithful).drop("_g")
+
+
+def _pack(items: DataFrame, group_cols: list[str], order_cols: list[str], size_col: str, budget, faithful: bool) -> DataFrame:
     bud = F.col(budget) if isinstance(budget, str) else F.lit(budget)
     base = (items.withColumn("_sz", F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")))
             .withColumn("_one", F.lit(1).cast("long"))

@@ -23,12 +23,12 @@ def drop_minified_twins(files: DataFrame, key_cols: list[str], path_col: str = "
 
 def drop_blocklisted(df: DataFrame, blocked_keys: DataFrame | None = None, key_cols: list[str] | None = None,
                      path_col: str | None = None, path_parts=BLOCKED_PATH_PARTS) -> DataFrame:
-    """Remove rows whose key is in ``blocked_keys`` (anti-join; the list is small and bounded by
-    configuration, adaptive execution broadcasts it) and rows whose path contains one of the
+    """Remove rows whose key is in ``blocked_keys`` (anti-join; adaptive
+    execution broadcasts the list when its measured size allows) and rows whose path contains one of the
     fixed ``path_parts`` (a single JVM-side predicate, pushed below the scan's projection)."""
     out = df
     if blocked_keys is not None:
-        out = out.join(F.broadcast(blocked_keys.select(*key_cols).distinct()), key_cols, "left_anti")
+        out = out.join(blocked_keys.select(*key_cols).distinct(), key_cols, "left_anti")
     if path_col is not None and path_parts:
         hit = F.lit(False)
         for p in path_parts:

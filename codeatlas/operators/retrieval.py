@@ -34,7 +34,8 @@ def topk_similar(chunks: DataFrame, queries: DataFrame, key_cols: list[str], chu
     """
     q = queries.select(*key_cols, query_id, F.col(vec).alias("_qvec"))
     pairs = chunks.join(q, key_cols).withColumn("dist", sq_l2(F.col(vec), F.col("_qvec"))).drop("_qvec", vec)
-    w = Window.partitionBy(query_id).orderBy("dist", chunk_id)
+    # Instances number their queries on their own, so a query is known by instance and id.
+    w = Window.partitionBy(*key_cols, query_id).orderBy("dist", chunk_id)
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

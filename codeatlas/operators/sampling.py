@@ -26,18 +26,29 @@ SIMILARITY_THRESHOLD = 0.995
 
 def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
               threshold: float, step: int = FRAME_STEP) -> DataFrame:
-    """Kept frames: ``group + order + (value, kept_no)``; ``kept_no`` is 1-based."""
+    """Kept frames: ``group + order + (value, kept_no)``; ``kept_no`` is 1-based.  A frame without a
+    value (null or NaN) counts for the step but is never kept nor compared with; null group values
+    form sequences of their own."""
     ensure_checkpoint_dir(frames.sparkSession)
+    return _keyframes(frames.withColumn("_g", ordered.group_key(group_cols)), ["_g"], order_cols, value_col, threshold,
+                      step).drop("_g")
+
+
+def _keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
+               threshold: float, step: int) -> DataFrame:
     bound, total = group_stats(frames, group_cols)
     if bound <= ordered.FOLD_GROUP_ROWS:
         return _keyframes_small_groups(frames, group_cols, order_cols, value_col, threshold, step, total)
     f = row_index(frames, group_cols, order_cols, "_raw", bound)
     f = f.filter(F.col("_raw") % step == 0).withColumn("idx", (F.col("_raw") / step).cast("long")) \
-        .withColumn("_v", F.col(value_col).cast("double")).drop("_raw").checkpoint()
+        .withColumn("_v", F.col(value_col).cast("double")).drop("_raw") \
+        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # Chains run over the frames that have a value; ``_at`` keeps the frame's own place.
+    f = row_index(f.withColumnRenamed("idx", "_at"), group_cols, ["_at"], "idx", bound).checkpoint()
     n_max = f.groupBy(*group_cols).agg(F.max("idx").alias("_last"))
     max_len = n_max.agg(F.max("_last")).first()[0]
     if max_len is None:
-        return f.withColumn("kept_no", F.lit(None).cast("long")).limit(0)
+        return f.drop("_v", "_at").withColumn("kept_no", F.lit(None).cast("long")).limit(0)
     levels = max(1, int(max_len + 1).bit_length())
     # Doubling table: M[m](i) = min / max of v over [i, i + 2^m), present only when in range.
     tables = [f.select(*group_cols, "idx", F.col("_v").alias("_mn"), F.col("_v").alias("_mx")).checkpoint()]
@@ -65,7 +76,7 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
     kept = follow_chain(ptr, group_cols, "idx", "nxt").withColumn("_one", F.lit(1).cast("long"))
     out = f.join(kept, [*group_cols, "idx"])
     out = running_sum(out, group_cols, ["idx"], "_one", "kept_no", bound)
-    return out.drop("_one", "_v")
+    return out.withColumn("idx", F.col("_at")).drop("_one", "_v", "_at")
 
 
 def _keyframes_small_groups(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
@@ -81,7 +92,10 @@ def _keyframes_small_groups(frames: DataFrame, group_cols: list[str], order_cols
         st["raw"] += 1
         if st["raw"] % step:
             return st, None
-        v = float(r[value_col])
+        v = r[value_col]
+        if v is None or v != v:
+            return st, None
+        v = float(v)
         if st["kept"] == 0 or abs(v - st["last"]) > threshold:
             st["kept"] += 1
             st["last"] = v

@@ -58,7 +58,9 @@ def refresh_docs(old_docs: DataFrame, old_files: DataFrame, new_files: DataFrame
     diff = snapshot_diff(old_files, new_files)
     carried = carry_forward(old_docs, diff, {"instance_key": new_key})
     todo = to_regenerate(new_elements.filter(~is_test_path(F.col("rel_path"))), diff)
-    waves = doc_waves(todo.select("element_id"), refs, ["element_id"])
+    # Elements of unchanged files keep their docs; callers need not wait for those.
+    kept = new_elements.select("element_id").join(todo.select("element_id"), "element_id", "left_anti")
+    waves = doc_waves(todo.select("element_id"), refs, ["element_id"], kept)
     return carried, todo, waves
 
 
@@ -68,7 +70,7 @@ def summarise_files(element_docs: DataFrame, budget: int = PROMPT_BUDGET) -> Dat
     desc = file_description(sec, KEY, "start_line", "section")
     prompt = X.render_prompt("Describe this %s file.\n%s", F.element_at(F.split("rel_path", r"\."), -1), "description")
     out = desc.withColumn("prompt", prompt).withColumn("tokens", X.token_count("prompt"))
-    return out.filter(X.within_budget(F.col("tokens"), budget))
+    return out.filter(X.within_budget(F.col("tokens"), budget, strict=False))
 
 
 def retrieve_files(file_docs: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame, k: int = 50) -> DataFrame:
@@ -113,8 +115,8 @@ def element_contexts(answers: DataFrame, files: DataFrame, element_docs: DataFra
 def repair_contexts(answers: DataFrame, files: DataFrame, elements: DataFrame, done: DataFrame | None = None,
                     budget: int = PROMPT_BUDGET) -> DataFrame:
     """C9: buggy elements from the element answer, files matched, each file's text pruned to the
-    buggy elements, deduplicated and checked against the prompt budget (skipping instances whose
-    patch already exists)."""
+    buggy elements, deduplicated and checked against the prompt budget (skipping files whose patch
+    already exists; other files of their instance stay)."""
     want = fenced_elements(answers, INST, "answer")
     matched = match_paths(want.select(*INST, F.col("rel_path").alias("needle")).distinct(), files.select(*KEY),
                           INST, "needle")
@@ -122,11 +124,11 @@ def repair_contexts(answers: DataFrame, files: DataFrame, elements: DataFrame, d
         *KEY, F.col("element").alias("name")).distinct().withColumn("keep", F.lit(True))
     el = elements.filter(F.col("node_key").isNotNull()).join(keep, [*KEY, "name"], "left") \
         .withColumn("keep", F.coalesce("keep", F.lit(False))) \
-        .select(*KEY, "ordinal", "signature", F.col("content").alias("text"), "keep")
-    pruned = prune_context(files.join(matched.select(*KEY).distinct(), KEY), el, KEY, "keep", "ordinal", "content")
+        .select(*KEY, F.struct("start_line", "col").alias("at"), "signature", F.col("content").alias("text"), "keep")
+    pruned = prune_context(files.join(matched.select(*KEY).distinct(), KEY), el, KEY, "keep", "at", "content")
     pruned = distinct_knowledge(pruned.withColumn("_o", F.lit(0)), [*KEY, "pruned"], "_o")
-    out = pruned.withColumn("tokens", X.token_count("pruned")).filter(X.within_budget(F.col("tokens"), budget))
-    return out if done is None else pending(out, done, INST)
+    out = pruned.withColumn("tokens", X.token_count("pruned")).filter(X.within_budget(F.col("tokens"), budget, strict=False))
+    return out if done is None else pending(out, done, KEY)
 
 
 def media_budget(assets: DataFrame, frames: DataFrame, budget: int = PROMPT_BUDGET) -> DataFrame:
@@ -136,6 +138,8 @@ def media_budget(assets: DataFrame, frames: DataFrame, budget: int = PROMPT_BUDG
 
 
 def sample_keyframes(frames: DataFrame, threshold: float = 1 - SIMILARITY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """C11: key frames of every gif (``gif``, ``frame_no``, ``feature``) and saved/total counts."""
-    kept = keyframes(frames, ["gif"], ["frame_no"], "feature", threshold=threshold)
-    return kept, keyframe_counts(kept, frames, ["gif"])
+    """C11: key frames of every gif (``gif``, ``frame_no``, ``feature``; ``instance_key`` where frames
+    have it, as gifs of two instances may share a name) and saved/total counts."""
+    gif = [*(c for c in INST if c in frames.columns), "gif"]
+    kept = keyframes(frames, gif, ["frame_no"], "feature", threshold=threshold)
+    return kept, keyframe_counts(kept, frames, gif)

@@ -15,7 +15,7 @@ _EXTS_SQL = "[" + ", ".join(f"'{e}'" for e in _EXTS) + "]"
 _ASSETS_SQL = f"""(select p_brand as instance_key, p_partkey as pk, 'img_' || p_partkey || {_EXTS_SQL}[p_partkey % 6 + 1] as name,
                   case when p_partkey % 97 = 0 then null else (p_partkey % 97) * 20 end as height,
                   p_size * 40 as width from part)"""
-_FRAMES_SQL = f"""(select a.name || '_' || (l.l_orderkey * 8 + l.l_linenumber) || '.png' as frame,
+_FRAMES_SQL = f"""(select a.instance_key, a.name || '_' || (l.l_orderkey * 8 + l.l_linenumber) || '.png' as frame,
                   l.l_linenumber * 100 as height, cast(l.l_quantity * 10 as bigint) as width
                   from lineitem l join {_ASSETS_SQL} a on a.pk = l.l_partkey where a.name like '%.gif')"""
 
@@ -33,6 +33,7 @@ def frames(spark, root):
     a = assets(spark, root).filter(F.col("name").endswith(".gif"))
     li = T(spark, root, "lineitem")
     return li.join(a, li.l_partkey == a.pk).select(
+        "instance_key",
         F.concat(F.col("name"), F.lit("_"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string"),
                  F.lit(".png")).alias("frame"),
         (F.col("l_linenumber") * 100).alias("height"), (F.col("l_quantity") * 10).cast("long").alias("width"))

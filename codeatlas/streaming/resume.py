@@ -14,14 +14,23 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 
-def _done_keys(spark: SparkSession, done_path: str, keys: list[str]) -> DataFrame | None:
+
+def _done_keys(spark: SparkSession, done_path: str, keys: list[str], batch_id: int) -> DataFrame | None:
+    """Keys that other batches have written.  What a failed try of this batch left doesn't count: the
+    retry overwrites it."""
     try:
-        return spark.read.parquet(done_path).select(*keys).distinct()
-    except AnalysisException:
-        return None
+        done = spark.read.parquet(done_path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    # Materialised before the batch's own folder is replaced.
+    return done.filter(F.col("batch_id") != batch_id).select(*keys).distinct().checkpoint()
 
 
 def resume_stream(spark: SparkSession, work_dir: str, work_schema: T.StructType, done_path: str, keys: list[str],
@@ -30,8 +39,11 @@ def resume_stream(spark: SparkSession, work_dir: str, work_schema: T.StructType,
     """Start the stream; returns the StreamingQuery (already finished when ``available_now``)."""
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        todo = batch.dropDuplicates(keys)
-        done = _done_keys(spark, done_path, keys)
+        ensure_checkpoint_dir(spark)
+        rest = [c for c in batch.columns if c not in keys]
+        # Of rows with one key the smallest stays, so a retry takes the same one.
+        todo = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else batch.distinct()
+        done = _done_keys(spark, done_path, keys, batch_id)
         if done is not None:
             todo = todo.join(done, keys, "left_anti")
         out = process(todo)

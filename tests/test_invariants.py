@@ -35,3 +35,30 @@ def test_carry_plus_regenerate_cover_new_snapshot_once(spark):
     both = [r["rel_path"] for r in carried.unionByName(regen).collect()]
     expect = sorted(r["rel_path"] for r in items.collect())
     assert sorted(both) == expect
+
+
+def test_topk_per_instance_when_query_ids_repeat(spark):
+    chunks = spark.createDataFrame([(i, c, [float(c)]) for i in (1, 2) for c in range(3)], "label int, chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, 0, [0.0]) for i in (1, 2)], "label int, query_id long, embedding array<float>")
+    got = sorted((r["label"], r["chunk_id"]) for r in topk_similar(chunks, queries, ["label"], k=2).collect())
+    assert got == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_media_of_instances_with_equal_gif_names(spark):
+    from codeatlas.operators.media import frames_payload, instance_image_tokens
+
+    gifs = spark.createDataFrame([("a", "x.gif", 1, 1), ("b", "x.gif", 1, 1)], "instance_key string, name string, height int, width int")
+    frames = spark.createDataFrame([("a", "x.gif_1.png", 280, 280), ("b", "x.gif_2.png", 560, 560)],
+                                   "instance_key string, frame string, height int, width int")
+    assert {r["instance_key"]: r["image_tokens"] for r in instance_image_tokens(gifs, frames, ["instance_key"]).collect()} == {"a": 100, "b": 400}
+    assert {r["instance_key"]: r["frames"] for r in frames_payload(gifs, frames, ["instance_key"]).collect()} == {"a": "x.gif_1.png", "b": "x.gif_2.png"}
+
+
+def test_waves_with_carried_docs(spark):
+    from codeatlas.operators.graph import doc_waves
+
+    nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
+    refs = spark.createDataFrame([(1, 2), (2, 9), (3, 8), (4, 4)], "src_id long, dst_id long")
+    carried = spark.createDataFrame([(9,)], "id long")
+    got = {r["id"]: (r["level"], r["forced"]) for r in doc_waves(nodes, refs, ["id"], carried).collect()}
+    assert got == {2: (0, False), 1: (1, False), 3: (None, True), 4: (None, True)}

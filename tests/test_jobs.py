@@ -63,7 +63,7 @@ def test_refresh_summarise_and_media(spark):
     assert s["prompt"].startswith("Describe this js file.")
 
     assets = spark.createDataFrame([("i", "a.png", 480, 640)], "instance_key string, name string, height int, width int")
-    frames = spark.createDataFrame([], "frame string, height int, width int")
+    frames = spark.createDataFrame([], "instance_key string, frame string, height int, width int")
     m = jobs.media_budget(assets, frames).first()
     assert (m["image_tokens"], m["text_budget"]) == (391, 128000 - 391)
 
@@ -99,3 +99,14 @@ def test_write_statement(spark, tmp_path):
     df = spark.createDataFrame([("k", "  text \n")], "instance_key string, problem_statement string")
     K.write_statement(df, str(tmp_path / "st"))
     assert spark.read.parquet(str(tmp_path / "st")).first()["problem_statement"] == "text"
+
+
+def test_repair_resumes_by_file(spark):
+    files = _files(spark)
+    el = jobs.build_code_catalog(files)
+    answer = "A\n```\nsrc/a.js\nfunction: f\n```\n```\nsrc/b.js\nfunction: g\n```\n```\nend\n```\n"
+    answers = spark.createDataFrame([("i", answer)], "instance_key string, answer string")
+    every = {r["rel_path"] for r in jobs.repair_contexts(answers, files, el).collect()}
+    done = spark.createDataFrame([("i", "src/a.js")], "instance_key string, rel_path string")
+    left = {r["rel_path"] for r in jobs.repair_contexts(answers, files, el, done).collect()}
+    assert "src/b.js" in every and left == every - {"src/a.js"}

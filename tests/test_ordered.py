@@ -139,3 +139,35 @@ def test_keyframes_against_brute_force(spark, monkeypatch, scan):
     ref = _keyframes_reference(values, 8.0)
     assert [k for k, _ in got] == ref
     assert [n for _, n in got] == list(range(1, len(ref) + 1))
+
+
+def _null_cases(spark):
+    from codeatlas.operators.packing import pack_batches
+    from codeatlas.operators.sampling import keyframes
+
+    items = spark.createDataFrame([(g, i, s) for g in ("a", None) for i, s in enumerate([4, 4, 4, None])], "g string, i long, s long")
+    packs = sorted(((r["g"] or "", r["i"], r["batch_no"]) for r in pack_batches(items, ["g"], ["i"], "s", budget=10).collect()))
+    frames = spark.createDataFrame([(g, i, v) for g, vs in (("a", [1.0, None, 50.0, None]), (None, [None, 1.0, 50.0]))
+                                    for i, v in enumerate(vs)], "g string, i long, v double")
+    kept = sorted((r["g"] or "", r["i"], r["idx"], r["kept_no"]) for r in keyframes(frames, ["g"], ["i"], "v", 10.0, step=1).collect())
+    return packs, kept
+
+
+_PACKS = [(g, i, b) for g in ("", "a") for i, b in enumerate([1, 1, 2, 2])]
+_KEPT = [("", 1, 1, 1), ("", 2, 2, 2), ("a", 0, 0, 1), ("a", 2, 2, 2)]
+
+
+def test_null_groups_and_values(spark):
+    assert _null_cases(spark) == (_PACKS, _KEPT)
+
+
+def test_null_groups_and_values_on_the_scan_path(spark, force_scan):
+    assert _null_cases(spark) == (_PACKS, _KEPT)
+
+
+def test_running_sum_keeps_null_groups(spark, force_scan):
+    from codeatlas.operators.ordered import running_sum
+
+    rows = spark.createDataFrame([(None, 1, 1), (None, 2, 1), ("a", 1, 1)], "g string, i long, v long")
+    assert sorted((r["g"] or "", r["i"], r["s"]) for r in running_sum(rows, ["g"], ["i"], "v", "s").collect()) == [
+        ("", 1, 1), ("", 2, 2), ("a", 1, 1)]
