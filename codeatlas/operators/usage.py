@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import row_index
-
 CHAT_TRIES = 3
 DOC_TRIES = 5
 
@@ -26,13 +24,20 @@ def attempt_outcomes(attempts: DataFrame, task_cols: list[str], order_cols: list
     with output, status 400 ends it without output, any other result uses one of ``max_try``
     tries.  One row per task: ``outcome`` (success / rejected / exhausted), ``attempts_used``,
     and the tokens of the successful attempt.  Aggregations only - no per-task sequential loop."""
-    a = row_index(attempts, task_cols, order_cols, "attempt_no").withColumn("attempt_no", F.col("attempt_no") + 1)
-    terminal = F.col(status_col).isin("ok", "400")
-    g = a.groupBy(*task_cols).agg(
+    # The first ending attempt of each task; attempts up to it are counted, none is ranked.
+    named = [f"_task{i}" for i in range(len(task_cols))]
+    key = F.struct(*order_cols)
+    ends = (attempts.filter(F.col(status_col).isin("ok", "400"))
+            .groupBy(*[F.col(c).alias(n) for c, n in zip(task_cols, named)])
+            .agg(F.min(F.struct(key.alias("at"), F.col(status_col).alias("s"), F.col("prompt_tokens").alias("p"))).alias("_end")))
+    same = F.lit(True)
+    for c, n in zip(task_cols, named):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    g = attempts.select(*task_cols, key.alias("_at")).join(ends, same, "left").groupBy(*task_cols).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min(F.when(terminal, F.col("attempt_no"))).alias("_t"),
-        F.min_by(F.col(status_col), F.when(terminal, F.col("attempt_no"))).alias("_ts"),
-        F.min_by(F.col("prompt_tokens"), F.when(terminal, F.col("attempt_no"))).alias("_tp"))
+        F.count(F.when(F.col("_at") <= F.col("_end.at"), 1)).alias("_up"), F.max("_end").alias("_end"))
+    g = g.select(*task_cols, "_n", F.when(F.col("_end").isNotNull(), F.col("_up")).alias("_t"),
+                 F.col("_end.s").alias("_ts"), F.col("_end.p").alias("_tp"))
     within = F.col("_t").isNotNull() & (F.col("_t") <= max_try)
     outcome = F.when(within & (F.col("_ts") == "ok"), "success").when(within, "rejected").otherwise("exhausted")
     used = F.when(within, F.col("_t")).otherwise(F.least(F.col("_n"), F.lit(max_try)))

@@ -37,6 +37,23 @@ def q_pack_batches(spark, root):
                                        "oversize")
 
 
+_NULL_PACK_SQL = _PACK_SQL.replace("select user_id, event_id, cast(floor(value) as bigint) as sz,\n",
+                                   "select nullif(user_id % 7, 0) as user_id, event_id, cast(floor(value) as bigint) as sz,\n") \
+    .replace("partition by user_id order", "partition by nullif(user_id % 7, 0) order") \
+    .replace("it.user_id = r.user_id", "it.user_id is not distinct from r.user_id")
+
+
+@register("pack_batches_null", _NULL_PACK_SQL + """
+select r.user_id as g, r.event_id, r.batch_no, (b.n = 1 and b.mx >= 100) as oversize
+from r join b on r.user_id is not distinct from b.user_id and r.batch_no = b.batch_no""")
+def q_pack_batches_null(spark, root):
+    """Items without a group are packed as a group of their own."""
+    ev = T(spark, root, "events").select(F.expr("nullif(user_id % 7, 0)").alias("g"), "event_id", "ts",
+                                         F.floor("value").cast("long").alias("size"))
+    return pack_batches(ev, ["g"], ["ts", "event_id"], "size", budget=100).select(
+        "g", "event_id", F.col("batch_no").cast("long").alias("batch_no"), "oversize")
+
+
 @register("batch_counts", _PACK_SQL + """
 select user_id, count(distinct batch_no) as n_batches, count(*) as n_items from r group by user_id""")
 def q_batch_counts(spark, root):

@@ -198,6 +198,25 @@ def q_doc_waves(spark, root):
     return w.select("id", F.col("level").cast("long").alias("level"), "forced")
 
 
+_CARRIED_SQL = _WAVES_SQL.replace("nodes as (select p_partkey as id from part),",
+                                  "nodes as (select p_partkey as id from part where p_size <= 40),") \
+    .replace("refs as (select p_partkey as src", "every as (select p_partkey as src") \
+    .replace("reach(src, dst)", """refs as (select * from every where src in (select id from nodes)
+         and dst not in (select p_partkey from part where p_size > 40)),
+reach(src, dst)""")
+
+
+@register("doc_waves_carried", _CARRIED_SQL + """
+select id, cast(max(d) as bigint) as level, false as forced from depth group by id
+union all select id, cast(null as bigint), true from forced where id in (select id from nodes)""")
+def q_doc_waves_carried(spark, root):
+    """Parts above size 40 play elements whose docs were carried over from the snapshot before."""
+    _, refs = _tree(spark, root)
+    part = T(spark, root, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    w = doc_waves(part.filter("p_size <= 40"), refs, ["id"], part.filter("p_size > 40").select("id"))
+    return w.select("id", F.col("level").cast("long").alias("level"), "forced")
+
+
 @register("docs_ready", """
 with refs as (select p_partkey as src, p_partkey // 2 as dst from part where p_partkey >= 1
               union select p_partkey // 2, p_partkey from part where p_size = 1 and p_partkey >= 1

@@ -148,3 +148,45 @@ from (select user_id from s) f group by f.user_id""")
 def q_keyframe_counts(spark, root):
     ev = T(spark, root, "events").select("user_id", "event_id", "ts", "value")
     return keyframe_counts(_kept(spark, root), ev, ["user_id"]).select("user_id", "total_frames", "saved_frames")
+
+
+_SHARED = "regexp_replace({}, '^img_\\d+', 'img')"
+
+
+def _shared(df, col):
+    return df.withColumn(col, F.regexp_replace(col, r"^img_\d+", "img"))
+
+
+@register("instance_image_tokens_shared", f"""
+with a as {_ASSETS_SQL}, f as {_FRAMES_SQL},
+t as (select instance_key, cast(floor(({_HB}) * ({_WB}) / 784) as bigint) as t from a where not ends_with(name, '.gif')
+      union all
+      select g.instance_key, cast(floor(({_FH.replace('height', 'f.height').replace('width', 'f.width')})
+                                      * ({_FW.replace('height', 'f.height').replace('width', 'f.width')}) / 784) as bigint)
+      from f join (select instance_key, {_SHARED.format('name')} as gif from a where ends_with(name, '.gif')) g
+        on g.instance_key = f.instance_key
+       and regexp_replace({_SHARED.format('f.frame')}, '_\\d+\\.png$', '') = g.gif)
+select instance_key, cast(sum(t) as bigint) as image_tokens from t group by instance_key""")
+def q_instance_image_tokens_shared(spark, root):
+    """Gifs of all instances share the name img.gif."""
+    return instance_image_tokens(_shared(assets(spark, root), "name"), _shared(frames(spark, root), "frame"), ["instance_key"])
+
+
+@register("keyframes_null", """
+with recursive e as (
+  select nullif(user_id % 7, 0) as g, event_id, ts, case when event_id % 5 = 0 then null else value end as value from events),
+s as (select g, event_id, value, row_number() over (partition by g order by ts, event_id) - 1 as raw from e),
+f as (select g, event_id, value, row_number() over (partition by g order by raw) - 1 as idx from s
+      where raw % 2 = 0 and value is not null),
+r as (select g, idx, event_id, value, true as kept, value as last from f where idx = 0
+      union all
+      select f.g, f.idx, f.event_id, f.value, abs(f.value - r.last) > 10,
+             case when abs(f.value - r.last) > 10 then f.value else r.last end
+      from r join f on f.g is not distinct from r.g and f.idx = r.idx + 1)
+select g, event_id, cast(row_number() over (partition by g order by idx) as bigint) as kept_no from r where kept""")
+def q_keyframes_null(spark, root):
+    """Sequences without a group and frames without a value."""
+    ev = T(spark, root, "events").select(F.expr("nullif(user_id % 7, 0)").alias("g"), "event_id", "ts",
+                                         F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+    return keyframes(ev, ["g"], ["ts", "event_id"], "value", threshold=10.0) \
+        .select("g", "event_id", F.col("kept_no").cast("long").alias("kept_no"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.retrieval import chunk_fixed, chunk_recursive, retrieved_files, topk_similar
 from .registry import T, register
-from .synth import retrieval_chunks, retrieval_queries
+from .synth import QUERY_BUCKETS, retrieval_chunks, retrieval_queries
 
 _Q_SQL = """
 with parts as (
@@ -58,3 +58,17 @@ def q_chunk_recursive(spark, root):
     """Recursive separator splitter (no SQL twin: library-defined splitting, checked by invariants)."""
     docs = T(spark, root, "documents").select("doc_id", "text")
     return chunk_recursive(docs, ["doc_id"], "text").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
+
+
+_SHARED_SQL = _Q_SQL.replace("cast(label as bigint) * 3 + vec_id % 3 as query_id", "vec_id % 3 as query_id") \
+    .replace("partition by query_id", "partition by label, query_id")
+
+
+@register("topk_shared_ids", _SHARED_SQL + """
+select label, query_id, chunk_id, cast(rnk as bigint) as rank from ranked where rnk <= 50""")
+def q_topk_shared_ids(spark, root):
+    """Every instance numbers its queries from 0."""
+    emb = T(spark, root, "embeddings")
+    queries = retrieval_queries(emb).withColumn("query_id", F.col("query_id") - F.col("label").cast("long") * QUERY_BUCKETS)
+    hits = topk_similar(retrieval_chunks(emb), queries, ["label"], "chunk_id", "query_id", k=50)
+    return hits.select("label", "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))

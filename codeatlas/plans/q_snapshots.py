@@ -9,7 +9,7 @@ from ..operators.incremental import list_versions, version_pairs
 from ..operators.ordered import row_index
 from ..operators.snapshots import carry_forward, scan_tree, snapshot_diff, to_regenerate
 from .registry import T, register
-from .synth import first_line, snapshot_v1, snapshot_v2
+from .synth import snapshot_v1, snapshot_v2
 
 _V1 = """(select doc_id, case when source like '%3' then source || '/latest' else source end || '/' || lang || '/doc_'
         || doc_id || case lang when 'en' then '.js' when 'de' then '.ts' when 'fr' then '.tsx' else '.css' end as rel_path,
@@ -72,17 +72,17 @@ def q_scan_tree(spark, root):
     return scan_tree(v1, [])
 
 
-_OLD_DOCS = f"""(select rel_path, string_split(content, chr(10))[1] as doc from {_V1}
+_OLD_DOCS = f"""(select rel_path, content as doc from {_V1}
                 where {_SUP} and not contains(rel_path, 'test'))"""
 _CHANGED = "(select path from diff where level = 'file' and change in ('removed', 'modified'))"
-_REGEN = f"""(select rel_path, string_split(content, chr(10))[1] as doc from {_V2}
+_REGEN = f"""(select rel_path, content as doc from {_V2}
              where {_SUP} and not contains(rel_path, 'test')
                and rel_path in (select path from diff where level = 'file' and change in ('added', 'modified')))"""
 
 
 def _old_docs(spark, root):
     v1, _ = _snapshots(spark, root)
-    return v1.filter(is_supported_ext("rel_path")).select("rel_path", first_line(F.col("content")).alias("doc"))
+    return v1.filter(is_supported_ext("rel_path")).select("rel_path", F.col("content").alias("doc"))
 
 
 def _carried(spark, root, literal=False):
@@ -106,7 +106,7 @@ def q_carry_forward_literal(spark, root):
 def _regen(spark, root):
     _, v2 = _snapshots(spark, root)
     items = v2.filter(is_supported_ext("rel_path") & ~is_test_path("rel_path")) \
-        .select("rel_path", first_line(F.col("content")).alias("doc"))
+        .select("rel_path", F.col("content").alias("doc"))
     return to_regenerate(items, _diff(spark, root))
 
 

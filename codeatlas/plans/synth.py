@@ -56,10 +56,6 @@ def snapshot_v2(docs: DataFrame, labels: DataFrame, bench: DataFrame) -> DataFra
     return kept.unionByName(added)
 
 
-def first_line(text):
-    return F.get(F.split(text, "\n", -1), 0)
-
-
 def snapshot_versions(docs: DataFrame, labels: DataFrame, bench: DataFrame) -> DataFrame:
     """Three snapshots per repository (repo = document source): 1 = every document, 2 = the
     edited snapshot of ``snapshot_v2``, 3 = snapshot 2 with quality-1 files edited as well.
