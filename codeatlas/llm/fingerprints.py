@@ -46,9 +46,11 @@ def containment(a: Column, b: Column, same: Column) -> Column:
     return F.when(same, 1.0).when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None,
+              derived: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, th, ...) -> the rows with ``next``: a struct of ``columns`` of the row that follows in
-    descending doc_id (null ids last, ties by th); after the last row the first one.
+    descending doc_id (null ids last, ties by th); after the last row the first one.  ``derived``
+    columns are computed on the way, once for each row.
 
     No global order is built: ids fall into ranges between quantiles (the driver gets those numbers
     only), a window runs within each range, and of each range a copy of its first row goes to the
@@ -69,6 +71,7 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) ->
     copies = (rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
               .dropDuplicates(["to"]).withColumn("range", F.col("to")).drop("to", "hid", "hth"))
     both = rows.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
+    both = both.withColumns(derived or {})
     w = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), "th")
     return (both.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("copy = 0").drop("range", "copy"))
 
@@ -84,8 +87,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, scale_bits
     """
     text = F.coalesce("text", F.lit(""))
     rows = (docs.select("doc_id", text.alias("text")).withColumn("th", F.xxhash64("text")))
-    rows = rows.withColumn("sk", sketch(F.col("text"), shingle_words, scale_bits))
-    rows = with_next(rows, ["text", "th", "sk"])
+    rows = with_next(rows, ["text", "th", "sk"], derived={"sk": sketch(F.col("text"), shingle_words, scale_bits)})
     half = F.floor(F.char_length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half),
                                               F.substring("next.text", F.lit(1), half)))
