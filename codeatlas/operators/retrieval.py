@@ -59,67 +59,36 @@ def chunk_fixed(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE,
             .drop("_off"))
 
 
-_SEPARATORS = ("\n\n", "\n", " ", "")
-
-
-def _split_recursive(text: str, size: int, overlap: int, seps=_SEPARATORS) -> list[str]:
-    """Recursive character splitter: split on the coarsest separator that occurs, merge pieces
-    back into chunks of at most ``size`` characters carrying up to ``overlap`` characters of the
-    previous chunk, and recurse with finer separators into pieces still too long."""
-    sep = seps[-1]
-    rest: tuple = ()
-    for i, s in enumerate(seps):
-        if s == "" or s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    pieces = list(text) if sep == "" else text.split(sep)
-    out: list[str] = []
-    cur: list[str] = []
-    cur_len = 0
-    sep_len = len(sep)
-
-    def flush():
-        if cur:
-            chunk = sep.join(cur).strip()
-            if chunk:
-                out.append(chunk)
-
-    for p in pieces:
-        if not p:
-            continue
-        if len(p) > size:
-            flush()
-            cur, cur_len = [], 0
-            out.extend(_split_recursive(p, size, overlap, rest) if rest else [p[i:i + size] for i in range(0, len(p), size)])
-            continue
-        add = len(p) + (sep_len if cur else 0)
-        if cur_len + add > size:
-            flush()
-            while cur and (cur_len > overlap or cur_len + len(p) + (sep_len if cur else 0) > size):
-                cur_len -= len(cur[0]) + (sep_len if len(cur) > 1 else 0)
-                cur = cur[1:]
-        cur.append(p)
-        cur_len += len(p) + (sep_len if len(cur) > 1 else 0)
-    flush()
-    return out
+# Where a chunk may end, best first; with none of them in reach it is cut between characters.
+BREAKS = (r"\n\n", r"\n", " ")
 
 
 def chunk_recursive(docs: DataFrame, id_cols: list[str], text_col: str = "text", size: int = CHUNK_SIZE,
                     overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Paragraph -> line -> word -> character splitter, one output row per chunk.  Runs per
-    document inside ``mapInPandas`` (Arrow batches, documents stay where Spark put them)."""
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols]) + \
-        ", pos int, chunk string"
-
-    def split(batches):
-        import pandas as pd
-        for pdf in batches:
-            rows = []
-            ids = pdf[[f"id{i}" for i in range(len(id_cols))]].itertuples(index=False, name=None)
-            for key, text in zip(ids, pdf["txt"]):
-                for pos, ch in enumerate(_split_recursive(text or "", size, overlap)):
-                    rows.append((*key, pos, ch))
-            yield pd.DataFrame(rows, columns=[*id_cols, "pos", "chunk"])
-
-    src = docs.select(*[F.col(c).alias(f"id{i}") for i, c in enumerate(id_cols)], F.col(text_col).alias("txt"))
-    return src.mapInPandas(split, schema)
+    """Chunks that end at a paragraph, else a line, else a word, else a character; columns
+    ``id_cols + [pos, chunk]``, ``pos`` counted from 0.
+
+    The text is laid out in cells of ``size - overlap - reach`` characters (``reach`` is a fifth of
+    ``size``).  Each cell but the last is cut after the last of the best break among its final ``reach``
+    characters.  A chunk runs from cut to cut and begins ``overlap`` characters early, so none exceeds
+    ``size``.  A cut depends on its own cell only: one pass over each text, inside the row.
+    Null and empty texts have no chunks."""
+    reach = size // 5
+    width = size - overlap - reach
+    if width - reach < overlap:
+        raise ValueError("size leaves no room for the overlap")
+
+    def cut(cell: str) -> Column:
+        tail = F.substring(cell, width - reach + 1, reach)
+        ends = [F.char_length(F.regexp_extract(tail, f"(?s)^(.*{b})", 1)) for b in BREAKS]
+        return F.coalesce(*[F.when(e > 0, e + (width - reach)) for e in ends], F.lit(width))
+
+    cells = docs.select(*id_cols, F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)).alias("_cells"))
+    # Beside each cell the one before it; the extra last pair has no cell.
+    pairs = cells.select(*id_cols, F.size("_cells").alias("_n"), F.posexplode(F.arrays_zip(
+        F.col("_cells").alias("cell"), F.concat(F.array(F.lit("")), "_cells").alias("before"))).alias("pos", "_pair"))
+    pairs = pairs.select(*id_cols, "pos", "_n", F.col("_pair.cell").alias("_cell"), F.col("_pair.before").alias("_before"))
+    end = F.when(F.col("pos") == F.col("_n") - 1, F.lit(width)).otherwise(cut("_cell"))
+    early = F.substring("_before", cut("_before") - overlap + 1, F.lit(width))
+    return pairs.filter(F.col("pos") < F.col("_n")).select(
+        *id_cols, "pos", F.concat(early, F.substring("_cell", F.lit(1), end)).alias("chunk"))

@@ -53,9 +53,21 @@ def q_chunk_fixed(spark, root):
                                             F.col("start").cast("long").alias("start"), "chunk")
 
 
-@register("chunk_recursive")
+def _cut_sql(cell: str) -> str:
+    """Characters of a 350-character cell up to the last of its best break within its last 100."""
+    tries = [f"nullif(length(regexp_extract(substr({cell}, 251), '(?s)^(.*{b})', 1)), 0) + 250" for b in (r"\n\n", r"\n", " ")]
+    return f"coalesce({', '.join(tries)}, 350)"
+
+
+@register("chunk_recursive", f"""
+with cells as (
+  select doc_id, k, substr(text, k * 350 + 1, 350) as cell, (k + 1) * 350 >= length(text) as is_last,
+         case when k > 0 then substr(text, (k - 1) * 350 + 1, 350) else '' end as before
+  from (select doc_id, text, unnest(range(0, (length(text) + 349) // 350)) as k from documents))
+select doc_id, cast(k as bigint) as pos,
+       substr(before, {_cut_sql("before")} - 49) || substr(cell, 1, case when is_last then 350 else {_cut_sql("cell")} end) as chunk
+from cells""")
 def q_chunk_recursive(spark, root):
-    """Recursive separator splitter (no SQL twin: library-defined splitting, checked by invariants)."""
     docs = T(spark, root, "documents").select("doc_id", "text")
     return chunk_recursive(docs, ["doc_id"], "text").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
