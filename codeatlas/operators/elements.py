@@ -5,7 +5,7 @@ Pipeline (every step is a DataFrame transformation; files are never gathered per
 1. ``source_lines``  - one row per line with its 1-based number and character offset; strings and
    comments are blanked so that braces, keywords and calls inside them do not count.
 2. ``brace_pairs``   - one row per ``{`` / ``}`` (only the brace characters of each line are
-   exploded); the running nesting depth is a skew-safe ordered scan per file, and at each depth
+   exploded); the running nesting depth is a window per file, and at each depth
    opening and closing braces alternate, so the n-th pair at a depth is matched by position.
 3. ``declarations``  - one declaration per line by regular expression: class, interface, type
    alias, ``function``, method, arrow function (priority in that order).
@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from . import ordered
-from .ordered import count_before, count_before_many, follow_chain, group_stats, row_index, running_sum
+from .ordered import count_before, count_before_many, row_index, window_sum
 
 IDENT = r"[A-Za-z_$][\w$]*"
 # Words that look like calls or method headers but are not.
@@ -44,8 +43,7 @@ DECL_PATTERNS = (
 )
 
 
-def source_lines(files: DataFrame, key_cols: list[str], content_col: str = "content",
-                 max_group_rows: int | None = None) -> DataFrame:
+def source_lines(files: DataFrame, key_cols: list[str], content_col: str = "content") -> DataFrame:
     """``key + (line_no, text, code, off)``: ``code`` is the line with strings/comments blanked,
     ``off`` the 0-based character offset of the line in the file."""
     ls = files.select(*key_cols, F.posexplode(F.split(F.col(content_col), "\n", -1)).alias("_p", "text")) \
@@ -53,11 +51,11 @@ def source_lines(files: DataFrame, key_cols: list[str], content_col: str = "cont
     t = F.ltrim(F.col("text"))
     code = F.when(t.startswith("/*") | t.startswith("*"), F.lit("")).otherwise(F.regexp_replace("text", _BLANK, " "))
     ls = ls.withColumn("code", code).withColumn("_w", (F.char_length("text") + 1).cast("long"))
-    ls = running_sum(ls, key_cols, ["line_no"], "_w", "off", max_group_rows)
+    ls = window_sum(ls, key_cols, ["line_no"], "_w", "off")
     return ls.withColumn("off", F.col("off") - F.col("_w")).drop("_w")
 
 
-def brace_pairs(lines: DataFrame, key_cols: list[str], max_group_rows: int | None = None) -> DataFrame:
+def brace_pairs(lines: DataFrame, key_cols: list[str]) -> DataFrame:
     """``key + (open_line, open_k, close_line, level)`` for matched braces; ``open_k`` is the
     0-based index of the brace among the brace characters of its line."""
     br = lines.select(*key_cols, "line_no", F.regexp_replace("code", r"[^{}]", "").alias("_b")) \
@@ -65,9 +63,9 @@ def brace_pairs(lines: DataFrame, key_cols: list[str], max_group_rows: int | Non
     ev = br.select(*key_cols, "line_no", F.posexplode(F.split("_b", "")).alias("k", "ch")) \
         .filter(F.col("ch") != "") \
         .withColumn("_d", F.when(F.col("ch") == "{", 1).otherwise(-1).cast("long")).checkpoint()
-    ev = running_sum(ev, key_cols, ["line_no", "k"], "_d", "_depth", max_group_rows)
+    ev = window_sum(ev, key_cols, ["line_no", "k"], "_d", "_depth")
     ev = ev.withColumn("level", F.when(F.col("ch") == "{", F.col("_depth")).otherwise(F.col("_depth") + 1))
-    ev = row_index(ev, [*key_cols, "level"], ["line_no", "k"], "_i", max_group_rows)
+    ev = row_index(ev, [*key_cols, "level"], ["line_no", "k"], "_i", window_sum)
     pairs = ev.groupBy(*key_cols, "level", F.floor(F.col("_i") / 2).alias("_pair")).agg(
         F.min_by(F.struct("line_no", "k"), F.col("_i")).alias("_o"),
         F.max_by(F.struct("line_no", "ch"), F.col("_i")).alias("_c"),
@@ -127,10 +125,7 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
     the element (blank lines allowed between it and the element), each line stripped.
     """
     key_cols = list(key_cols)
-    # One measurement bounds every later per-file scan: lines per file (declarations, elements,
-    # return lines are subsets of lines, one per line at most); braces are measured separately.
-    lines_bound = int(files.agg(F.max(F.size(F.split(F.col(content_col), "\n", -1)))).first()[0] or 0)
-    ls = source_lines(files, key_cols, content_col, lines_bound).checkpoint()
+    ls = source_lines(files, key_cols, content_col).checkpoint()
     pairs = brace_pairs(ls, key_cols)
     decls = declarations(ls, key_cols)
     path_col = key_cols[-1]
@@ -156,16 +151,16 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
     # Enclosing class (any depth) of every function: see _innermost_class.
     classes = el.filter(F.col("kind") == "class").select(*key_cols, F.col("start_line").alias("_cs"),
                                                          F.col("end_line").alias("_ce"))
-    cls_ord = row_index(classes, key_cols, ["_cs"], "_cord", lines_bound)
+    cls_ord = row_index(classes, key_cols, ["_cs"], "_cord", window_sum)
     fun = el.filter(F.col("kind") == "function")
-    owner = _innermost_class(fun.select(*key_cols, "start_line", "end_line", "col"), cls_ord, key_cols, lines_bound)
+    owner = _innermost_class(fun.select(*key_cols, "start_line", "end_line", "col"), cls_ord, key_cols)
     el = el.join(owner, [*key_cols, "start_line", "col"], "left")
 
     # Ordinals: classes and top-level functions numbered in document order per file.
     top = F.col("kind").isin("class") | ((F.col("kind") == "function") & F.col("_owner").isNull())
     el = el.withColumn("_isfun", ((F.col("kind") == "function") & F.col("_owner").isNull()).cast("long")) \
         .withColumn("_iscls", (F.col("kind") == "class").cast("long"))
-    el = running_sum(el, key_cols, ["start_line", "col"], ["_isfun", "_iscls"], ["_fun_n", "_cls_n"], lines_bound)
+    el = window_sum(el, key_cols, ["start_line", "col"], ["_isfun", "_iscls"], ["_fun_n", "_cls_n"])
     anon = F.col("raw_name").isNull() | (F.col("raw_name") == "") | (F.col("decl") == "arrow")
     fun_before = F.col("_fun_n") - F.col("_isfun")
     name = (F.when((F.col("kind") == "function") & anon, F.concat(F.lit("function_"), (fun_before + 1).cast("string")))
@@ -186,7 +181,7 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
 
     # has_return: return lines inside the span, from running counts of return lines.
     rl = ls.select(*key_cols, "line_no", F.col("code").rlike(r"(?:^|[^\w$.])return(?:[^\w$]|$)").cast("long").alias("_r"))
-    rl = running_sum(rl, key_cols, ["line_no"], "_r", "_rc", lines_bound)
+    rl = window_sum(rl, key_cols, ["line_no"], "_r", "_rc")
     at_end = rl.select(*key_cols, F.col("line_no").alias("end_line"), F.col("_rc").alias("_re"))
     before = rl.select(*key_cols, (F.col("line_no") + 1).alias("start_line"), F.col("_rc").alias("_rb"))
     el = el.join(at_end, [*key_cols, "end_line"], "left").join(before, [*key_cols, "start_line"], "left")
@@ -194,7 +189,7 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
     el = el.withColumn("has_return", F.when(F.col("kind") == "class", F.lit(False)).otherwise(has_ret)).drop("_re", "_rb")
 
     el = el.checkpoint()
-    el = el.join(leading_comments(ls, el.select(*key_cols, "start_line").distinct(), key_cols, lines_bound),
+    el = el.join(leading_comments(ls, el.select(*key_cols, "start_line").distinct(), key_cols),
                  [*key_cols, "start_line"], "left")
 
     # Content: the file text from the start of the first line to the end of the last line.
@@ -209,7 +204,7 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
     return el.withColumn("signature", sig).drop("_file", "_so", "_eo", "_o1", "_o2")
 
 
-def _innermost_class(fun: DataFrame, classes: DataFrame, key_cols: list[str], bound: int | None = None) -> DataFrame:
+def _innermost_class(fun: DataFrame, classes: DataFrame, key_cols: list[str]) -> DataFrame:
     """For every function ``(key, start_line, col)`` the ordinal of the innermost class whose span
     contains its start line, as ``_owner`` (functions outside classes are not returned).
 
@@ -221,25 +216,24 @@ def _innermost_class(fun: DataFrame, classes: DataFrame, key_cols: list[str], bo
     cls = classes.withColumn("_cid", F.col("_cord") + 1)
 
     def depth_at(probes, id_col, line_col):
-        b3 = None if bound is None else 3 * bound
         c = count_before_many([(cls, "_cs", True, "_ns"), (cls, "_ce", False, "_ne")], probes, key_cols, line_col,
-                              id_col, b3)
+                              id_col, window_sum)
         return c.select(*key_cols, id_col, (F.col("_ns") - F.col("_ne")).alias("_depth"))
 
     cdepth = depth_at(cls.select(*key_cols, "_cid", "_cs"), "_cid", "_cs")
-    cls_d = row_index(cls.join(cdepth, [*key_cols, "_cid"]), [*key_cols, "_depth"], ["_cs", "_cid"], "_k", bound) \
+    cls_d = row_index(cls.join(cdepth, [*key_cols, "_cid"]), [*key_cols, "_depth"], ["_cs", "_cid"], "_k", window_sum) \
         .checkpoint()
     fp = fun.select(*key_cols, "start_line", "col").distinct() \
         .withColumn("_pid", F.monotonically_increasing_id()).checkpoint()
     fp = fp.join(depth_at(fp, "_pid", "start_line"), [*key_cols, "_pid"]).filter(F.col("_depth") > 0)
     k = count_before(cls_d, fp, [*key_cols, "_depth"], "_cs", "start_line", "_pid", inclusive=True, out_col="_kk",
-                     max_group_rows=None if bound is None else 2 * bound)
+                     sums=window_sum)
     owner = k.join(cls_d.select(*key_cols, "_depth", (F.col("_k") + 1).alias("_kk"), "_cid"), [*key_cols, "_depth", "_kk"])
     return fp.join(owner.select(*key_cols, "_pid", "_cid"), [*key_cols, "_pid"]) \
         .select(*key_cols, "start_line", "col", F.col("_cid").alias("_owner"))
 
 
-def leading_comments(lines: DataFrame, starts: DataFrame, key_cols: list[str], bound: int | None = None) -> DataFrame:
+def leading_comments(lines: DataFrame, starts: DataFrame, key_cols: list[str]) -> DataFrame:
     """``key + (start_line, signature)``: the contiguous block of comment lines directly above
     ``start_line``, skipping blank lines between the block and the element, each line stripped."""
     t = F.trim(F.col("text"))
@@ -248,7 +242,7 @@ def leading_comments(lines: DataFrame, starts: DataFrame, key_cols: list[str], b
     prev = ls.select(*key_cols, (F.col("line_no") + 1).alias("line_no"), F.col("_cls").alias("_prev"))
     isl = ls.join(prev, [*key_cols, "line_no"], "left") \
         .withColumn("_chg", (F.col("_prev").isNull() | (F.col("_prev") != F.col("_cls"))).cast("long"))
-    isl = running_sum(isl, key_cols, ["line_no"], "_chg", "_island", bound).checkpoint()
+    isl = window_sum(isl, key_cols, ["line_no"], "_chg", "_island").checkpoint()
     islands = isl.groupBy(*key_cols, "_island").agg(F.first("_cls").alias("_cls"), F.min("line_no").alias("_first"),
                                                     F.max("line_no").alias("_last"))
     above = starts.select(*key_cols, "start_line", (F.col("start_line") - 1).alias("line_no")) \
@@ -272,7 +266,7 @@ def leading_comments(lines: DataFrame, starts: DataFrame, key_cols: list[str], b
 
 def element_ordinals(elements: DataFrame, key_cols: list[str]) -> DataFrame:
     """``row_number() over (partition by file, kind order by start_line)`` without a window."""
-    return row_index(elements, [*key_cols, "kind"], ["start_line", "col"], "kind_ordinal") \
+    return row_index(elements, [*key_cols, "kind"], ["start_line", "col"], "kind_ordinal", window_sum) \
         .withColumn("kind_ordinal", F.col("kind_ordinal") + 1)
 
 
@@ -280,39 +274,20 @@ def drop_overlaps(elements: DataFrame, key_cols: list[str]) -> DataFrame:
     """Top-level functions in document order: keep one only if its start line is not inside a
     kept function's span (classes and types pass through).  A dropped span blocks nothing.
 
-    Kept functions are a chain: after keeping j, the next kept one is the first later function
-    starting after j's end, a lower-bound lookup on start lines; the chain is followed by pointer
-    doubling."""
-    f = elements.filter((F.col("kind") == "function") & F.col("parent_ordinal").isNull())
-    f = f.checkpoint()
-    bound, total = group_stats(f, key_cols)
-    others = elements.filter(~((F.col("kind") == "function") & F.col("parent_ordinal").isNull()))
-    if bound <= ordered.FOLD_GROUP_ROWS:
-        return others.unionByName(_drop_overlaps_small_files(f, key_cols, total))
-    f = row_index(f, key_cols, ["start_line", "col"], "_i", bound).checkpoint()
-    probes = f.select(*key_cols, "_i", "end_line")
-    lb = count_before(f, probes, key_cols, "start_line", "end_line", "_i", inclusive=True, out_col="_lb",
-                      max_group_rows=2 * bound)
-    ptr = lb.select(*key_cols, F.col("_i").alias("idx"), F.greatest(F.col("_i") + 1, F.col("_lb")).alias("nxt"))
-    kept = follow_chain(ptr, key_cols, "idx", "nxt").withColumnRenamed("idx", "_i")
-    keep_f = f.join(kept, [*key_cols, "_i"], "left_semi").drop("_i")
-    return others.unionByName(keep_f)
-
-
-def _drop_overlaps_small_files(f: DataFrame, key_cols: list[str], total: int | None = None) -> DataFrame:
-    """Bounded files: the greedy rule as one loop per partition over functions in file order."""
-
-    def init(r):
-        return {"end": None}
-
-    def step(st, r):
-        if st["end"] is None or r["start_line"] > st["end"]:
-            st["end"] = r["end_line"]
-            return st, ()
-        return st, None
-
-    return ordered.fold_in_groups(f, key_cols, ["start_line", "col"], step, init, f.schema, ["start_line", "end_line"],
-                                  total)
+    A fold over the functions of one file, gathered in document order."""
+    top = (F.col("kind") == "function") & F.col("parent_ordinal").isNull()
+    rest = [c for c in elements.columns if c not in (*key_cols, "start_line", "col")]
+    fun = F.struct("start_line", "col", *rest)
+    per_file = elements.filter(top).groupBy(*key_cols).agg(F.array_sort(F.collect_list(fun)).alias("_f"))
+    row = per_file.schema["_f"].dataType.elementType
+    start = F.struct(F.lit(None).cast(row["end_line"].dataType).alias("end"),
+                     F.array().cast(per_file.schema["_f"].dataType).alias("kept"))
+    kept = F.aggregate("_f", start, lambda acc, f: F.when(
+        acc["end"].isNull() | (f["start_line"] > acc["end"]),
+        F.struct(f["end_line"].alias("end"), F.concat(acc["kept"], F.array(f)).alias("kept"))).otherwise(acc),
+        lambda acc: acc["kept"])
+    kept = per_file.select(*key_cols, F.inline(kept))
+    return elements.filter(~top).unionByName(kept)
 
 
 def definitions(elements: DataFrame, key_cols: list[str]) -> DataFrame:

@@ -3,10 +3,10 @@ done), readiness (work with upstream present)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import row_index
+from .ordered import row_index, window_sum
 
 
 def union_splits(dev: DataFrame, test: DataFrame, split_col: str = "split") -> DataFrame:
@@ -61,13 +61,12 @@ def version_pairs(versions: DataFrame, repo_cols: list[str], number_col: str = "
     """Consecutive snapshot pairs per repo in ascending numeric order, with the label
     ``repo: old -> new``.  The first snapshot pairs with null (full generation).
 
-    Position inside the repo comes from the skew-safe ordered scan, and the predecessor is an
-    equi-join on ``(repo, position - 1)`` - no window holding a whole repo in one task.
+    One window over the distinct snapshot numbers of each repository.
     """
     v = versions.select(*repo_cols, F.col(number_col).cast("long").alias("new_id")).distinct()
-    v = row_index(v, repo_cols, ["new_id"], "_i")
-    prev = v.select(*repo_cols, (F.col("_i") + 1).alias("_i"), F.col("new_id").alias("old_id"))
-    out = v.join(prev, [*repo_cols, "_i"], "left")
+    w = Window.partitionBy(*repo_cols).orderBy("new_id")
+    out = v.withColumn("old_id", F.lag("new_id").over(w)) \
+        .withColumn("_i", F.row_number().over(w).cast("long") - 1)
     repo = F.concat_ws("/", *[F.col(c).cast("string") for c in repo_cols])
     label = F.when(F.col("old_id").isNotNull(),
                    F.concat(repo, F.lit(": "), F.col("old_id").cast("string"), F.lit(" -> "),
@@ -82,4 +81,4 @@ def list_versions(paths: DataFrame, path_col: str = "path") -> DataFrame:
     v = (paths.select(F.concat_ws("/", F.get(parts, 0), F.get(parts, 1)).alias("repo"),
                       F.get(parts, 2).try_cast("long").alias("number"))
          .filter(F.col("number").isNotNull()).distinct())
-    return row_index(v, ["repo"], ["number"], "version_no")
+    return row_index(v, ["repo"], ["number"], "version_no", window_sum)

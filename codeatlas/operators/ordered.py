@@ -4,11 +4,11 @@ Several operators of the library are sequential folds in their original form (gr
 greedy overlap removal).  A Spark window partitioned by the group key would put a whole group into
 one task, so a hot group would serialise the job.  The three building blocks here avoid that:
 
-* ``running_sum``   - inclusive prefix sum within a group in a total order.  The largest group is
-  measured first; if every group fits comfortably in one task a plain window runs.  Otherwise rows
-  are range-partitioned on ``(group, order)`` so a large group is spread over many tasks; every
+* ``running_sum``   - inclusive prefix sum within a group in a total order.  Rows are
+  range-partitioned on ``(group, order)`` so a large group is spread over many tasks; every
   task sums its own contiguous block (vectorised, Arrow batches), a small table with one row per
   ``(task, group)`` block gives each block its carry-in, and a join adds it back.
+  ``window_sum`` gives the same sums by a window, for groups that are the lines of one text.
 * ``count_before``  - for probe rows, how many item rows of the same group sort before a probe
   value (an as-of / lower-bound lookup), built on ``running_sum`` over the union of both sides.
 * ``follow_chain``  - given ``next(i) > i`` pointers, flag every row reachable from the first row of
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir, target_partitions
+from ..session import ensure_checkpoint_dir
 
 
 def _block_scan(group_cols: list[str], value_cols: list[str], out_cols: list[str]):
@@ -62,68 +62,34 @@ def _block_scan(group_cols: list[str], value_cols: list[str], out_cols: list[str
     return scan
 
 
-# Largest group (rows) that one task may sort in the window path.  Above it, or when the caller
-# cannot bound its groups, the range-partitioned scan takes over.  Tests set it to 0 to force
-# the scan path on small data.
-WINDOW_GROUP_ROWS = 2_000_000
+def _listed(cols) -> list[str]:
+    return [cols] if isinstance(cols, str) else list(cols)
 
 
-# Rows per task in the range-partitioned scan; the partition count grows with the data.
-SCAN_ROWS_PER_PARTITION = 4_000_000
+def window_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols, out_cols) -> DataFrame:
+    """``running_sum`` as a plain window.  Only for groups made from one input cell (the lines of a
+    file, the snapshots of a repository), which one task held before they were split."""
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df
+    for v, o in zip(_listed(value_cols), _listed(out_cols)):
+        t = df.schema[v].dataType
+        out = out.withColumn(o, F.sum(F.coalesce(F.col(v), F.lit(0).cast(t))).over(w).cast(t))
+    return out
 
 
-def group_stats(df: DataFrame, group_cols: list[str]) -> tuple[int, int]:
-    """``(largest group, total rows)`` in one aggregation job with map-side partial counts."""
-    if not group_cols:
-        n = df.count()
-        return n, n
-    r = df.groupBy(*group_cols).count().agg(F.max("count"), F.sum("count")).first()
-    return int(r[0] or 0), int(r[1] or 0)
-
-
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Row count of the largest group."""
-    return group_stats(df, group_cols)[0]
-
-
-def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols, out_cols,
-                max_group_rows: int | None = None) -> DataFrame:
+def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols, out_cols) -> DataFrame:
     """Inclusive running sums of ``value_cols`` within ``group_cols`` ordered by ``order_cols``.
 
-    ``order_cols`` must make the order total inside a group (end it with a unique id).  Group
-    columns must be non-null; null values count as 0.  Equivalent to
-    ``sum(value) over (partition by group order by order rows unbounded preceding)``.
-
-    The largest group is measured first (or given as ``max_group_rows``).  When it is at most
-    WINDOW_GROUP_ROWS that window is used as is (one codegen'd sort per group).  Otherwise the
-    range-partitioned block scan runs, which spreads a hot group over many tasks.
+    ``order_cols`` must make the order total inside a group (end it with a unique id).  Null group
+    values form a group, null values count as 0.  Equivalent to
+    ``sum(value) over (partition by group order by order rows unbounded preceding)``, whatever share
+    of the rows one group holds: a task sums one range of ``(group, order)``, and the number of
+    ranges is the shuffle setting, which adaptive execution may lower for small inputs.
     """
-    value_cols = [value_cols] if isinstance(value_cols, str) else list(value_cols)
-    out_cols = [out_cols] if isinstance(out_cols, str) else list(out_cols)
-    total = None
-    if max_group_rows is None:
-        max_group_rows, total = group_stats(df, group_cols) if WINDOW_GROUP_ROWS > 0 else (WINDOW_GROUP_ROWS + 1, None)
-    if max_group_rows <= WINDOW_GROUP_ROWS:
-        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \
-            .orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df
-        for v, o in zip(value_cols, out_cols):
-            t = df.schema[v].dataType
-            out = out.withColumn(o, F.sum(F.coalesce(F.col(v), F.lit(0).cast(t))).over(w).cast(t))
-        return out
-    return _scan_running_sum(df, group_cols, order_cols, value_cols, out_cols, total)
-
-
-def _scan_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
-                      out_cols: list[str], total_rows: int | None = None) -> DataFrame:
+    value_cols, out_cols = _listed(value_cols), _listed(out_cols)
     spark = df.sparkSession
     keys = [*group_cols, *order_cols]
-    if total_rows is None:
-        total_rows = df.count()
-    # Enough range partitions that a task scans about SCAN_ROWS_PER_PARTITION rows, however large
-    # the hot group is; never fewer than the configured shuffle width.
-    n = max(target_partitions(spark), -(-total_rows // SCAN_ROWS_PER_PARTITION))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     types = [df.schema[v].dataType for v in value_cols]
     schema = T.StructType(df.schema.fields + [T.StructField(o, t) for o, t in zip(out_cols, types)]
                           + [T.StructField("_pid", T.IntegerType())])
@@ -151,34 +117,33 @@ def group_key(group_cols: list[str]) -> Column:
 
 
 def row_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "idx",
-              max_group_rows: int | None = None) -> DataFrame:
-    """0-based position of each row inside its group (``row_number() - 1``), skew-safe."""
-    ones = df.withColumn("_one", F.lit(1).cast("long"))
-    out = running_sum(ones, group_cols, order_cols, "_one", out_col, max_group_rows)
+              sums=running_sum) -> DataFrame:
+    """0-based position of each row inside its group (``row_number() - 1``); ``sums`` as in
+    ``count_before_many``."""
+    out = sums(df.withColumn("_one", F.lit(1).cast("long")), group_cols, order_cols, "_one", out_col)
     return out.withColumn(out_col, F.col(out_col) - 1).drop("_one")
 
 
 def count_before(items: DataFrame, probes: DataFrame, group_cols: list[str], item_key: str,
                  probe_key: str, probe_id: str, inclusive: bool = False, out_col: str = "n_before",
-                 max_group_rows: int | None = None) -> DataFrame:
+                 sums=running_sum) -> DataFrame:
     """For every probe row: the number of items of its group whose key is ``<`` the probe key
     (``<=`` when ``inclusive``).  Returns ``group_cols + [probe_id, out_col]``.
-    ``max_group_rows`` bounds items + probes of one group when the caller knows it.
 
     When item keys are non-decreasing in item order this is the lower-bound index of the probe
     key, i.e. an as-of lookup, computed as one ordered scan of the union of items and probes.
     """
-    return count_before_many([(items, item_key, inclusive, out_col)], probes, group_cols, probe_key, probe_id,
-                             max_group_rows)
+    return count_before_many([(items, item_key, inclusive, out_col)], probes, group_cols, probe_key, probe_id, sums)
 
 
 def count_before_many(item_sets, probes: DataFrame, group_cols: list[str], probe_key: str, probe_id: str,
-                      max_group_rows: int | None = None) -> DataFrame:
+                      sums=running_sum) -> DataFrame:
     """Several ``count_before`` lookups against the same probes in one ordered scan.
 
     ``item_sets`` is a list of ``(items, item_key, inclusive, out_col)``.  At equal keys inclusive
     items sort before the probe and strict items after it, so one running sum per set counts
-    exactly the items "before" each probe."""
+    exactly the items "before" each probe.  ``sums`` is ``running_sum``, or ``window_sum`` for groups
+    made from one input cell."""
     first = item_sets[0]
     dt = first[0].schema[first[1]].dataType
     key_type = T.DoubleType() if isinstance(dt, (T.DoubleType, T.FloatType)) else T.LongType()
@@ -195,8 +160,7 @@ def count_before_many(item_sets, probes: DataFrame, group_cols: list[str], probe
     for p in parts[1:]:
         both = both.unionByName(p)
     outs = [o for (_, _, _, o) in item_sets]
-    scanned = running_sum(both, group_cols, ["_k", "_side", "_pid_"], ind, [f"_c{i}" for i in range(len(ind))],
-                          max_group_rows)
+    scanned = sums(both, group_cols, ["_k", "_side", "_pid_"], ind, [f"_c{i}" for i in range(len(ind))])
     return (scanned.filter(F.col("_side") == 1)
             .select(*group_cols, F.col("_pid_").alias(probe_id),
                     *[F.col(f"_c{i}").alias(o) for i, o in enumerate(outs)]))
@@ -227,54 +191,3 @@ def follow_chain(pointers: DataFrame, group_cols: list[str], idx: str = "idx", n
         reached = reached.unionByName(new)
         j2 = jump.select(*group_cols, F.col(idx).alias("_to"), F.col("_to").alias("_to2"))
         jump = jump.join(j2, [*group_cols, "_to"]).select(*group_cols, idx, F.col("_to2").alias("_to")).checkpoint()
-
-
-# Largest group folded sequentially inside one task (Arrow batch -> pandas -> loop).  Groups are
-# measured first; above this bound the parallel next-pointer + chain formulation runs.  Tests set
-# it to 0 to force the parallel path.
-FOLD_GROUP_ROWS = 200_000
-
-
-def fold_in_groups(df, group_cols: list[str], order_cols: list[str], step, init, schema, uses: list[str],
-                   total_rows: int | None = None):
-    """Sequential fold of every group in one pass per partition (bounded groups only).
-
-    Rows are hash-partitioned by group and sorted by ``(group, order)``; one Python loop walks
-    each partition's Arrow batches, calling ``step(state, row) -> (state, out_values | None)``
-    with ``state = init(row)`` at the first row of a group (``row`` holds the ``uses`` columns
-    only).  Returned values are appended as the
-    extra columns of ``schema`` (rows with ``None`` are dropped).  State carries across batch
-    boundaries, so no group is ever materialised as a whole in Python.
-    """
-    # Partitioned by the group columns.  When the data needs more tasks than the shuffle setting
-    # gives, the count is sized by rows; otherwise adaptive execution may coalesce partitions.
-    width = -(-(total_rows or 0) // SCAN_ROWS_PER_PARTITION)
-    if width > target_partitions(df.sparkSession):
-        ranged = df.repartition(width, *group_cols)
-    else:
-        ranged = df.repartition(*group_cols)
-    ranged = ranged.sortWithinPartitions(*group_cols, *order_cols)
-    in_cols = df.columns
-    extra = [f.name for f in schema.fields[len(in_cols):]]
-
-    def run(batches):
-        import pandas as pd
-
-        key, state = None, None
-        for pdf in batches:
-            keys = list(zip(*[pdf[c].tolist() for c in group_cols]))
-            rows = pdf[uses].to_dict("records")
-            keep, outs = [], []
-            for i, (k, r) in enumerate(zip(keys, rows)):
-                if k != key:
-                    key, state = k, init(r)
-                state, out = step(state, r)
-                if out is not None:
-                    keep.append(i)
-                    outs.append(out)
-            res = pdf.iloc[keep].reset_index(drop=True)
-            for j, c in enumerate(extra):
-                res[c] = pd.Series([o[j] for o in outs], dtype="object") if outs else pd.Series([], dtype="object")
-            yield res
-
-    return ranged.mapInPandas(run, schema)

@@ -6,10 +6,7 @@ is counted in it.  An item that is over budget on its own forms a batch flagged
 Every item lands in exactly one batch (the original loses the overflowing last item and can
 emit an empty first batch; ``faithful`` reproduces those quirks on the result).
 
-When the largest group is at most ``FOLD_GROUP_ROWS`` items the rule runs as a loop per group in
-one task; otherwise the parallel formulation below runs.
-
-Parallel formulation: with inclusive prefix sums ``S`` of the sizes, a batch opened at item
+As a table job: with inclusive prefix sums ``S`` of the sizes, a batch opened at item
 ``j`` ends before the first ``k > j`` with ``S[k] - S[j-1] >= budget``, so
 ``next(j) = max(j + 1, #{k : S[k] < S[j-1] + budget})`` - a lower-bound lookup, computed for all
 items at once by an ordered scan.  Batch starts are the items reachable from the first item via
@@ -21,11 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from . import ordered
-from .ordered import count_before, follow_chain, group_stats, running_sum
+from .ordered import count_before, follow_chain, running_sum
 
 PROMPT_BUDGET = 128000
 
@@ -48,12 +44,8 @@ def _pack(items: DataFrame, group_cols: list[str], order_cols: list[str], size_c
     base = (items.withColumn("_sz", F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")))
             .withColumn("_one", F.lit(1).cast("long"))
             .withColumn("_bud", bud.cast("long")))
-    base = base.checkpoint()
-    bound, total = group_stats(base, group_cols)   # every later scan is over the same groups
-    if bound <= ordered.FOLD_GROUP_ROWS:
-        return _pack_small_groups(base, group_cols, order_cols, faithful, total).drop("_sz", "_bud", "_one")
-    scanned = running_sum(base, group_cols, order_cols, ["_one", "_sz"], ["idx", "_S"], bound)
-    scanned = scanned.withColumn("idx", F.col("idx") - 1).drop("_one").checkpoint()
+    scanned = running_sum(base, group_cols, order_cols, ["_one", "_sz"], ["idx", "_S"])
+    scanned = scanned.withColumn("idx", F.col("idx") - 1).drop("_one")
     # Threshold T[j] = prefix before the batch opened at j + budget.  Faithful mode: an item that
     # opens a batch by overflowing is not counted in it (only item 0 that fits is).
     counted = F.col("_S") - F.col("_sz") + F.col("_bud")
@@ -61,13 +53,12 @@ def _pack(items: DataFrame, group_cols: list[str], order_cols: list[str], size_c
     thr = counted if not faithful else F.when((F.col("idx") == 0) & (F.col("_sz") < F.col("_bud")), counted) \
         .otherwise(uncounted)
     probes = scanned.select(*group_cols, "idx", thr.alias("_T"))
-    lb = count_before(scanned, probes, group_cols, "_S", "_T", "idx", inclusive=False, out_col="_lb",
-                      max_group_rows=2 * bound)
+    lb = count_before(scanned, probes, group_cols, "_S", "_T", "idx", inclusive=False, out_col="_lb")
     pointers = lb.select(*group_cols, "idx", F.greatest(F.col("idx") + 1, F.col("_lb")).alias("nxt"))
     starts = follow_chain(pointers, group_cols, "idx", "nxt").withColumn("_start", F.lit(1).cast("long"))
     marked = scanned.join(starts, [*group_cols, "idx"], "left") \
         .withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))
-    numbered = running_sum(marked, group_cols, ["idx"], "_start", "batch_no", bound)
+    numbered = running_sum(marked, group_cols, ["idx"], "_start", "batch_no")
     sizes = numbered.groupBy(*group_cols, "batch_no").agg(F.count(F.lit(1)).alias("_n"),
                                                           F.max(F.col("_sz") >= F.col("_bud")).alias("_big"))
     out = (numbered.join(sizes, [*group_cols, "batch_no"])
@@ -78,37 +69,6 @@ def _pack(items: DataFrame, group_cols: list[str], order_cols: list[str], size_c
     return out.drop("_sz", "_bud")
 
 
-def _pack_small_groups(base: DataFrame, group_cols: list[str], order_cols: list[str], faithful: bool,
-                       total: int | None = None) -> DataFrame:
-    """Bounded groups: the greedy rule as one loop per partition over groups sorted in order.
-    Produces ``idx`` and ``batch_no``; oversize and the literal quirks use the same aggregations
-    as the parallel path."""
-    schema = T.StructType(base.schema.fields + [T.StructField("idx", T.LongType()),
-                                                T.StructField("batch_no", T.LongType())])
-
-    def init(r):
-        return {"k": -1, "b": 1, "acc": 0}
-
-    def step(st, r):
-        k, sz, bud = st["k"] + 1, r["_sz"], r["_bud"]
-        if k == 0:
-            st["acc"] = sz if (not faithful or sz < bud) else 0
-        elif st["acc"] + sz >= bud:
-            st["b"] += 1
-            st["acc"] = 0 if faithful else sz
-        else:
-            st["acc"] += sz
-        st["k"] = k
-        return st, (k, st["b"])
-
-    numbered = ordered.fold_in_groups(base, group_cols, order_cols, step, init, schema, ["_sz", "_bud"], total)
-    sizes = numbered.groupBy(*group_cols, "batch_no").agg(F.count(F.lit(1)).alias("_n"),
-                                                          F.max(F.col("_sz") >= F.col("_bud")).alias("_big"))
-    out = (numbered.join(sizes, [*group_cols, "batch_no"])
-           .withColumn("oversize", (F.col("_n") == 1) & F.col("_big")).drop("_n", "_big"))
-    return _literal_quirks(out, group_cols) if faithful else out
-
-
 def _literal_quirks(packed: DataFrame, group_cols: list[str]) -> DataFrame:
     """Reproduce the original's losses: an item that overflows as the group's last item is never
     emitted, and a first item that overflows on its own leaves an empty batch in front."""

@@ -6,19 +6,17 @@ frames.  Sequential in its original form; here every frame j gets ``next(j)`` =
 frame outside the band ``[v_j - threshold, v_j + threshold]``, found for all frames at once by a
 descent over a doubling table of range minima/maxima (one equi-join per level), and the kept
 frames are the chain ``first, next(first), ...`` followed by pointer doubling.  All joins are on
-``(group, index)``, so a very long sequence is spread over many tasks.  Sequences no longer than
-``FOLD_GROUP_ROWS`` frames are folded with a loop per sequence in one task instead.
+``(group, index)``, so a very long sequence is spread over many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from . import ordered
-from .ordered import follow_chain, group_stats, row_index, running_sum
+from .ordered import follow_chain, row_index, running_sum
 
 FRAME_STEP = 2
 SIMILARITY_THRESHOLD = 0.995
@@ -36,15 +34,12 @@ def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], v
 
 def _keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
                threshold: float, step: int) -> DataFrame:
-    bound, total = group_stats(frames, group_cols)
-    if bound <= ordered.FOLD_GROUP_ROWS:
-        return _keyframes_small_groups(frames, group_cols, order_cols, value_col, threshold, step, total)
-    f = row_index(frames, group_cols, order_cols, "_raw", bound)
+    f = row_index(frames, group_cols, order_cols, "_raw")
     f = f.filter(F.col("_raw") % step == 0).withColumn("idx", (F.col("_raw") / step).cast("long")) \
         .withColumn("_v", F.col(value_col).cast("double")).drop("_raw") \
         .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     # Chains run over the frames that have a value; ``_at`` keeps the frame's own place.
-    f = row_index(f.withColumnRenamed("idx", "_at"), group_cols, ["_at"], "idx", bound).checkpoint()
+    f = row_index(f.withColumnRenamed("idx", "_at"), group_cols, ["_at"], "idx").checkpoint()
     n_max = f.groupBy(*group_cols).agg(F.max("idx").alias("_last"))
     max_len = n_max.agg(F.max("_last")).first()[0]
     if max_len is None:
@@ -75,36 +70,10 @@ def _keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str],
     ptr = state.select(*group_cols, F.col("_j").alias("idx"), F.col("_pos").alias("nxt"))
     kept = follow_chain(ptr, group_cols, "idx", "nxt").withColumn("_one", F.lit(1).cast("long"))
     out = f.join(kept, [*group_cols, "idx"])
-    out = running_sum(out, group_cols, ["idx"], "_one", "kept_no", bound)
+    out = running_sum(out, group_cols, ["idx"], "_one", "kept_no")
     return out.withColumn("idx", F.col("_at")).drop("_one", "_v", "_at")
 
 
-def _keyframes_small_groups(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
-                            threshold: float, step: int, total: int | None = None) -> DataFrame:
-    """Bounded sequences: the rule as one loop per partition over sequences sorted in order."""
-    schema = T.StructType(frames.schema.fields + [T.StructField("idx", T.LongType()),
-                                                  T.StructField("kept_no", T.LongType())])
-
-    def init(r):
-        return {"raw": -1, "kept": 0, "last": None}
-
-    def advance(st, r):
-        st["raw"] += 1
-        if st["raw"] % step:
-            return st, None
-        v = r[value_col]
-        if v is None or v != v:
-            return st, None
-        v = float(v)
-        if st["kept"] == 0 or abs(v - st["last"]) > threshold:
-            st["kept"] += 1
-            st["last"] = v
-            return st, (st["raw"] // step, st["kept"])
-        return st, None
-
-    return ordered.fold_in_groups(frames, group_cols, order_cols, advance, init, schema, [value_col], total)
-
-
 def keyframe_counts(kept: DataFrame, frames: DataFrame, group_cols: list[str]) -> DataFrame:
     """Per sequence: frames saved and total frames (the original progress report)."""
     total = frames.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("total_frames"))

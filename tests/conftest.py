@@ -15,13 +15,3 @@ def spark():
     s = get_session("local[4]", shuffle_partitions=8)
     yield s
     s.stop()
-
-
-@pytest.fixture()
-def force_scan(monkeypatch):
-    """Run ordered scans through the range-partitioned block scan even on tiny data."""
-    from codeatlas.operators import ordered
-
-    monkeypatch.setattr(ordered, "WINDOW_GROUP_ROWS", 0)
-    monkeypatch.setattr(ordered, "FOLD_GROUP_ROWS", 0)
-    yield

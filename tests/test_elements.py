@@ -72,19 +72,3 @@ def test_leading_comments_fixture(spark):
 def test_call_names(spark):
     df = spark.createDataFrame([("function f(a) {\n  g(a); obj.m(); new K(1); if (x) { h(2); }\n  // z(3)\n}",)], "c string")
     assert df.select(call_names("c").alias("x")).first()["x"] == ["g", "h"]
-
-
-def test_drop_overlaps_fixture_chain_path(spark, force_scan):
-    test_drop_overlaps_fixture(spark)
-    test_drop_overlaps_keeps_outer(spark)
-
-
-def test_code_elements_same_on_scan_path(spark, monkeypatch):
-    from codeatlas.operators import ordered
-
-    cols = ["name", "kind", "start_line", "end_line", "parent_ordinal", "ordinal", "has_return", "signature", "content"]
-    window = sorted(tuple(r[c] for c in cols) for r in _elements(spark).collect())
-    monkeypatch.setattr(ordered, "WINDOW_GROUP_ROWS", 0)
-    monkeypatch.setattr(ordered, "FOLD_GROUP_ROWS", 0)
-    scan = sorted(tuple(r[c] for c in cols) for r in _elements(spark).collect())
-    assert window == scan and len(window) == 8

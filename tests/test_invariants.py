@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codeatlas.functions.keys import is_supported_ext, is_test_path
 from codeatlas.operators.retrieval import topk_similar
 from codeatlas.operators.snapshots import carry_forward, snapshot_diff, to_regenerate
-from codeatlas.plans.synth import first_line, retrieval_chunks, retrieval_queries, snapshot_v1, snapshot_v2
+from codeatlas.plans.synth import retrieval_chunks, retrieval_queries, snapshot_v1, snapshot_v2
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,7 @@ def test_carry_plus_regenerate_cover_new_snapshot_once(spark):
     v1 = snapshot_v1(docs)
     v2 = snapshot_v2(docs, spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
     diff = snapshot_diff(v1, v2)
-    old_docs = v1.filter(is_supported_ext("rel_path")).select("rel_path", first_line(F.col("content")).alias("doc"))
+    old_docs = v1.filter(is_supported_ext("rel_path")).select("rel_path", F.col("content").alias("doc"))
     carried = carry_forward(old_docs, diff, {"instance_key": "v2"}).select("rel_path")
     items = v2.filter(is_supported_ext("rel_path") & ~is_test_path("rel_path")).select("rel_path")
     regen = to_regenerate(items, diff).select("rel_path")

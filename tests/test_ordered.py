@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeatlas.operators.ordered import count_before, follow_chain, row_index, running_sum
+from codeatlas.operators.ordered import count_before, follow_chain, row_index, running_sum, window_sum
 from codeatlas.operators.packing import pack_batches
 from codeatlas.operators.sampling import keyframes
 
@@ -15,24 +15,23 @@ def _rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-@pytest.mark.parametrize("scan", [False, True])
-def test_running_sum_matches_window(spark, monkeypatch, scan):
-    from codeatlas.operators import ordered
-    if scan:
-        monkeypatch.setattr(ordered, "WINDOW_GROUP_ROWS", 0)
-        monkeypatch.setattr(ordered, "SCAN_ROWS_PER_PARTITION", 100)   # the hot group spans ~20 tasks
+@pytest.mark.parametrize("sums", [running_sum, window_sum])
+def test_running_sums_with_a_hot_group(spark, sums):
+    # Without coalescing the hot group spans most of the eight ranges.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rnd = random.Random(7)
     data = [(rnd.choice(["a", "b", "hot"] + ["hot"] * 5), i, rnd.randint(0, 9)) for i in range(3000)]
     df = spark.createDataFrame(data, "g string, i long, v long")
-    out = running_sum(df, ["g"], ["i"], "v", "s")
+    out = sums(df, ["g"], ["i"], "v", "s")
     expect, acc = [], {}
     for g, i, v in sorted(data, key=lambda r: (r[0], r[1])):
         acc[g] = acc.get(g, 0) + v
         expect.append((g, i, acc[g]))
     assert _rows(out, "g", "i", "s") == sorted(expect)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_row_index_and_count_before(spark, force_scan):
+def test_row_index_and_count_before(spark):
     df = spark.createDataFrame([("x", k, k * 10) for k in range(50)], "g string, k long, key long")
     idx = row_index(df, ["g"], ["k"], "idx")
     assert _rows(idx, "k", "idx") == [(k, k) for k in range(50)]
@@ -65,17 +64,13 @@ def _pack_reference(sizes, budget):
     return batches
 
 
-@pytest.mark.parametrize("chain", [False, True])
 @pytest.mark.parametrize("sizes,expect", [
     ([4, 4, 1, 4, 4], [1, 1, 1, 2, 2]),
     ([4, 4, 4], [1, 1, 2]),
     ([12, 1, 1], [1, 2, 2]),
     ([4, 4, 9, 4], [1, 1, 2, 3]),
 ])
-def test_pack_batches_fixture(spark, monkeypatch, chain, sizes, expect):
-    from codeatlas.operators import ordered
-    if chain:
-        monkeypatch.setattr(ordered, "FOLD_GROUP_ROWS", 0)
+def test_pack_batches_fixture(spark, sizes, expect):
     df = spark.createDataFrame([("i", k, s) for k, s in enumerate(sizes)], "inst string, k long, size long")
     out = pack_batches(df, ["inst"], ["k"], "size", budget=10)
     got = [r["batch_no"] for r in sorted(out.collect(), key=lambda r: r["k"])]
@@ -84,11 +79,7 @@ def test_pack_batches_fixture(spark, monkeypatch, chain, sizes, expect):
     assert over[0] == (sizes[0] >= 10)
 
 
-@pytest.mark.parametrize("chain", [False, True])
-def test_pack_batches_faithful(spark, monkeypatch, chain):
-    from codeatlas.operators import ordered
-    if chain:
-        monkeypatch.setattr(ordered, "FOLD_GROUP_ROWS", 0)
+def test_pack_batches_faithful(spark):
     # literal rule: 4 4 4 -> [0,1] and item 2 lost; 12 1 1 -> empty first batch, then [0,1,2].
     df = spark.createDataFrame([("a", 0, 4), ("a", 1, 4), ("a", 2, 4), ("b", 0, 12), ("b", 1, 1), ("b", 2, 1)],
                                "inst string, k long, size long")
@@ -106,7 +97,7 @@ def test_pack_batches_property(spark, sizes):
     assert got == _pack_reference(sizes, 50)
 
 
-def test_pack_batches_scan_path(spark, force_scan):
+def test_pack_batches_one_long_group(spark):
     rnd = random.Random(3)
     sizes = [rnd.randint(0, 30) for _ in range(200)]
     df = spark.createDataFrame([("hot", k, s) for k, s in enumerate(sizes)], "inst string, k long, size long")
@@ -125,12 +116,7 @@ def _keyframes_reference(values, thr, step=2):
     return kept
 
 
-@pytest.mark.parametrize("scan", [False, True])
-def test_keyframes_against_brute_force(spark, monkeypatch, scan):
-    from codeatlas.operators import ordered
-    if scan:
-        monkeypatch.setattr(ordered, "WINDOW_GROUP_ROWS", 0)
-        monkeypatch.setattr(ordered, "FOLD_GROUP_ROWS", 0)
+def test_keyframes_against_brute_force(spark):
     rnd = random.Random(11)
     values = [round(rnd.uniform(0, 50), 2) for _ in range(120)]
     df = spark.createDataFrame([("s", k, v) for k, v in enumerate(values)], "seq string, k long, v double")
@@ -161,13 +147,7 @@ def test_null_groups_and_values(spark):
     assert _null_cases(spark) == (_PACKS, _KEPT)
 
 
-def test_null_groups_and_values_on_the_scan_path(spark, force_scan):
-    assert _null_cases(spark) == (_PACKS, _KEPT)
-
-
-def test_running_sum_keeps_null_groups(spark, force_scan):
-    from codeatlas.operators.ordered import running_sum
-
+def test_running_sum_keeps_null_groups(spark):
     rows = spark.createDataFrame([(None, 1, 1), (None, 2, 1), ("a", 1, 1)], "g string, i long, v long")
     assert sorted((r["g"] or "", r["i"], r["s"]) for r in running_sum(rows, ["g"], ["i"], "v", "s").collect()) == [
         ("", 1, 1), ("", 2, 2), ("a", 1, 1)]
