@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUBSTRING_KEY = 8
+# Characters of the substrings that long needles are looked up by.
+GRAM = 8
 
 
 def path_suffixes(path) -> F.Column:
@@ -15,25 +16,41 @@ def path_suffixes(path) -> F.Column:
                        lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
 
 
+def _grams(text: str, width: F.Column) -> F.Column:
+    """Distinct substrings of ``width`` characters of a column (none when it is shorter)."""
+    last = F.char_length(text) - width + 1
+    starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, width)))
+
+
 def contains_join(haystack: DataFrame, needles: DataFrame, scope_cols: list[str], hay_col: str,
                   needle_col: str) -> DataFrame:
-    """Pairs (haystack row, needle row) with ``needle in hay`` inside the same scope, as an
-    equi-join: the haystack side emits, at every start offset, its substrings of length
-    1..SUBSTRING_KEY; a needle keys on its first min(len, SUBSTRING_KEY) characters; a residual
-    ``startswith`` settles longer needles.  No nested-loop or cross join."""
-    k = SUBSTRING_KEY
-    n = F.char_length(hay_col)
-    h = (haystack.select(*scope_cols, hay_col).distinct()
-         .select(*scope_cols, hay_col, F.explode(F.sequence(F.lit(1), n)).alias("_o"))
-         .select(*scope_cols, hay_col, "_o",
-                 F.explode(F.sequence(F.lit(1), F.least(F.lit(k), n - F.col("_o") + 1))).alias("_l"))
-         .select(*scope_cols, hay_col, F.expr(f"substring(`{hay_col}`, _o)").alias("_tail"), "_l",
-                 F.expr(f"substring(`{hay_col}`, _o, _l)").alias("_key")))
-    nd = needles.select(*scope_cols, needle_col).distinct().filter(F.char_length(needle_col) > 0) \
-        .select(*scope_cols, needle_col, F.least(F.lit(k), F.char_length(needle_col)).alias("_l"),
-                F.substring(needle_col, 1, k).alias("_key"))
-    pairs = h.join(nd, [*scope_cols, "_key", "_l"]).filter(F.col("_tail").startswith(F.col(needle_col)))
-    return pairs.select(*scope_cols, hay_col, needle_col).distinct()
+    """Pairs (haystack row, needle row) with ``needle in hay`` inside the same scope.
+
+    An equi-join on one substring of each needle.  A needle of at most ``GRAM`` characters is its own
+    key and needs no further test.  A longer one keys on that of its ``GRAM``-character substrings which
+    the fewest haystack texts of its scope hold, and ``contains`` settles the rest, so a shared folder
+    prefix or a common file name draws no candidates while the needle has anything rarer.  Null texts
+    and empty needles pair with nothing; null scopes match each other."""
+    scope = F.struct(*scope_cols) if scope_cols else F.lit(0)
+    hay = haystack.select(F.to_json(F.struct(scope.alias("s")), {"ignoreNullFields": "false"}).alias("_s"),
+                          *scope_cols, F.col(hay_col).alias("_hay")).distinct().filter(F.col("_hay").isNotNull())
+    ndl = needles.select(F.to_json(F.struct(scope.alias("s")), {"ignoreNullFields": "false"}).alias("_s"),
+                         F.col(needle_col).alias("_needle")).distinct().filter(F.char_length("_needle") > 0)
+    short = ndl.filter(F.char_length("_needle") <= GRAM).select("_s", "_needle", F.col("_needle").alias("_key"))
+    # Only the lengths that short needles have are cut from the haystack.
+    lengths = short.select("_s", F.char_length("_key").alias("_len")).distinct()
+    pieces = hay.join(lengths, "_s").select("_s", *scope_cols, "_hay", F.explode(_grams("_hay", F.col("_len"))).alias("_key"))
+    exact = pieces.join(short, ["_s", "_key"])
+    long = ndl.filter(F.char_length("_needle") > GRAM)
+    grams = hay.join(long.select("_s").distinct(), "_s", "left_semi") \
+        .select("_s", *scope_cols, "_hay", F.explode(_grams("_hay", F.lit(GRAM))).alias("_key"))
+    holders = grams.groupBy("_s", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    rare = long.select("_s", "_needle", F.explode(_grams("_needle", F.lit(GRAM))).alias("_key")).join(holders, ["_s", "_key"]) \
+        .groupBy("_s", "_needle").agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"))
+    tested = grams.join(rare, ["_s", "_key"]).filter(F.col("_hay").contains(F.col("_needle")))
+    cols = [*scope_cols, F.col("_hay").alias(hay_col), F.col("_needle").alias(needle_col)]
+    return exact.select(*cols).unionByName(tested.select(*cols))
 
 
 def match_paths(needles: DataFrame, files: DataFrame, scope_cols: list[str], needle_col: str = "needle",

@@ -78,9 +78,8 @@ def carry_forward(old_docs: DataFrame, diff: DataFrame, new_key: dict | None = N
     ``new_key``).  Docs of removed or modified files are dropped, as are docs of test paths.
 
     ``literal_substring`` reproduces the original matching rule, which drops a doc when any
-    changed path is a *substring* of its path (``a.js`` changed also drops ``a.jsx``); it is an
-    equi-join on every suffix of the doc path that starts at a character position, so no
-    nested-loop join is needed.
+    changed path is a *substring* of its path (``a.js`` changed also drops ``a.jsx``);
+    see ``contains_join``.
     """
     k = list(key_cols or [])
     docs = old_docs.filter(~is_test_path(F.col(path_col)))
