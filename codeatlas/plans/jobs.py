@@ -40,12 +40,14 @@ def build_import_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def build_doc_meta(files: DataFrame, elements: DataFrame, edges: DataFrame,
                    element_cap: int = X.ELEMENT_TOKEN_CAP) -> DataFrame:
-    """C3: per element its type and the callees it references through internal imports.
-    Elements over the token cap are skipped, as are vendored bundles."""
-    el = elements.filter(X.within_budget(X.token_count("content"), element_cap, strict=False))
-    el = el.filter(~F.col("rel_path").contains("mermaid.min.js") & ~F.col("rel_path").contains("video.min.js"))
+    """C3: per top-level element its type and the callees it references through internal imports (a
+    method's calls are its class's).  Vendored bundles are left out; elements over the token cap stay,
+    flagged ``over_cap`` and without callees."""
+    el = elements.filter(F.col("node_key").isNotNull()
+                         & ~F.col("rel_path").contains("mermaid.min.js") & ~F.col("rel_path").contains("video.min.js"))
+    el = el.withColumn("over_cap", ~X.within_budget(X.token_count("content"), element_cap, strict=False))
     internal = internal_imports(edges, files, INST)
-    refs = callee_refs(element_calls(el, KEY), internal, callables(elements, KEY), INST)
+    refs = callee_refs(element_calls(el.filter(~F.col("over_cap")), KEY), internal, callables(elements, KEY), INST)
     typed = el.withColumn("type", F.when(F.col("kind") == "class", "Class").otherwise("Function"))
     return typed.join(refs.withColumnRenamed("src_path", "rel_path"), [*KEY, "start_line", "name"], "left")
 
@@ -65,12 +67,12 @@ def refresh_docs(old_docs: DataFrame, old_files: DataFrame, new_files: DataFrame
 
 
 def summarise_files(element_docs: DataFrame, budget: int = PROMPT_BUDGET) -> DataFrame:
-    """C5: per file the numbered code descriptions of its elements, as a prompt under budget."""
+    """C5: per file the numbered code descriptions of its elements, as a prompt; ``over_budget`` marks prompts too long to send."""
     sec = element_docs.withColumn("section", X.doc_section("doc"))
     desc = file_description(sec, KEY, "start_line", "section")
     prompt = X.render_prompt("Describe this %s file.\n%s", F.element_at(F.split("rel_path", r"\."), -1), "description")
     out = desc.withColumn("prompt", prompt).withColumn("tokens", X.token_count("prompt"))
-    return out.filter(X.within_budget(F.col("tokens"), budget, strict=False))
+    return out.withColumn("over_budget", ~X.within_budget(F.col("tokens"), budget, strict=False))
 
 
 def retrieve_files(file_docs: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame, k: int = 50) -> DataFrame:
@@ -115,8 +117,8 @@ def element_contexts(answers: DataFrame, files: DataFrame, element_docs: DataFra
 def repair_contexts(answers: DataFrame, files: DataFrame, elements: DataFrame, done: DataFrame | None = None,
                     budget: int = PROMPT_BUDGET) -> DataFrame:
     """C9: buggy elements from the element answer, files matched, each file's text pruned to the
-    buggy elements, deduplicated and checked against the prompt budget (skipping files whose patch
-    already exists; other files of their instance stay)."""
+    buggy elements, deduplicated, with ``over_budget`` where it exceeds the prompt budget (skipping files
+    whose patch already exists; other files of their instance stay)."""
     want = fenced_elements(answers, INST, "answer")
     matched = match_paths(want.select(*INST, F.col("rel_path").alias("needle")).distinct(), files.select(*KEY),
                           INST, "needle")
@@ -127,7 +129,8 @@ def repair_contexts(answers: DataFrame, files: DataFrame, elements: DataFrame, d
         .select(*KEY, F.struct("start_line", "col").alias("at"), "signature", F.col("content").alias("text"), "keep")
     pruned = prune_context(files.join(matched.select(*KEY).distinct(), KEY), el, KEY, "keep", "at", "content")
     pruned = distinct_knowledge(pruned.withColumn("_o", F.lit(0)), [*KEY, "pruned"], "_o")
-    out = pruned.withColumn("tokens", X.token_count("pruned")).filter(X.within_budget(F.col("tokens"), budget, strict=False))
+    out = pruned.withColumn("tokens", X.token_count("pruned"))
+    out = out.withColumn("over_budget", ~X.within_budget(F.col("tokens"), budget, strict=False))
     return out if done is None else pending(out, done, KEY)
 
 

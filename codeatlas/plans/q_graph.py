@@ -90,7 +90,6 @@ _CALLS_SQL = f"""
 calls as (
   select instance_key, rel_path, u0 + 1 + c as start_line, 0 as pos, 'fn_' || q as call_name from u where kind = 0
   union all select instance_key, rel_path, u0, 0, 'fn_' || q from u where kind = 1
-  union all select instance_key, rel_path, u0 + 1, 0, 'fn_' || q from u where kind = 1
   union all select instance_key, rel_path, u0 + 1 + 3 * c, 0, 'util' from u where kind = 2),
 offered as (select instance_key, rel_path, name as callee, start_line as callee_line from ({_E_SQL} select * from e) x
             where (node_key is not null and kind <> 'class') or parent_ordinal is not null),
@@ -108,7 +107,7 @@ def _elements(spark, root, files=None):
 @register("call_names", _SPECS_SQL + "," + _CALLS_SQL + """
 select rel_path, cast(start_line as bigint) as start_line, cast(pos as bigint) as pos, call_name from calls""")
 def q_call_names(spark, root):
-    c = element_calls(_elements(spark, root), KEY)
+    c = element_calls(_elements(spark, root).filter(F.col("node_key").isNotNull()), KEY)
     return c.select("rel_path", F.col("start_line").cast("long").alias("start_line"),
                     F.col("pos").cast("long").alias("pos"), "call_name")
 
@@ -116,7 +115,7 @@ def q_call_names(spark, root):
 def _refs(spark, root):
     files = _files(spark, root)
     el = _elements(spark, root, files).checkpoint()
-    calls = element_calls(el, KEY)
+    calls = element_calls(el.filter(F.col("node_key").isNotNull()), KEY)   # a method's calls are its class's
     edges = internal_imports(_edges(spark, root, files), files, INST)
     offered = callables(drop_overlaps(el, KEY), KEY)
     return callee_refs(calls, edges, offered, INST), el

@@ -34,13 +34,18 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def sql_of(name: str) -> str:
+    """SQL twin of a query registered before, to build another one on."""
+    return _SQL[name]
+
+
 def T(spark: SparkSession, root: str, name: str) -> DataFrame:  # noqa: N802 - short on purpose
     return table(spark, root, name)
 
 
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
-    from . import (q_context, q_elements, q_graph, q_keys, q_media, q_retrieval,  # noqa: F401
+    from . import (q_context, q_elements, q_graph, q_jobs, q_keys, q_media, q_retrieval,  # noqa: F401
                    q_snapshots, q_text, q_usage)
 
 

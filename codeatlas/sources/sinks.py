@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _gathered(df: DataFrame, cols) -> DataFrame:
+    """Rows of one folder in few tasks, so few files; adaptive execution splits a hot folder's rows."""
+    return df.hint("rebalance", *cols)
+
+
 def write_jsonl(df: DataFrame, path: str, partition_cols=("instance_key",), mode: str = "overwrite") -> None:
     """One JSON object per line, one folder per instance."""
-    df.write.mode(mode).partitionBy(*partition_cols).json(path)
+    _gathered(df, partition_cols).write.mode(mode).partitionBy(*partition_cols).json(path)
 
 
 def write_table(df: DataFrame, path: str, partition_cols=("instance_key",), mode: str = "overwrite") -> None:
     """Columnar table partitioned by instance (the library's storage for every artefact)."""
-    df.write.mode(mode).partitionBy(*partition_cols).parquet(path)
+    _gathered(df, partition_cols).write.mode(mode).partitionBy(*partition_cols).parquet(path)
 
 
 def structure_json(elements: DataFrame, key_cols=("instance_key", "rel_path")) -> DataFrame:
@@ -51,7 +56,7 @@ def write_texts(df: DataFrame, path: str, key_cols=("instance_key",), batch_col:
     """Text artefacts keyed by instance.  ``mode='append'`` with a ``batch_col`` stores one row
     per ``(instance, batch)``; ``read_texts`` joins the batches back in order."""
     out = df if batch_col is None else df.withColumn(batch_col, F.col(batch_col).cast("long"))
-    out.write.mode(mode).partitionBy(*key_cols).parquet(path)
+    _gathered(out, key_cols).write.mode(mode).partitionBy(*key_cols).parquet(path)
 
 
 def read_texts(spark, path: str, key_cols=("instance_key",), batch_col: str = "batch_no",
