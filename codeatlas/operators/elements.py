@@ -14,7 +14,8 @@ Pipeline (every step is a DataFrame transformation; files are never gathered per
    (islands of comment lines above), ``has_return`` (difference of running counts of return lines),
    content (substring of the file between line offsets) and the class an element belongs to.
 
-Accuracy limits (part of the contract): one declaration per line; template literals and block
+Accuracy limits (part of the contract): one declaration per line, its parameters on that line (an arrow
+function whose parameters span lines is not found); template literals and block
 comments spanning lines are treated by line (comment lines starting with ``/*`` or ``*`` are
 blanked); braces in regex literals are counted.
 """
@@ -34,7 +35,7 @@ KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "with
 _BLANK = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|/\*.*?\*/|//.*$"
 
 DECL_PATTERNS = (
-    ("class", r"(?:^|[^\w$.])class\s+(" + IDENT + r")"),
+    ("class", r"(?:^|[^\w$.])class(?:\s+(?!extends\b|implements\b)(" + IDENT + r")|\s*(?=\{)|\s+(?=extends\b|implements\b))"),
     ("interface", r"(?:^|[^\w$.])interface\s+(" + IDENT + r")"),
     ("alias", r"^\s*(?:export\s+)?type\s+(" + IDENT + r")\s*(?:<[^>]*>)?\s*="),
     ("function", r"(?:^|[^\w$.])function\b\s*\*?\s*(" + IDENT + r")?\s*\(([^)]*)\)"),

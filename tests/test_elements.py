@@ -72,3 +72,10 @@ def test_leading_comments_fixture(spark):
 def test_call_names(spark):
     df = spark.createDataFrame([("function f(a) {\n  g(a); obj.m(); new K(1); if (x) { h(2); }\n  // z(3)\n}",)], "c string")
     assert df.select(call_names("c").alias("x")).first()["x"] == ["g", "h"]
+
+
+def test_unnamed_classes(spark):
+    text = "export default class extends A {\n  run() { return 1; }\n}\nconst B = class {\n}\nclass Named extends A {\n}"
+    files = spark.createDataFrame([("i", "a.js", text)], "instance_key string, rel_path string, content string")
+    el = sorted((r["start_line"], r["end_line"], r["kind"], r["name"]) for r in code_elements(files, ["instance_key", "rel_path"]).collect())
+    assert el == [(1, 3, "class", "class_1"), (2, 2, "function", "run"), (4, 5, "class", "class_2"), (6, 7, "class", "Named")]
