@@ -74,6 +74,11 @@ def attach_docs(items: DataFrame, docs: DataFrame, keys: list[str], doc_col: str
         .withColumn(doc_col, F.coalesce(F.col(doc_col), F.lit(missing)))
 
 
+def docs_for_file(docs: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """Docs of the elements of the listed files; a file listed twice counts once."""
+    return docs.join(files.select(*keys), keys, "left_semi")
+
+
 def attach_element_type(docs: DataFrame, meta: DataFrame, keys: list[str], order_col: str = "ordinal") -> DataFrame:
     """Type of each documented element from the metadata: none -> ``''``, several -> the last
     (``max_by`` over the metadata order, an aggregation rather than a window)."""

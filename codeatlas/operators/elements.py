@@ -265,6 +265,14 @@ def leading_comments(lines: DataFrame, starts: DataFrame, key_cols: list[str]) -
     return bl.select(*key_cols, "start_line", "_o1", "_o2")
 
 
+def class_members(elements: DataFrame, key_cols: list[str]) -> DataFrame:
+    """``key + (class_name, member, start_line)``: the functions inside each class, at any depth."""
+    members = elements.filter(F.col("parent_ordinal").isNotNull()).select(
+        *key_cols, F.col("parent_ordinal").alias("ordinal"), F.col("name").alias("member"), "start_line")
+    classes = elements.filter(F.col("kind") == "class").select(*key_cols, "ordinal", F.col("name").alias("class_name"))
+    return members.join(classes, [*key_cols, "ordinal"]).select(*key_cols, "class_name", "member", "start_line")
+
+
 def element_ordinals(elements: DataFrame, key_cols: list[str]) -> DataFrame:
     """``row_number() over (partition by file, kind order by start_line)`` without a window."""
     return row_index(elements, [*key_cols, "kind"], ["start_line", "col"], "kind_ordinal", window_sum) \

@@ -135,6 +135,25 @@ def callee_refs(calls: DataFrame, edges: DataFrame, offered: DataFrame, inst_col
     return c.join(e, [*inst_cols, "src_path"]).join(o, [*inst_cols, "dst_path", "call_name"])
 
 
+def reference_context(refs: DataFrame, elements: DataFrame, docs: DataFrame, inst_cols: list[str],
+                      path_col: str = "rel_path") -> DataFrame:
+    """Per calling element the text of what it references: path, doc (``None`` where ``docs`` has none),
+    signature and code of every resolved callee in reference order.
+
+    ``refs`` as from ``callee_refs``; ``elements`` and ``docs`` are keyed by instance, path and
+    ``start_line``.  Returns ``inst_cols + [src_path, start_line, n_refs, context]``, one row per caller,
+    bounded by the calls in that element's own text."""
+    keys = [*inst_cols, "dst_path", "callee_line"]
+    at = [*inst_cols, F.col(path_col).alias("dst_path"), F.col("start_line").alias("callee_line")]
+    j = refs.join(elements.select(*at, "signature", "content"), keys).join(docs.select(*at, "doc"), keys, "left")
+    text = F.concat_ws("\n", "dst_path", F.coalesce("doc", F.lit("None")), "signature", "content", F.lit(""))
+    g = j.groupBy(*inst_cols, "src_path", "start_line").agg(
+        F.count(F.lit(1)).alias("n_refs"),
+        F.array_sort(F.collect_list(F.struct("pos", "dst_path", "callee_line", text.alias("t")))).alias("_r"))
+    return g.select(*inst_cols, "src_path", "start_line", "n_refs",
+                    F.array_join(F.transform("_r", lambda s: s["t"]), "").alias("context"))
+
+
 def docs_ready(elements: DataFrame, refs: DataFrame, documented: DataFrame, id_cols: list[str]) -> DataFrame:
     """Elements (not yet documented) all of whose callees already have docs: a universal
     condition as two anti-joins - refs to undocumented callees mark the caller unresolved."""

@@ -61,7 +61,7 @@ def q_batch_counts(spark, root):
 
 
 # -- path matching, doc attachment, dedup, pruning, element diff ---------------------------------
-from ..operators.context import (attach_docs, attach_element_type, attach_instance, distinct_knowledge,  # noqa: E402
+from ..operators.context import (attach_docs, attach_element_type, attach_instance, distinct_knowledge, docs_for_file,  # noqa: E402
                                  element_diff, file_description, first_doc_wins, match_paths, prune_context)
 from ..operators.elements import file_lines  # noqa: E402
 from .code_fixture import FILE_UNITS  # noqa: E402
@@ -134,8 +134,8 @@ select d.rel_path, d.name, d.doc from {_DOCS_SQL} d join files f on d.rel_path =
 def q_docs_for_file(spark, root):
     p = T(spark, root, "part").filter(F.col("p_size") > 40)
     files = p.select(F.concat(F.lit("src/mod_"), F.floor(F.col("p_partkey") / FILE_UNITS).cast("string"))
-                     .alias("rel_path")).distinct()
-    return _docs(spark, root).join(files, "rel_path").select("rel_path", "name", "doc")
+                     .alias("rel_path"))
+    return docs_for_file(_docs(spark, root), files, ["rel_path"]).select("rel_path", "name", "doc")
 
 
 @register("attach_element_type", f"""

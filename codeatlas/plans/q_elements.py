@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.elements import (code_elements, definitions, drop_overlaps, file_lines)
+from ..operators.elements import (class_members, code_elements, definitions, drop_overlaps, element_ordinals,
+                                  file_lines)
 from .code_fixture import FILE_LINES_SQL, UNITS_SQL, source_files
 from .registry import T, register
 
@@ -76,11 +77,7 @@ select m.instance_key, m.rel_path, c.name as class_name, m.name as member, m.sta
 from e m join e c on m.instance_key = c.instance_key and m.rel_path = c.rel_path and c.kind = 'class'
  and c.ordinal = m.parent_ordinal where m.parent_ordinal is not null""")
 def q_class_members(spark, root):
-    el = _out(_elements(spark, root))
-    m = el.filter(F.col("parent_ordinal").isNotNull()).select(*KEY, F.col("parent_ordinal").alias("ordinal"),
-                                                               F.col("name").alias("member"), "start_line")
-    c = el.filter(F.col("kind") == "class").select(*KEY, "ordinal", F.col("name").alias("class_name"))
-    return m.join(c, [*KEY, "ordinal"]).select(*KEY, "class_name", "member", "start_line")
+    return class_members(_out(_elements(spark, root)), KEY)
 
 
 @register("leading_comments", _E_SQL + "select rel_path, start_line, signature from e where signature <> ''")
@@ -110,10 +107,13 @@ def q_drop_overlaps(spark, root):
     return drop_overlaps(el, KEY).select("rel_path", "kind", "name", F.col("start_line").cast("long").alias("start_line"))
 
 
-@register("element_ordinals", _E_SQL + "select rel_path, node_key, name, start_line from e where node_key is not null")
+@register("element_ordinals", _E_SQL + """
+select rel_path, node_key, name, start_line, row_number() over (partition by rel_path, kind order by start_line) as kind_ordinal
+from e where node_key is not null""")
 def q_element_ordinals(spark, root):
-    el = _out(_elements(spark, root))
-    return el.filter(F.col("node_key").isNotNull()).select("rel_path", "node_key", "name", "start_line")
+    el = _elements(spark, root).filter(F.col("node_key").isNotNull())
+    return element_ordinals(el, KEY).select("rel_path", "node_key", "name", F.col("start_line").cast("long").alias("start_line"),
+                                            "kind_ordinal")
 
 
 @register("definitions", _E_SQL + """

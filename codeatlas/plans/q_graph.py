@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.elements import code_elements, drop_overlaps
 from ..operators.graph import (callables, callee_refs, doc_waves, docs_ready, element_calls, graph_nodes,
-                               import_edges, import_specs, imports_by_file, internal_imports, resolve_import)
+                               import_edges, import_specs, imports_by_file, internal_imports, reference_context, resolve_import)
 from .code_fixture import UNITS_SQL, source_files
 from .q_elements import _E_SQL
 from .registry import T, register
@@ -135,27 +135,16 @@ def q_callee_refs(spark, root):
 # that return a value), signature and code of every resolved callee, in reference order.
 @register("reference_context", _SPECS_SQL + "," + _CALLS_SQL + f""",
 el as ({_E_SQL} select * from e)
-select r.src_path, cast(r.start_line as bigint) as start_line, count(*) as n_refs,
+select r.instance_key, r.src_path, cast(r.start_line as bigint) as start_line, count(*) as n_refs,
        string_agg(r.dst_path || chr(10) || case when el.has_return then 'Doc of ' || el.name else 'None' end
                   || chr(10) || el.signature || chr(10) || el.content || chr(10), ''
                   order by r.pos, r.dst_path, r.callee_line) as context
 from refs r join el on el.instance_key = r.instance_key and el.rel_path = r.dst_path and el.start_line = r.callee_line
-group by r.src_path, r.start_line""")
+group by r.instance_key, r.src_path, r.start_line""")
 def q_reference_context(spark, root):
     r, el = _refs(spark, root)
     docs = el.filter(F.col("has_return")).select(*KEY, "start_line", F.concat(F.lit("Doc of "), F.col("name")).alias("doc"))
-    callee = el.select(F.col("instance_key"), F.col("rel_path").alias("dst_path"), F.col("start_line").alias("callee_line"),
-                       "signature", "content")
-    d = docs.select("instance_key", F.col("rel_path").alias("dst_path"), F.col("start_line").alias("callee_line"), "doc")
-    j = r.join(callee, ["instance_key", "dst_path", "callee_line"]) \
-        .join(d, ["instance_key", "dst_path", "callee_line"], "left") \
-        .withColumn("doc", F.coalesce("doc", F.lit("None")))
-    txt = F.concat_ws("\n", "dst_path", "doc", "signature", "content", F.lit(""))
-    g = j.groupBy("src_path", "start_line").agg(
-        F.count(F.lit(1)).alias("n_refs"),
-        F.array_sort(F.collect_list(F.struct("pos", "dst_path", "callee_line", txt.alias("t")))).alias("_r"))
-    return g.select("src_path", F.col("start_line").cast("long").alias("start_line"), "n_refs",
-                    F.array_join(F.transform("_r", lambda s: s["t"]), "").alias("context"))
+    return reference_context(r, el, docs, INST).withColumn("start_line", F.col("start_line").cast("long"))
 
 
 # -- documentation scheduling over the part tree ---------------------------------------------
