@@ -115,20 +115,29 @@ def _le16(b, start: int):
 
 
 def read_images(spark: SparkSession, root: str, assets: DataFrame | None = None, name_col: str = "name") -> DataFrame:
-    """Image files under ``root``: ``(name, bytes, width, height)``; PNG and GIF sizes come from
-    their headers, other formats get null sizes.  With ``assets`` (a list of wanted names) the
-    result is a left join from that list: a missing file keeps its row with null bytes and size,
-    which the token estimate counts as 0."""
+    """Image files under ``root``: ``(instance_key, name, bytes, width, height, size_known)``.  The instance
+    is the folder below ``root`` that holds the file; PNG and GIF sizes come from their headers.
+
+    With ``assets`` (a list of wanted names) the result is a left join from that list, by instance too
+    when the list has ``instance_key``.  The list's own ``width`` and ``height`` count where the header
+    gives none (JPEG, WebP).  A missing file keeps its row with null bytes; ``size_known`` is false where
+    no size was found, which the token estimate counts as 0."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     b = F.col("content")
     is_png = F.hex(F.substring(b, 1, 8)) == "89504E470D0A1A0A"
     is_gif = F.substring(b, 1, 3).cast("string") == "GIF"
-    imgs = raw.select(F.element_at(F.split("path", "/"), -1).alias(name_col), b.alias("bytes"),
+    rel = _relative(F.col("path"), root)
+    imgs = raw.select(F.regexp_replace(rel, "/?[^/]*$", "").alias("instance_key"),
+                      F.element_at(F.split(rel, "/"), -1).alias(name_col), b.alias("bytes"),
                       F.when(is_png, _be_int(b, 17, 4)).when(is_gif, _le16(b, 7)).alias("width"),
                       F.when(is_png, _be_int(b, 21, 4)).when(is_gif, _le16(b, 9)).alias("height"))
-    if assets is None:
-        return imgs
-    return assets.join(imgs, name_col, "left")
+    if assets is not None:
+        keys = [c for c in ("instance_key", name_col) if c in assets.columns]
+        stated = [c for c in ("width", "height") if c in assets.columns]
+        listed = assets.withColumnsRenamed({c: f"_{c}" for c in stated})
+        found = listed.join(imgs if len(keys) == 2 else imgs.drop("instance_key"), keys, "left")
+        imgs = found.withColumns({c: F.coalesce(c, f"_{c}") for c in stated}).drop(*[f"_{c}" for c in stated])
+    return imgs.withColumn("size_known", F.col("width").isNotNull() & F.col("height").isNotNull())
 
 
 def list_gifs(spark: SparkSession, root: str) -> DataFrame:

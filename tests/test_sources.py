@@ -93,3 +93,16 @@ def test_images_and_gifs(spark):
     got = {r["name"]: (r["width"], r["height"]) for r in S.read_images(spark, root, assets).collect()}
     assert got == {"a.png": (640, 480), "b.GIF": (300, 200), "missing.png": (None, None)}
     assert [os.path.basename(r["path"]) for r in S.list_gifs(spark, root).collect()] == ["b.GIF"]
+
+
+def test_images_of_instances_with_equal_names(spark):
+    root = tempfile.mkdtemp(prefix="img-")
+    for folder, width in (("org/one/1", 300), ("org/two/1", 100)):
+        _write(root, f"{folder}/a.gif", b"GIF89a" + struct.pack("<HH", width, 50) + b"\x00\x00\x00")
+    _write(root, "org/one/1/c.webp", b"RIFF....WEBP")
+    assets = spark.createDataFrame([("org/one/1", "a.gif", None, None), ("org/two/1", "a.gif", 7, 7), ("org/one/1", "c.webp", 20, 30),
+                                    ("org/two/1", "c.webp", None, None)], "instance_key string, name string, width int, height int")
+    got = {(r["instance_key"], r["name"]): (r["width"], r["height"], r["size_known"])
+           for r in S.read_images(spark, root, assets).collect()}
+    assert got == {("org/one/1", "a.gif"): (300, 50, True), ("org/two/1", "a.gif"): (100, 50, True),
+                   ("org/one/1", "c.webp"): (20, 30, True), ("org/two/1", "c.webp"): (None, None, False)}
