@@ -111,12 +111,6 @@ def within_budget(tokens, budget: int, strict: bool = True) -> Column:
     return (_c(tokens) < budget) if strict else (_c(tokens) <= budget)
 
 
-def numbered_list(items) -> Column:
-    """``1. a`` newline ``2. b`` ... from an array of strings (each item followed by a blank line)."""
-    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x,
-                                                             F.lit("\n"))), "")
-
-
 def token_count_udf(encode):
     """Pluggable exact counter: wrap any ``encode(str) -> sequence`` (for example a BPE
     tokenizer's ``encode``) as an Arrow-batched pandas UDF returning the token count per row.
