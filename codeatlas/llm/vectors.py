@@ -1,5 +1,6 @@
 """Embedding near-duplicates: robust-pruned graphs of overlapping cluster shards, their adjacency
-lists united, range-expanding greedy search from medoids, an audit of recall, exact verification."""
+lists united, range-expanding greedy search from medoids, an audit of recall by shard, block against
+block where it falls short."""
 
 from __future__ import annotations
 
@@ -26,7 +27,10 @@ DEGREE = 16
 ALPHA = 1.2
 BEAM = 24
 AUDIT_QUERIES = 200
+AUDIT_PER_SHARD = 8        # besides, of each shard of a split label
 AUDIT_RECALL = 0.95
+EXACT_ROWS = 8000          # rows of a block that is compared with every block of its label
+TILE = 1 << 21             # products held at once
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -280,8 +284,9 @@ def classes_of(vectors: DataFrame) -> DataFrame:
         "vec_id", "label", "vec", F.when(F.coalesce("ok", F.lit(False)), F.xxhash64("label", "vec")).alias("cid"))
 
 
-def _linked(classes: DataFrame, overlap: int, threshold: float) -> DataFrame:
-    """(cid, vec, size, shard) -> (cid, links, low): links found per shard, and spanning edges."""
+def _linked(classes: DataFrame, overlap: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(cid, vec, size, shard) -> (cid, links, low): links found per shard, and spanning edges; and
+    (cid, home_shard)."""
     members = write_table(shards_of(classes.select("cid", "shard", "vec"), overlap), "members")
     near = members.select("cid", "shard", "vec").groupBy("shard").applyInArrow(_adjacency, "cid long, near array<long>")
     # Uniting the lists of a node's shards: as many lists as it has shards.
@@ -289,7 +294,104 @@ def _linked(classes: DataFrame, overlap: int, threshold: float) -> DataFrame:
     own = members.groupBy("cid").agg(F.collect_set("shard").alias("shards"),
                                      F.max(F.when(F.col("home"), F.col("shard"))).alias("home_shard"))
     full = members.drop("home").join(near.join(own, "cid"), "cid").join(classes.select("cid", "size"), "cid")
-    return cut(full.groupBy("shard").applyInArrow(_links(threshold), "cid long, links long, low long"))
+    found = cut(full.groupBy("shard").applyInArrow(_links(threshold), "cid long, links long, low long"))
+    return found, members.where("home").select("cid", F.col("shard").alias("home_shard"))
+
+
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of ``x`` by rows of ``y``: cosine >= threshold.  Products of unit vectors decide all but
+    those next to the threshold, which are worked out as the search's verification does."""
+    sims = _unit(x) @ _unit(y).T
+    near = sims >= threshold
+    i, j = np.nonzero(np.abs(sims - threshold) < 1e-9)
+    for k in range(0, len(i), 65536):
+        a, b = x[i[k:k + 65536]], y[j[k:k + 65536]]
+        norm = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
+        near[i[k:k + 65536], j[k:k + 65536]] = np.einsum("ij,ij->i", a, b) / norm >= threshold
+    return near
+
+
+def _merge(lab: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``lab`` (each node's smallest known relative) after the edges u-v."""
+    while True:
+        low, high = np.minimum(lab[u], lab[v]), np.maximum(lab[u], lab[v])
+        if (low == high).all():
+            return lab
+        np.minimum.at(lab, high, low)
+        while not (lab[lab] == lab).all():
+            lab = lab[lab]
+
+
+def _block_links(threshold: float):
+    def fn(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cid")
+        cids, n = t["cid"].to_numpy(), t.num_rows
+        x, sizes, block = _matrix(t["vec"], n), t["size"].to_numpy().astype(np.float64), t["block"].to_numpy()
+        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        links, lab = np.zeros(n), np.arange(n)
+        step = max(1, TILE // max(1, len(b)))
+        for k in range(0, len(a), step):
+            r = a[k:k + step]
+            near = _near(x[r], x[b], threshold) & (r[:, None] != b[None, :])
+            links[r] += near @ sizes[b]
+            if lo != hi:
+                links[b] += sizes[r] @ near
+            # Of the edges between parts, one a row and one a column join them, until none is left.
+            while True:
+                apart = near & (lab[r][:, None] != lab[b][None, :])
+                p, q = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+                if not len(p):
+                    break
+                lab = _merge(lab, np.r_[r[p], r[apart[:, q].argmax(0)]], np.r_[b[apart[p].argmax(1)], b[q]])
+        keep = links > 0
+        return pa.table({"cid": cids[keep], "links": links[keep].astype(np.int64), "low": cids[lab[keep]]})
+    return fn
+
+
+def exact_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(cid, vec, size, shard) -> (cid, links, low) of all links: within each label, every block of about
+    ``EXACT_ROWS`` classes against every other and itself, a task a pair of blocks.  A task returns counts
+    and spanning edges, no pairs."""
+    sizes = classes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / EXACT_ROWS).cast("int").alias("blocks"))
+    rows = (classes.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), "blocks").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rows = rows.select("shard", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                       "block", "cid", "vec", "size")
+    return cut(rows.groupBy("shard", "lo", "hi").applyInArrow(_block_links(threshold), "cid long, links long, low long"))
+
+
+def weak_labels(classes: DataFrame, homes: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(shard): the split labels in which, for the vectors at home in some shard, less than ``AUDIT_RECALL``
+    of the links were found.  Asks ``AUDIT_PER_SHARD`` classes of every shard (smallest hash), so a small lossy
+    region shows however many links lie elsewhere; brute force over the label in salted tasks."""
+    split = (classes.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_ROWS)
+             .select("shard", F.ceil(F.col("n") / TASK_ROWS).cast("int").alias("salts")))
+    rows = classes.join(split, "shard")
+    rank = F.row_number().over(Window.partitionBy("home_shard").orderBy(F.xxhash64("cid", F.lit("audit")), "cid"))
+    asked = cut(rows.join(homes, "cid").withColumn("rank", rank).where(F.col("rank") <= AUDIT_PER_SHARD)
+                .select("shard", "salts", "home_shard", "cid", "vec"))
+    dealt = (asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+             .select("shard", "salt", "cid", "vec", F.lit(0).cast("long").alias("size"), F.lit(True).alias("asked"))
+             .unionByName(rows.select("shard", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), "cid", "vec", "size",
+                                      F.lit(False).alias("asked"))))
+
+    def count(t: pa.Table) -> pa.Table:
+        cids, x, sizes = t["cid"].to_numpy(), _matrix(t["vec"], t.num_rows), t["size"].to_numpy().astype(np.float64)
+        q = t["asked"].to_numpy()
+        a, b = np.flatnonzero(q), np.flatnonzero(~q)
+        true = np.zeros(len(a))
+        step = max(1, TILE // max(1, len(b)))
+        for k in range(0, len(a), step):
+            r = a[k:k + step]
+            true[k:k + step] = (_near(x[r], x[b], threshold) & (cids[r][:, None] != cids[b][None, :])) @ sizes[b]
+        return pa.table({"cid": cids[a], "true": true.astype(np.int64)})
+
+    true = dealt.groupBy("shard", "salt").applyInArrow(count, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
+    got = found.groupBy("cid").agg(F.sum("links").alias("got"))
+    return (asked.select("shard", "home_shard", "cid").join(true, "cid").join(got, "cid", "left")
+            .groupBy("shard", "home_shard").agg(F.sum("true").alias("true"), F.sum(F.coalesce("got", F.lit(0))).alias("got"))
+            .where(F.col("got") < F.col("true") * AUDIT_RECALL).select("shard").distinct())
 
 
 def audit(classes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT_QUERIES) -> float:
@@ -325,8 +427,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     once, whatever its size.  Classes are put into overlapping cluster shards; each shard builds a
     robust-pruned graph; a node's adjacency lists are united over its shards; then each shard searches
     that graph from its medoid for the vectors at home in it, verifies hits in double precision, and returns
-    counts and spanning edges, no pairs.  If the audit finds less than ``AUDIT_RECALL`` of the links of
-    a query set, the shards are rebuilt with twice the overlap, up to twice.
+    counts and spanning edges, no pairs.  Labels that were split and in which the audit of some shard
+    finds less than ``AUDIT_RECALL`` of the links are compared block against block, and so is the whole table
+    if the audit over all of it still stays below.
 
     Null, zero or non-finite vectors and null labels link with nothing (their component is their own
     vec_id); a null vec_id takes part but is never a component's smallest id; rows that repeat are
@@ -336,13 +439,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = cut(rows.where("cid is not null").groupBy("cid").agg(
         F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("size"),
         F.min("vec_id").alias("low_id")).withColumn("shard", F.xxhash64("label", F.size("vec"))))
-    overlap = OVERLAP
-    for attempt in range(3):
-        found = _linked(classes, overlap, threshold)
+    found, homes = _linked(classes, OVERLAP, threshold)
+    weak = cut(weak_labels(classes, homes, found, threshold))
+    if not weak.isEmpty():
+        again = classes.join(weak, "shard", "left_semi")
+        found = cut(found.join(again, "cid", "left_anti").unionByName(exact_links(again, threshold)))
+    recall = audit(classes, found, threshold)
+    if recall < AUDIT_RECALL:
+        found = exact_links(classes, threshold)
         recall = audit(classes, found, threshold)
-        if recall >= AUDIT_RECALL:
-            break
-        overlap *= 2
     comp = connected_components(found.select(F.col("cid").alias("u"), F.col("low").alias("v")))
     per = (classes.select("cid", "size", "low_id")
            .join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")

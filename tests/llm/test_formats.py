@@ -213,6 +213,26 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_dense_ball_in_a_hot_label(spark):
+    """4500 near copies of one vector under one label, at production parameters: every link counts."""
+    rng = np.random.default_rng(3)
+    ball = rng.normal(size=(1, 32)) + rng.normal(scale=.3, size=(4500, 32))
+    x = np.concatenate([ball, rng.normal(size=(600, 32))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = vectors.near_vectors(df).toPandas().sort_values("vec_id")
+    unit = vectors._unit(x.astype(np.float64))
+    near = unit @ unit.T >= vectors.THRESHOLD
+    np.fill_diagonal(near, False)
+    assert near.sum() > 1_000_000 and (got["n_links"].to_numpy() == near.sum(1)).all()
+    low = np.arange(len(x))
+    while True:
+        then = np.minimum(low, np.where(near, low[None, :], len(x)).min(1))
+        if (then == low).all():
+            break
+        low = then
+    assert (got["component_id"].to_numpy() == low).all() and (got["audited_recall"] == 1).all()
+
+
 def test_pipeline(spark, sf, odd_docs, no_docs):
     import corpus_pipeline as cp
 
