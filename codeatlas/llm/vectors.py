@@ -251,13 +251,15 @@ def _links(threshold: float):
             np.einsum("ij,ij->i", x[i[k:k + 65536]], x[j[k:k + 65536]]) / (norm[i[k:k + 65536]] * norm[j[k:k + 65536]]) >= threshold
             for k in range(0, len(i), 65536))])
         i, j = i[sure], j[sure]
-        # A pair counts in the home shard of its first vector, or, where the second isn't a member of
-        # that, in the second's home shard.
+        # Only a pair of vectors that are each a member of the other's home shard can be found twice, so
+        # it goes out as a row; any other is counted here, in the one shard that can find it.
         own = t["shards"].to_pylist()
         wide = max(map(len, own))
         table = np.array([[*x, *[x[0]] * (wide - len(x))] for x in own], np.int64)
-        here = (home[i] == shard) | (home[j] == shard) & ~(table[j] == home[i][:, None]).any(1)
-        i, j = i[here], j[here]
+        far = np.where(home[i] == shard, j, i)
+        twice = (home[i] != home[j]) & (table[i + j - far] == home[far][:, None]).any(1)
+        pair_i, pair_j = i[twice], j[twice]
+        i, j = i[~twice], j[~twice]
         sizes = t["size"].to_numpy()
         links = np.bincount(i, sizes[j], n) + np.bincount(j, sizes[i], n)
         lab = np.arange(n)
@@ -270,7 +272,12 @@ def _links(threshold: float):
                 break
             lab = then
         keep = (links > 0) | (lab != np.arange(n))
-        return pa.table({"cid": cids[keep], "links": links[keep].astype(np.int64), "low": cids[lab[keep]]})
+        one = pa.table({"cid": cids[keep], "links": links[keep].astype(np.int64), "low": cids[lab[keep]]})
+        none = pa.nulls(one.num_rows, pa.int64())
+        one = one.append_column("other", none).append_column("other_links", none)
+        two = pa.table({"cid": cids[pair_i], "links": sizes[pair_j].astype(np.int64), "low": cids[pair_i],
+                        "other": cids[pair_j], "other_links": sizes[pair_i].astype(np.int64)})
+        return pa.concat_tables([one, two])
     return fn
 
 
@@ -284,6 +291,16 @@ def classes_of(vectors: DataFrame) -> DataFrame:
         "vec_id", "label", "vec", F.when(F.coalesce("ok", F.lit(False)), F.xxhash64("label", "vec")).alias("cid"))
 
 
+def _searched(full: DataFrame, threshold: float) -> DataFrame:
+    """Members with near, shards, home_shard and size -> (cid, links, low).  A pair that two shards
+    found counts once, and one that either found is never lost."""
+    rows = write_table(full.groupBy("shard").applyInArrow(
+        _links(threshold), "cid long, links long, low long, other long, other_links long"), "links")
+    pairs = cut(rows.where("other is not null").dropDuplicates(["cid", "other"]))
+    return (rows.where("other is null").select("cid", "links", "low").unionByName(pairs.select("cid", "links", "low"))
+            .unionByName(pairs.select(F.col("other").alias("cid"), F.col("other_links").alias("links"), F.col("cid").alias("low"))))
+
+
 def _linked(classes: DataFrame, overlap: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(cid, vec, size, shard) -> (cid, links, low): links found per shard, and spanning edges; and
     (cid, home_shard)."""
@@ -294,8 +311,7 @@ def _linked(classes: DataFrame, overlap: int, threshold: float) -> tuple[DataFra
     own = members.groupBy("cid").agg(F.collect_set("shard").alias("shards"),
                                      F.max(F.when(F.col("home"), F.col("shard"))).alias("home_shard"))
     full = members.drop("home").join(near.join(own, "cid"), "cid").join(classes.select("cid", "size"), "cid")
-    found = cut(full.groupBy("shard").applyInArrow(_links(threshold), "cid long, links long, low long"))
-    return found, members.where("home").select("cid", F.col("shard").alias("home_shard"))
+    return _searched(full, threshold), members.where("home").select("cid", F.col("shard").alias("home_shard"))
 
 
 def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -427,7 +443,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     once, whatever its size.  Classes are put into overlapping cluster shards; each shard builds a
     robust-pruned graph; a node's adjacency lists are united over its shards; then each shard searches
     that graph from its medoid for the vectors at home in it, verifies hits in double precision, and returns
-    counts and spanning edges, no pairs.  Labels that were split and in which the audit of some shard
+    counts and spanning edges; a pair that two shards can find is a row, counted once from either side (at most
+    ``SHARD_ROWS`` a vector).  Labels that were split and in which the audit of some shard
     finds less than ``AUDIT_RECALL`` of the links are compared block against block, and so is the whole table
     if the audit over all of it still stays below.
 

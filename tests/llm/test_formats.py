@@ -233,6 +233,25 @@ def test_vectors_dense_ball_in_a_hot_label(spark):
     assert (got["component_id"].to_numpy() == low).all() and (got["audited_recall"] == 1).all()
 
 
+def test_vectors_link_found_from_one_side_only(spark):
+    """1 (home 100) and 2 (home 200) link and are members of both shards. The way between them leads over 3, which
+    only shard 200 holds, so only 2's search finds the link; 3's links are found there too, each once."""
+    def at(degrees):
+        return [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+
+    both = [100, 200]
+    rows = []
+    for shard, cids in ((100, (1, 2, 4)), (200, (1, 2, 3))):
+        for cid in cids:
+            angle, near, shards, home, size = {1: (0, [3], both, 100, 1), 2: (20, [3], both, 200, 5), 3: (10, [1, 2], [200], 200, 1),
+                                               4: (-10, [1], [100], 100, 1)}[cid]
+            rows.append((cid, shard, at(angle), near, shards, home, size))
+    full = spark.createDataFrame(rows, "cid long, shard long, vec array<float>, near array<long>, shards array<long>, home_shard long, size long")
+    got = vectors._searched(full, .93).toPandas()
+    assert got.groupby("cid")["links"].sum().to_dict() == {1: 5 + 1 + 1, 2: 1 + 1, 3: 1 + 5, 4: 1}
+    assert set(got["low"][got["cid"] == 2]) & {1}
+
+
 def test_pipeline(spark, sf, odd_docs, no_docs):
     import corpus_pipeline as cp
 
