@@ -21,8 +21,10 @@ BATCH = 64
 RATE = 0.25
 CALIBRATION_SHARE = 0.2       # of the sampled rows; never trained on
 TARGET_ACCURACY = 0.99        # of accepted passages, on the calibration rows
-MAX_REJECTED = 0.002          # the threshold never rejects more of the calibration rows than this
-MAX_THRESHOLD = 0.35          # a text that mixes two learned languages evenly scores 1/2 and stays
+MAX_REJECTED = 0.002          # a threshold never rejects more of the calibration rows (of any language) than this
+SMOOTH = 0.05                 # added to a bucket's count in each language
+LONG = 300                    # subwords of a passage by which foreign and learned ones are told apart
+FOREIGN_SHARE = 0.9           # of the long foreign passages of a kind that lie below ``foreign``
 PIECE = 1 << 18               # characters worked on at once
 UNDETERMINED = "und"
 
@@ -92,10 +94,18 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    known: np.ndarray | None = None   # (BUCKETS + 1): log of a bucket's mean share in the languages' training passages
+    usual: float = 0.0                # mean of ``known`` over the clean calibration passages
+    spread: float = 0.0               # how far a clean mean over n subwords falls below that, times sqrt(n)
+    foreign: float = -np.inf          # and a text is foreign only if its mean lies below this
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """Mean over all subwords of each whole text; texts without a letter get the bias."""
-        k = len(self.langs)
+        return self.means(texts, self.scores)[0] + self.bias
+
+    def means(self, texts: list[str], tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Means of each table over all subwords of each whole text, and the number of subwords."""
+        k = len(tables)
         sums, n = np.zeros((len(texts), k)), np.zeros(len(texts))
         group: list[tuple[int, str]] = []
         size = 0
@@ -111,7 +121,7 @@ class Model:
                 at = np.minimum(np.maximum(starts - 1, 0), len(b) - 1)
                 np.add.at(n, who, np.add.reduceat((b != BUCKETS).astype(np.int64), at))
                 for c in range(k):
-                    np.add.at(sums[:, c], who, np.add.reduceat(self.scores[c][b], at, dtype=np.float64))
+                    np.add.at(sums[:, c], who, np.add.reduceat(tables[c][b], at, dtype=np.float64))
 
         for i, t in _pieces(texts):
             group.append((i, t))
@@ -121,11 +131,24 @@ class Model:
                 group, size = [], 0
         if group:
             flush()
-        return sums / np.maximum(n, 1)[:, None] + self.bias
+        return sums / np.maximum(n, 1)[:, None], n
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return _softmax(self.logits(texts) * self.temperature)
 
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, and whether each text is rejected: a top score below the threshold, or subwords that
+        no learned language uses much.  Few subwords must lie further off."""
+        if self.known is None:
+            p = self.probabilities(texts)
+            return p, p.max(1) < self.threshold
+        m, n = self.means(texts, np.vstack([self.scores, self.known]))
+        p = _softmax((m[:, :-1] + self.bias) * self.temperature)
+        return p, (p.max(1) < self.threshold) | self.strange(m[:, -1], n)
+
+    def strange(self, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (n > 0) & (mean < np.minimum(self.foreign, self.usual - self.spread / np.sqrt(np.maximum(n, 1))))
+
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
@@ -133,10 +156,62 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _features(text: str) -> np.ndarray:
-    b = np.concatenate(_buckets(np.concatenate([np.zeros(1, np.uint32), _codes(text)])))
+    return _of(_codes(text))
+
+
+def _of(codes: np.ndarray) -> np.ndarray:
+    b = np.concatenate(_buckets(np.concatenate([np.zeros(1, np.uint32), codes])))
     return b[b != BUCKETS].astype(np.int64)
 
 
+def _known(counts: np.ndarray) -> np.ndarray:
+    """(languages, BUCKETS) counts -> log of the mean share of each bucket, every language weighing the same."""
+    share = (counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * BUCKETS)
+    return np.r_[np.log(share.mean(0)), 0.0].astype(np.float32)
+
+
+def _tell_foreign(model: Model, texts: list[str], feats: list[np.ndarray], y: np.ndarray, fit: list[int], held: list[int], rng) -> None:
+    """Sets what ``Model.strange`` needs, from clean calibration passages and foreign ones: those of each
+    language against tables without it, and calibration passages with shuffled and with random letters."""
+    counts = np.stack([np.bincount(np.concatenate([np.empty(0, np.int64), *(feats[i] for i in fit if y[i] == c)]), minlength=BUCKETS)
+                       for c in range(len(model.langs))]).astype(np.float64)
+    taught = counts.sum(1) > 0
+    held = [i for i in held if taught[y[i]]]
+    if not held:
+        return
+    known = _known(counts[taught])
+    n = np.array([len(feats[i]) for i in held])
+    lang = y[held]
+    clean = np.array([known[feats[i]].mean(dtype=np.float64) for i in held])
+    usual = float(clean.mean())
+    off = (usual - clean) * np.sqrt(n)
+    long = n >= LONG if (n >= LONG).any() else n > 0
+    groups = [lang == c for c in np.unique(lang)]
+    spread = max(float(np.quantile(off[g], 1 - MAX_REJECTED, method="higher")) for g in groups)
+    low = min(float(np.quantile(clean[g & long], MAX_REJECTED, method="lower")) for g in groups if (g & long).any())
+    kinds = []
+    for c in np.unique(lang):
+        rest = taught.copy()
+        rest[c] = False
+        if rest.any():
+            without = _known(counts[rest])
+            kinds.append([without[feats[i]].mean(dtype=np.float64) for i, x, o in zip(held, lang, long, strict=True) if o and x == c])
+    codes = [_codes(texts[i]) for i, o in zip(held, long, strict=True) if o]
+    alphabet = np.unique(np.concatenate(codes))
+    alphabet = alphabet[alphabet != 0]
+    mixed, random = [], []
+    for x in codes:
+        at = np.flatnonzero(x)
+        for out, letters in ((mixed, rng.permutation(x[at])), (random, rng.choice(alphabet, len(at)))):
+            z = x.copy()
+            z[at] = letters
+            out.append(known[_of(z)].mean(dtype=np.float64))
+    kinds += [mixed, random]
+    high = max(float(np.quantile(x, FOREIGN_SHARE)) for x in kinds if len(x))
+    model.known, model.usual, model.spread = known, usual, max(spread, 0.0)
+    model.foreign = min(low, (low + high) / 2)
+
+
 def train(texts: list[str], labels: list[str], calibration: np.ndarray, seed: int = 7) -> Model | None:
     """Fit on rows where ``calibration`` is false; temperature and rejection threshold on the rest.
     None when there is nothing to learn from."""
@@ -187,7 +262,9 @@ def train(texts: list[str], labels: list[str], calibration: np.ndarray, seed: in
         acc = np.cumsum(right[by]) / np.arange(1, len(by) + 1)
         good = np.flatnonzero(acc >= TARGET_ACCURACY)
         accepted = max(good[-1] + 1 if len(good) else 0, int(np.ceil((1 - MAX_REJECTED) * len(by))))
-        model.threshold = min(MAX_THRESHOLD, float(top[by[min(accepted, len(by)) - 1]])) if accepted < len(by) else 0.0
+        model.threshold = float(top[by[min(accepted, len(by)) - 1]]) if accepted < len(by) else 0.0
+    if held:
+        _tell_foreign(model, texts, feats, y, fit, held, rng)
     return model
 
 
@@ -234,11 +311,12 @@ def predict_udf(model: Model | None):
         pred = np.full(len(texts), UNDETERMINED, object)
         score = np.zeros(len(texts))
         ok = np.fromiter((has_letter(t) for t in texts), bool, len(texts))
+        rejected = ~ok
         if model is not None and ok.any():
-            p = model.probabilities([t for t, o in zip(texts, ok, strict=True) if o])
+            p, no = model.judge([t for t, o in zip(texts, ok, strict=True) if o])
             pred[ok] = np.array(model.langs, object)[p.argmax(1)]
             score[ok] = p.max(1)
-        rejected = ~ok | (score < (model.threshold if model is not None else 0))
+            rejected[ok] = no
         return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": rejected})
 
     return predict
@@ -249,7 +327,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Only ``text`` enters a prediction; the model (fitted on ``docs`` when none is given) learned from
     rows that are not held out.  Null texts and texts without a letter: ``und``, score 0, rejected.
-    ``rejected`` otherwise marks scores under the calibrated threshold.  Null ids are predicted but
+    ``rejected`` otherwise marks scores under the calibrated threshold and texts whose subwords are not
+    those of the learned languages (foreign languages, encoded data, random letters).  Null ids are predicted but
     never learned from; repeated rows get equal rows; with no labelled row all is ``und``.
     """
     model = model or fit(docs)

@@ -30,6 +30,30 @@ def test_language_odd_rows(odd_docs, clashing, no_docs):
     assert kept.columns == clashing.columns and kept.count() <= 8
 
 
+def test_language_rejects_what_it_never_learned(spark):
+    """Without Spanish rows: Spanish, an unlearned script, random letters and encoded data go; clean texts and a
+    text of two learned languages stay."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where("lang <> 'es'"))
+    rng = np.random.default_rng(2)
+
+    def words(alphabet):
+        return " ".join("".join(rng.choice(list(alphabet), rng.integers(3, 9))) for _ in range(60))
+
+    parts = docs.where(langid.held_out(F.col("doc_id")) & (F.length("text") > 400)).toPandas()
+    texts = {x: parts["text"][parts["lang"] == x].tolist() for x in ("en", "fr", "de", "es")}
+    odd = [words("abcdefghijklmnopqrstuvwxyz") for _ in range(20)] + [words("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(20)]
+    both = [a[:400] + " " + b[:400] for a, b in zip(texts["en"], texts["fr"], strict=False)]
+    assert model.judge(odd)[1].all() and model.judge(texts["es"])[1].mean() > 0.9
+    assert not model.judge(both)[1].any()
+    clean = texts["en"] + texts["fr"] + texts["de"]
+    assert model.judge(clean)[1].mean() <= 0.01
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(odd + clean)], "doc_id long, text string"), model).toPandas()
+    assert got["rejected"][got["doc_id"] < len(odd)].all() and got["rejected"][got["doc_id"] >= len(odd)].mean() <= 0.01
+
+
 def test_language_pieces_equal_whole(monkeypatch):
     model = langid.train(["hello world this is", "bonjour le monde ici"] * 20, ["en", "fr"] * 20, np.zeros(40, bool))
     text = "hello world, bonjour le monde " * 300
