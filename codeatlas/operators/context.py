@@ -127,10 +127,12 @@ def prune_context(files: DataFrame, elements: DataFrame, key_cols: list[str], ke
 
 
 def element_diff(old: DataFrame, new: DataFrame, key_cols: list[str], content_col: str = "content") -> DataFrame:
-    """Element-level diff: added / removed by key, modified when the text's SHA-256 differs."""
-    o = old.select(*key_cols, F.sha2(F.col(content_col), 256).alias("_ho"))
-    n = new.select(*key_cols, F.sha2(F.col(content_col), 256).alias("_hn"))
-    j = o.join(n, key_cols, "full_outer")
-    change = (F.when(F.col("_ho").isNull(), "added").when(F.col("_hn").isNull(), "removed")
-              .when(F.col("_ho") != F.col("_hn"), "modified"))
+    """Element-level diff: added / removed by key, modified when the text's SHA-256 differs.  Null
+    content equals null content; an element without content exists all the same."""
+    def side(df, s):
+        return df.select(*key_cols, F.lit(True).alias(f"_in{s}"), F.sha2(F.col(content_col), 256).alias(f"_h{s}"))
+
+    j = side(old, "o").join(side(new, "n"), key_cols, "full_outer")
+    change = (F.when(F.col("_ino").isNull(), "added").when(F.col("_inn").isNull(), "removed")
+              .when(~F.col("_ho").eqNullSafe(F.col("_hn")), "modified"))
     return j.select(*key_cols, change.alias("change")).filter(F.col("change").isNotNull())

@@ -6,7 +6,7 @@ one task, so a hot group would serialise the job.  The three building blocks her
 
 * ``running_sum``   - inclusive prefix sum within a group in a total order.  Rows are
   range-partitioned on ``(group, order)`` so a large group is spread over many tasks; every
-  task sums its own contiguous block (vectorised, Arrow batches), a small table with one row per
+  task sums its own contiguous block (vectorised, Arrow batches; nulls form a group), a small table with one row per
   ``(task, group)`` block gives each block its carry-in, and a join adds it back.
   ``window_sum`` gives the same sums by a window, for groups that are the lines of one text.
 * ``count_before``  - for probe rows, how many item rows of the same group sort before a probe
@@ -27,37 +27,58 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 
 
+def _changes(col, n: int):
+    """Where a sorted Arrow column differs from its row before (rows 1 to n - 1); nulls equal nulls."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    here, before = col.slice(1), col.slice(0, n - 1)
+    if pa.types.is_nested(col.type):
+        return np.fromiter((x != y for x, y in zip(here.to_pylist(), before.to_pylist())), bool, n - 1)
+    none = pc.xor(pc.is_null(here, nan_is_null=True), pc.is_null(before, nan_is_null=True))
+    both = pc.and_(pc.is_valid(here), pc.is_valid(before))
+    if pa.types.is_floating(col.type):
+        both = pc.and_(both, pc.and_(pc.fill_null(pc.invert(pc.is_nan(here)), False),
+                                     pc.fill_null(pc.invert(pc.is_nan(before)), False)))
+    other = pc.and_(both, pc.fill_null(pc.not_equal(here, before), False))
+    return pc.or_(none, other).to_numpy(zero_copy_only=False)
+
+
 def _block_scan(group_cols: list[str], value_cols: list[str], out_cols: list[str]):
     """Per-partition running sums within each group; the input partition is sorted by group."""
 
     def scan(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        carry_key, carry = None, None
-        for pdf in batches:
-            if pdf.empty:
-                for v, o in zip(value_cols, out_cols):
-                    pdf[o] = pd.Series(dtype=pdf[v].dtype)
-                pdf["_pid"] = pd.Series(dtype="int32")
-                yield pdf
+        last, carry = None, {}
+        for b in batches:
+            n = b.num_rows
+            if not n:
                 continue
-            keys = [pdf[c] for c in group_cols]
-            sums = pdf[value_cols].fillna(0).groupby(keys, sort=False, dropna=False).cumsum()
-            first = tuple(pdf[c].iloc[0] for c in group_cols)
-            if carry_key is not None and first == carry_key:
-                same = pd.Series(True, index=pdf.index)
-                for c, v in zip(group_cols, first):
-                    same &= pdf[c] == v
-                for v in value_cols:
-                    sums[v] = sums[v] + same.astype(sums[v].dtype) * carry[v]
-            carry_key = tuple(pdf[c].iloc[-1] for c in group_cols)
-            carry = {v: sums[v].iloc[-1] for v in value_cols}
+            new = np.zeros(n, bool)
+            for c in group_cols:
+                new[1:] |= _changes(b.column(c), n)
+                # The row before the batch: the last one of the batch before.
+                new[0] |= last is None or bool(_changes(pa.concat_arrays([last[c], b.column(c).slice(0, 1)]), 2)[0])
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            open_ = first == 0 if not new[0] else np.zeros(n, bool)      # rows that go on from the batch before
+            columns, names = list(b.columns), list(b.schema.names)
             for v, o in zip(value_cols, out_cols):
-                pdf[o] = sums[v].astype(pdf[v].dtype, copy=False)
-            pdf["_pid"] = pid
-            yield pdf
+                x = pc.fill_null(b.column(v), 0).to_numpy(zero_copy_only=False)
+                sums = np.cumsum(x)
+                sums = sums - (sums[first] - x[first])
+                if open_.any():
+                    sums = np.where(open_, sums + carry[v], sums)
+                carry[v] = sums[-1]
+                columns.append(pa.array(sums, b.column(v).type))
+                names.append(o)
+            last = {c: b.column(c).slice(n - 1, 1) for c in group_cols}
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, pid, np.int32))], names=[*names, "_pid"])
 
     return scan
 
@@ -96,7 +117,7 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
     # Materialised once: both the block totals and the final join read it, and it cuts the lineage
     # so chains of scans keep small plans and recover from a lost executor without a re-scan.
     ensure_checkpoint_dir(spark)
-    scanned = ranged.mapInPandas(_block_scan(group_cols, value_cols, out_cols), schema).checkpoint()
+    scanned = ranged.mapInArrow(_block_scan(group_cols, value_cols, out_cols), schema).checkpoint()
     blocks = scanned.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(f"_blk{i}") for i, v in enumerate(value_cols)])
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_pid", *group_cols, *[

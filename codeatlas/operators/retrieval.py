@@ -26,14 +26,24 @@ def sq_l2(a: Column, b: Column) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def sound_vector(v: Column) -> Column:
+    """Whether a vector can be compared: not null, not empty, every component a finite number."""
+    finite = F.forall(v.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & (F.size(v) > 0), F.lit(False))
+
+
 def topk_similar(chunks: DataFrame, queries: DataFrame, key_cols: list[str], chunk_id: str = "chunk_id",
                  query_id: str = "query_id", vec: str = "embedding", k: int = TOP_K) -> DataFrame:
     """Per query the ``k`` nearest chunks of the same instance (exact, ties broken by chunk id).
 
-    Returns ``key_cols + [query_id, chunk_id, dist, rank]`` plus the remaining chunk columns.
+    Vectors that can't be compared (``sound_vector``) and pairs of different length are left out before
+    the ranking, so they never push a real hit out.  Null instances pair with nothing.  Returns
+    ``key_cols + [query_id, chunk_id, dist, rank]`` plus the remaining chunk columns.
     """
-    q = queries.select(*key_cols, query_id, F.col(vec).alias("_qvec"))
-    pairs = chunks.join(q, key_cols).withColumn("dist", sq_l2(F.col(vec), F.col("_qvec"))).drop("_qvec", vec)
+    q = queries.filter(sound_vector(F.col(vec))).select(*key_cols, query_id, F.col(vec).alias("_qvec"),
+                                                        F.size(vec).alias("_dim"))
+    c = chunks.filter(sound_vector(F.col(vec))).withColumn("_dim", F.size(vec))
+    pairs = c.join(q, [*key_cols, "_dim"]).withColumn("dist", sq_l2(F.col(vec), F.col("_qvec"))).drop("_qvec", "_dim", vec)
     # Instances number their queries on their own, so a query is known by instance and id.
     w = Window.partitionBy(*key_cols, query_id).orderBy("dist", chunk_id)
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

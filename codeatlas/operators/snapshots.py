@@ -30,7 +30,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, path_col: str = "rel_path",
     """Folder- and file-level changes between snapshots.
 
     Folders: added / removed.  Supported source files: added / removed by path, and modified
-    when the bytes differ (SHA-256 compare).  Other files are ignored.  Rows
+    when the bytes differ (SHA-256 compare; null content equals null content and differs from any
+    other).  Other files are ignored.  Rows
     ``key + (level, change, path)``; the presentation order added, removed, modified (each
     sorted) is ``orderBy(level, change_order, path)`` on the result.  ``key_cols`` (e.g. repo and
     pair id, see ``snapshot_pairs``) diff every pair of a whole fleet of repositories in one job:
@@ -40,11 +41,16 @@ def snapshot_diff(old: DataFrame, new: DataFrame, path_col: str = "rel_path",
 
     def fs(df):
         return (df.filter(is_supported_ext(F.col(path_col)))
-                .select(*k, F.col(path_col).alias("path"), F.sha2(F.col(content_col).cast("binary"), 256).alias("h")))
+                .select(*k, F.col(path_col).alias("path"), F.lit(True).alias("in"),
+                        F.sha2(F.col(content_col).cast("binary"), 256).alias("h")))
 
-    j = fs(old).withColumnRenamed("h", "_ho").join(fs(new).withColumnRenamed("h", "_hn"), [*k, "path"], "full_outer")
-    change = (F.when(F.col("_ho").isNull(), "added").when(F.col("_hn").isNull(), "removed")
-              .when(F.col("_ho") != F.col("_hn"), "modified"))
+    def side(df, s):
+        return fs(df).withColumnsRenamed({"in": f"_in{s}", "h": f"_h{s}"})
+
+    # A file without content exists all the same, so its presence is a flag of its own.
+    j = side(old, "o").join(side(new, "n"), [*k, "path"], "full_outer")
+    change = (F.when(F.col("_ino").isNull(), "added").when(F.col("_inn").isNull(), "removed")
+              .when(~F.col("_ho").eqNullSafe(F.col("_hn")), "modified"))
     files = j.select(*k, F.lit("file").alias("level"), change.alias("change"), "path").filter(F.col("change").isNotNull())
     fo = folders(old, k, path_col).withColumn("_o", F.lit(True))
     fn = folders(new, k, path_col).withColumn("_n", F.lit(True))

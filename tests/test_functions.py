@@ -98,3 +98,25 @@ def test_token_count_pluggable(spark):
     assert got == [3, 0, 0]
     approx = [r["n"] for r in df.select(X.token_count("t").alias("n")).collect()]
     assert approx == [3, 0, 0]
+
+
+def test_diffs_of_files_without_content(spark):
+    from codeatlas.operators.context import element_diff
+
+    rows = lambda **kv: spark.createDataFrame([(f"{k}.js", v) for k, v in kv.items()], "rel_path string, content string")
+    old, new = rows(a=None, b=None, c="x", d=None), rows(a=None, b="y", c=None, e=None)
+    want = {("b.js", "modified"), ("c.js", "modified"), ("d.js", "removed"), ("e.js", "added")}
+    assert {(r["path"], r["change"]) for r in snapshot_diff(old, new).collect()} == want
+    assert {(r["rel_path"], r["change"]) for r in element_diff(old, new, ["rel_path"]).collect()} == want
+
+
+def test_unsound_vectors_are_not_hits(spark):
+    from codeatlas.operators.retrieval import topk_similar
+
+    nan = float("nan")
+    chunks = spark.createDataFrame([("i", 1, None), ("i", 2, [1.0]), ("i", 3, [1.0, None]), ("i", 4, [nan, 1.0]), ("i", 5, []),
+                                    ("i", 6, [0.0, 1.0]), ("i", 7, [0.0, 2.0]), (None, 8, [0.0, 1.0])], "k string, chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([("i", 1, [0.0, 1.0]), ("i", 2, None), ("i", 3, [nan, 0.0]), (None, 4, [0.0, 1.0])],
+                              "k string, query_id long, embedding array<float>")
+    got = topk_similar(chunks, q, ["k"], k=2).collect()
+    assert [(r["query_id"], r["chunk_id"], r["dist"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 6, 0.0, 1), (1, 7, 1.0, 2)]

@@ -151,3 +151,28 @@ def test_running_sum_keeps_null_groups(spark):
     rows = spark.createDataFrame([(None, 1, 1), (None, 2, 1), ("a", 1, 1)], "g string, i long, v long")
     assert sorted((r["g"] or "", r["i"], r["s"]) for r in running_sum(rows, ["g"], ["i"], "v", "s").collect()) == [
         ("", 1, 1), ("", 2, 2), ("a", 1, 1)]
+
+
+def test_running_sum_over_many_batches_of_a_null_group(spark):
+    """25,000 rows of one null group, three Arrow batches; big ids next to nulls stay apart."""
+    big = 2**53
+    df = spark.range(25_000).selectExpr("cast(null as long) as g", "id as i", "1L as v", "id % 7 as w")
+    df = df.unionByName(spark.createDataFrame([(big, 1, 1, 1), (big + 1, 1, 1, 1), (big + 1, 2, 1, None)], "g long, i long, v long, w long"))
+    out = running_sum(df, ["g"], ["i"], ["v", "w"], ["s", "t"])
+    assert out.where("g is null").where("s <> i + 1").count() == 0
+    total = 0
+    for r in sorted(out.where("g is null and i < 200").collect(), key=lambda r: r["i"]):
+        total += r["w"]
+        assert r["t"] == total
+    assert _rows(out.where("g is not null"), "g", "i", "s", "t") == [(big, 1, 1, 1), (big + 1, 1, 1, 1), (big + 1, 2, 2, 1)]
+    assert _rows(row_index(df.where("g is null").drop("w"), ["g"], ["i"], "n").where("n <> i"), "i") == []
+
+
+def test_running_sum_groups_of_several_types(spark):
+    import datetime
+
+    df = spark.createDataFrame([(g, x, i, 1) for g in ([1, 2], [1], None) for x in (float("nan"), 1.0, None) for i in range(3)],
+                               "g array<int>, x double, i long, v long")
+    assert all(r["s"] == r["i"] + 1 for r in running_sum(df, ["g", "x"], ["i"], "v", "s").collect())
+    day = spark.createDataFrame([(datetime.date(2024, 1, d), i, 0.5) for d in (1, 2) for i in range(3)], "g date, i long, v double")
+    assert all(r["s"] == 0.5 * (r["i"] + 1) for r in running_sum(day, ["g"], ["i"], "v", "s").collect())
