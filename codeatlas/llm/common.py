@@ -6,7 +6,9 @@ import os
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -56,6 +58,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def canonical(column: Column, kind: T.DataType) -> Column:
+    """A form of ``column`` that can be hashed and compared: maps as entries sorted by key, variants as
+    JSON, and so within arrays and structs."""
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(column), lambda e: F.struct(
+            canonical(e["key"], kind.keyType).alias("key"), canonical(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(pairs, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda e: canonical(e, kind.elementType))
+    if isinstance(kind, T.StructType):
+        whole = F.struct(*[canonical(column[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)])
+        return F.when(column.isNotNull(), whole)
+    if isinstance(kind, T.VariantType):
+        return F.to_json(column)
+    return column
+
+
 def word_blocks(data: bytes, block: int = 1 << 22) -> Iterator[list[bytes]]:
     """The words of ``data`` as lists, about ``block`` bytes of text each; no word is cut."""
     if len(data) <= block:

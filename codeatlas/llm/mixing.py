@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_SQL, cut, fresh, write_table
+from .common import WORD_SQL, canonical, cut, fresh, write_table
 
 WEIGHTS = (5.0, 2.0, 1.0)      # by the sources' order, repeating
 SHARE = 1.5                    # words the mix takes, as a share of all words
@@ -82,7 +82,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 def _round_groups(level: int):
     def fn(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("size", "ascending"), ("doc_id", "ascending")])
+        t = t.sort_by([(c, "ascending") for c in ("key", "key2", "size", "doc_id") if c in t.column_names])
         done, left = pivotal(t["key"].to_pylist(), t["size"].to_pylist(), t["p"].to_pylist(), level)
         p = np.where([d is None for d in done], left if left is not None else 0.0, 0.0)
         return (t.set_column(t.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
@@ -90,8 +90,9 @@ def _round_groups(level: int):
     return fn
 
 
-def mixed(docs: DataFrame, key: F.Column | None = None, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, key.
+def mixed(docs: DataFrame, key: F.Column | None = None, weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
+          key2: F.Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, key and, where given, key2.
 
     A source's documents all expect target / source_size copies.  The whole part is given to each;
     the fraction is rounded by ``pivotal`` within hashed buckets of a source (a hot source has as
@@ -102,7 +103,8 @@ def mixed(docs: DataFrame, key: F.Column | None = None, weights=WEIGHTS, share:
     source; rows that repeat are separate documents; an empty table gives no rows.
     """
     key = F.xxhash64("doc_id", "text") if key is None else key
-    sizes = cut(docs.select("doc_id", "source", key.alias("key"),
+    more = [] if key2 is None else [key2.alias("key2")]
+    sizes = cut(docs.select("doc_id", "source", key.alias("key"), *more,
                             F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size")))
     targets = cut(source_targets(sizes, weights, share, cap))
     n, most = targets.agg(F.count(F.lit(1)), F.max("rows")).first()
@@ -130,14 +132,19 @@ def mixed(docs: DataFrame, key: F.Column | None = None, weights=WEIGHTS, share:
         out = out.unionByName(x)
     total = F.col("base") + F.col("copies")
     return out.select("doc_id", "size", "source_size", "target", (total * F.col("size")).alias("taken"),
-                      total.alias("copies"), "key")
+                      total.alias("copies"), "key", *(["key2"] if more else []))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (0, 1 or 2 times), columns unchanged."""
-    key, copies, k = fresh(docs, "__key", "__copies", "__k")
-    whole = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and t != "variant"])
-    took = mixed(docs, whole).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
-    # Equal rows share a key: their copies are summed and given to one of them.
-    one = docs.withColumn(key, whole).join(took, key).dropDuplicates([key])
-    return one.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    """``docs`` with each row as often as the mix takes it (0, 1 or 2 times), columns unchanged.
+
+    A row is known by two 64-bit hashes of all its columns in a canonical form, map and variant columns
+    included, so rows that differ anywhere are separate documents."""
+    key, key2, copies, k = fresh(docs, "__key", "__key2", "__copies", "__k")
+    whole = [canonical(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields]
+    one, two = F.xxhash64(F.lit(1), *whole), F.xxhash64(F.lit(2), *whole)
+    took = (mixed(docs, one, key2=two).groupBy(F.col("key").alias(key), F.col("key2").alias(key2))
+            .agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0))
+    # Rows equal in all columns share their keys: their copies are summed and given to one of them.
+    kept = docs.withColumns({key: one, key2: two}).join(took, [key, key2]).dropDuplicates([key, key2])
+    return kept.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
