@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 SHARDS = 40
 OVERHEAD = 16          # bytes a row counts besides its text
 TOLERANCE = 0.001      # of a shard's fair share: how near a splitter must come to its target
 DIGIT = 12             # bits by which a round of probes refines a bracket: 4096 probes each
+HOT_ROWS = 100_000     # a group of equal texts above this is numbered in parts, too
+TASK_BYTES = 1 << 28   # of a shard that one task writes
 SLOT_BITS = 8          # a group that is cut over shards is numbered in 256 parts
 _TOP = -(1 << 63)
 
@@ -87,9 +89,9 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     return cuts, list(hot)
 
 
-def shard_of(cuts: list[tuple[int, int]]) -> Column:
+def shard_of(cuts: list[tuple[int, int]], h1: str = "h1", h2: str = "h2") -> Column:
     """Number of bounds at or below a row's (h1, h2), as keys compare unsigned."""
-    k1, k2 = (F.col(c).bitwiseXOR(F.lit(_TOP)) for c in ("h1", "h2"))
+    k1, k2 = (F.col(c).bitwiseXOR(F.lit(_TOP)) for c in (h1, h2))
     n = F.lit(0)
     for a, b in cuts:
         if a >= 1 << 64:
@@ -113,16 +115,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     Rows sort by (hash of text, hash of doc_id), so equal texts are neighbours and share a shard; only
     a group above a shard's fair share of bytes is spread over shards.  Splitters come from exact byte
     counts of the whole table (``splitters``); then one exchange numbers the rows: slots are the rows
-    in earlier cells of the shard (4096 hash cells, a cut group in 256 parts; the counts are bounded by
+    in earlier cells of the shard (4096 hash cells, a cut group or one of very many rows in 256 parts; the counts are bounded by
     these numbers and broadcast) plus the row's place in its cell.  A null text has no bytes and crc 0;
     null ids and repeated rows are ordinary rows; an empty table gives no rows.
     """
     rows = cut(keyed(docs))
     cuts, hot = splitters(rows, shards, tolerance)
     part = F.shiftrightunsigned("h2", 64 - SLOT_BITS)
+    # Groups that are hot by rows but not by bytes (empty or very short texts): at most count / HOT_ROWS of them.
+    many = rows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("h1", F.lit(True).alias("many"))
     rows = (rows.withColumn("shard", shard_of(cuts)).withColumn("cell", _digit(F.col("h1"), 0).cast("int"))
-            .withColumn("part", F.when(F.col("h1").isin([_signed(h) for h in hot]), part).otherwise(0).cast("int")
-                        if hot else F.lit(0)))
+            .join(many, "h1", "left"))
+    split = F.col("many") | (F.col("h1").isin([_signed(h) for h in hot]) if hot else F.lit(False))
+    rows = rows.withColumn("part", F.when(split, part).otherwise(0).cast("int")).drop("many")
     cells = rows.groupBy("shard", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -132,10 +137,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
                     (F.col("first") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> None:
-    """Write ``docs`` (columns doc_id, text and any others) as Parquet below ``path``/shard=N."""
-    names = [c for c in docs.columns if c.lower() not in ("h1", "h2", "shard")]
-    cuts, _ = splitters(cut(keyed(docs)), shards, tolerance)
-    rows = docs.select(*names, F.xxhash64("text").alias("h1"), F.xxhash64("doc_id", F.lit("shard")).alias("h2"))
-    (rows.withColumn("shard", shard_of(cuts)).repartition("shard", F.pmod("h2", F.lit(8))).drop("h1", "h2")
-     .write.partitionBy("shard").parquet(path))
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE,
+                 partition: str = "shard") -> None:
+    """Write ``docs`` (columns doc_id, text and any others, unchanged) as Parquet below ``path``/shard=N.
+    A table that has a column of the partition's name is refused: name another ``partition``.  A shard
+    is written by as many tasks as its bytes ask for."""
+    if partition.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {partition!r}; name another partition column")
+    keys = cut(keyed(docs))
+    cuts, _ = splitters(keys, shards, tolerance)
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-total // (shards * TASK_BYTES)))
+    h1, h2, salt = fresh(docs.withColumn(partition, F.lit(0)), "__h1", "__h2", "__salt")
+    rows = docs.withColumns({h1: F.xxhash64("text"), h2: F.xxhash64("doc_id", F.lit("shard"))})
+    rows = rows.withColumn(partition, shard_of(cuts, h1, h2)).withColumn(salt, F.pmod(h2, F.lit(parts)))
+    (rows.repartition(shards * parts, partition, salt).drop(h1, h2, salt).write.partitionBy(partition).parquet(path))
