@@ -20,6 +20,8 @@ ROWS_PER_CENTRE = 400
 MOST_CENTRES = 64          # of one split
 OVERLAP = 3                # nearest centres whose shards a vector joins
 MARGIN = 0.35              # but none whose cosine is this much below the nearest one's
+SHRINK = 0.9               # a shard that keeps more of its parent than this is dealt by hash
+TIE_DIGITS = 12            # cosines equal to so many digits tie
 TASK_ROWS = 20_000         # rows of a shard that one task assigns to its centres
 POOL = 32                  # nearest candidates of a node before pruning
 RANDOM = 8                 # and random ones, for long edges
@@ -170,33 +172,47 @@ def range_search(unit: np.ndarray, adjacency: list[np.ndarray], threshold: float
     return both // n, both % n
 
 
+def _drawn(cids: np.ndarray, centres: int, level: int) -> np.ndarray:
+    """A number per vector and centre, fixed by the vector's class id."""
+    with np.errstate(over="ignore"):
+        z = cids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xBF58476D1CE4E5B9) * np.arange(
+            1 + level * centres, 1 + (level + 1) * centres, dtype=np.uint64)[None, :]
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(29))
+
+
 def shards_of(classes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """(cid, shard, vec) -> memberships (cid, shard, vec, home): shards above ``SHARD_ROWS`` are split among
     centres (their members of smallest hash), each vector joining its nearest centres, until none is
-    above; ``home`` marks the one shard of a vector that is nearest at each split.  A task holds one shard's centres and streams rows; hot shards are spread over tasks."""
-    rows, level = classes.withColumn("home", F.lit(True)), 0
+    above; ``home`` marks the one shard of a vector that is nearest at each split.  A task holds one shard's centres and streams rows; hot shards are spread over tasks.
+
+    Splitting ends on any data.  Centres whose cosines tie are taken in an order drawn by the vector's hash,
+    so equal directions spread over all of them; and a shard that kept more than ``SHRINK`` of its parent is
+    dealt to its centres by hash.  Links that this cuts show in the audit, whose exact way finds them."""
+    rows, level = classes.withColumns({"home": F.lit(True), "above": F.lit(None).cast("long")}), 0
     done: list[DataFrame] = []
     while True:
-        sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_ROWS)
+        sizes = (rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("above").alias("was")).where(F.col("n") > SHARD_ROWS)
+                 .withColumn("stuck", F.coalesce(F.col("n") > F.col("was") * SHRINK, F.lit(False))).drop("was"))
         sizes = cut(sizes.withColumn("salts", F.ceil(F.col("n") / TASK_ROWS).cast("int"))
                     .withColumn("k", F.least(F.lit(MOST_CENTRES), F.ceil(F.col("n") / ROWS_PER_CENTRE) + 2 * overlap).cast("int")))
         if sizes.isEmpty():
-            done.append(rows)
+            done.append(rows.drop("above"))
             break
-        done.append(rows.join(sizes.select("shard"), "shard", "left_anti"))
-        large = rows.join(sizes, "shard")
+        done.append(rows.join(sizes.select("shard"), "shard", "left_anti").drop("above"))
+        large = rows.drop("above").join(sizes, "shard")
         rank = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("cid", F.lit(level)), "cid"))
         centres = (large.withColumn("rank", rank).where(F.col("rank") <= MOST_CENTRES).where("rank <= k")
                    .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-                   .select("shard", "salt", F.col("rank").cast("long").alias("cid"), "vec", "home", F.lit(0).alias("row")))
+                   .select("shard", "salt", F.col("rank").cast("long").alias("cid"), "vec", "home", "n", "stuck", F.lit(0).alias("row")))
         dealt = (large.withColumn("salt", F.pmod(F.xxhash64("cid"), "salts").cast("int"))
-                 .select("shard", "salt", "cid", "vec", "home", F.lit(1).alias("row")).unionByName(centres)
+                 .select("shard", "salt", "cid", "vec", "home", "n", "stuck", F.lit(1).alias("row")).unionByName(centres)
                  .repartition("shard", "salt").sortWithinPartitions("shard", "salt", "row"))
 
         def assign(batches):
             at, near = None, []
             for b in batches:
-                pdf = b.select(["shard", "salt", "row", "home"]).to_pandas()
+                pdf = b.select(["shard", "salt", "row", "home", "n", "stuck"]).to_pandas()
                 home = pdf["home"].to_numpy()
                 cids = b.column("cid").to_numpy()
                 vecs = b.column("vec")
@@ -212,17 +228,19 @@ def shards_of(classes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
                         near.append(x)
                         continue
                     sims = x @ np.concatenate(near).T
-                    k = min(overlap, sims.shape[1])
-                    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    k = 1 if pdf["stuck"].iat[lo] else min(overlap, sims.shape[1])
+                    order = np.zeros(sims.shape) if pdf["stuck"].iat[lo] else -np.round(sims, TIE_DIGITS)
+                    top = np.lexsort((_drawn(cids[lo:hi], sims.shape[1], level), order), axis=1)[:, :k]
                     best = np.take_along_axis(sims, top, axis=1)
                     r, c = np.nonzero(best >= best[:, :1] - MARGIN)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cids[lo:hi][r]), pa.array(np.full(len(r), key[0], np.int64)), pa.array(top[r, c]),
-                         part.take(pa.array(r)), pa.array(home[lo:hi][r] & (c == 0))],
-                        names=["cid", "shard", "centre", "vec", "home"])
+                         part.take(pa.array(r)), pa.array(home[lo:hi][r] & (c == 0)), pa.array(pdf["n"].to_numpy()[lo:hi][r])],
+                        names=["cid", "shard", "centre", "vec", "home", "above"])
 
-        split = dealt.mapInArrow(assign, "cid long, shard long, centre long, vec array<float>, home boolean")
-        rows = write_table(split.select("cid", F.xxhash64("shard", "centre").alias("shard"), "vec", "home"), f"shards{level}")
+        split = dealt.mapInArrow(assign, "cid long, shard long, centre long, vec array<float>, home boolean, above long")
+        rows = write_table(split.select("cid", F.xxhash64("shard", "centre", F.lit(level)).alias("shard"), "vec", "home", "above"),
+                           f"shards{level}")
         level += 1
     out = done[0]
     for x in done[1:]:

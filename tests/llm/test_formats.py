@@ -265,3 +265,29 @@ def test_pipeline(spark, sf, odd_docs, no_docs):
             df = stage(spark, df, sf)
             assert k == len(cp.STAGES) - 1 or df.columns == start.columns
         df.count()
+
+
+@pytest.mark.parametrize("shape", ["scaled", "one number", "one hot"])
+def test_vectors_that_share_directions(spark, shape):
+    """More than SHARD_ROWS distinct vectors of one label whose cosines tie, at production parameters."""
+    n = vectors.SHARD_ROWS + 500
+    vec = {"scaled": lambda s: [float(s), 0.0, 0.0, 0.0], "one number": lambda s: [float(s) if s % 3 else -float(s)],
+           "one hot": lambda s: [float(s) if s % 4 == i else 0.0 for i in range(4)]}[shape]
+    side = {"scaled": lambda s: 0, "one number": lambda s: s % 3 == 0, "one hot": lambda s: s % 4}[shape]
+    df = spark.createDataFrame([(s, vec(s), 1) for s in range(1, n + 1)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df).collect()}
+    groups = {}
+    for s in range(1, n + 1):
+        groups.setdefault(side(s), []).append(s)
+    assert got == {s: (len(g) - 1, g[0], s == g[0]) for g in groups.values() for s in g}
+
+
+def test_vector_shards_end_without_progress(spark, monkeypatch):
+    """All rows nearest to the same centres: dealt by hash, so splitting ends and no vector is lost."""
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 50)
+    monkeypatch.setattr(vectors, "ROWS_PER_CENTRE", 1000)
+    monkeypatch.setattr(vectors, "SHRINK", 0.0)
+    df = spark.createDataFrame([(i, 1, [1.0, i * 1e-6]) for i in range(300)], "cid long, shard long, vec array<float>")
+    out = vectors.shards_of(df).toPandas()
+    assert out.groupby("shard").size().max() <= 50 and set(out["cid"]) == set(range(300))
+    assert out[out["home"]].groupby("cid").size().eq(1).all()

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
 
 from codeatlas.llm import fingerprints, langid, mixing, sharding, simhash
@@ -228,3 +229,44 @@ def test_mixing(spark, docs, clashing, no_docs, monkeypatch):
     rows = mixing.mix(clashing)
     assert rows.columns == clashing.columns
     assert mixing.mixed(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
+
+
+def test_mix_keeps_rows_apart_that_differ_in_a_map_or_variant(spark):
+    from pyspark.sql import functions as F
+
+    from codeatlas.llm import mixing
+
+    docs = spark.createDataFrame([(1, "a b c d", "s", {"x": i, "y": 1}) for i in range(6)],
+                                 "doc_id long, text string, source string, tags map<string,int>")
+    docs = docs.withColumns({"v": F.parse_json(F.concat(F.lit('{"n": '), F.col("tags")["x"], F.lit("}"))),
+                             "__key": F.lit(3), "in.ner": F.struct(F.col("tags").alias("m"))})
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    rows = [(r["tags"]["x"], r["v"].toPython()["n"], r["in.ner"]["m"]["x"]) for r in got.collect()]
+    assert len(rows) == 9 and set(rows) == {(i, i, i) for i in range(6)} and max(map(rows.count, rows)) == 2
+
+
+def test_write_shards_keeps_columns(spark, odd_docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    from codeatlas.llm import sharding
+
+    docs = odd_docs.withColumns({"h1": F.lit("mine"), "h2": F.lit(2), "__h1": F.lit(5)})
+    sharding.write_shards(docs, str(tmp_path / "a"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("Shard", F.lit("mine")), str(tmp_path / "b"), shards=3)
+    sharding.write_shards(docs.withColumn("shard", F.lit("mine")), str(tmp_path / "c"), shards=3, partition="part")
+    assert {r["shard"] for r in spark.read.parquet(str(tmp_path / "c")).collect()} == {"mine"}
+
+
+def test_shards_number_groups_of_very_many_rows(spark, monkeypatch):
+    from codeatlas.llm import sharding
+
+    monkeypatch.setattr(sharding, "HOT_ROWS", 50)
+    docs = spark.createDataFrame([(i, None if i % 3 else f"text {i}") for i in range(900)], "doc_id long, text string")
+    got = sharding.shard(docs, shards=4).toPandas()
+    assert len(got) == 900
+    for _, s in got.groupby("shard"):
+        assert sorted(s["slot"]) == list(range(len(s)))
