@@ -17,6 +17,7 @@ SHINGLE_WORDS = 3
 HASH_SEED = 42
 MAX_BITS = 2
 BYTES = 8
+LIST_ROWS = 4096           # a longer posting list is split by further bytes
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -55,15 +56,32 @@ def fingerprint_udf(shingle_words: int = SHINGLE_WORDS):
     return simhash
 
 
-def _masks(max_bits: int) -> list[int]:
-    """Byte-position sets that must agree: any ``BYTES - max_bits`` positions, as 64-bit masks."""
+def _signed(positions) -> int:
+    """A signed 64-bit mask of byte positions."""
+    m = sum(0xFF << (8 * b) for b in positions)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _lists(max_bits: int) -> list[tuple[int, list[int]]]:
+    """The index's kinds of list: (mask of the bytes it is keyed by, masks that split a long one).
+
+    Bits that differ spoil at most ``max_bits`` of the four byte pairs (of the eight bytes, from four bits on), so
+    two linked fingerprints share the others and meet in one list at least.  A long list is split by the
+    bytes that its members share beyond its key: all that are missing to the guaranteed minimum."""
+    units = [(2 * i, 2 * i + 1) for i in range(4)] if max_bits < 4 else [(i,) for i in range(BYTES)]
     out = []
-    for keep in combinations(range(BYTES), BYTES - max_bits):
-        m = sum(0xFF << (8 * b) for b in keep)
-        out.append(m - (1 << 64) if m >> 63 else m)
+    for keep in combinations(units, len(units) - max_bits):
+        key = [b for u in keep for b in u]
+        rest = [b for b in range(BYTES) if b not in key]
+        out.append((_signed(key), [_signed(x) for x in combinations(rest, max(0, BYTES - max_bits - len(key)))]))
     return out
 
 
+def _tally(x: np.ndarray) -> np.ndarray:
+    """Positional bytes that two fingerprints share, from their exclusive or."""
+    return (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1)
+
+
 def linked_pairs(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one posting list whose tally of equal positional bytes reaches the guaranteed
     minimum and whose bits then differ in at most ``max_bits``; blocks of rows bound the memory."""
@@ -71,8 +89,9 @@ def linked_pairs(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray,
     step = max(1, (1 << 20) // max(1, len(fps)))
     for a in range(0, len(fps), step):
         x = fps[a:a + step, None] ^ fps[None, :]
-        tally = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(2)
-        i, j = np.nonzero((tally >= BYTES - max_bits) & (np.bitwise_count(x) <= max_bits))
+        i, j = np.nonzero(_tally(x) >= BYTES - max_bits)
+        near = np.bitwise_count(x[i, j]) <= max_bits
+        i, j = i[near], j[near]
         keep = i + a < j
         left.append(i[keep] + a)
         right.append(j[keep])
@@ -98,17 +117,23 @@ def _spanning(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (u, v) that connect exactly what chains of links connect.
 
-    Two fingerprints within ``max_bits`` bits share at least ``8 - max_bits`` positional bytes.
-    Single-byte lists (8 x 256 of them) would each hold 1/256 of the corpus and tally nearly all
-    pairs, so the index is keyed by the *guaranteed minimum* itself: one list for each choice of
-    ``8 - max_bits`` (position, byte) terms.  Two fingerprints meet in a list exactly when their
-    tally reaches the minimum.  A list's members differ in ``max_bits`` bytes only, so it holds at
-    most 256 ** max_bits distinct fingerprints whatever the corpus; equal ones were merged before.
-    Pairs are verified inside the list and leave it as a spanning forest, not as pairs.
+    Two fingerprints within ``max_bits`` bits share at least ``8 - max_bits`` positional bytes.  Each fingerprint is
+    posted to the lists of ``_lists``; within a list the bytes that a pair shares are tallied, pairs below that
+    guaranteed minimum go, and the others' bits are compared.  A list above ``LIST_ROWS`` is split by
+    further bytes, after which it holds at most 256 ** max_bits fingerprints whatever the corpus.
+    Pairs leave a list as a spanning forest, not as pairs.
     """
-    posted = (fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(max_bits)]))
-                         .alias("c", "key"))
-              .groupBy("c", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps"))
+    kinds = _lists(max_bits)
+    posted = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m, _ in kinds])).alias("c", "key"))
+    long = cut(posted.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST_ROWS).drop("n"))
+    parts = F.array(F.lit(0).cast("long"))
+    if not long.isEmpty():
+        posted = posted.join(long.withColumn("long", F.lit(True)), ["c", "key"], "left")
+        for c, (_, more) in enumerate(kinds):
+            split = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(more)])
+            parts = F.when(F.col("long") & (F.col("c") == c), F.transform(split, lambda x: F.xxhash64(x["i"], x["m"]))).otherwise(parts)
+    posted = (posted.withColumn("part", F.explode(parts)).groupBy("c", "key", "part").agg(F.collect_list("fp").alias("fps"))
+              .where(F.size("fps") > 1).select("fps"))
 
     def verify(batches):
         for pdf in batches:
@@ -117,7 +142,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             twos = [x for x in lists if len(x) == 2]
             if twos:
                 two = np.sort(np.asarray(twos, np.int64).view(np.uint64), axis=1)
-                near = np.bitwise_count(two[:, 0] ^ two[:, 1]) <= max_bits
+                x = two[:, 0] ^ two[:, 1]
+                near = (_tally(x) >= BYTES - max_bits) & (np.bitwise_count(x) <= max_bits)
                 u.append(two[near, 1])
                 v.append(two[near, 0])
             for x in lists:

@@ -111,7 +111,9 @@ def test_simhash_blocks_equal_whole(monkeypatch):
     assert simhash.fingerprint(text) == want == _simhash(text)
 
 
-def test_fingerprint_links_of_a_large_near_group(spark):
+@pytest.mark.parametrize("rows", [4096, 5])
+def test_fingerprint_links_of_a_large_near_group(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "LIST_ROWS", rows)
     rng = np.random.default_rng(1)
     base = int(rng.integers(1, 1 << 62))
     fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (300, 2))} | {int(x) for x in rng.integers(1, 1 << 62, 300)}
@@ -124,6 +126,33 @@ def test_fingerprint_links_of_a_large_near_group(spark):
     assert {f: got.get(f, f) for f in fps} == want
 
 
+@pytest.mark.parametrize("bits", [0, 1, 2, 3, 5])
+@pytest.mark.parametrize("rows", [4096, 1])
+def test_fingerprint_links_at_other_distances(spark, monkeypatch, bits, rows):
+    """Every linked pair meets in a list, and its count of shared bytes never rejects it; unlinked ones that share a list go."""
+    from codeatlas.llm.components import connected_components
+
+    monkeypatch.setattr(simhash, "LIST_ROWS", rows)
+    rng = np.random.default_rng(bits)
+    fps = [int(x) for x in rng.integers(1, 1 << 62, 20)]
+    fps += [f ^ sum({1 << int(b) for b in rng.integers(0, 63, k)}) for f in fps for k in (1, 2, 4, 6)]
+    fps = sorted(set(fps))
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, f in enumerate(fps):
+        for g in fps[:i]:
+            if bin(f ^ g).count("1") <= bits:
+                root[max(find(f), find(g))] = min(find(f), find(g))
+    edges = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), bits)
+    got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+    assert {f: got.get(f, f) for f in fps} == {f: find(f) for f in fps}
+
+
 def test_keep_one(docs, clashing, no_docs):
     kept = simhash.keep_one(docs)
     ids = {r["doc_id"] for r in simhash.near_duplicates(docs).where("doc_id = component_id").collect()}
