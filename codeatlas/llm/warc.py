@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .common import cut, open_store, shared_folder, write_table
 
 CHUNK = 1 << 14              # payload bytes of a chunk row
+CHUNK_BATCH = 4 << 20        # bytes of chunks that leave a task at once
 FILE_BYTES = 32 << 20        # payload bytes of an archive file, about
 REVISIT_BYTES = 100          # smaller payloads are stored each time
 BLOCK = 1 << 16              # bytes read from an archive at once
@@ -25,18 +26,48 @@ RECORD = T.StructType([T.StructField(n, t) for n, t in (
     ("record_type", T.StringType()), ("refers_to", T.LongType()))])
 
 
+_CHUNKS = ("page_id long, digest string, copy long, n_bytes long, url string, chunk_no long, running string, chunk binary")
+
+
 def chunk_table(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> the record table: page_id, digest (SHA-256 of the whole payload), copy,
-    n_bytes, url, chunk_no, chunk.  A payload of n bytes gives max(1, ceil(n / CHUNK)) rows; chunks are
-    cut one by one from the page's buffer.  ``copy`` tells rows with equal page_id and payload apart.
-    A null html is an empty payload."""
+    n_bytes, url, chunk_no, running (SHA-256 of the payload up to the end of this chunk), chunk.  A payload of n bytes
+    gives max(1, ceil(n / CHUNK)) rows; chunks are cut one by one from the page's buffer, and the digest
+    advances with them, so the last one's is the payload's.  ``copy`` tells rows with equal page_id and
+    payload apart.  A null html is an empty payload."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
                         F.monotonically_increasing_id().alias("copy"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    n = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / CHUNK))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk_no"))
-    chunk = F.substring("payload", (F.col("chunk_no") * CHUNK + 1).cast("int"), F.lit(CHUNK))
-    return rows.select("page_id", "digest", "copy", "n_bytes", "url", "chunk_no", chunk.alias("chunk"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    names = ("page_id", "digest", "copy", "n_bytes", "url", "chunk_no", "running", "chunk")
+
+    def cut_up(batches):
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            out.clear()
+            return made
+
+        held = 0
+        for b in batches:
+            payloads = b.column("payload")
+            heads = zip(*(b.column(c).to_pylist() for c in ("page_id", "digest", "copy", "url")), strict=True)
+            for i, (page, digest, copy, url) in enumerate(heads):
+                payload, sha = payloads[i].as_buffer(), hashlib.sha256()
+                for no in range(max(1, -(-payload.size // CHUNK))):
+                    chunk = payload.slice(no * CHUNK, min(CHUNK, payload.size - no * CHUNK)).to_pybytes()
+                    sha.update(chunk)
+                    out.append((page, digest, copy, payload.size, url, no, sha.hexdigest(), chunk))
+                    held += len(chunk)
+                    if held >= CHUNK_BATCH:
+                        yield batch()
+                        held = 0
+            if out:
+                yield batch()
+                held = 0
+
+    return rows.mapInArrow(cut_up, _CHUNKS)
 
 
 def originals(pages: DataFrame) -> DataFrame:
@@ -69,7 +100,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
     Decisions (one row per record key) travel with the chunk rows through one exchange on the record
     key; a task sorts its rows by (record, chunk) and streams them, so it holds one chunk and one
-    running SHA-256 at a time, whatever a record's size, and checks the digest at the record's end.
+    running SHA-256 at a time, whatever a record's size, and checks it against each chunk's.
     A file appears under its final name only when whole, so a repeated task replaces it.
     """
     rows = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"),
@@ -81,7 +112,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     told = originals(rows).select(
         "page_id", "digest", F.lit(-1).cast("long").alias("copy"), F.lit(0).cast("long").alias("n_bytes"),
         F.lit(None).cast("string").alias("url"), F.lit(-1).cast("long").alias("chunk_no"),
-        F.lit(b"").alias("chunk"), "refers_to", "shared", "first")
+        F.lit(None).cast("string").alias("running"), F.lit(b"").alias("chunk"), "refers_to", "shared", "first")
     dealt = (told.unionByName(chunks).repartition(int(files), "page_id", "digest")
              .sortWithinPartitions("page_id", "digest", "copy", "chunk_no"))
 
@@ -97,10 +128,10 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
                 store.create_dir(top, recursive=True)
                 part = f"{name}.{TaskContext.get().taskAttemptId()}"
                 out = store.open_output_stream(part, compression=None)
-            cols = [b.column(c) for c in ("page_id", "digest", "n_bytes", "url", "chunk_no", "chunk",
-                                          "refers_to", "shared", "first")]
+            cols = [b.column(c) for c in ("page_id", "digest", "n_bytes", "url", "chunk_no", "running",
+                                          "chunk", "refers_to", "shared", "first")]
             for i in range(b.num_rows):
-                page, digest, size, url, no, chunk, refers, shared, first = (c[i].as_py() for c in cols)
+                page, digest, size, url, no, running, chunk, refers, shared, first = (c[i].as_py() for c in cols)
                 if no < 0:
                     told, copies = (refers, shared, first), 0
                     continue
@@ -118,10 +149,12 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
                         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
                         out.write(packer.compress(_head("response", name_of, url, digest, size, None, len(http) + size, http)))
                 sha.update(chunk)
+                if sha.hexdigest() != running:
+                    raise ValueError(f"chunk {no} of page {page} is missing, misplaced or changed")
                 if not revisit:
                     out.write(packer.compress(chunk))
                 if no == max(0, -(-size // CHUNK) - 1):
-                    if sha.hexdigest() != digest:
+                    if running != digest:
                         raise ValueError(f"payload of page {page} changed while it was written")
                     out.write(packer.compress(b"\r\n\r\n"))
                     out.write(packer.flush())

@@ -50,6 +50,18 @@ def test_warc_odd_rows(spark, monkeypatch):
     assert warc.archive(pages.where("false")).count() == 0
 
 
+def test_chunk_rows_carry_running_digests(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 64)
+    monkeypatch.setattr(warc, "CHUNK_BATCH", 200)
+    pages = spark.createDataFrame([(1, "u", "é" * 500), (2, None, None), (3, "u", "x" * 128)], "page_id long, url string, html string")
+    rows = sorted(warc.chunk_table(pages).collect(), key=lambda r: (r["page_id"], r["chunk_no"]))
+    for page, html in ((1, "é" * 500), (2, ""), (3, "x" * 128)):
+        own, data = [r for r in rows if r["page_id"] == page], html.encode()
+        assert b"".join(r["chunk"] for r in own) == data and [r["chunk_no"] for r in own] == list(range(max(1, -(-len(data) // 64))))
+        assert [r["running"] for r in own] == [hashlib.sha256(data[:64 * (k + 1)]).hexdigest() for k in range(len(own))]
+        assert {(r["n_bytes"], r["digest"]) for r in own} == {(len(data), own[-1]["running"])}
+
+
 def test_warc_damage_is_found(spark):
     folder = shared_folder(spark, "damaged")
     pages = spark.createDataFrame([(1, "u", "x" * 5000)], "page_id long, url string, html string")
