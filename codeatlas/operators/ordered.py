@@ -45,6 +45,20 @@ def _changes(col, n: int):
     return pc.or_(none, other).to_numpy(zero_copy_only=False)
 
 
+def row_changes(columns: list, last: list | None):
+    """Which rows of a sorted Arrow batch, given by its key ``columns``, differ from the row before; ``last`` are
+    the keys of the row before the batch (None: the first row differs)."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    for k, col in enumerate(columns):
+        new[1:] |= _changes(col, n)
+        new[0] |= last is None or bool(_changes(pa.concat_arrays([last[k], col.slice(0, 1)]), 2)[0])
+    return new
+
+
 def _block_scan(group_cols: list[str], value_cols: list[str], out_cols: list[str]):
     """Per-partition running sums within each group; the input partition is sorted by group."""
 
@@ -60,11 +74,7 @@ def _block_scan(group_cols: list[str], value_cols: list[str], out_cols: list[str
             n = b.num_rows
             if not n:
                 continue
-            new = np.zeros(n, bool)
-            for c in group_cols:
-                new[1:] |= _changes(b.column(c), n)
-                # The row before the batch: the last one of the batch before.
-                new[0] |= last is None or bool(_changes(pa.concat_arrays([last[c], b.column(c).slice(0, 1)]), 2)[0])
+            new = row_changes([b.column(c) for c in group_cols], last)
             first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
             open_ = first == 0 if not new[0] else np.zeros(n, bool)      # rows that go on from the batch before
             columns, names = list(b.columns), list(b.schema.names)
@@ -77,7 +87,7 @@ def _block_scan(group_cols: list[str], value_cols: list[str], out_cols: list[str
                 carry[v] = sums[-1]
                 columns.append(pa.array(sums, b.column(v).type))
                 names.append(o)
-            last = {c: b.column(c).slice(n - 1, 1) for c in group_cols}
+            last = [b.column(c).slice(n - 1, 1) for c in group_cols]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, pid, np.int32))], names=[*names, "_pid"])
 
     return scan

@@ -6,22 +6,18 @@ is counted in it.  An item that is over budget on its own forms a batch flagged
 Every item lands in exactly one batch (the original loses the overflowing last item and can
 emit an empty first batch; ``faithful`` reproduces those quirks on the result).
 
-As a table job: with inclusive prefix sums ``S`` of the sizes, a batch opened at item
-``j`` ends before the first ``k > j`` with ``S[k] - S[j-1] >= budget``, so
-``next(j) = max(j + 1, #{k : S[k] < S[j-1] + budget})`` - a lower-bound lookup, computed for all
-items at once by an ordered scan.  Batch starts are the items reachable from the first item via
-``next`` (pointer doubling), and the batch number is a running count of starts.  No step holds a
-whole group in one task.
+As a table job the rule is a ``block_fold`` whose state is the total of the open batch: a group is folded
+block by block in parallel, and only blocks that were entered with another total than assumed are folded
+again.  No step holds a whole group in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
-from . import ordered
-from .ordered import count_before, follow_chain, running_sum
+from .blockfold import block_fold
 
 PROMPT_BUDGET = 128000
 
@@ -34,41 +30,46 @@ def pack_batches(items: DataFrame, group_cols: list[str], order_cols: list[str],
     image tokens of the instance).  ``order_cols`` must be a total order inside the group.
     Null group values form groups of their own.
     """
-    ensure_checkpoint_dir(items.sparkSession)
-    return _pack(items.withColumn("_g", ordered.group_key(group_cols)), ["_g"], order_cols, size_col, budget,
-                 faithful).drop("_g")
+    bud = F.col(budget) if isinstance(budget, str) else F.lit(budget)
+    base = items.withColumns({"_sz": F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")), "_bud": bud.cast("long")})
 
+    def fold(total, at, run):
+        import numpy as np
 
-def _pack(items: DataFrame, group_cols: list[str], order_cols: list[str], size_col: str, budget, faithful: bool) -> DataFrame:
-    bud = F.col(budget) if isinstance(budget, str) else F.lit(budget)
-    base = (items.withColumn("_sz", F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")))
-            .withColumn("_one", F.lit(1).cast("long"))
-            .withColumn("_bud", bud.cast("long")))
-    scanned = running_sum(base, group_cols, order_cols, ["_one", "_sz"], ["idx", "_S"])
-    scanned = scanned.withColumn("idx", F.col("idx") - 1).drop("_one")
-    # Threshold T[j] = prefix before the batch opened at j + budget.  Faithful mode: an item that
-    # opens a batch by overflowing is not counted in it (only item 0 that fits is).
-    counted = F.col("_S") - F.col("_sz") + F.col("_bud")
-    uncounted = F.col("_S") + F.col("_bud")
-    thr = counted if not faithful else F.when((F.col("idx") == 0) & (F.col("_sz") < F.col("_bud")), counted) \
-        .otherwise(uncounted)
-    probes = scanned.select(*group_cols, "idx", thr.alias("_T"))
-    lb = count_before(scanned, probes, group_cols, "_S", "_T", "idx", inclusive=False, out_col="_lb")
-    pointers = lb.select(*group_cols, "idx", F.greatest(F.col("idx") + 1, F.col("_lb")).alias("nxt"))
-    starts = follow_chain(pointers, group_cols, "idx", "nxt").withColumn("_start", F.lit(1).cast("long"))
-    marked = scanned.join(starts, [*group_cols, "idx"], "left") \
-        .withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))
-    numbered = running_sum(marked, group_cols, ["idx"], "_start", "batch_no")
-    sizes = numbered.groupBy(*group_cols, "batch_no").agg(F.count(F.lit(1)).alias("_n"),
-                                                          F.max(F.col("_sz") >= F.col("_bud")).alias("_big"))
-    out = (numbered.join(sizes, [*group_cols, "batch_no"])
-           .withColumn("oversize", (F.col("_n") == 1) & F.col("_big"))
-           .drop("_n", "_big", "_start", "_S"))
+        sizes, budgets = run.column("_sz").to_pylist(), run.column("_bud").to_pylist()
+        batch, over, opened = [], [], 0
+        for size, room in zip(sizes, budgets):
+            fits = room is not None and (total or 0) + size < room
+            if total is None:
+                # The group's first item opens the first batch; only literally it counts just if it fits.
+                opened, total = 1, size if fits or not faithful else 0
+                over.append(not fits)
+            elif fits:
+                total += size
+                over.append(False)
+            else:
+                opened += 1
+                over.append(room is None or size >= room)
+                total = 0 if faithful else size
+            batch.append(opened)
+        return total, opened, [at + np.arange(len(sizes)), batch, over]
+
+    out = block_fold(base, group_cols, order_cols, fold,
+                     {"idx": T.LongType(), "batch_no": T.LongType(), "oversize": T.BooleanType()}, "batch_no")
     if faithful:
         out = _literal_quirks(out, group_cols)
     return out.drop("_sz", "_bud")
 
 
+def _join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner join in which null keys equal each other."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(named, same).drop(*[f"_r_{c}" for c in cols])
+
+
 def _literal_quirks(packed: DataFrame, group_cols: list[str]) -> DataFrame:
     """Reproduce the original's losses: an item that overflows as the group's last item is never
     emitted, and a first item that overflows on its own leaves an empty batch in front."""
@@ -76,7 +77,7 @@ def _literal_quirks(packed: DataFrame, group_cols: list[str]) -> DataFrame:
         F.max("idx").alias("_last"),
         F.max(F.when(F.col("idx") == 0, F.col("_sz") >= F.col("_bud"))).alias("_empty_first"))
     firsts = packed.groupBy(*group_cols, "batch_no").agg(F.min("idx").alias("_first"))
-    p = packed.join(ends, group_cols).join(firsts, [*group_cols, "batch_no"])
+    p = _join(_join(packed, ends, group_cols), firsts, [*group_cols, "batch_no"])
     lost = (F.col("idx") == F.col("_last")) & (F.col("_first") == F.col("idx")) & (F.col("idx") > 0)
     shift = F.when(F.col("_empty_first"), 1).otherwise(0)
     return (p.filter(~lost).withColumn("batch_no", F.col("batch_no") + shift)

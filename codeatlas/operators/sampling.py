@@ -1,77 +1,116 @@
 """Change-point sampling of ordered frame sequences (key frames).
 
-Rule: take every ``step``-th frame; keep the first; keep a later frame when it differs from the
-*last kept* frame by more than ``threshold`` (|value - kept value| > threshold); number the kept
-frames.  Sequential in its original form; here every frame j gets ``next(j)`` = the first later
-frame outside the band ``[v_j - threshold, v_j + threshold]``, found for all frames at once by a
-descent over a doubling table of range minima/maxima (one equi-join per level), and the kept
-frames are the chain ``first, next(first), ...`` followed by pointer doubling.  All joins are on
-``(group, index)``, so a very long sequence is spread over many tasks.
+Rule: take every ``step``-th frame; keep the first; keep a later frame when it differs enough from the
+*last kept* frame; number the kept frames.  ``keyframes`` compares one number per frame, ``keyframes_vector`` a
+feature vector.  Both are sequential in their original form and run here as a ``block_fold`` whose state is
+the last kept value or vector, so a very long sequence is spread over many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
-from . import ordered
-from .ordered import follow_chain, row_index, running_sum
+from .blockfold import block_fold
 
 FRAME_STEP = 2
 SIMILARITY_THRESHOLD = 0.995
+MEASURES = ("cosine", "abs")
 
 
 def keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
               threshold: float, step: int = FRAME_STEP) -> DataFrame:
-    """Kept frames: ``group + order + (value, kept_no)``; ``kept_no`` is 1-based.  A frame without a
-    value (null or NaN) counts for the step but is never kept nor compared with; null group values
-    form sequences of their own."""
-    ensure_checkpoint_dir(frames.sparkSession)
-    return _keyframes(frames.withColumn("_g", ordered.group_key(group_cols)), ["_g"], order_cols, value_col, threshold,
-                      step).drop("_g")
-
-
-def _keyframes(frames: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
-               threshold: float, step: int) -> DataFrame:
-    f = row_index(frames, group_cols, order_cols, "_raw")
-    f = f.filter(F.col("_raw") % step == 0).withColumn("idx", (F.col("_raw") / step).cast("long")) \
-        .withColumn("_v", F.col(value_col).cast("double")).drop("_raw") \
-        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    # Chains run over the frames that have a value; ``_at`` keeps the frame's own place.
-    f = row_index(f.withColumnRenamed("idx", "_at"), group_cols, ["_at"], "idx").checkpoint()
-    n_max = f.groupBy(*group_cols).agg(F.max("idx").alias("_last"))
-    max_len = n_max.agg(F.max("_last")).first()[0]
-    if max_len is None:
-        return f.drop("_v", "_at").withColumn("kept_no", F.lit(None).cast("long")).limit(0)
-    levels = max(1, int(max_len + 1).bit_length())
-    # Doubling table: M[m](i) = min / max of v over [i, i + 2^m), present only when in range.
-    tables = [f.select(*group_cols, "idx", F.col("_v").alias("_mn"), F.col("_v").alias("_mx")).checkpoint()]
-    for m in range(1, levels):
-        prev = tables[-1]
-        half = 1 << (m - 1)
-        right = prev.select(*group_cols, (F.col("idx") - half).alias("idx"), F.col("_mn").alias("_mn2"),
-                            F.col("_mx").alias("_mx2"))
-        nxt = prev.join(right, [*group_cols, "idx"]).select(
-            *group_cols, "idx", F.least("_mn", "_mn2").alias("_mn"), F.greatest("_mx", "_mx2").alias("_mx"))
-        # Cut lineage every few levels: plans stay small, a lost executor redoes few joins.
-        tables.append(nxt.checkpoint() if m % 4 == 0 else nxt)
-    # Descent: from pos = j + 1 jump 2^m frames while the whole block stays inside j's band.
-    state = f.select(*group_cols, F.col("idx").alias("_j"), (F.col("idx") + 1).alias("_pos"),
-                     (F.col("_v") - threshold).alias("_lo"), (F.col("_v") + threshold).alias("_hi"))
-    for m in reversed(range(levels)):
-        t = tables[m].select(*group_cols, F.col("idx").alias("_pos"), "_mn", "_mx")
-        j = state.join(t, [*group_cols, "_pos"], "left")
-        inside = F.col("_mn").isNotNull() & (F.col("_mn") >= F.col("_lo")) & (F.col("_mx") <= F.col("_hi"))
-        state = j.select(*group_cols, "_j", F.when(inside, F.col("_pos") + (1 << m)).otherwise(F.col("_pos"))
-                         .alias("_pos"), "_lo", "_hi")
-        if m % 4 == 0:
-            state = state.checkpoint()
-    ptr = state.select(*group_cols, F.col("_j").alias("idx"), F.col("_pos").alias("nxt"))
-    kept = follow_chain(ptr, group_cols, "idx", "nxt").withColumn("_one", F.lit(1).cast("long"))
-    out = f.join(kept, [*group_cols, "idx"])
-    out = running_sum(out, group_cols, ["idx"], "_one", "kept_no")
-    return out.withColumn("idx", F.col("_at")).drop("_one", "_v", "_at")
+    """Kept frames: the frame's columns, ``idx`` (place among the taken frames) and ``kept_no`` (1-based).  A
+    frame is kept when it differs from the last kept one by more than ``threshold``.  A frame without a value
+    (null or NaN) counts for the step but is never kept nor compared with; null group values form
+    sequences of their own."""
+    def fold(state, at, run):
+        import numpy as np
+
+        taken = (at + np.arange(run.num_rows)) % step == 0
+        values = run.column("_v").to_numpy(zero_copy_only=False).astype(np.float64)
+        kept = np.zeros(run.num_rows, np.int64)
+        n, last = 0, state
+        usable = np.flatnonzero(taken & ~np.isnan(values))
+        for i, v in zip(usable.tolist(), values[usable].tolist()):
+            if last is None or abs(v - last) > threshold:
+                n += 1
+                last, kept[i] = v, n
+        return last, n, [kept > 0, kept, (at + np.arange(run.num_rows)) // step]
+
+    return _kept(frames.withColumn("_v", F.col(value_col).cast("double")), group_cols, order_cols, fold)
+
+
+def keyframes_vector(frames: DataFrame, group_cols: list[str], order_cols: list[str], vector_col: str,
+                     threshold: float = SIMILARITY_THRESHOLD, step: int = FRAME_STEP, measure: str = "cosine") -> DataFrame:
+    """``keyframes`` over feature vectors: a frame is kept when its cosine with the last kept frame is below
+    ``threshold`` (``cosine``), or when some component differs by more than it (``abs``).
+
+    A vector that is null, empty or holds a null or non-finite component, and under ``cosine`` a zero
+    one, counts for the step but is never kept nor compared with; a vector of another length than the
+    last kept one is a change."""
+    if measure not in MEASURES:
+        raise ValueError(f"measure must be one of {MEASURES}")
+
+    def usable(x) -> bool:
+        import numpy as np
+
+        return x.size > 0 and bool(np.isfinite(x).all()) and (measure == "abs" or bool(x.any()))
+
+    def first_change(last, rows) -> int:
+        """Index of the first of ``rows`` (equal lengths) that is a change, or their number."""
+        import numpy as np
+
+        if measure == "abs":
+            hit = np.abs(rows - last).max(axis=1) > threshold
+        else:
+            norms = np.sqrt(np.einsum("ij,ij->i", rows, rows)) * np.sqrt(last @ last)
+            hit = (rows * last).sum(axis=1) / norms < threshold
+        return int(hit.argmax()) if hit.any() else len(rows)
+
+    def fold(state, at, run):
+        import numpy as np
+
+        n_rows = run.num_rows
+        taken = (at + np.arange(n_rows)) % step == 0
+        vectors = run.column("_v").to_pylist()
+        rows, places = [], []
+        for i in np.flatnonzero(taken).tolist():
+            x = np.array([np.nan if v is None else v for v in vectors[i] or ()], np.float64)
+            if usable(x):
+                rows.append(x)
+                places.append(i)
+        kept = np.zeros(n_rows, np.int64)
+        last, n, i = state, 0, 0
+        while i < len(rows):
+            if last is None or len(rows[i]) != len(last):
+                found = i
+            else:
+                # Look ahead in growing stretches: long still scenes cost few passes.
+                found, reach = i, 8
+                while found < len(rows) and len(rows[found]) == len(last):
+                    stretch = rows[found:found + reach]
+                    same = next((k for k, x in enumerate(stretch) if len(x) != len(last)), len(stretch))
+                    k = first_change(last, np.stack(stretch[:same]))
+                    found += k
+                    if k < same:
+                        break
+                    reach = min(1024, reach * 2)
+            if found >= len(rows):
+                break
+            n += 1
+            last, kept[places[found]] = rows[found], n
+            i = found + 1
+        return last, n, [kept > 0, kept, (at + np.arange(n_rows)) // step]
+
+    return _kept(frames.withColumn("_v", F.col(vector_col).cast("array<double>")), group_cols, order_cols, fold)
+
+
+def _kept(frames: DataFrame, group_cols: list[str], order_cols: list[str], fold) -> DataFrame:
+    out = block_fold(frames, group_cols, order_cols, fold,
+                     {"_kept": T.BooleanType(), "kept_no": T.LongType(), "idx": T.LongType()}, "kept_no")
+    return out.filter("_kept").drop("_kept", "_v")
 
 
 def keyframe_counts(kept: DataFrame, frames: DataFrame, group_cols: list[str]) -> DataFrame:

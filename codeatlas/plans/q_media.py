@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.media import data_uri, image_tokens, snapped_size
 from ..operators.media import frames_of_gif, frames_payload, instance_image_tokens, route_assets
-from ..operators.sampling import keyframe_counts, keyframes
+from ..operators.sampling import keyframe_counts, keyframes, keyframes_vector
 from .registry import T, register
 
 _EXTS = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp")
@@ -190,3 +190,37 @@ def q_keyframes_null(spark, root):
                                          F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
     return keyframes(ev, ["g"], ["ts", "event_id"], "value", threshold=10.0) \
         .select("g", "event_id", F.col("kept_no").cast("long").alias("kept_no"))
+
+
+# -- key frames over feature vectors: embeddings of a label in id order, cosine below 0.2; every frame taken --
+@register("keyframes_vector", """
+with recursive f as (
+  select label, vec_id, embedding::double[] as v, row_number() over (partition by label order by vec_id) - 1 as idx from embeddings),
+r as (select label, idx, vec_id, v as last, true as kept from f where idx = 0
+      union all
+      select f.label, f.idx, f.vec_id, case when list_cosine_similarity(f.v, r.last) < 0.2 then f.v else r.last end,
+             list_cosine_similarity(f.v, r.last) < 0.2
+      from r join f on f.label = r.label and f.idx = r.idx + 1)
+select label, vec_id, row_number() over (partition by label order by idx) as kept_no from r where kept""")
+def q_keyframes_vector(spark, root):
+    emb = T(spark, root, "embeddings").select("label", "vec_id", "embedding")
+    return keyframes_vector(emb, ["label"], ["vec_id"], "embedding", threshold=0.2, step=1).select("label", "vec_id", "kept_no")
+
+
+# Two features per event; frames without features, sequences without a group, every second frame.
+@register("keyframes_vector_abs", """
+with recursive e as (
+  select nullif(user_id % 5, 0) as g, event_id, ts, case when event_id % 6 <> 0 then [value, event_id % 7 * 4.0] end as v from events),
+s as (select *, row_number() over (partition by g order by ts, event_id) - 1 as raw from e),
+f as (select g, event_id, v, row_number() over (partition by g order by raw) - 1 as idx from s where raw % 2 = 0 and v is not null),
+r as (select g, idx, event_id, v as last, true as kept from f where idx = 0
+      union all
+      select f.g, f.idx, f.event_id, case when greatest(abs(f.v[1] - r.last[1]), abs(f.v[2] - r.last[2])) > 15 then f.v else r.last end,
+             greatest(abs(f.v[1] - r.last[1]), abs(f.v[2] - r.last[2])) > 15
+      from r join f on f.g is not distinct from r.g and f.idx = r.idx + 1)
+select g, event_id, row_number() over (partition by g order by idx) as kept_no from r where kept""")
+def q_keyframes_vector_abs(spark, root):
+    features = F.array(F.col("value"), (F.col("event_id") % 7 * 4).cast("double"))
+    ev = T(spark, root, "events").select(F.expr("nullif(user_id % 5, 0)").alias("g"), "event_id", "ts",
+                                         F.when(F.col("event_id") % 6 != 0, features).alias("v"))
+    return keyframes_vector(ev, ["g"], ["ts", "event_id"], "v", threshold=15.0, measure="abs").select("g", "event_id", "kept_no")
