@@ -1,115 +1,239 @@
-"""Code elements of JavaScript/TypeScript files as table jobs (no grammar, no per-file parser).
-
-Pipeline (every step is a DataFrame transformation; files are never gathered per repository):
-
-1. ``source_lines``  - one row per line with its 1-based number and character offset; strings and
-   comments are blanked so that braces, keywords and calls inside them do not count.
-2. ``brace_pairs``   - one row per ``{`` / ``}`` (only the brace characters of each line are
-   exploded); the running nesting depth is a window per file, and at each depth
-   opening and closing braces alternate, so the n-th pair at a depth is matched by position.
-3. ``declarations``  - one declaration per line by regular expression: class, interface, type
-   alias, ``function``, method, arrow function (priority in that order).
-4. ``code_elements`` - each declaration's span is its brace pair (brace on the same or next line;
-   brace-less arrow functions and aliases end on their line); names, parameters, leading comments
-   (islands of comment lines above), ``has_return`` (difference of running counts of return lines),
-   content (substring of the file between line offsets) and the class an element belongs to.
-
-Accuracy limits (part of the contract): one declaration per line, its parameters on that line (an arrow
-function whose parameters span lines is not found); template literals and block
-comments spanning lines are treated by line (comment lines starting with ``/*`` or ``*`` are
-blanked); braces in regex literals are counted.
+"""Code elements of JavaScript/TypeScript files as table jobs (no grammar).
+
+A file arrives in one row, and its elements are found inside it: ``lexing.lex`` blanks strings, templates,
+comments and regular expressions over the whole text and pairs its brackets; declarations are then
+patterns over what is left, wherever lines break, and their parameters, bodies, owners and comments follow
+from the bracket pairs.  ``parsed_files`` returns a row per element, or one row with the reason for a file
+that has no lexical sense (a literal or comment left open, braces that don't balance, no content).  No rows
+are shuffled; naming and numbering are expressions over the element rows.
+
+Accuracy limits (part of the contract): types are told from arrow functions by their surroundings (an alias, an
+interface body, an annotated parameter or variable), a regular expression by the character in front of its slash;
+an arrow function without braces ends with its expression as punctuation shows it; computed and quoted
+method names are not found.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import strip
-from .ordered import count_before, count_before_many, row_index, window_sum
+from ..functions.lexing import Lexed, lex
+from .ordered import row_index, window_sum
 
 IDENT = r"[A-Za-z_$][\w$]*"
 # Words that look like calls or method headers but are not.
 KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "with", "typeof", "new",
             "await", "yield", "delete", "void", "super", "import", "else", "do", "try", "in", "of")
-_BLANK = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|/\*.*?\*/|//.*$"
-
-DECL_PATTERNS = (
-    ("class", r"(?:^|[^\w$.])class(?:\s+(?!extends\b|implements\b)(" + IDENT + r")|\s*(?=\{)|\s+(?=extends\b|implements\b))"),
-    ("interface", r"(?:^|[^\w$.])interface\s+(" + IDENT + r")"),
-    ("alias", r"^\s*(?:export\s+)?type\s+(" + IDENT + r")\s*(?:<[^>]*>)?\s*="),
-    ("function", r"(?:^|[^\w$.])function\b\s*\*?\s*(" + IDENT + r")?\s*\(([^)]*)\)"),
-    ("method", r"^\s*(?:(?:static|async|get|set)\s+)*(" + IDENT + r")\s*\(([^)]*)\)\s*\{"),
-    ("arrow", r"(?:\(([^()]*)\)|(" + IDENT + r"))\s*=>"),
-)
-
-
-def source_lines(files: DataFrame, key_cols: list[str], content_col: str = "content") -> DataFrame:
-    """``key + (line_no, text, code, off)``: ``code`` is the line with strings/comments blanked,
-    ``off`` the 0-based character offset of the line in the file."""
-    ls = files.select(*key_cols, F.posexplode(F.split(F.col(content_col), "\n", -1)).alias("_p", "text")) \
-        .select(*key_cols, (F.col("_p") + 1).alias("line_no"), "text")
-    t = F.ltrim(F.col("text"))
-    code = F.when(t.startswith("/*") | t.startswith("*"), F.lit("")).otherwise(F.regexp_replace("text", _BLANK, " "))
-    ls = ls.withColumn("code", code).withColumn("_w", (F.char_length("text") + 1).cast("long"))
-    ls = window_sum(ls, key_cols, ["line_no"], "_w", "off")
-    return ls.withColumn("off", F.col("off") - F.col("_w")).drop("_w")
-
-
-def brace_pairs(lines: DataFrame, key_cols: list[str]) -> DataFrame:
-    """``key + (open_line, open_k, close_line, level)`` for matched braces; ``open_k`` is the
-    0-based index of the brace among the brace characters of its line."""
-    br = lines.select(*key_cols, "line_no", F.regexp_replace("code", r"[^{}]", "").alias("_b")) \
-        .filter(F.col("_b") != "")
-    ev = br.select(*key_cols, "line_no", F.posexplode(F.split("_b", "")).alias("k", "ch")) \
-        .filter(F.col("ch") != "") \
-        .withColumn("_d", F.when(F.col("ch") == "{", 1).otherwise(-1).cast("long")).checkpoint()
-    ev = window_sum(ev, key_cols, ["line_no", "k"], "_d", "_depth")
-    ev = ev.withColumn("level", F.when(F.col("ch") == "{", F.col("_depth")).otherwise(F.col("_depth") + 1))
-    ev = row_index(ev, [*key_cols, "level"], ["line_no", "k"], "_i", window_sum)
-    pairs = ev.groupBy(*key_cols, "level", F.floor(F.col("_i") / 2).alias("_pair")).agg(
-        F.min_by(F.struct("line_no", "k"), F.col("_i")).alias("_o"),
-        F.max_by(F.struct("line_no", "ch"), F.col("_i")).alias("_c"),
-        F.count(F.lit(1)).alias("_n"))
-    return pairs.filter((F.col("_n") == 2) & (F.col("_c.ch") == "}")).select(
-        *key_cols, F.col("_o.line_no").alias("open_line"), F.col("_o.k").alias("open_k"),
-        F.col("_c.line_no").alias("close_line"), "level")
-
-
-def declarations(lines: DataFrame, key_cols: list[str]) -> DataFrame:
-    """One row per declaration line: ``decl`` kind, raw name, parameter text, 1-based column.
-    The kind is decided once per line (first matching pattern); name, parameters and column are
-    then extracted with that pattern only."""
-    code = F.col("code")
-    decl = F.lit(None).cast("string")
-    for kind, pat in reversed(DECL_PATTERNS):
-        hit = code.rlike(pat)
-        if kind == "method":
-            hit = hit & ~F.regexp_extract(code, pat, 1).isin(*KEYWORDS)
-        decl = F.when(hit, F.lit(kind)).otherwise(decl)
-    tagged = lines.select(*key_cols, "line_no", "code", decl.alias("decl")).filter(F.col("decl").isNotNull())
-
-    def by_kind(fn):
-        out = F.lit(None)
-        for kind, pat in DECL_PATTERNS:
-            out = F.when(F.col("decl") == kind, fn(kind, pat)).otherwise(out)
-        return out
-
-    name = by_kind(lambda k, p: F.lit("") if k == "arrow" else F.regexp_extract(code, p, 1))
-    params = by_kind(lambda k, p: F.regexp_extract(code, p, 1) if k == "arrow"
-                     else F.regexp_extract(code, p, 2) if k in ("function", "method") else F.lit(None).cast("string"))
-    col = by_kind(lambda k, p: F.regexp_instr(code, F.lit(p)).cast("int"))
-    return tagged.select(*key_cols, "line_no", "code", "decl", name.cast("string").alias("raw_name"),
-                         params.cast("string").alias("param_text"), col.cast("int").alias("col"))
-
-
-def _brace_index_from(code, col) -> F.Column:
-    """0-based index (among the line's braces) of the first ``{`` at or after column ``col``;
-    null when there is none."""
-    before = F.char_length(F.regexp_replace(F.substring(code, 1, F.greatest(col - 1, F.lit(0))), r"[^{}]", ""))
-    after = F.regexp_replace(F.expr("substring(code, greatest(col, 1))"), r"[^{}]", "")
-    rel = F.instr(after, "{")
-    return F.when(rel > 0, before + rel - 1)
+_BEGIN = r"(?<![\w$.])"
+_DECL = {
+    "class": re.compile(_BEGIN + rf"class\b(?:\s+(?!extends\b|implements\b)({IDENT}))?(?=[^;=)}}]*\{{)"),
+    "interface": re.compile(_BEGIN + rf"interface\s+({IDENT})(?=[^;=)}}]*\{{)"),
+    "alias": re.compile(rf"(?:^|(?<=[;{{}}]))[^\S\n]*(?:export\s+)?(?:declare\s+)?type\s+({IDENT})\s*(?:<[^=]*>)?\s*=(?![=>])", re.MULTILINE),
+    "function": re.compile(_BEGIN + rf"function\b\s*\*?\s*({IDENT})?\s*(?:<[^(){{}}]*>)?\s*\("),
+    "method": re.compile(rf"(?:^|(?<=[{{}};,]))[^\S\n]*(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*\*?\s*"
+                         rf"(#?{IDENT})\s*(?:<[^(){{}}]*>)?\s*\(", re.MULTILINE),
+    "arrow": re.compile(r"=>"),
+}
+_RESULT_TYPE = re.compile(r"\s*(?::\s*[^{};=()]*)?\{")
+_ARROW_TYPE = re.compile(r"\)\s*:[^(){};,=]*\Z")
+_WORD_END = re.compile(rf"{IDENT}\Z")
+_ANNOTATED = re.compile(rf"(?:const|let|var)\s+{IDENT}\s*:\s*\Z")
+_RETURN = re.compile(_BEGIN + r"return(?![\w$])")
+_GOES_ON = set(".?:&|+-*/%=<>,)")
+_FIELDS = (("decl", T.StringType()), ("raw_name", T.StringType()), ("parameters", T.ArrayType(T.StringType())),
+           ("start_line", T.IntegerType()), ("end_line", T.IntegerType()), ("col", T.IntegerType()), ("owner", T.LongType()),
+           ("fun_n", T.LongType()), ("cls_n", T.LongType()), ("has_return", T.BooleanType()), ("content", T.StringType()),
+           ("signature", T.StringType()), ("problem", T.StringType()))
+
+
+def _skip_blank(code: str, at: int) -> int:
+    """Offset of the first character from ``at`` that isn't blank."""
+    while at < len(code) and code[at].isspace():
+        at += 1
+    return at
+
+
+def _body_brace(x: Lexed, at: int) -> int | None:
+    """The brace that opens the body after a header that ends at ``at``; bracketed parts of the header are passed."""
+    while at < len(x.code):
+        ch = x.code[at]
+        if ch == "{":
+            return at
+        if ch in ";}":
+            return None
+        at = x.closes.get(at, at) + 1
+    return None
+
+
+def _expression_end(x: Lexed, at: int) -> int:
+    """Offset behind an expression that begins at ``at``: before a separator or closing bracket, or at a line end
+    that the next line doesn't continue."""
+    last = at
+    while at < len(x.code):
+        ch = x.code[at]
+        if ch in ",;)]}":
+            break
+        if at in x.closes:
+            at = last = x.closes[at]
+        elif ch == "\n":
+            on = _skip_blank(x.code, at)
+            if x.code[last:last + 1] not in _GOES_ON - {")"} and x.code[on:on + 1] not in _GOES_ON:
+                break
+            at = on - 1
+        elif not ch.isspace():
+            last = at
+        at += 1
+    return last + 1
+
+
+def _parameters(x: Lexed, open_: int) -> list[str]:
+    """Plain identifiers among the parameters of the bracket at ``open_`` (patterns, defaults and rests are none)."""
+    close = x.closes.get(open_)
+    if close is None:
+        return []
+    names, at, begin = [], open_ + 1, open_ + 1
+    while at <= close:
+        if at == close or x.code[at] == ",":
+            names.append(x.code[begin:at].strip())
+            begin = at + 1
+        at = x.closes[at] + 1 if at != open_ and at in x.closes else at + 1
+    return [n for n in names if re.fullmatch(IDENT, n)]
+
+
+def _is_type(x: Lexed, types: list[tuple[int, int]], begin: int) -> bool:
+    """Whether the arrow whose parameters begin at ``begin`` stands where only a type can."""
+    if any(a <= begin < b for a, b in types):
+        return True
+    before = x.code[max(0, begin - 200):begin].rstrip()
+    if not before.endswith(":"):
+        return False
+    around = x.around(begin)
+    return (around is not None and x.code[around] == "(") or _ANNOTATED.search(x.code[max(0, begin - 200):begin]) is not None
+
+
+def declarations(x: Lexed) -> list[tuple[int, int, str, str | None, list[str]]]:
+    """(begin, end, kind, name, parameters) of every declaration, in order of their begin."""
+    code, found, types = x.code, [], []
+    for kind in ("class", "interface"):
+        for m in _DECL[kind].finditer(code):
+            brace = _body_brace(x, m.end())
+            if brace is not None and brace in x.closes:
+                found.append((m.start(), x.closes[brace] + 1, kind, m[1], []))
+                if kind == "interface":
+                    types.append((brace, x.closes[brace]))
+    for m in _DECL["alias"].finditer(code):
+        end = _expression_end(x, _skip_blank(code, m.end()))
+        types.append((m.start(), end))
+        found.append((_skip_blank(code, m.start()), end, "alias", m[1], []))
+    for m in _DECL["function"].finditer(code):
+        open_ = m.end() - 1
+        close = x.closes.get(open_)
+        if close is None:
+            continue
+        body = _RESULT_TYPE.match(code, close + 1)
+        brace = body.end() - 1 if body else None
+        end = x.closes[brace] + 1 if brace in x.closes else close + 1
+        found.append((m.start(), end, "function", m[1], _parameters(x, open_)))
+    for m in _DECL["method"].finditer(code):
+        open_ = m.end() - 1
+        close = x.closes.get(open_)
+        body = _RESULT_TYPE.match(code, close + 1) if close is not None and m[1] not in KEYWORDS else None
+        if body is not None and body.end() - 1 in x.closes:
+            found.append((_skip_blank(code, m.start()), x.closes[body.end() - 1] + 1, "method", m[1], _parameters(x, open_)))
+    for m in _DECL["arrow"].finditer(code):
+        before = code[:m.start()].rstrip() if m.start() < 256 else code[m.start() - 256:m.start()].rstrip()
+        shift = 0 if m.start() < 256 else m.start() - 256
+        typed = _ARROW_TYPE.search(before)
+        ends = shift + (typed.start() if typed else len(before) - 1)
+        if ends < 0 or ends < len(code) and code[ends] == ")" and ends not in x.opens:
+            continue
+        if code[ends] == ")":
+            begin, params = x.opens[ends], _parameters(x, x.opens[ends])
+        else:
+            word = _WORD_END.search(before)
+            if word is None:
+                continue
+            begin, params = shift + word.start(), []
+        if _is_type(x, types, begin):
+            continue
+        at = _skip_blank(code, m.end())
+        end = x.closes[at] + 1 if code[at:at + 1] == "{" and at in x.closes else _expression_end(x, at)
+        found.append((begin, max(end, m.end()), "arrow", "", params))
+    return sorted(found, key=lambda d: (d[0], -d[1]))
+
+
+def _comment_above(lines: list[str], line: int) -> str:
+    """The block of comment lines right above a 0-based line, blank lines between allowed, each stripped."""
+    block: list[str] = []
+    for text in (lines[i].strip() for i in range(line - 1, -1, -1)):
+        if text.startswith(("//", "/*", "*")):
+            block.append(text)
+        elif text or block:
+            break
+    return "\n".join(reversed(block))
+
+
+def file_elements(text: str) -> tuple[list[tuple], str | None]:
+    """Rows of ``_FIELDS`` for one file, or no rows and the reason why it is rejected."""
+    x = lex(text)
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    if x.problem is not None:
+        return [], f"{x.problem[1]} in line {bisect_right(starts, x.problem[0])}"
+    lines = text.split("\n")
+    returns = [m.start() for m in _RETURN.finditer(x.code)]
+    out: list[tuple] = []
+    classes: list[tuple[int, int]] = []                  # (end, number) of the classes around
+    funs = seen = 0
+    for begin, end, kind, name, params in declarations(x):
+        while classes and classes[-1][0] <= begin:
+            classes.pop()
+        owner = classes[-1][1] if classes and kind not in ("class", "interface") else None
+        first, last = bisect_right(starts, begin) - 1, bisect_right(starts, end - 1) - 1
+        if kind == "class":
+            seen += 1
+            classes.append((end, seen))
+        funs += kind not in ("class", "interface") and owner is None
+        has_return = kind != "class" and bisect_right(returns, end - 1) > bisect_right(returns, begin)
+        out.append((kind, name, params, first + 1, last + 1, begin - starts[first] + 1, owner, funs, seen, has_return,
+                    "\n".join(lines[first:last + 1]), _comment_above(lines, first), None))
+    return out, None
+
+
+def parsed_files(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_path"), content_col: str = "content") -> DataFrame:
+    """``key_cols`` and the columns of ``_FIELDS``: a row per element of each file, or one with ``problem`` for a file
+    that is rejected.  A sound file without elements has no row; null content is a problem."""
+    key_cols = list(key_cols)
+    own = files.select(*key_cols, F.col(content_col).alias("_text"))
+    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(n, t) for n, t in _FIELDS)])
+
+    def parse(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(t) for _, t in _FIELDS]
+        for b in batches:
+            rows, of = [], []
+            for i, text in enumerate(b.column("_text").to_pylist()):
+                found, problem = file_elements(text) if text is not None else ([], "no content")
+                if problem is not None:
+                    found = [(*[None] * (len(_FIELDS) - 1), problem)]
+                rows += found
+                of += [i] * len(found)
+            keys = b.drop_columns(["_text"]).take(pa.array(of, pa.int64()))
+            cols = list(zip(*rows)) or [()] * len(_FIELDS)
+            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=schema.names)
+
+    return own.mapInArrow(parse, schema)
+
+
+def rejected_files(parsed: DataFrame, key_cols: list[str] = ("instance_key", "rel_path")) -> DataFrame:
+    """Quarantine of ``parsed_files``: the files without lexical sense and why (``key + (problem)``)."""
+    return parsed.filter("problem is not null").select(*key_cols, "problem")
 
 
 def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_path"),
@@ -123,146 +247,31 @@ def code_elements(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_
     numbered in document order.  Arrow functions and nameless function expressions are named
     ``function_<n+1>`` with n the count of numbered functions before them; interfaces get
     ``type_<classes before + 1>``.  ``signature`` is the block of comment lines right above
-    the element (blank lines allowed between it and the element), each line stripped.
+    the element (blank lines allowed between it and the element), each line stripped.  Files that
+    ``rejected_files`` names have no elements.
     """
+    return elements_of(parsed_files(files, key_cols, content_col), key_cols)
+
+
+def elements_of(parsed: DataFrame, key_cols: list[str] = ("instance_key", "rel_path")) -> DataFrame:
+    """``code_elements`` from the rows of ``parsed_files``."""
     key_cols = list(key_cols)
-    ls = source_lines(files, key_cols, content_col).checkpoint()
-    pairs = brace_pairs(ls, key_cols)
-    decls = declarations(ls, key_cols)
     path_col = key_cols[-1]
-
-    # Brace that opens the declaration: first "{" at/after the declaration on its line, else the
-    # first "{" of the next line (classes, functions, methods, interfaces only).
-    d = decls.withColumn("_k", _brace_index_from(F.col("code"), F.col("col")))
-    nxt = ls.select(*key_cols, (F.col("line_no") - 1).alias("line_no"),
-                    F.instr(F.regexp_replace("code", r"[^{}]", ""), "{").alias("_nk"))
-    d = d.join(nxt, [*key_cols, "line_no"], "left")
-    own = pairs.select(*key_cols, F.col("open_line").alias("line_no"), F.col("open_k").alias("_k"),
-                       F.col("close_line").alias("_end1"))
-    d = d.join(own, [*key_cols, "line_no", "_k"], "left")
-    nextp = pairs.select(*key_cols, (F.col("open_line") - 1).alias("line_no"), (F.col("open_k") + 1).alias("_nk"),
-                         F.col("close_line").alias("_end2"))
-    d = d.join(nextp, [*key_cols, "line_no", "_nk"], "left")
-    braced_next = F.col("decl").isin("class", "interface", "function", "method") & F.col("_k").isNull()
-    end = F.coalesce(F.col("_end1"), F.when(braced_next, F.col("_end2")), F.col("line_no"))
-    kind = F.when(F.col("decl") == "class", "class").when(F.col("decl") == "interface", "type").otherwise("function")
-    el = d.select(*key_cols, kind.alias("kind"), F.col("decl"), F.col("raw_name"), F.col("param_text"),
-                  F.col("line_no").alias("start_line"), end.alias("end_line"), F.col("col")).checkpoint()
-
-    # Enclosing class (any depth) of every function: see _innermost_class.
-    classes = el.filter(F.col("kind") == "class").select(*key_cols, F.col("start_line").alias("_cs"),
-                                                         F.col("end_line").alias("_ce"))
-    cls_ord = row_index(classes, key_cols, ["_cs"], "_cord", window_sum)
-    fun = el.filter(F.col("kind") == "function")
-    owner = _innermost_class(fun.select(*key_cols, "start_line", "end_line", "col"), cls_ord, key_cols)
-    el = el.join(owner, [*key_cols, "start_line", "col"], "left")
-
-    # Ordinals: classes and top-level functions numbered in document order per file.
-    top = F.col("kind").isin("class") | ((F.col("kind") == "function") & F.col("_owner").isNull())
-    el = el.withColumn("_isfun", ((F.col("kind") == "function") & F.col("_owner").isNull()).cast("long")) \
-        .withColumn("_iscls", (F.col("kind") == "class").cast("long"))
-    el = window_sum(el, key_cols, ["start_line", "col"], ["_isfun", "_iscls"], ["_fun_n", "_cls_n"])
-    anon = F.col("raw_name").isNull() | (F.col("raw_name") == "") | (F.col("decl") == "arrow")
-    fun_before = F.col("_fun_n") - F.col("_isfun")
-    name = (F.when((F.col("kind") == "function") & anon, F.concat(F.lit("function_"), (fun_before + 1).cast("string")))
-            .when((F.col("kind") == "class") & anon, F.concat(F.lit("class_"), F.col("_cls_n").cast("string")))
-            .otherwise(F.col("raw_name")))
-    ordinal = (F.when(F.col("kind") == "class", F.col("_cls_n"))
-               .when(F.col("kind") == "type", F.col("_cls_n") + 1)
-               .when(F.col("_owner").isNull(), F.col("_fun_n")))
-    node_key = F.when(top | (F.col("kind") == "type"), F.concat(F.col("kind"), F.lit("_"), ordinal.cast("string")))
+    decl, name = F.col("decl"), F.col("raw_name")
+    kind = F.when(decl == "class", "class").when(decl == "interface", "type").otherwise("function")
+    free = (kind == "function") & F.col("owner").isNull()
+    unnamed = name.isNull() | (name == "")
+    before = F.col("fun_n") - F.when(free, 1).otherwise(0)
+    named = (F.when(unnamed & (kind == "function"), F.concat(F.lit("function_"), (before + 1).cast("string")))
+             .when(unnamed & (kind == "class"), F.concat(F.lit("class_"), F.col("cls_n").cast("string"))).otherwise(name))
+    ordinal = F.when(kind == "class", F.col("cls_n")).when(kind == "type", F.col("cls_n") + 1).when(free, F.col("fun_n"))
     ts = F.col(path_col).endswith(".ts") | F.col(path_col).endswith(".tsx")
-    plist = F.filter(F.transform(F.split(F.coalesce(F.col("param_text"), F.lit("")), ","), lambda x: F.trim(x)),
-                     lambda x: x.rlike("^" + IDENT + "$"))
-    params = F.when((F.col("kind") == "function") & ~ts, plist).otherwise(F.array().cast("array<string>"))
-    el = el.select(*key_cols, "kind", "decl", ordinal.cast("long").alias("ordinal"), name.alias("name"),
-                   node_key.alias("node_key"),
-                   F.col("_owner").alias("parent_ordinal"), params.alias("parameters"), "start_line", "end_line",
-                   "col")
-
-    # has_return: return lines inside the span, from running counts of return lines.
-    rl = ls.select(*key_cols, "line_no", F.col("code").rlike(r"(?:^|[^\w$.])return(?:[^\w$]|$)").cast("long").alias("_r"))
-    rl = window_sum(rl, key_cols, ["line_no"], "_r", "_rc")
-    at_end = rl.select(*key_cols, F.col("line_no").alias("end_line"), F.col("_rc").alias("_re"))
-    before = rl.select(*key_cols, (F.col("line_no") + 1).alias("start_line"), F.col("_rc").alias("_rb"))
-    el = el.join(at_end, [*key_cols, "end_line"], "left").join(before, [*key_cols, "start_line"], "left")
-    has_ret = (F.coalesce("_re", F.lit(0)) - F.coalesce("_rb", F.lit(0))) > 0
-    el = el.withColumn("has_return", F.when(F.col("kind") == "class", F.lit(False)).otherwise(has_ret)).drop("_re", "_rb")
-
-    el = el.checkpoint()
-    el = el.join(leading_comments(ls, el.select(*key_cols, "start_line").distinct(), key_cols),
-                 [*key_cols, "start_line"], "left")
-
-    # Content: the file text from the start of the first line to the end of the last line.
-    offs = ls.select(*key_cols, "line_no", "off", F.char_length("text").alias("_len"))
-    so = offs.select(*key_cols, F.col("line_no").alias("start_line"), F.col("off").alias("_so"))
-    eo = offs.select(*key_cols, F.col("line_no").alias("end_line"), (F.col("off") + F.col("_len")).alias("_eo"))
-    el = el.join(so, [*key_cols, "start_line"]).join(eo, [*key_cols, "end_line"])
-    el = el.join(files.select(*key_cols, F.col(content_col).alias("_file")), key_cols)
-    el = el.withColumn("content", F.expr("substring(_file, _so + 1, _eo - _so)"))
-    block = F.split(F.expr("substring(_file, _o1 + 1, _o2 - _o1)"), "\n", -1)
-    sig = F.when(F.col("_o1").isNull(), F.lit("")).otherwise(F.array_join(F.transform(block, strip), "\n"))
-    return el.withColumn("signature", sig).drop("_file", "_so", "_eo", "_o1", "_o2")
-
-
-def _innermost_class(fun: DataFrame, classes: DataFrame, key_cols: list[str]) -> DataFrame:
-    """For every function ``(key, start_line, col)`` the ordinal of the innermost class whose span
-    contains its start line, as ``_owner`` (functions outside classes are not returned).
-
-    Class spans nest, so the number of classes covering line p is
-    ``#starts <= p - #ends < p`` (two lower-bound lookups).  If that depth is D > 0, the innermost
-    covering class is the last class of depth D starting on or before p: a class of depth D that
-    started later would lie inside it and be deeper.  Three ordered scans, no iteration and no
-    range join."""
-    cls = classes.withColumn("_cid", F.col("_cord") + 1)
-
-    def depth_at(probes, id_col, line_col):
-        c = count_before_many([(cls, "_cs", True, "_ns"), (cls, "_ce", False, "_ne")], probes, key_cols, line_col,
-                              id_col, window_sum)
-        return c.select(*key_cols, id_col, (F.col("_ns") - F.col("_ne")).alias("_depth"))
-
-    cdepth = depth_at(cls.select(*key_cols, "_cid", "_cs"), "_cid", "_cs")
-    cls_d = row_index(cls.join(cdepth, [*key_cols, "_cid"]), [*key_cols, "_depth"], ["_cs", "_cid"], "_k", window_sum) \
-        .checkpoint()
-    fp = fun.select(*key_cols, "start_line", "col").distinct() \
-        .withColumn("_pid", F.monotonically_increasing_id()).checkpoint()
-    fp = fp.join(depth_at(fp, "_pid", "start_line"), [*key_cols, "_pid"]).filter(F.col("_depth") > 0)
-    k = count_before(cls_d, fp, [*key_cols, "_depth"], "_cs", "start_line", "_pid", inclusive=True, out_col="_kk",
-                     sums=window_sum)
-    owner = k.join(cls_d.select(*key_cols, "_depth", (F.col("_k") + 1).alias("_kk"), "_cid"), [*key_cols, "_depth", "_kk"])
-    return fp.join(owner.select(*key_cols, "_pid", "_cid"), [*key_cols, "_pid"]) \
-        .select(*key_cols, "start_line", "col", F.col("_cid").alias("_owner"))
-
-
-def leading_comments(lines: DataFrame, starts: DataFrame, key_cols: list[str]) -> DataFrame:
-    """``key + (start_line, signature)``: the contiguous block of comment lines directly above
-    ``start_line``, skipping blank lines between the block and the element, each line stripped."""
-    t = F.trim(F.col("text"))
-    cls = F.when(t.startswith("//") | t.startswith("/*") | t.startswith("*"), "c").when(t == "", "b").otherwise("x")
-    ls = lines.select(*key_cols, "line_no", cls.alias("_cls"), "text")
-    prev = ls.select(*key_cols, (F.col("line_no") + 1).alias("line_no"), F.col("_cls").alias("_prev"))
-    isl = ls.join(prev, [*key_cols, "line_no"], "left") \
-        .withColumn("_chg", (F.col("_prev").isNull() | (F.col("_prev") != F.col("_cls"))).cast("long"))
-    isl = window_sum(isl, key_cols, ["line_no"], "_chg", "_island").checkpoint()
-    islands = isl.groupBy(*key_cols, "_island").agg(F.first("_cls").alias("_cls"), F.min("line_no").alias("_first"),
-                                                    F.max("line_no").alias("_last"))
-    above = starts.select(*key_cols, "start_line", (F.col("start_line") - 1).alias("line_no")) \
-        .join(isl.select(*key_cols, "line_no", "_island"), [*key_cols, "line_no"])
-    a1 = above.join(islands, [*key_cols, "_island"])
-    # a blank island directly above: look one island further up.
-    up = islands.select(*key_cols, (F.col("_island") + 1).alias("_island"), F.col("_cls").alias("_ucls"),
-                        F.col("_first").alias("_ufirst"), F.col("_last").alias("_ulast"))
-    a2 = a1.join(up, [*key_cols, "_island"], "left")
-    first = F.when(F.col("_cls") == "c", F.col("_first")).when((F.col("_cls") == "b") & (F.col("_ucls") == "c"),
-                                                                  F.col("_ufirst"))
-    last = F.when(F.col("_cls") == "c", F.col("_last")).when((F.col("_cls") == "b") & (F.col("_ucls") == "c"),
-                                                                F.col("_ulast"))
-    blocks = a2.select(*key_cols, "start_line", first.alias("_bf"), last.alias("_bl")).filter(F.col("_bf").isNotNull())
-    # Block text: lines of the block, stripped, in order (the block is contiguous lines).
-    bl = blocks.join(lines.select(*key_cols, F.col("line_no").alias("_bf"), F.col("off").alias("_o1")), [*key_cols, "_bf"]) \
-        .join(lines.select(*key_cols, F.col("line_no").alias("_bl"), (F.col("off") + F.char_length("text")).alias("_o2")),
-              [*key_cols, "_bl"])
-    return bl.select(*key_cols, "start_line", "_o1", "_o2")
+    params = F.when((kind == "function") & ~ts, F.col("parameters")).otherwise(F.array().cast("array<string>"))
+    return parsed.filter("problem is null").select(
+        *key_cols, kind.alias("kind"), "decl", ordinal.alias("ordinal"), named.alias("name"),
+        F.when(ordinal.isNotNull(), F.concat(kind, F.lit("_"), ordinal.cast("string"))).alias("node_key"),
+        F.col("owner").alias("parent_ordinal"), params.alias("parameters"), "start_line", "end_line", "col", "has_return",
+        "content", "signature")
 
 
 def class_members(elements: DataFrame, key_cols: list[str]) -> DataFrame:

@@ -124,3 +124,24 @@ FILE_LINES_SQL = f"""
         ['// module ' || file_no, 'import React from ''react'';', 'import ''./mod_' || file_no || '.css'';']
         || (flatten(list(ul || [''] order by pk)))[1:-2] as fl
  from (select *, {_unit_lines_sql()} as ul from {UNITS_SQL}) group by instance_key, rel_path, file_no)"""
+
+
+SHAPE_LINES = 14
+
+
+def shape_files(part: DataFrame, broken: bool = False) -> DataFrame:
+    """``(instance_key, rel_path, pk, content)``: one file per part row with the shapes that line rules miss: names in a
+    template, a block comment and a regular expression, code within a template, parameters over lines and as a
+    pattern, several declarations on a line.  ``broken``: four files of five end in an open or surplus
+    bracket, comment or template, and every eleventh has no content."""
+    pk = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("const text = `\nclass Fake"), pk, F.lit(" { ${[1].map((t) => `x ${t}`)}\n`;\n/*\nfunction dead"), pk, F.lit("() {\n*/\nfunction live"), pk,
+        F.lit("(s) { return /[{]/.test(s); } function two"), pk, F.lit("({a, b}, c) { }\nconst far = (\n  u,\n  v\n) => {\n  return u + v;\n};\nclass Box"), pk,
+        F.lit(" { m(q) { return q; } n() { } }"))
+    key = F.col("p_partkey")
+    if broken:
+        end = F.element_at(F.array(*[F.lit(x) for x in ("", "\nfunction open() {", "\n}", "\n/* open", "\nconst s = `open")]), (key % 5 + 1).cast("int"))
+        text = F.when(key % 11 != 0, F.concat(text, end))
+    return part.select(F.concat(F.lit("repo"), (key % 7).cast("string")).alias("instance_key"),
+                       F.concat(F.lit("src/shape_"), pk, F.lit(".js")).alias("rel_path"), key.alias("pk"), text.alias("content"))

@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..functions.keys import is_test_path
 from ..operators.context import (attach_docs, attach_element_type, distinct_knowledge, file_description, match_paths,
                                  prune_context)
-from ..operators.elements import code_elements, drop_overlaps
+from ..operators.elements import code_elements, drop_overlaps, elements_of, parsed_files, rejected_files
 from ..operators.fences import fenced_elements, ranked_files
 from ..operators.graph import callables, callee_refs, doc_waves, element_calls, graph_nodes, import_edges, internal_imports
 from ..operators.incremental import pending
@@ -22,6 +22,7 @@ from ..operators.packing import PROMPT_BUDGET, pack_batches
 from ..operators.retrieval import chunk_recursive, retrieved_files, topk_similar
 from ..operators.sampling import SIMILARITY_THRESHOLD, keyframe_counts, keyframes
 from ..operators.snapshots import carry_forward, snapshot_diff, to_regenerate
+from ..session import ensure_checkpoint_dir
 
 KEY = ["instance_key", "rel_path"]
 INST = ["instance_key"]
@@ -32,6 +33,15 @@ def build_code_catalog(files: DataFrame) -> DataFrame:
     return drop_overlaps(code_elements(files, KEY), KEY)
 
 
+def catalog_and_quarantine(files: DataFrame, overlaps: bool = False) -> tuple[DataFrame, DataFrame]:
+    """C1 with its quarantine: ``(elements, rejected files with the reason)``, each file parsed once.
+    ``overlaps`` keeps nested functions that overlap a kept one."""
+    ensure_checkpoint_dir(files.sparkSession)
+    parsed = parsed_files(files, KEY).checkpoint()
+    elements = elements_of(parsed, KEY)
+    return elements if overlaps else drop_overlaps(elements, KEY), rejected_files(parsed, KEY)
+
+
 def build_import_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C2: ``(nodes, edges)`` of the import graph of each snapshot."""
     edges = import_edges(files, KEY)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.elements import (class_members, code_elements, definitions, drop_overlaps, element_ordinals,
                                   file_lines)
-from .code_fixture import FILE_LINES_SQL, UNITS_SQL, source_files
+from . import jobs
+from .code_fixture import FILE_LINES_SQL, SHAPE_LINES, UNITS_SQL, shape_files, source_files
 from .registry import T, register
 
 KEY = ["instance_key", "rel_path"]
@@ -131,3 +132,36 @@ from documents""")
 def q_lines(spark, root):
     d = T(spark, root, "documents")
     return file_lines(d, ["doc_id"], "text").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@register("code_elements_shapes", """
+with s as (select 'repo' || p_partkey % 7 as instance_key, 'src/shape_' || p_partkey || '.js' as rel_path, p_partkey as pk from part),
+e as (select *, unnest([
+  {'kind': 'function', 'name': 'function_1', 'node_key': 'function_1', 'a': 2, 'b': 2, 'ret': false, 'params': 't', 'up': null},
+  {'kind': 'function', 'name': 'live' || pk, 'node_key': 'function_2', 'a': 7, 'b': 7, 'ret': true, 'params': 's', 'up': null},
+  {'kind': 'function', 'name': 'two' || pk, 'node_key': 'function_3', 'a': 7, 'b': 7, 'ret': false, 'params': 'c', 'up': null},
+  {'kind': 'function', 'name': 'function_4', 'node_key': 'function_4', 'a': 8, 'b': 13, 'ret': true, 'params': 'u,v', 'up': null},
+  {'kind': 'class', 'name': 'Box' || pk, 'node_key': 'class_1', 'a': 14, 'b': 14, 'ret': false, 'params': '', 'up': null},
+  {'kind': 'function', 'name': 'm', 'node_key': null, 'a': 14, 'b': 14, 'ret': true, 'params': 'q', 'up': 1},
+  {'kind': 'function', 'name': 'n', 'node_key': null, 'a': 14, 'b': 14, 'ret': false, 'params': '', 'up': 1}]) as x from s)
+select instance_key, rel_path, x.kind as kind, x.name as name, x.node_key as node_key, x.a::bigint as start_line, x.b::bigint as end_line,
+       x.ret as has_return, x.params as parameters, x.up::bigint as parent_ordinal from e""")
+def q_code_elements_shapes(spark, root):
+    el = _out(code_elements(shape_files(T(spark, root, "part")), KEY))
+    return el.select(*KEY, "kind", "name", "node_key", "start_line", "end_line", "has_return", "parameters", "parent_ordinal")
+
+
+@register("job_code_quarantine", f"""
+select 'repo' || p_partkey % 7 as instance_key, 'src/shape_' || p_partkey || '.js' as rel_path,
+       case when p_partkey % 11 = 0 then 'no content'
+            else ['unclosed brace', 'unbalanced brace', 'open comment', 'open template'][p_partkey % 5] || ' in line {SHAPE_LINES + 1}' end as problem,
+       0::bigint as n_elements
+from part where p_partkey % 5 <> 0 or p_partkey % 11 = 0
+union all
+select 'repo' || p_partkey % 7, 'src/shape_' || p_partkey || '.js', null, 7 from part where p_partkey % 5 = 0 and p_partkey % 11 <> 0""")
+def q_code_quarantine(spark, root):
+    """Every file lies on one side: rejected with a reason, or with its elements."""
+    elements, rejected = jobs.catalog_and_quarantine(shape_files(T(spark, root, "part"), broken=True), overlaps=True)
+    counts = elements.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_elements"))
+    return rejected.select(*KEY, "problem", F.lit(0).cast("long").alias("n_elements")).unionByName(
+        counts.select(*KEY, F.lit(None).cast("string").alias("problem"), "n_elements"))
