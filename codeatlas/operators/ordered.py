@@ -2,20 +2,12 @@
 
 Several operators of the library are sequential folds in their original form (greedy packing,
 greedy overlap removal).  A Spark window partitioned by the group key would put a whole group into
-one task, so a hot group would serialise the job.  The three building blocks here avoid that:
-
-* ``running_sum``   - inclusive prefix sum within a group in a total order.  Rows are
-  range-partitioned on ``(group, order)`` so a large group is spread over many tasks; every
-  task sums its own contiguous block (vectorised, Arrow batches; nulls form a group), a small table with one row per
-  ``(task, group)`` block gives each block its carry-in, and a join adds it back.
-  ``window_sum`` gives the same sums by a window, for groups that are the lines of one text.
-* ``count_before``  - for probe rows, how many item rows of the same group sort before a probe
-  value (an as-of / lower-bound lookup), built on ``running_sum`` over the union of both sides.
-* ``follow_chain``  - given ``next(i) > i`` pointers, flag every row reachable from the first row of
-  its group.  Pointer doubling: round ``r`` adds the ``2^r`` further steps to the reached set and
-  squares the jump table, so the number of rounds is ``log2`` of the chain length and each round
-  is a pair of equi-joins on ``(group, index)``.  Every round is checkpointed to the shared
-  checkpoint folder, so lineage stays short and a lost executor costs one round at most.
+one task, so a hot group would serialise the job.  ``running_sum`` avoids that for prefix sums: rows are
+range-partitioned on ``(group, order)`` so a large group is spread over many tasks; every task sums its own
+contiguous block (vectorised, Arrow batches; nulls form a group), a small table with one row per ``(task,
+group)`` block gives each block its carry-in, and a join adds it back.  ``row_index`` numbers rows by it,
+``window_sum`` gives the same sums by a window, for groups that are the lines of one text.  Folds with a state
+of their own are in ``blockfold``.
 """
 
 from __future__ import annotations
@@ -142,83 +134,9 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
     return out.drop("_pid", *[f"_off{i}" for i in range(len(out_cols))])
 
 
-def group_key(group_cols: list[str]) -> Column:
-    """One string per combination of group values, nulls included, to group and join by."""
-    return F.to_json(F.struct(*group_cols), {"ignoreNullFields": "false"})
-
-
 def row_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "idx",
               sums=running_sum) -> DataFrame:
-    """0-based position of each row inside its group (``row_number() - 1``); ``sums`` as in
-    ``count_before_many``."""
+    """0-based position of each row inside its group (``row_number() - 1``); ``sums`` is ``running_sum``, or
+    ``window_sum`` for groups made from one input cell."""
     out = sums(df.withColumn("_one", F.lit(1).cast("long")), group_cols, order_cols, "_one", out_col)
     return out.withColumn(out_col, F.col(out_col) - 1).drop("_one")
-
-
-def count_before(items: DataFrame, probes: DataFrame, group_cols: list[str], item_key: str,
-                 probe_key: str, probe_id: str, inclusive: bool = False, out_col: str = "n_before",
-                 sums=running_sum) -> DataFrame:
-    """For every probe row: the number of items of its group whose key is ``<`` the probe key
-    (``<=`` when ``inclusive``).  Returns ``group_cols + [probe_id, out_col]``.
-
-    When item keys are non-decreasing in item order this is the lower-bound index of the probe
-    key, i.e. an as-of lookup, computed as one ordered scan of the union of items and probes.
-    """
-    return count_before_many([(items, item_key, inclusive, out_col)], probes, group_cols, probe_key, probe_id, sums)
-
-
-def count_before_many(item_sets, probes: DataFrame, group_cols: list[str], probe_key: str, probe_id: str,
-                      sums=running_sum) -> DataFrame:
-    """Several ``count_before`` lookups against the same probes in one ordered scan.
-
-    ``item_sets`` is a list of ``(items, item_key, inclusive, out_col)``.  At equal keys inclusive
-    items sort before the probe and strict items after it, so one running sum per set counts
-    exactly the items "before" each probe.  ``sums`` is ``running_sum``, or ``window_sum`` for groups
-    made from one input cell."""
-    first = item_sets[0]
-    dt = first[0].schema[first[1]].dataType
-    key_type = T.DoubleType() if isinstance(dt, (T.DoubleType, T.FloatType)) else T.LongType()
-    ind = [f"_is{i}" for i in range(len(item_sets))]
-    parts = []
-    for i, (items, item_key, inclusive, _) in enumerate(item_sets):
-        parts.append(items.select(*group_cols, F.col(item_key).cast(key_type).alias("_k"),
-                                  F.lit(0 if inclusive else 2).alias("_side"), F.lit(None).cast("long").alias("_pid_"),
-                                  *[F.lit(1 if j == i else 0).cast("long").alias(c) for j, c in enumerate(ind)]))
-    parts.append(probes.select(*group_cols, F.col(probe_key).cast(key_type).alias("_k"), F.lit(1).alias("_side"),
-                               F.col(probe_id).cast("long").alias("_pid_"),
-                               *[F.lit(0).cast("long").alias(c) for c in ind]))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    outs = [o for (_, _, _, o) in item_sets]
-    scanned = sums(both, group_cols, ["_k", "_side", "_pid_"], ind, [f"_c{i}" for i in range(len(ind))])
-    return (scanned.filter(F.col("_side") == 1)
-            .select(*group_cols, F.col("_pid_").alias(probe_id),
-                    *[F.col(f"_c{i}").alias(o) for i, o in enumerate(outs)]))
-
-
-def follow_chain(pointers: DataFrame, group_cols: list[str], idx: str = "idx", nxt: str = "nxt",
-                 start: DataFrame | None = None) -> DataFrame:
-    """Rows reachable from the chain start of each group by repeatedly following ``nxt``.
-
-    ``pointers`` has one row per ``(group, idx)`` with ``nxt > idx`` (a value past the end, or
-    null, ends the chain).  ``start`` holds the first index per group (defaults to ``min(idx)``).
-    Returns ``group_cols + [idx]`` of the reached rows.
-    """
-    ensure_checkpoint_dir(pointers.sparkSession)
-    keys = [*group_cols, idx]
-    jump = (pointers.select(*group_cols, F.col(idx).cast("long").alias(idx), F.col(nxt).cast("long").alias("_to"))
-            .join(pointers.select(*group_cols, F.col(idx).cast("long").alias("_to")), [*group_cols, "_to"], "left_semi"))
-    if start is None:
-        start = pointers.groupBy(*group_cols).agg(F.min(idx).cast("long").alias(idx))
-    reached = start.select(*group_cols, F.col(idx).cast("long").alias(idx)).checkpoint()
-    jump = jump.checkpoint()
-    while True:
-        # next^t for t in [2^r, 2^(r+1)): all strictly beyond the reached set, so no dedup needed.
-        # `reached` stays a union of checkpointed pieces, so its plan is one level deep.
-        new = reached.join(jump, keys).select(*group_cols, F.col("_to").alias(idx)).checkpoint()
-        if new.isEmpty():
-            return reached
-        reached = reached.unionByName(new)
-        j2 = jump.select(*group_cols, F.col(idx).alias("_to"), F.col("_to").alias("_to2"))
-        jump = jump.join(j2, [*group_cols, "_to"]).select(*group_cols, idx, F.col("_to2").alias("_to")).checkpoint()

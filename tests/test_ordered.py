@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeatlas.operators.ordered import count_before, follow_chain, row_index, running_sum, window_sum
+from codeatlas.operators.ordered import row_index, running_sum, window_sum
 from codeatlas.operators.packing import pack_batches
 from codeatlas.operators.sampling import keyframes
 
@@ -31,23 +31,10 @@ def test_running_sums_with_a_hot_group(spark, sums):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_row_index_and_count_before(spark):
+def test_row_index(spark):
     df = spark.createDataFrame([("x", k, k * 10) for k in range(50)], "g string, k long, key long")
     idx = row_index(df, ["g"], ["k"], "idx")
     assert _rows(idx, "k", "idx") == [(k, k) for k in range(50)]
-    probes = spark.createDataFrame([("x", 1, 55), ("x", 2, 0), ("x", 3, 490), ("x", 4, 1000)], "g string, pid long, t long")
-    strict = count_before(df, probes, ["g"], "key", "t", "pid", inclusive=False, out_col="n")
-    incl = count_before(df, probes, ["g"], "key", "t", "pid", inclusive=True, out_col="n")
-    assert _rows(strict, "pid", "n") == [(1, 6), (2, 0), (3, 49), (4, 50)]
-    assert _rows(incl, "pid", "n") == [(1, 6), (2, 1), (3, 50), (4, 50)]
-
-
-def test_follow_chain(spark):
-    # 0 -> 3 -> 4 -> 9 (end); other nodes point elsewhere.
-    nxt = {0: 3, 1: 2, 2: 5, 3: 4, 4: 9, 5: 6, 6: 7, 7: 8, 8: 9}
-    df = spark.createDataFrame([("g", i, n) for i, n in nxt.items()], "grp string, idx long, nxt long")
-    out = follow_chain(df, ["grp"])
-    assert sorted(r["idx"] for r in out.collect()) == [0, 3, 4]
 
 
 def _pack_reference(sizes, budget):
