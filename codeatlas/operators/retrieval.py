@@ -11,9 +11,16 @@ only when its measured size is under the threshold and uses a shuffled join othe
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import ensure_checkpoint_dir
 
+BATCH_CHARS = 1 << 22        # characters of chunks that leave a task at once
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
 TOP_K = 50
@@ -49,6 +56,90 @@ def topk_similar(chunks: DataFrame, queries: DataFrame, key_cols: list[str], chu
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _projected(df: DataFrame, vec: str, n: int, seed: int) -> DataFrame:
+    """``df`` with ``_p``: the vector's products with ``n`` random unit vectors, the same for each dimension anywhere."""
+    @F.pandas_udf("array<double>")
+    def project(vectors):
+        import numpy as np
+        import pandas as pd
+
+        ways, out = {}, [None] * len(vectors)
+        by_dim: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            by_dim.setdefault(len(v), []).append(i)
+        for dim, rows in by_dim.items():
+            ways[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, n))
+            ways[dim] /= np.linalg.norm(ways[dim], axis=0)
+            x = np.stack([vectors.iloc[i] for i in rows]).astype(np.float64)
+            for i, p in zip(rows, x @ ways[dim]):
+                out[i] = p
+        return pd.Series(out)
+
+    return df.withColumn("_p", project(vec))
+
+
+def topk_candidates(chunks: DataFrame, queries: DataFrame, key_cols: list[str], chunk_id: str = "chunk_id",
+                    query_id: str = "query_id", vec: str = "embedding", k: int = TOP_K, tables: int = 6, hashes: int = 2,
+                    width: float = 0.5, seed: int = 17, complete: bool = True) -> DataFrame:
+    """``topk_similar`` through an index of p-stable hashes, for instances with very many chunks.
+
+    Index: ``tables`` tables, each keyed by ``hashes`` random projections cut into buckets of ``width`` standard deviations.
+    A query meets the chunks of its buckets; these candidates are ranked by exact distance.  With ``complete`` the
+    result is then made exact: a chunk nearer than the k-th candidate must lie within that distance of the
+    query on *every* projection, so the buckets of one projection in that range are joined, the others
+    reject, and what is left is ranked again; a query with fewer than ``k`` candidates is compared with its whole
+    instance.  Without, a hit may be missing; ``hit_recall`` measures how many are.  Columns, unsound vectors and ties as in
+    ``topk_similar``.
+    """
+    ensure_checkpoint_dir(chunks.sparkSession)
+    n = tables * hashes
+    c = _projected(chunks.filter(sound_vector(F.col(vec))), vec, n, seed).withColumn("_dim", F.size(vec))
+    q = _projected(queries.filter(sound_vector(F.col(vec))), vec, n, seed).select(
+        *key_cols, query_id, F.col(vec).alias("_qvec"), F.size(vec).alias("_dim"), F.col("_p").alias("_qp"))
+    # Projected once: both are joined twice.
+    c, q = c.checkpoint(), q.checkpoint()
+    spread = c.agg(F.stddev_pop(F.col("_p")[0])).first()[0]
+    w = width * spread if spread else 1.0
+
+    def bucket(x: Column) -> Column:
+        return F.floor(x / F.lit(w))
+
+    def table_keys(p: str) -> Column:
+        return F.array(*[F.xxhash64(*[bucket(F.col(p)[t * hashes + j]) for j in range(hashes)]) for t in range(tables)])
+
+    keyed_c = c.withColumn("_h", table_keys("_p")).select("*", F.posexplode("_h").alias("_t", "_k"))
+    keyed_q = q.withColumn("_qh", table_keys("_qp")).select("*", F.posexplode("_qh").alias("_t", "_k"))
+    # A pair that meets in several tables counts in the first of them.
+    first = F.array_position(F.zip_with("_h", "_qh", lambda a, b: a == b), True) - 1
+    at = [*key_cols, "_dim"]
+    mine = Window.partitionBy(*key_cols, query_id).orderBy("dist", chunk_id)
+    found = (keyed_c.join(keyed_q, [*at, "_t", "_k"]).filter(F.col("_t") == first)
+             .withColumn("dist", sq_l2(F.col(vec), F.col("_qvec"))).withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k))
+    names = [x for x in chunks.columns if x != vec]
+    columns = [*names, query_id, "dist", "rank"]
+    if not complete:
+        return found.select(*columns)
+    bound = found.groupBy(*key_cols, query_id).agg(F.max("dist").alias("_far"), F.count(F.lit(1)).alias("_n"))
+    asked = q.join(bound, [*key_cols, query_id], "left")
+    # A hair wider than the distance, for the rounding of products.
+    asked = asked.withColumn("_r", F.when(F.col("_n") >= k, F.sqrt("_far") * (1 + 1e-9) + 1e-9)).drop("_far", "_n").checkpoint()
+    near = F.sequence(bucket(F.col("_qp")[0] - F.col("_r")), bucket(F.col("_qp")[0] + F.col("_r")))
+    within = F.forall(F.zip_with("_p", "_qp", lambda a, b: F.abs(a - b)), lambda x: x <= F.col("_r"))
+    some = (c.withColumn("_b", bucket(F.col("_p")[0]))
+            .join(asked.filter("_r is not null").withColumn("_b", F.explode(near)), [*at, "_b"]).filter(within).drop("_b"))
+    every = c.join(asked.filter("_r is null"), at)
+    pairs = some.unionByName(every).withColumn("dist", sq_l2(F.col(vec), F.col("_qvec")))
+    return pairs.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k).select(*columns)
+
+
+def hit_recall(hits: DataFrame, exact: DataFrame, key_cols: list[str], chunk_id: str = "chunk_id", query_id: str = "query_id") -> float:
+    """Share of the exact hits that ``hits`` holds (1.0 when there are none)."""
+    cols = [*key_cols, query_id, chunk_id]
+    got = exact.select(*cols).join(hits.select(*cols, F.lit(1).alias("_hit")), cols, "left")
+    found, total = got.agg(F.count("_hit"), F.count(F.lit(1))).first()
+    return found / total if total else 1.0
+
+
 def retrieved_files(hits: DataFrame, key_cols: list[str], file_col: str = "rel_path") -> DataFrame:
     """Union of hits over all queries of an instance, one row per distinct file, best rank kept."""
     return hits.groupBy(*key_cols, file_col).agg(F.min("rank").alias("best_rank"))
@@ -70,35 +161,49 @@ def chunk_fixed(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE,
 
 
 # Where a chunk may end, best first; with none of them in reach it is cut between characters.
-BREAKS = (r"\n\n", r"\n", " ")
+BREAKS = ("\n\n", "\n", " ")
+
+
+def text_cuts(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[int]:
+    """Ends of the chunks of ``text``.  A chunk begins ``overlap`` characters before the last cut and holds at most
+    ``size`` characters; it ends behind the last paragraph break between the last cut and there, else the last line
+    break, else the last blank, else at its full size.  What fits one chunk is one."""
+    ends = [[m.start() + len(b) for m in re.finditer(f"(?={b})", text)] for b in BREAKS]
+    cuts, cut = [], 0
+    while True:
+        reach = max(0, cut - overlap) + size
+        if reach >= len(text):
+            return [*cuts, len(text)]
+        behind = [e[bisect_right(e, reach) - 1] if e and e[0] <= reach else 0 for e in ends]
+        cut = next((e for e, b in zip(behind, BREAKS) if e >= cut + len(b)), reach)
+        cuts.append(cut)
 
 
 def chunk_recursive(docs: DataFrame, id_cols: list[str], text_col: str = "text", size: int = CHUNK_SIZE,
                     overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks that end at a paragraph, else a line, else a word, else a character; columns
-    ``id_cols + [pos, chunk]``, ``pos`` counted from 0.
-
-    The text is laid out in cells of ``size - overlap - reach`` characters (``reach`` is a fifth of
-    ``size``).  Each cell but the last is cut after the last of the best break among its final ``reach``
-    characters.  A chunk runs from cut to cut and begins ``overlap`` characters early, so none exceeds
-    ``size``.  A cut depends on its own cell only: one pass over each text, inside the row.
-    Null and empty texts have no chunks."""
-    reach = size // 5
-    width = size - overlap - reach
-    if width - reach < overlap:
-        raise ValueError("size leaves no room for the overlap")
-
-    def cut(cell: str) -> Column:
-        tail = F.substring(cell, width - reach + 1, reach)
-        ends = [F.char_length(F.regexp_extract(tail, f"(?s)^(.*{b})", 1)) for b in BREAKS]
-        return F.coalesce(*[F.when(e > 0, e + (width - reach)) for e in ends], F.lit(width))
-
-    cells = docs.select(*id_cols, F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)).alias("_cells"))
-    # Beside each cell the one before it; the extra last pair has no cell.
-    pairs = cells.select(*id_cols, F.size("_cells").alias("_n"), F.posexplode(F.arrays_zip(
-        F.col("_cells").alias("cell"), F.concat(F.array(F.lit("")), "_cells").alias("before"))).alias("pos", "_pair"))
-    pairs = pairs.select(*id_cols, "pos", "_n", F.col("_pair.cell").alias("_cell"), F.col("_pair.before").alias("_before"))
-    end = F.when(F.col("pos") == F.col("_n") - 1, F.lit(width)).otherwise(cut("_cell"))
-    early = F.substring("_before", cut("_before") - overlap + 1, F.lit(width))
-    return pairs.filter(F.col("pos") < F.col("_n")).select(
-        *id_cols, "pos", F.concat(early, F.substring("_cell", F.lit(1), end)).alias("chunk"))
+    """Chunks that end at a paragraph, else a line, else a word, else a character (``text_cuts``); columns
+    ``id_cols + [pos, chunk]``, ``pos`` counted from 0.  One pass over each text, whatever its length, inside
+    the row.  Null and empty texts have no chunks."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the size")
+    own = docs.select(*id_cols, F.col(text_col).alias("_text")).filter(F.col("_text") != "")
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("pos", T.IntegerType()), T.StructField("chunk", T.StringType())])
+
+    def split(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            of, pos, chunks, held = [], [], [], 0
+            for i, text in enumerate(b.column("_text").to_pylist()):
+                last = 0
+                for n, cut in enumerate(text_cuts(text, size, overlap)):
+                    of.append(i)
+                    pos.append(n)
+                    chunks.append(text[max(0, last - overlap):cut])
+                    held, last = held + len(chunks[-1]), cut
+                if held >= BATCH_CHARS or i == b.num_rows - 1:
+                    keys = b.drop_columns(["_text"]).take(pa.array(of, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(pos, pa.int32()), pa.array(chunks, pa.string())], names=schema.names)
+                    of, pos, chunks, held = [], [], [], 0
+
+    return own.mapInArrow(split, schema)

@@ -81,11 +81,11 @@ def q_retrieve_files(spark, root):
 
 
 _INDEXED = """from (select 'doc_' || doc_id || '.js' as doc_id,
-  'Filename: doc_' || doc_id || '.js' || chr(10) || chr(10) || text as text from documents)"""
+  'Filename: doc_' || doc_id || '.js' || chr(10) || chr(10) || text as text from documents where text is not null)"""
 
 
 @register("job_chunk_file_docs", f"""
-select doc_id as rel_path, pos, chunk from ({sql_of("chunk_recursive").replace("from documents", _INDEXED)})""")
+select doc_id as rel_path, pos, chunk from ({sql_of("chunk_recursive").replace("from documents where text <> ''", _INDEXED)})""")
 def q_chunk_file_docs(spark, root):
     d = _file_docs(spark, root)
     return jobs.chunk_file_docs(d).select("rel_path", F.col("pos").cast("long").alias("pos"), "chunk")

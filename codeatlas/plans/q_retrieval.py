@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import chunk_fixed, chunk_recursive, retrieved_files, topk_similar
+from ..operators.retrieval import chunk_fixed, chunk_recursive, retrieved_files, topk_candidates, topk_similar
 from .registry import T, register
 from .synth import QUERY_BUCKETS, retrieval_chunks, retrieval_queries
 
@@ -53,20 +53,22 @@ def q_chunk_fixed(spark, root):
                                             F.col("start").cast("long").alias("start"), "chunk")
 
 
-def _cut_sql(cell: str) -> str:
-    """Characters of a 350-character cell up to the last of its best break within its last 100."""
-    tries = [f"nullif(length(regexp_extract(substr({cell}, 251), '(?s)^(.*{b})', 1)), 0) + 250" for b in (r"\n\n", r"\n", " ")]
-    return f"coalesce({', '.join(tries)}, 350)"
+# The next cut is sought behind the last one, up to a chunk's size from the chunk's begin.
+_ROOM = "(greatest(cut - 50, 0) + 500 - cut)"
+_REACH = f"substr(text, cut + 1, {_ROOM})"
+_CUT = f"""cut + coalesce({", ".join(f"nullif(length(regexp_extract({_REACH}, '(?s)^(.*{b})', 1)), 0)" for b in (r"\n\n", r"\n", " "))},
+                  {_ROOM})"""
+_CHUNKS_SQL = f"""
+with recursive d as (select doc_id, text from documents where text <> ''),
+r as (select doc_id, 0::bigint as before, 0::bigint as cut, 0::bigint as pos, false as done from d
+      union all
+      select doc_id, cut, case when last then length(text) else {_CUT} end, pos + 1, last
+      from (select r.*, d.text, greatest(cut - 50, 0) + 500 >= length(d.text) as last from r join d using (doc_id) where not done))
+select doc_id, pos - 1 as pos, substr(text, greatest(before - 50, 0) + 1, cut - greatest(before - 50, 0)) as chunk
+from r join d using (doc_id) where pos > 0"""
 
 
-@register("chunk_recursive", f"""
-with cells as (
-  select doc_id, k, substr(text, k * 350 + 1, 350) as cell, (k + 1) * 350 >= length(text) as is_last,
-         case when k > 0 then substr(text, (k - 1) * 350 + 1, 350) else '' end as before
-  from (select doc_id, text, unnest(range(0, (length(text) + 349) // 350)) as k from documents))
-select doc_id, cast(k as bigint) as pos,
-       substr(before, {_cut_sql("before")} - 49) || substr(cell, 1, case when is_last then 350 else {_cut_sql("cell")} end) as chunk
-from cells""")
+@register("chunk_recursive", _CHUNKS_SQL)
 def q_chunk_recursive(spark, root):
     docs = T(spark, root, "documents").select("doc_id", "text")
     return chunk_recursive(docs, ["doc_id"], "text").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
@@ -84,3 +86,25 @@ def q_topk_shared_ids(spark, root):
     queries = retrieval_queries(emb).withColumn("query_id", F.col("query_id") - F.col("label").cast("long") * QUERY_BUCKETS)
     hits = topk_similar(retrieval_chunks(emb), queries, ["label"], "chunk_id", "query_id", k=50)
     return hits.select("label", "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@register("topk_candidates", _Q_SQL + """
+select label, query_id, chunk_id, cast(rnk as bigint) as rank from ranked where rnk <= 20""")
+def q_topk_candidates(spark, root):
+    """The same ranks through the hash index, completed to the exact result."""
+    emb = T(spark, root, "embeddings")
+    hits = topk_candidates(retrieval_chunks(emb), retrieval_queries(emb), ["label"], "chunk_id", "query_id", k=20)
+    return hits.select("label", "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@register("topk_unsound", _Q_SQL.replace("list_distance(cast(e.embedding as double[]), q.v) as dist", "list_distance(cast(e.embedding as double[]), q.v) as dist, e.vec_id")
+          .replace("from embeddings e join q on e.label = q.label", "from embeddings e join q on e.label = q.label where e.vec_id % 9 > 2") + """
+select label, query_id, chunk_id, cast(rnk as bigint) as rank from ranked where rnk <= 50""")
+def q_topk_unsound(spark, root):
+    """A third of the chunks has no vector, a short one, or one with a null in it: none of them is a hit."""
+    emb = T(spark, root, "embeddings")
+    short, hole = F.slice("embedding", 1, 10), F.concat(F.slice("embedding", 1, 63), F.array(F.lit(None).cast("float")))
+    bad = F.when(F.col("vec_id") % 9 == 1, short).when(F.col("vec_id") % 9 == 2, hole).when(F.col("vec_id") % 9 > 2, F.col("embedding"))
+    chunks = retrieval_chunks(emb.withColumn("embedding", bad))
+    hits = topk_similar(chunks, retrieval_queries(emb), ["label"], "chunk_id", "query_id", k=50)
+    return hits.select("label", "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))

@@ -120,3 +120,62 @@ def test_unsound_vectors_are_not_hits(spark):
                               "k string, query_id long, embedding array<float>")
     got = topk_similar(chunks, q, ["k"], k=2).collect()
     assert [(r["query_id"], r["chunk_id"], r["dist"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 6, 0.0, 1), (1, 7, 1.0, 2)]
+
+
+def test_candidates_completed_equal_the_exact_result(spark):
+    import random
+
+    from codeatlas.operators.retrieval import hit_recall, topk_candidates, topk_similar
+
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 4) for _ in range(8)] for _ in range(12)]
+    rows = [(rng.choice(["a", "b", None]), i, [x + rng.gauss(0, .5) for x in rng.choice(centres)]) for i in range(900)]
+    rows += [("a", 900 + i, rows[0][2]) for i in range(5)] + [("c", 950, [1.0, 2.0]), ("a", 951, None), ("a", 952, [float("nan")] * 8), ("a", 953, [])]
+    asked = [(k, i, [x + rng.gauss(0, .5) for x in centres[i % 12]]) for i, k in enumerate(["a", "b", "c", None] * 5)]
+    asked += [("c", 50, [1.0, 1.0]), ("a", 51, None), ("none", 52, centres[0])]
+    chunks = spark.createDataFrame(rows, "key string, chunk_id long, embedding array<double>").withColumn("_k", F.lit(1)).withColumnRenamed("_k", "extra")
+    queries = spark.createDataFrame(asked, "key string, query_id long, embedding array<double>")
+    exact = topk_similar(chunks, queries, ["key"], k=7)
+    cols = ["key", "query_id", "chunk_id", "rank", "extra"]
+    want = sorted(map(tuple, exact.select(*cols).collect()))
+    for width in (0.1, 0.5, 4.0):
+        got = topk_candidates(chunks, queries, ["key"], k=7, width=width)
+        assert sorted(got.columns) == sorted(exact.columns) and sorted(map(tuple, got.select(*cols).collect())) == want
+    recall = hit_recall(topk_candidates(chunks, queries, ["key"], k=7, complete=False), exact, ["key"])
+    print(f"candidates alone: recall {recall:.3f}")
+    assert recall >= 0.9
+    assert topk_candidates(chunks.where("false"), queries, ["key"]).count() == 0
+
+
+def test_text_cuts():
+    import random
+
+    from codeatlas.operators.retrieval import text_cuts
+
+    assert text_cuts("x" * 482) == [482] and text_cuts("x" * 500) == [500] and text_cuts("") == [0]
+    assert text_cuts("p" * 98 + "\n\n" + "q" * 600) == [100, 550, 700]
+    assert text_cuts("a b " * 300)[0] == 500 and text_cuts("w" * 499 + " " + "v" * 30)[0] == 500
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choices(["word", " ", "\n", "\n\n", "\u00e9\u00e9"], [8, 4, 1, .3, 3], k=rng.randint(0, 400)))
+        size, overlap = rng.choice([(50, 10), (20, 0), (30, 29)])
+        cuts, last = text_cuts(text, size, overlap), 0
+        for cut in cuts[:-1]:
+            start = max(0, last - overlap)
+            assert last < cut <= start + size < len(text)
+            reach = text[last:start + size]
+            best = next((reach.rindex(b) + len(b) for b in ("\n\n", "\n", " ") if b in reach), len(reach))
+            assert cut - last == best
+            last = cut
+        assert cuts[-1] == len(text) and len(text) - max(0, last - overlap) <= size
+
+
+def test_chunks_of_odd_documents(spark):
+    from codeatlas.operators.retrieval import chunk_recursive
+
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 6), (3, "ab " * 400, 7), (None, "short", 8)], "id long, body string, pos int")
+    got = chunk_recursive(docs.withColumnRenamed("pos", "n"), ["id", "n"], "body", 100, 20).collect()
+    assert [(r["id"], r["pos"], r["chunk"]) for r in got if r["id"] is None] == [(None, 0, "short")]
+    own = sorted((r["pos"], r["chunk"]) for r in got if r["id"] == 3)
+    assert {r["id"] for r in got} == {3, None} and own[0][1] + "".join(c[20:] for _, c in own[1:]) == "ab " * 400
+    assert all(len(c) <= 100 for _, c in own)
