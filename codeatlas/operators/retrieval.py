@@ -140,6 +140,22 @@ def hit_recall(hits: DataFrame, exact: DataFrame, key_cols: list[str], chunk_id:
     return found / total if total else 1.0
 
 
+def with_text_hash(texts: DataFrame, text_col: str) -> DataFrame:
+    """``texts`` with ``text_hash``, the part of a text's identity that changes when it does."""
+    return texts.withColumn("text_hash", F.sha2(F.col(text_col).cast("binary"), 256))
+
+
+def attach_vectors(texts: DataFrame, vectors: DataFrame, id_cols: list[str], vec: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tie vectors that were made elsewhere to the texts they were made from: ``(texts with their vector, texts
+    without one, vectors without a text)``.  Both sides are known by ``id_cols`` and ``text_hash``, so a vector of
+    an older text is never taken for the present one.  Of vectors that repeat an identity one is taken;
+    null vectors and null identities count as missing."""
+    ids = [*id_cols, "text_hash"]
+    sound = vectors.filter(F.col(vec).isNotNull())
+    one = sound.groupBy(*ids).agg(F.first(vec).alias(vec))
+    return texts.join(one, ids), texts.join(sound, ids, "left_anti"), sound.join(texts, ids, "left_anti")
+
+
 def retrieved_files(hits: DataFrame, key_cols: list[str], file_col: str = "rel_path") -> DataFrame:
     """Union of hits over all queries of an instance, one row per distinct file, best rank kept."""
     return hits.groupBy(*key_cols, file_col).agg(F.min("rank").alias("best_rank"))

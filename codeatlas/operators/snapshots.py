@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import is_supported_ext, is_test_path
@@ -114,3 +114,27 @@ def to_regenerate(items: DataFrame, diff: DataFrame, path_col: str = "rel_path",
     changed = diff.filter((F.col("level") == "file") & F.col("change").isin("added", "modified")) \
         .select(*k, F.col("path").alias(path_col))
     return items.join(changed, [*k, path_col], "left_semi")
+
+
+def content_runs(files: DataFrame, repo_cols: list[str], number_col: str = "number", path_col: str = "rel_path",
+                 content_col: str = "content") -> DataFrame:
+    """For every file of every snapshot the snapshot in which its present content began: ``repo + (number,
+    rel_path, since)``.
+
+    A run is a stretch of consecutive snapshots of the repository that hold the file with equal bytes (null
+    content equals null content).  A file that was away, or that returns to an older content, begins a new
+    run.  Gaps and islands over hashes: the window holds one file's versions."""
+    numbers = files.select(*repo_cols, number_col).distinct()
+    place = F.row_number().over(Window.partitionBy(*repo_cols).orderBy(number_col))
+    at = numbers.withColumn("_v", place).withColumnsRenamed({c: f"_j{i}" for i, c in enumerate([*repo_cols, number_col])})
+    same = F.lit(True)
+    for i, c in enumerate([*repo_cols, number_col]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_j{i}"))
+    rows = files.select(*repo_cols, number_col, path_col, F.coalesce(F.sha2(F.col(content_col).cast("binary"), 256), F.lit("")).alias("_h"))
+    rows = rows.join(at, same)
+    versions = Window.partitionBy(*repo_cols, path_col).orderBy("_v")
+    begins = (F.lag("_v").over(versions).isNull() | (F.lag("_v").over(versions) < F.col("_v") - 1)
+              | (F.lag("_h").over(versions) != F.col("_h")))
+    rows = rows.withColumn("_since", F.when(begins, F.col(number_col)))
+    since = F.last("_since", ignorenulls=True).over(versions.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select(*repo_cols, number_col, path_col, since.alias("since"))

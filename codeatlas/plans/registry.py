@@ -46,7 +46,7 @@ def T(spark: SparkSession, root: str, name: str) -> DataFrame:  # noqa: N802 - s
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from . import (q_context, q_elements, q_graph, q_jobs, q_keys, q_media, q_retrieval,  # noqa: F401
-                   q_snapshots, q_text, q_usage)
+                   q_snapshots, q_sources, q_text, q_usage)
 
 
 def queries() -> dict[str, QueryFn]:

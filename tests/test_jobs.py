@@ -74,11 +74,23 @@ def test_retrieval_and_context_jobs(spark):
                                       "instance_key string, rel_path string, doc string")
     chunks = jobs.chunk_file_docs(file_docs.fillna({"doc": ""}))
     assert chunks.filter("chunk like 'Filename: src/a.js%'").count() == 1
-    vec = spark.createDataFrame([("i", 1, "src/a.js", [0.0, 1.0]), ("i", 2, "src/b.js", [1.0, 0.0])],
-                                "instance_key string, chunk_id long, rel_path string, embedding array<float>")
-    q = spark.createDataFrame([("i", 7, [0.1, 0.9])], "instance_key string, query_id long, embedding array<float>")
-    got = sorted((r["rel_path"], r["best_rank"]) for r in jobs.retrieve_files(file_docs, vec, q, k=1).collect())
-    assert got == [("src/a.js", 1)]
+    index = jobs.index_chunks(file_docs)
+    analyses = spark.createDataFrame([("i", "x\n**Cause**: c\n**Summary**: s"), ("other", "**Cause**: c")], "instance_key string, analysis string")
+    asked = jobs.issue_queries(analyses)
+    assert sorted((r["instance_key"], r["ordinal"], r["query"]) for r in asked.collect()) == [("i", 1, "c"), ("i", 2, "s"), ("other", 1, "c")]
+    from pyspark.sql import functions as F
+
+    vectors = index.withColumn("embedding", F.array(F.lit(0.0), F.lit(1.0))).drop("chunk")
+    vectors = vectors.unionByName(vectors.withColumn("text_hash", F.lit("old")))
+    posed = asked.filter("ordinal = 1").withColumn("embedding", F.array(F.lit(0.1), F.lit(0.9))).drop("query")
+    found, report = jobs.retrieve_files(file_docs, vectors, analyses, posed, k=1)
+    assert [tuple(r) for r in found.select("instance_key", "rel_path", "best_rank").collect()] == [("i", "src/a.js", 1)]
+    r = report.first().asDict()
+    assert r == {"instance_key": "i", "chunks": 1, "chunks_without_vector": 0, "vectors_without_chunk": 1, "questions": 2,
+                 "questions_without_vector": 1, "vectors_without_question": 0}
+    assert [r["text"] for r in jobs.retrieved_texts(found).collect()] == ["src/a.js\n"]
+    none, _ = jobs.retrieve_files(file_docs, vectors, analyses, posed, done=found)
+    assert none.count() == 0
     retrieved = spark.createDataFrame([("i", "a.js"), ("i", "src/b.js")], "instance_key string, rel_path string")
     ctx = jobs.file_contexts(retrieved, files, file_docs, budget=1000).collect()
     assert sorted((r["rel_path"], r["batch_no"]) for r in ctx) == [("src/a.js", 1), ("src/b.js", 1)]
@@ -90,7 +102,7 @@ def test_retrieval_and_context_jobs(spark):
     meta = spark.createDataFrame([("i", "src/a.js", "f", "Function", 1)],
                                  "instance_key string, rel_path string, name string, type string, ordinal long")
     ec = jobs.element_contexts(answers, files, el_docs, meta).collect()
-    assert [(r["name"], r["type"], r["summary"]) for r in ec] == [("f", "Function", "body\n")]
+    assert [(r["rel_path"], r["item"], r["batch_no"]) for r in ec] == [("src/a.js", "--- src/a.js ---\n\n-- Function `f` --\n\nbody\n\n\n\n\n", 1)]
 
 
 def test_write_statement(spark, tmp_path):
