@@ -24,8 +24,8 @@ def _folder(spark, name: str) -> str:
 # Beside each file of the generated snapshots lie a style sheet, a test, and a bundle whose source is there.
 @register("scan_source_files", f"""
 with f as (select 'org/' || instance_key || '/1' as instance_key, rel_path, array_to_string(fl, chr(10)) as content from {FILE_LINES_SQL}),
-b as (select instance_key, regexp_replace(rel_path, '\.[jt]s$', '.min.js') as rel_path, 'x()' as content from f where rel_path like '%.ts')
-select instance_key, rel_path, regexp_extract(rel_path, '\.[^./]*$', 0) as ext, content, sha256(content) as sha256
+b as (select instance_key, regexp_replace(rel_path, '[.][jt]s$', '.min.js') as rel_path, 'x()' as content from f where rel_path like '%.ts')
+select instance_key, rel_path, regexp_extract(rel_path, '[.][^./]*$', 0) as ext, content, sha256(content) as sha256
 from (select * from f union all select * from b)""")
 def q_scan_source_files(spark, root):
     files = source_files(T(spark, root, "part")).select(F.concat(F.lit("org/"), "instance_key", F.lit("/1")).alias("instance_key"), "rel_path", "content")
@@ -109,14 +109,14 @@ def _image_folder(spark, root) -> str:
     jpg = F.concat(F.lit("FFD8FFE00004ABCDFFFFDB0003FFFFC2000B08"), big(h, 2), big(w, 2), F.lit("01011100FFD9"))
     webp = F.concat(F.lit("524946460000000057454250565038200A000000100000" + "9D012A"), little(w), little(h))
     at = (F.col("p_partkey") % 4 + 1).cast("int")
-    name = F.concat(F.col("p_mfgr"), F.lit("/1/img_"), "p_partkey", F.lit("."), F.element_at(F.array(*map(F.lit, ("png", "gif", "jpg", "webp"))), at))
+    name = F.concat(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")), F.lit("/1/img_"), "p_partkey", F.lit("."), F.element_at(F.array(*map(F.lit, ("png", "gif", "jpg", "webp"))), at))
     path = _folder(spark, "images")
     K.write_files(T(spark, root, "part").select(name.alias("name"), F.unhex(F.element_at(F.array(png, gif, jpg, webp), at)).alias("content")), path)
     return path
 
 
 @register("read_images", f"""
-select p_mfgr || '/1' as instance_key, 'img_' || p_partkey || '.' || {_IMAGE_SQL} as name, (p_size * 10)::int as width,
+select replace(p_brand, '#', '_') || '/1' as instance_key, 'img_' || p_partkey || '.' || {_IMAGE_SQL} as name, (p_size * 10)::int as width,
        (p_partkey % 500 + 1)::int as height, true as size_known from part""")
 def q_read_images(spark, root):
     """Sizes of PNG, GIF, JPEG and WebP files from their headers."""

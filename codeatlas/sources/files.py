@@ -5,6 +5,8 @@ Layout of snapshots on storage: ``<root>/<org>/<name>/<number>/<path inside the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,15 +45,9 @@ DOC_META_SCHEMA = T.StructType([
 
 def _relative(path_col, root: str):
     """Path below ``root`` (scheme-insensitive), forward slashes."""
-    r = root.rstrip("/").split("://")[-1]
+    r = re.sub(r"^[a-zA-Z][\w+.-]*:(//)?", "", root.rstrip("/"))
     p = normalize_path(path_col)
-    return F.regexp_replace(F.regexp_replace(p, r"^[a-zA-Z][\w+.-]*:(//)?", ""), "^/*" + _re_escape(r.lstrip("/")) + "/?", "")
-
-
-def _re_escape(s: str) -> str:
-    import re
-
-    return re.escape(s)
+    return F.regexp_replace(F.regexp_replace(p, r"^[a-zA-Z][\w+.-]*:(//)?", ""), "^/*" + re.escape(r.lstrip("/")) + "/?", "")
 
 
 def scan_source_files(spark: SparkSession, root: str, strict_test_dir: bool = False,
