@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = (2, 3, 4)            # subword lengths; a word's ends count as a character
@@ -285,17 +285,37 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def quotas(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Rows to learn from per language: all of a language that has few, the rest of ``total`` shared evenly, so a
+    language is learned however small its share of the corpus is.  Of more languages than rows the largest
+    count."""
+    out, left = {}, total
+    by_size = sorted(counts.items(), key=lambda x: (x[1], x[0]))[-total:]
+    for k, (lang, n) in enumerate(by_size):
+        out[lang] = min(n, left // (len(by_size) - k))
+        left -= out[lang]
+    return out
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """Model from at most ``train_rows`` labelled rows of ``docs`` that are not held out, those with
-    the smallest hash of doc_id; a fifth of them only calibrates.  The driver gets at most
+    """Model from at most ``train_rows`` labelled rows of ``docs`` that are not held out, in each language those with
+    the smallest hash of doc_id (``quotas``); a fifth of them only calibrates.  The driver gets one count per language and at most
     ``train_rows * SEGMENTS_PER_ROW`` passages of ``SEGMENT_CHARS[1]`` characters."""
-    key = F.xxhash64("doc_id")
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull()
                       & F.col("text").isNotNull())
-    edge = rows.select(key.alias("h")).orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    if edge is None:
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return None
-    sample = (rows.where(key <= edge).select("doc_id", "text", "lang").mapInPandas(
+    # Hashes are spread evenly: below a share of their range lie a few more rows than the quota, the least of which count.
+    own = quotas(counts, train_rows)
+    spark = docs.sparkSession
+    share = spark.createDataFrame([(k, float(min(1.0, (1.2 * q + 50) / counts[k])), q) for k, q in own.items()], "l string, share double, quota int")
+    key = F.xxhash64("doc_id")
+    near = rows.join(F.broadcast(share), F.col("lang") == F.col("l")).where(
+        (F.col("share") >= 1) | (F.shiftrightunsigned(key, 11) < F.col("share") * float(1 << 53)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id", "text"))
+    taken = near.select("doc_id", "text", "lang", "quota").withColumn("rank", rank).where(F.col("rank") <= F.col("quota"))
+    sample = (taken.select("doc_id", "text", "lang").mapInPandas(
         _segments, "doc_id long, k int, text string, lang string")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "k", "text", "lang").limit(train_rows * SEGMENTS_PER_ROW).toPandas())
     calibration = np.random.default_rng(3).random(len(sample)) < CALIBRATION_SHARE
