@@ -29,31 +29,58 @@ def _uniform(a: int, b: int) -> float:
 
 
 def pivotal(keys: list[int], sizes: list[int], fracs: list[float], level: int = 0) -> tuple[list[int | None], float | None]:
-    """Round ``fracs`` (copy probabilities) pair by pair: of each pair a random amount of *words*
-    moves from one document to the other until a probability becomes 0 or 1, so the words that the
-    group takes stay what they were, and each document's expectation too.  Returns 0 or 1 for each
+    """Round ``fracs`` (copy probabilities) pair by pair, largest document first: a document is paired with the
+    pool of all smaller ones, and a random amount of *words* moves from one to the other until the document or
+    a member of the pool is integral.  So the words that the group takes stay what they were, each document's
+    expectation too, and what stays fractional in the end is the smallest document.  Returns 0 or 1 for each
     document and None for the one that stays fractional, and that one's fraction."""
     eps = 1e-12
     out: list[int | None] = [None] * len(keys)
-    at, p = -1, 0.0
+    move = []
     for j, q in enumerate(fracs):
-        if sizes[j] == 0 or q < eps or q > 1 - eps:
-            # Nothing to move: a document without words is rounded alone, an integral one is done.
-            out[j] = int(q > 1 - eps) if q < eps or q > 1 - eps else int(_uniform(keys[j], level) < q)
+        if q < eps or q > 1 - eps:
+            out[j] = int(q > 0.5)
+        elif sizes[j] == 0:
+            out[j] = int(_uniform(keys[j], level) < q)          # no words to move: rounded alone
+        else:
+            move.append(j)
+    move.sort(key=lambda j: (-sizes[j], keys[j]))
+    # Members whose fractions are equal stay so: a run of them is one entry (fraction, words, count, members).
+    runs: dict[float, list] = {}
+    for j in move:
+        run = runs.setdefault(fracs[j], [fracs[j], 0, 0, []])
+        run[1] += sizes[j]
+        run[2] += 1
+        run[3].append(j)
+    run_of, pool = {j: run for run in runs.values() for j in run[3]}, list(runs.values())
+    for draw, j in enumerate(move):
+        if out[j] is not None:
             continue
-        if at < 0:
-            at, p = j, q
-            continue
-        w, v = sizes[at], sizes[j]
-        up, down = min((1 - p) * w, q * v), min(p * w, (1 - q) * v)
-        move = up if _uniform(keys[at] ^ level, keys[j]) * (up + down) < down else -down
-        p, q = p + move / w, q - move / v
-        for k, x in ((at, p), (j, q)):
-            if x < eps or x > 1 - eps:
-                out[k] = int(x > 0.5)
-        if out[at] is not None:
-            at, p = (-1, 0.0) if out[j] is not None else (j, q)
-    return out, (p if at >= 0 else None)
+        own, w = run_of[j], sizes[j]
+        p = own[0]
+        own[1] -= w
+        own[2] -= 1
+        pool = [run for run in pool if run[2]]
+        turn = draw << 16
+        while out[j] is None and pool:
+            words = sum(run[1] for run in pool)
+            up = min((1 - p) * w, min(run[0] for run in pool) * words)
+            down = min(p * w, (1 - max(run[0] for run in pool)) * words)
+            step = up if _uniform(keys[j] ^ level, turn) * (up + down) < down else -down
+            p, turn = p + step / w, turn + 1
+            for run in pool:
+                run[0] -= step / words
+                if run[0] < eps or run[0] > 1 - eps:
+                    run[2] = 0
+                    for i in run[3]:
+                        if out[i] is None and i != j:
+                            out[i] = int(run[0] > 0.5)
+            pool = [run for run in pool if run[2]]
+            if p < eps or p > 1 - eps:
+                out[j] = int(p > 0.5)
+        if out[j] is None:
+            return out, p
+    return out, None
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -96,9 +123,9 @@ def mixed(docs: DataFrame, key: F.Column | None = None, weights=WEIGHTS, share:
 
     A source's documents all expect target / source_size copies.  The whole part is given to each;
     the fraction is rounded by ``pivotal`` within hashed buckets of a source (a hot source has as
-    many buckets as it needs), and what each bucket leaves fractional, at most one document, meets
-    others of its source in a tree of fan-in ``FAN_IN``.  Only the root's last document is rounded
-    on its own, so a source takes its target up to one document.  All draws are hashes of document
+    many buckets as it needs), and what each bucket leaves fractional, at most one document and its smallest as
+    a rule, meets others of its source in a tree of fan-in ``FAN_IN``.  Only the root's last document is rounded
+    on its own, so a source takes its target up to a small document.  All draws are hashes of document
     keys, so reruns agree.  Null texts have size 0 and take 0 words; null sources form the last
     source; rows that repeat are separate documents; an empty table gives no rows.
     """
