@@ -1,9 +1,11 @@
 """Adaptive context-mixing range coder for token ids, many independent blocks in lockstep.
 
-A block starts from an empty model.  For each id an order-2 and an order-1 table name a predicted id;
-whether it is right is a binary decision whose probability mixes the hit rates of the order-2 slot,
-the order-1 slot and of all ids (order 0) in the logistic domain, with weights learned as it goes.
-Ids that neither predicts are coded by an adaptive order-0 distribution over magnitude classes.
+A block starts from an empty model.  Order 2 and order 1 predict the id that last followed the same ids,
+order 0 the block's most frequent id.  Whether the prediction of the highest order that has one is right
+is a binary decision whose probability mixes the hit rates of the order-2 slot, of the order-1 slot and of
+order 0, each by how far it agrees, in the logistic domain with weights learned as it goes.  After a miss the
+other orders' ids are tried, and an id that none predicts is coded by an adaptive distribution over
+magnitude classes, two a power of two.  Ids may have 32 bits; a call whose ids fit 16 keeps smaller tables.
 Everything is integer arithmetic, so any machine decodes what another encoded.  numpy works on one
 position of all blocks at a time; blocks of a call are its lanes.
 """
@@ -19,30 +21,31 @@ import numpy as np
 BLOCK_IDS = 2048
 LANES = 2048
 SLOTS = 12                          # log2 of the slots of a context table
-MOST_ID = 1 << 16
+MOST_ID = (1 << 32) - 2
 HEAD = "<IIII"       # ids, 16-bit words, crc32 of the ids, crc32 of the words
 _M = np.uint64((1 << 48) - 1)
 _TOP, _BOT, _W = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64(16)
 
 _STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int32)
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-i / 256))))) for i in range(-2047, 2048)], np.int64)
-_N1 = np.arange(1, MOST_ID + 1)
-_BITS = np.array([int(x).bit_length() for x in range(1, MOST_ID + 1)])
-_CLASS = np.where(_BITS > 1, 2 * _BITS + ((_N1 >> np.maximum(_BITS - 2, 0)) & 1), 2 * _BITS)      # two a magnitude
-CLASSES = int(_CLASS.max()) + 1
-_BASE = np.full(CLASSES, 0, np.int64)
-_EXTRA = np.zeros(CLASSES, np.int64)
-for _c in range(CLASSES):
-    _of = np.flatnonzero(_CLASS == _c)
-    if len(_of):
-        _BASE[_c], _EXTRA[_c] = _of[0], max(0, int(len(_of)) - 1).bit_length()
+# Class 2 * bits + second bit of the id plus one; class c begins at _BASE[c] and has 2 ** _EXTRA[c] ids.
+CLASSES, WIDE_CLASSES = 36, 68
+_BASE = np.array([0, 0, 0, 0, *(((2 + c % 2) << (c // 2 - 2)) - 1 for c in range(4, WIDE_CLASSES))], np.int64)
+_EXTRA = np.array([0, 0, 0, 0, *(c // 2 - 2 for c in range(4, WIDE_CLASSES))], np.int64)
+WIDE = 1 << 31                      # in a header's number of ids: coded with the larger tables
+LOW_BITS = 14                       # of an id's place in its class, coded after the others
+
+
+def _classes(x: np.ndarray) -> np.ndarray:
+    bits = np.frexp((x + 1).astype(np.float64))[1].astype(np.int64)
+    return np.where(bits > 1, 2 * bits + (((x + 1) >> np.maximum(bits - 2, 0)) & 1), 2)
 
 
 class _Encoder:
     def __init__(self, lanes: int, ids: int):
         self.low = np.zeros(lanes, np.uint64)
         self.rng = np.full(lanes, _M, np.uint64)
-        self.out = np.zeros((lanes, 4 * ids + 8), np.uint16)
+        self.out = np.zeros((lanes, 6 * ids + 8), np.uint16)
         self.pos = np.zeros(lanes, np.int64)
 
     def put(self, sel, start, freq, unit):
@@ -141,21 +144,25 @@ class _Decoder:
         return value.astype(np.int64)
 
 
-def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+def _run(coder, lengths: np.ndarray, ids: np.ndarray | None, wide: bool) -> np.ndarray:
     """Walk all lanes through the model; with ``ids`` the coder encodes, else it decodes.  Lanes come
     longest first, so those still running are a prefix."""
     n, most = len(lengths), int(lengths[0])
-    out = np.zeros((n, most), np.uint16) if ids is None else ids
+    kind, classes = (np.uint32, WIDE_CLASSES) if wide else (np.uint16, CLASSES)
+    out = np.zeros((n, most), kind) if ids is None else ids
     size = 1 << SLOTS
-    pred = [np.zeros(n * size, np.uint16) for _ in range(2)]        # order 2, order 1
+    pred = [np.zeros(n * size, kind) for _ in range(2)]             # order 2, order 1
     conf = [np.zeros(n * size, np.uint8) for _ in range(2)]
+    seen = np.zeros(n * size, np.uint16)                            # order 0: how often, by a hash of the id
+    top, times = np.zeros(n, np.int64), np.zeros(n, np.int64)       # the most frequent id
     p2 = np.full((n, 8), 1 << 14, np.int64)                         # 16-bit hit rates by the slot's confidence
     p1 = np.full((n, 16), 1 << 14, np.int64)                        # and by whether order 1 agrees
-    p0 = np.full(n, 1 << 14, np.int64)
+    p0 = np.full((n, 2), 1 << 14, np.int64)                         # and by whether order 0 does
     pb = np.full((n, 8), 1 << 13, np.int64)
+    pc = np.full(n, 1 << 12, np.int64)
     weight = np.full((3, n), 1 << 15, np.int64)
-    freq = np.ones((n, CLASSES), np.int32)
-    total = np.full(n, CLASSES, np.int64)
+    freq = np.ones((n, classes), np.int32)
+    total = np.full(n, classes, np.int64)
     a, b = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     none = np.zeros(0, np.int64)
     live = np.searchsorted(-lengths, -np.arange(most), side="left")    # lanes longer than t
@@ -167,11 +174,11 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         av, bv = a[:m], b[:m]
         s2 = base + (((av * np.uint32(0x9E3779B1)) ^ (bv * np.uint32(0x85EBCA6B))) >> np.uint32(32 - SLOTS)).astype(np.int64)
         s1 = base + ((bv * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOTS)).astype(np.int64)
-        c2, c1 = pred[0][s2].astype(np.int64), pred[1][s1].astype(np.int64)
+        c2, c1, c0 = pred[0][s2].astype(np.int64), pred[1][s1].astype(np.int64), top[:m]
         k2, k1 = conf[0][s2].astype(np.int64), conf[1][s1].astype(np.int64)
-        first = np.where(k2 > 0, c2, c1)
-        agree = k1 + 8 * (c1 == first)
-        q2, q1, q0 = p2[lane, k2], p1[lane, agree], p0[:m]
+        first = np.where(k2 > 0, c2, np.where(k1 > 0, c1, c0))
+        agree, same = k1 + 8 * (c1 == first), (c0 == first).astype(np.int64)
+        q2, q1, q0 = p2[lane, k2], p1[lane, agree], p0[lane, same]
         t2, t1, t0 = _STRETCH[q2 >> 4], _STRETCH[q1 >> 4], _STRETCH[q0 >> 4]
         dot = (weight[0, :m] * t2 + weight[1, :m] * t1 + weight[2, :m] * t0) >> 16
         p = _SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
@@ -183,7 +190,7 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         one <<= 16
         p2[lane, k2] = np.minimum(q2 + ((one - q2) >> 4), 65535)
         p1[lane, agree] = np.minimum(q1 + ((one - q1) >> 4), 65535)
-        p0[:m] = np.minimum(q0 + ((one - q0) >> 5), 65535)
+        p0[lane, same] = np.minimum(q0 + ((one - q0) >> 5), 65535)
         got = np.where(hit, first, -1)
         again = np.flatnonzero(~hit & (c1 != first))
         if len(again):
@@ -192,12 +199,25 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
             hb = coder.bit(again, np.maximum(qb >> 4, 1), x[again] == c1[again] if x is not None else None)
             pb[again, kb] = np.minimum(qb + (((hb.astype(np.int64) << 16) - qb) >> 4), 65535)
             got[again] = np.where(hb, c1[again], -1)
+        last = np.flatnonzero((got < 0) & (same == 0) & (c0 != c1))
+        if len(last):
+            qc = pc[last]
+            hc = coder.bit(last, np.maximum(qc >> 4, 1), x[last] == c0[last] if x is not None else None)
+            pc[last] = np.minimum(qc + (((hc.astype(np.int64) << 16) - qc) >> 5), 65535)
+            got[last] = np.where(hc, c0[last], -1)
         rest = np.flatnonzero(got < 0)
         if len(rest):
             cum = np.cumsum(freq[rest], axis=1)
-            cls = coder.symbol(rest, cum, _CLASS[x[rest]] if x is not None else none)
+            cls = coder.symbol(rest, cum, _classes(x[rest]) if x is not None else none)
             extra = _EXTRA[cls]
-            got[rest] = _BASE[cls] + coder.uniform(rest, extra, x[rest] - _BASE[cls] if x is not None else none)
+            place = x[rest] - _BASE[cls] if x is not None else none
+            if wide:
+                high = np.maximum(extra - LOW_BITS, 0)
+                low = extra - high
+                upper = coder.uniform(rest, high, place >> low if x is not None else none)
+                got[rest] = _BASE[cls] + (upper << low) + coder.uniform(rest, low, place - (upper << low) if x is not None else none)
+            else:
+                got[rest] = _BASE[cls] + coder.uniform(rest, extra, place)
             freq[rest, cls] += 24
             total[rest] += 24
             full = rest[total[rest] > 1 << 13]
@@ -211,43 +231,53 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
             pred[k][s] = np.where(right | (f > 0), c, got)
             conf[k][s] = np.where(right, np.minimum(f + 1, 7), f >> 1)
         a[:m], b[:m] = bv, got
+        s0 = base + ((b[:m] * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SLOTS)).astype(np.int64)
+        count = seen[s0].astype(np.int64) + 1
+        seen[s0] = count
+        more = count > times[:m]
+        top[:m] = np.where(more, got, c0)
+        times[:m] = np.maximum(times[:m], count)
     return out
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Blocks of ids below 2^16 -> each as header and payload; the blocks know nothing of each other."""
-    if any(len(x) and int(x.max()) >= MOST_ID for x in blocks):
-        raise ValueError("ids of 65,536 and above don't fit this format")
+    """Blocks of unsigned 32-bit ids (at most ``MOST_ID``) -> each as header and payload; the blocks know nothing of
+    each other."""
+    if any(len(x) and int(x.max()) > MOST_ID for x in blocks):
+        raise ValueError("an id above 2^32 - 2")
     out: list[bytes] = [b""] * len(blocks)
     for lo in range(0, len(blocks), LANES):
         order = sorted(range(lo, min(len(blocks), lo + LANES)), key=lambda i: -len(blocks[i]))
         lengths = np.array([len(blocks[i]) for i in order])
-        ids = np.zeros((len(order), max(1, int(lengths[0]))), np.uint16)
+        wide = any(len(blocks[i]) and int(blocks[i].max()) >> 16 for i in order)
+        ids = np.zeros((len(order), max(1, int(lengths[0]))), np.uint32 if wide else np.uint16)
         for r, i in enumerate(order):
             ids[r, :len(blocks[i])] = blocks[i]
         coder = _Encoder(len(order), ids.shape[1])
         if lengths[0]:
-            _run(coder, lengths, ids)
+            _run(coder, lengths, ids, wide)
         for i, words in zip(order, coder.finish(), strict=True):
             crc = zlib.crc32(blocks[i].astype("<u4").tobytes())
-            out[i] = struct.pack(HEAD, len(blocks[i]), len(words) // 2, crc, zlib.crc32(words)) + words
+            out[i] = struct.pack(HEAD, len(blocks[i]) | (WIDE if wide else 0), len(words) // 2, crc, zlib.crc32(words)) + words
     return out
 
 
 def decode_blocks(blocks: list[tuple[tuple[int, int, int, int], bytes]]) -> list[np.ndarray]:
     """(header fields, payload) of each block -> its ids; a damaged block raises ValueError."""
-    out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(blocks)
-    for lo in range(0, len(blocks), LANES):
-        order = sorted(range(lo, min(len(blocks), lo + LANES)), key=lambda i: -blocks[i][0][0])
-        for i in order:
-            if zlib.crc32(blocks[i][1]) != blocks[i][0][3]:
-                raise ValueError("damaged block")
-        lengths = np.array([blocks[i][0][0] for i in order])
-        if lengths[0]:
-            ids = _run(_Decoder([blocks[i][1] for i in order]), lengths, None)
-            for r, i in enumerate(order):
-                out[i] = ids[r, :lengths[r]]
-        for i in order:
-            if zlib.crc32(out[i].astype("<u4").tobytes()) != blocks[i][0][2]:
-                raise ValueError("damaged block")
+    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(blocks)
+    for head, words in blocks:
+        if zlib.crc32(words) != head[3]:
+            raise ValueError("damaged block")
+    for wide in (False, True):
+        own = [i for i, (head, _) in enumerate(blocks) if bool(head[0] & WIDE) == wide]
+        for lo in range(0, len(own), LANES):
+            order = sorted(own[lo:lo + LANES], key=lambda i: -(blocks[i][0][0] & ~WIDE))
+            lengths = np.array([blocks[i][0][0] & ~WIDE for i in order])
+            if lengths[0]:
+                ids = _run(_Decoder([blocks[i][1] for i in order]), lengths, None, wide)
+                for r, i in enumerate(order):
+                    out[i] = ids[r, :lengths[r]]
+    for (head, _), ids in zip(blocks, out, strict=True):
+        if zlib.crc32(ids.astype("<u4").tobytes()) != head[2]:
+            raise ValueError("damaged block")
     return out
