@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 SCALE_BITS = 2          # kept: hashes whose top bits are zero, one in four
-MOST_RANGES = 1024      # ranges of doc_id in which neighbours are looked up
+RANGE_BYTES = 1 << 28   # text bytes of a range of doc_id in which neighbours are looked up, about
 
 
 def sketch(text: Column, shingle_words: int = SHINGLE_WORDS, scale_bits: int = SCALE_BITS) -> Column:
@@ -46,6 +49,20 @@ def containment(a: Column, b: Column, same: Column) -> Column:
     return F.when(same, 1.0).when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def range_of(value: Column, edges: list[int]) -> Column:
+    """How many of the ascending ``edges`` are at or below ``value`` (null: none), by two short searches."""
+    if not edges:
+        return F.lit(0)
+    step = isqrt(len(edges) - 1) + 1
+    parts = [edges[i:i + step] for i in range(0, len(edges), step)]
+    # Written as text: one literal instead of one per edge.
+    first = F.from_json(F.lit(json.dumps([x[0] for x in parts])), "array<bigint>")
+    all_ = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
+    part = F.size(F.filter(first, lambda x: x <= value))
+    inner = F.size(F.filter(F.get(all_, part - 1), lambda x: x <= value))
+    return F.when(part == 0, 0).otherwise((part - 1) * step + inner)
+
+
 def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None,
               derived: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, th, ...) -> the rows with ``next``: a struct of ``columns`` of the row that follows in
@@ -54,14 +71,16 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None,
 
     No global order is built: ids fall into ranges between quantiles (the driver gets those numbers
     only), a window runs within each range, and of each range a copy of its first row goes to the
-    range before it.  The copies are at most ``MOST_RANGES``.
+    range before it.  There are as many ranges as the bytes of ``text`` ask for.
     """
     spark = docs.sparkSession
-    n = ranges or min(MOST_RANGES, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    n = ranges
+    if not n:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        n = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // RANGE_BYTES))
     ids = docs.select(F.col("doc_id").cast("double").alias("d"))
     edges = sorted({int(x) for x in ids.approxQuantile("d", [i / n for i in range(1, n)], 0.25 / n)})
-    edge = F.array(*[F.lit(x).cast("long") for x in edges]) if edges else F.array().cast("array<bigint>")
-    rows = docs.withColumn("range", F.size(F.filter(edge, lambda x: x <= F.col("doc_id"))))
+    rows = docs.withColumn("range", range_of(F.col("doc_id"), edges).cast("int"))
     order = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), F.col("th"))
     heads = rows.groupBy("range").agg(F.min(F.struct(order.alias("o"), "doc_id", "th")).alias("h"))
     # The range before, in descending order; the highest range's head follows the lowest range.
