@@ -62,6 +62,19 @@ def test_chunk_rows_carry_running_digests(spark, monkeypatch):
         assert {(r["n_bytes"], r["digest"]) for r in own} == {(len(data), own[-1]["running"])}
 
 
+def test_id_blocks_of_large_vocabularies():
+    import struct
+
+    rng = np.random.default_rng(3)
+    for top in (1 << 17, 1 << 24, (1 << 32) - 1):
+        blocks = [rng.integers(0, top, n).astype(np.uint32) for n in (0, 1, 700, 2048)] + [np.array([top - 1, 0, 65_535, 65_536] * 40, np.uint32),
+                                                                                              np.array([5] * 300, np.uint32)]
+        coded = idcoder.encode_blocks(blocks) + idcoder.encode_blocks(blocks[:1])
+        heads = [(struct.unpack(idcoder.HEAD, c[:16]), c[16:]) for c in coded]
+        assert all((a == b).all() for a, b in zip([*blocks, blocks[0]], idcoder.decode_blocks(heads), strict=True))
+        assert len(coded[4]) < 100 and len(coded[5]) < 60          # repeated ids are predicted
+
+
 def test_warc_damage_is_found(spark):
     folder = shared_folder(spark, "damaged")
     pages = spark.createDataFrame([(1, "u", "x" * 5000)], "page_id long, url string, html string")
@@ -137,7 +150,7 @@ def test_id_blocks():
     with pytest.raises(ValueError):
         idcoder.decode_blocks([(heads[0][0], heads[0][1][:-2] + b"xx")])
     with pytest.raises(ValueError):
-        idcoder.encode_blocks([np.array([70_000])])
+        idcoder.encode_blocks([np.array([2**32 - 1])])
 
 
 def test_token_files(spark, docs, odd_docs, clashing, plain, no_docs, monkeypatch):

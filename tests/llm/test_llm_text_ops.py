@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from codeatlas.llm import fingerprints, langid, mixing, sharding, simhash
 
@@ -21,6 +22,36 @@ def test_language_held_out_accuracy(spark):
     assert got["score"].between(0, 1).all() and got["rejected"].mean() < 0.01
 
 
+def test_a_rare_language_is_learned(spark):
+    """Thirty documents in 12,000: of the 1500 smallest hashes three or four would be theirs."""
+    rng = np.random.default_rng(4)
+    words = {c: ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(400)] for c, letters in (("aa", "abcdefghi"), ("bb", "nopqrstuvw"))}
+    rows = [(i, " ".join(rng.choice(words["bb" if i % 400 == 0 else "aa"], 60)), "bb" if i % 400 == 0 else "aa") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, train_rows=1500)
+    assert model.langs == ["aa", "bb"]
+    got = langid.identify(docs, model).join(docs, "doc_id")
+    assert got.where("lang = 'bb' and lang_pred <> 'bb'").count() == 0 and got.where("lang = 'aa' and lang_pred = 'bb'").count() == 0
+    assert langid.quotas({"a": 10, "b": 1000, "c": 1000}, 300) == {"a": 10, "b": 145, "c": 145}
+    assert langid.quotas({"a": 5, "b": 6, "c": 7}, 2) == {"b": 1, "c": 1}
+
+
+def test_mixing_misses_a_target_by_a_small_document(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(min(20_000, rng.lognormal(5, 1.5))), "abc"[i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    for _, g in got.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 0.002 * g["target"].iloc[0] + 5
+
+
+def test_range_of_edges(spark):
+    for n in (1, 2, 3, 50, 1000):
+        edges = list(range(0, 3 * n, 3))
+        got = spark.range(-2, 3 * n + 2).select("id", fingerprints.range_of(F.col("id"), edges).alias("r")).collect()
+        assert all(r["r"] == sum(e <= r["id"] for e in edges) for r in got)
+
+
 def test_language_odd_rows(odd_docs, clashing, no_docs):
     got = langid.identify(clashing).toPandas()
     assert len(got) == odd_docs.count() and not got["held_out"].isna().any()
