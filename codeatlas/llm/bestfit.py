@@ -20,7 +20,7 @@ TOKENS = 2048
 CAPACITY = (TOKENS, TOKENS, TOKENS * TOKENS)
 WEIGHTS = (1.0, 0.02, 0.02)
 END_ID = 0
-GROUP_ITEMS = 16_384           # pieces that are packed together
+GROUP_ITEMS = 8192             # pieces that are packed together
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
     ("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()),
     ("ids_crc32", T.LongType()), ("row", T.LongType()), ("ids", T.BinaryType()))])
@@ -36,32 +36,38 @@ def vector_best_fit(lengths: np.ndarray, capacity: tuple[int, int, int] = CAPACI
     bin.  Where none suffices it opens a bin, also if it exceeds the capacities by itself."""
     cap = np.asarray(capacity, np.float64)
     w = np.asarray(weights, np.float64)
-    # Ascending smallest demand of the items still to come: bins below it are closed.
+    # The smallest demand of the items still to come: bins below it are closed.
     least = np.minimum.accumulate(lengths[::-1])[::-1] if len(lengths) else lengths
-    room = np.empty((64, 3))
-    names = np.empty(64, np.int64)
+    size, names = 64, np.empty(64, np.int64)
+    rooms = [np.empty(size) for _ in range(3)]                 # residual tokens, pieces, attention cost
     n = bins = 0
     out = np.empty(len(lengths), np.int64)
     for k, length in enumerate(lengths.tolist()):
-        demand = np.array((length, 1.0, float(length) * length))
+        demand = (float(length), 1.0, float(length) * length)
         if k % 512 == 0 and n:
-            keep = np.flatnonzero((room[:n, 0] >= least[k]) & (room[:n, 1] >= 1) & (room[:n, 2] >= float(least[k]) ** 2))
-            room[:len(keep)], names[:len(keep)], n = room[keep], names[keep], len(keep)
-        left = room[:n] - demand
-        fits = np.flatnonzero(left.min(axis=1) >= 0) if n else np.empty(0, np.int64)
+            keep = np.flatnonzero((rooms[0][:n] >= least[k]) & (rooms[1][:n] >= 1) & (rooms[2][:n] >= float(least[k]) ** 2))
+            for r in (*rooms, names):
+                r[:len(keep)] = r[keep]
+            n = len(keep)
+        fits = np.flatnonzero(rooms[0][:n] >= demand[0])
+        for r, d in zip(rooms[1:], demand[1:], strict=True):
+            if len(fits):
+                fits = fits[r[fits] >= d]
         if len(fits):
-            if rule == "norm":
-                score = (left[fits] / cap) ** 2 @ w
-                at = fits[np.argmin(score)]
-            else:
-                score = (room[fits] / cap * (demand / cap)) @ w
-                at = fits[np.argmax(score)]
-            room[at] = left[at]
+            score = 0.0
+            for r, d, c, x in zip(rooms, demand, cap.tolist(), w.tolist(), strict=True):
+                score = score + (x * ((r[fits] - d) / c) ** 2 if rule == "norm" else -x * (r[fits] / c) * (d / c))
+            at = fits[np.argmin(score)]
+            for r, d in zip(rooms, demand, strict=True):
+                r[at] -= d
             out[k] = names[at]
             continue
-        if n == len(room):
-            room, names = np.concatenate([room, np.empty_like(room)]), np.concatenate([names, np.empty_like(names)])
-        room[n], names[n], out[k] = cap - demand, bins, bins
+        if n == size:
+            size *= 2
+            rooms, names = [np.concatenate([r, np.empty_like(r)]) for r in rooms], np.concatenate([names, np.empty_like(names)])
+        for r, d, c in zip(rooms, demand, cap.tolist(), strict=True):
+            r[n] = c - d
+        names[n], out[k] = bins, bins
         n, bins = n + 1, bins + 1
     return out
 
