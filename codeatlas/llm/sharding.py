@@ -11,6 +11,7 @@ SHARDS = 40
 OVERHEAD = 16          # bytes a row counts besides its text
 TOLERANCE = 0.001      # of a shard's fair share: how near a splitter must come to its target
 DIGIT = 12             # bits by which a round of probes refines a bracket: 4096 probes each
+MOST_BROADCAST = 1000      # such groups up to which they and the cell counts are broadcast, else joined by a shuffle
 HOT_ROWS = 100_000     # a group of equal texts above this is numbered in parts, too
 TASK_BYTES = 1 << 28   # of a shard that one task writes
 SLOT_BITS = 8          # a group that is cut over shards is numbered in 256 parts
@@ -116,23 +117,26 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     a group above a shard's fair share of bytes is spread over shards.  Splitters come from exact byte
     counts of the whole table (``splitters``); then one exchange numbers the rows: slots are the rows
     in earlier cells of the shard (4096 hash cells, a cut group or one of very many rows in 256 parts; the counts are bounded by
-    these numbers and broadcast) plus the row's place in its cell.  A null text has no bytes and crc 0;
+    these numbers and broadcast, or joined where there are very many such groups) plus the row's place in its cell.  A null text has no bytes and crc 0;
     null ids and repeated rows are ordinary rows; an empty table gives no rows.
     """
     rows = cut(keyed(docs))
     cuts, hot = splitters(rows, shards, tolerance)
     part = F.shiftrightunsigned("h2", 64 - SLOT_BITS)
     # Groups that are hot by rows but not by bytes (empty or very short texts): at most count / HOT_ROWS of them.
-    many = rows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("h1", F.lit(True).alias("many"))
-    rows = (rows.withColumn("shard", shard_of(cuts)).withColumn("cell", _digit(F.col("h1"), 0).cast("int"))
-            .join(many, "h1", "left"))
-    split = F.col("many") | (F.col("h1").isin([_signed(h) for h in hot]) if hot else F.lit(False))
-    rows = rows.withColumn("part", F.when(split, part).otherwise(0).cast("int")).drop("many")
+    many = cut(rows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("h1", F.lit(True).alias("many")))
+    rows = rows.withColumn("shard", shard_of(cuts)).withColumn("cell", _digit(F.col("h1"), 0).cast("int"))
+    split = F.col("h1").isin([_signed(h) for h in hot]) if hot else F.lit(False)
+    n_many = many.count()
+    if n_many:
+        rows = rows.join(F.broadcast(many) if n_many <= MOST_BROADCAST else many, "h1", "left")
+        split = split | F.coalesce("many", F.lit(False))
+    rows = rows.withColumn("part", F.when(split, part).otherwise(0).cast("int"))
     cells = rows.groupBy("shard", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("shard", "cell", "part").orderBy("h1", "h2", "doc_id"))
-    return (rows.withColumn("place", place).join(F.broadcast(cells), ["shard", "cell", "part"])
+    return (rows.withColumn("place", place).join(F.broadcast(cells) if n_many <= MOST_BROADCAST else cells, ["shard", "cell", "part"])
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                     (F.col("first") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")))
 
