@@ -23,7 +23,7 @@ def plain():
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     df = queries.QUERIES[name](spark, sf)
     want = con.execute(queries.SQL[name])

@@ -6,7 +6,6 @@ import random
 import zlib
 from itertools import permutations
 
-import duckdb
 import numpy as np
 import pytest
 
@@ -135,18 +134,6 @@ def test_repaired_rows(spark):
         (0, 0, "user", "Hi.", "R"), (1, 1, "assistant", "Why?", "R")]
 
 
-@pytest.mark.parametrize("name", ["op11_dialogue_repair", "op13_filter_audit"])
-def test_query_matches_sql(spark, sf, name):
-    con = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
-        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
-    df = queries.QUERIES[name](spark, sf)
-    want = con.execute(queries.SQL[name])
-    names = [d[0] for d in want.description]
-    assert sorted(names) == sorted(df.columns)
-    assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
-
-
 def _scalar_best_fit(lengths, room):
     bins = []
     for n in lengths:
