@@ -16,20 +16,26 @@ def test_chunk_recursive_invariants(spark):
     assert (chunks["chunk"].str.len() <= 500).all()
     for doc_id, g in chunks.sort_values(["doc_id", "pos"]).groupby("doc_id"):
         parts = list(g["chunk"])
-        assert parts[0] + "".join(p[50:] for p in parts[1:]) == texts[doc_id]
-        assert all(a.endswith(b[:50]) for a, b in zip(parts, parts[1:]))
+        # A chunk begins 50 characters before the last cut, or where the text does.
+        read = ""
+        for part in parts:
+            early = min(50, len(read))
+            assert read.endswith(part[:early])
+            read += part[early:]
+        assert read == texts[doc_id]
         assert list(g["pos"]) == list(range(len(g)))
     assert set(chunks["doc_id"]) == {k for k, t in texts.items() if t}
 
 
 def test_chunk_recursive_breaks_and_edges(spark):
-    # Cells of 7 characters, cut within their last 2; 1 character of overlap.
-    rows = [(1, "abcde\n\nfgh"), (2, "abcdef ghi"), (3, "x" * 10), (4, ""), (5, None), (6, "\U0001f600" * 8)]
+    # Chunks of at most 6 characters that share one; what fits is one chunk.
+    rows = [(1, "ab\n\ncdefgh"), (2, "abc de fghi"), (3, "x" * 10), (4, ""), (5, None), (6, "\U0001f600" * 8), (7, "a\nb cd efg"), (8, "short")]
     df = spark.createDataFrame(rows, "id int, text string")
     got = {}
-    for r in sorted(chunk_recursive(df, ["id"], "text", size=10, overlap=1).collect(), key=lambda r: (r["id"], r["pos"])):
+    for r in sorted(chunk_recursive(df, ["id"], "text", size=6, overlap=1).collect(), key=lambda r: (r["id"], r["pos"])):
         got.setdefault(r["id"], []).append(r["chunk"])
-    assert got == {1: ["abcde\n\n", "\nfgh"], 2: ["abcdef ", " ghi"], 3: ["x" * 7, "x" * 4], 6: ["\U0001f600" * 7, "\U0001f600" * 2]}
+    assert got == {1: ["ab\n\n", "\ncdefg", "gh"], 2: ["abc ", " de ", " fghi"], 3: ["x" * 6, "x" * 5],
+                   6: ["\U0001f600" * 6, "\U0001f600" * 3], 7: ["a\n", "\nb cd ", " efg"], 8: ["short"]}
 
 
 def test_contains_join_matches_brute_force(spark):
