@@ -173,6 +173,17 @@ def q_attach_instance_quarantine(spark, root):
     return quarantine
 
 
+@register("attach_instance_finished", """
+select l.l_orderkey, l.l_linenumber, case when o.o_orderkey is null then 'no finished order' else 'found' end as status
+from lineitem l left join orders o on l.l_orderkey = o.o_orderkey and o.o_orderstatus = 'F'""")
+def q_attach_instance_finished(spark, root):
+    """Only finished orders are listed, so both outputs have rows."""
+    li = T(spark, root, "lineitem").select("l_orderkey", "l_linenumber")
+    listed = T(spark, root, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    joined, quarantine = attach_instance(li, listed, ["l_orderkey"])
+    return joined.withColumn("status", F.lit("found")).unionByName(quarantine.withColumn("status", F.lit("no finished order")))
+
+
 @register("file_description", """
 select conv_id, string_agg(rn || '. ' || text || chr(10), '' order by turn) as description
 from (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as rn from conversations)

@@ -220,3 +220,24 @@ def q_regen_counts(spark, root):
     items = new.filter(is_supported_ext("rel_path") & ~is_test_path("rel_path")).select("repo", "new_id", "rel_path")
     regen = to_regenerate(items, d, key_cols=["repo", "new_id"])
     return regen.groupBy("repo", F.col("new_id").cast("int").alias("new_id")).agg(F.count(F.lit(1)).alias("n_regenerate"))
+
+
+# Beside each file lies one whose path is longer by an x, so a changed path is a substring of another one.
+@register("carry_forward_substrings", _DIFF_SQL + f""",
+d as (select rel_path, doc from {_OLD_DOCS} union all select rel_path || 'x', doc from {_OLD_DOCS})
+select 'v2' as instance_key, rel_path, doc from d where not exists (select 1 from {_CHANGED} c where contains(d.rel_path, c.path))""")
+def q_carry_forward_substrings(spark, root):
+    old = _old_docs(spark, root)
+    both = old.unionByName(old.withColumn("rel_path", F.concat("rel_path", F.lit("x"))))
+    return carry_forward(both, _diff(spark, root), {"instance_key": "v2"}, literal_substring=True).select("instance_key", "rel_path", "doc")
+
+
+# Files without content on the old side (every third), on the new side (every fourth) or both.
+@register("snapshot_diff_nulls", """
+select 'file' as level, 'modified' as change, 'd_' || doc_id || '.js' as path from documents
+where text is not null and (doc_id % 3 = 0) <> (doc_id % 4 = 0)""")
+def q_snapshot_diff_nulls(spark, root):
+    d = T(spark, root, "documents")
+    side = lambda n: d.select(F.concat(F.lit("d_"), "doc_id", F.lit(".js")).alias("rel_path"),          # noqa: E731
+                              F.when(F.col("doc_id") % n != 0, F.col("text")).alias("content"))
+    return snapshot_diff(side(3), side(4))
