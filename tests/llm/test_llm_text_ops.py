@@ -330,3 +330,92 @@ def test_shards_number_groups_of_very_many_rows(spark, monkeypatch):
     assert len(got) == 900
     for _, s in got.groupby("shard"):
         assert sorted(s["slot"]) == list(range(len(s)))
+
+
+def test_shards_match_a_plain_sort(spark, docs):
+    """Splitters stand between groups of equal texts, at the side of the group a goal falls into that is nearer to it."""
+    for shards, tolerance in ((7, 0.0), (40, 0.0), (5, 0.001)):
+        keys = [(r["h1"] % (1 << 64), r["h2"] % (1 << 64), r["doc_id"], r["size"]) for r in sharding.keyed(docs).collect()]
+        keys.sort()
+        total = sum(k[3] for k in keys)
+        groups = []                                  # (h1, bytes before, bytes)
+        for h1, _, _, n in keys:
+            if groups and groups[-1][0] == h1:
+                groups[-1][2] += n
+            else:
+                groups.append([h1, groups[-1][1] + groups[-1][2] if groups else 0, n])
+        assert max(g[2] for g in groups) <= total / shards or shards == 40
+        cuts = []
+        for s in range(1, shards):
+            goal = total * s // shards
+            h1, below, n = next(g for g in groups if g[1] + g[2] > goal)
+            cuts.append(below if goal - below <= below + n - goal else below + n)
+        got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(docs, shards, tolerance).collect()}
+        order = [got[k[2]][0] for k in keys]
+        assert order == sorted(order)
+        if tolerance == 0.0 and shards == 7:
+            before, want = 0, {}
+            for h1, _, i, n in keys:
+                at = next(g for g in groups if g[0] == h1)[1]
+                want[i] = sum(c <= at for c in cuts)
+            assert {i: s for i, (s, _) in got.items()} == want
+
+
+def _water(sizes, weights=(5, 2, 1)):
+    """Targets of the sources by repeated sharing of what is left, capped at twice their size."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, open_, target = 1.5 * sum(sizes.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= 2 * sizes[s]}
+        if not full:
+            return target | {s: level * weight[s] for s in open_}
+        target |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(target[s] for s in full)
+        open_ -= full
+    return target
+
+
+def test_pipeline_stages_against_plain_versions(spark, sf):
+    from collections import Counter
+
+    import corpus_pipeline as cp
+    from codeatlas.llm import queries
+    from codeatlas.llm.common import write_table
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = write_table(cp.language_id(spark, docs, sf), "t1")
+    model = langid.fit(docs)
+    rejected = {r["doc_id"] for r in langid.identify(docs, model).where("rejected").collect()}
+    rows = [r for r in docs.collect() if r["doc_id"] not in rejected]
+    assert sorted(kept.collect()) == sorted(rows)
+
+    one = write_table(cp.simhash_near_dedup(spark, kept, sf), "t2")
+    ids = [r["doc_id"] for r in rows]
+    parts = _components([_simhash(r["text"]) for r in rows], ids)
+    rows = [r for r, c in zip(rows, parts, strict=True) if r["doc_id"] == c]
+    assert sorted(one.collect()) == sorted(rows)
+
+    mixed = write_table(cp.mix_sources(spark, one, sf), "t3")
+    words = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))                     # noqa: E731
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r["source"]] += words(r)
+    copies = Counter(map(tuple, mixed.collect()))
+    assert set(copies) <= {tuple(r) for r in rows} and max(copies.values()) <= 2
+    for r in rows:
+        taken[r["source"]] += words(r) * copies[tuple(r)]
+    target = _water(dict(sizes))
+    # Sources of eight documents: one of them at most is what a target is missed by.
+    assert all(abs(taken[s] - target[s]) <= max(words(r) for r in rows if r["source"] == s) for s in sizes)
+    assert np.median([abs(taken[s] - target[s]) / target[s] for s in sizes]) <= 0.03
+
+    from codeatlas.llm.tokens import Encoder
+
+    enc, pieces = Encoder(queries.tokenizer_path()), cp.pack_sequences(spark, mixed, sf).collect()
+    whole = {r["doc_id"]: np.frombuffer(enc._each([r["text"]])[0] if r["text"] else b"", "<u4").tolist() + [0] for r in rows}
+    spans = Counter((p["doc_id"], p["start"] + k) for p in pieces for k in range(p["length"]))
+    times = Counter({k[0]: n for k, n in copies.items()})
+    assert spans == Counter({(i, k): n for i, n in times.items() for k in range(len(whole[i]))})
+    assert all(np.frombuffer(p["ids"], "<u4").tolist() == whole[p["doc_id"]][p["start"]:p["start"] + p["length"]] for p in pieces)
