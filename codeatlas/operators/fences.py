@@ -59,8 +59,9 @@ def fenced_elements(df: DataFrame, key_cols: list[str], text_col: str) -> DataFr
     null element.
     """
     blocks = F.regexp_extract_all(_before_summary(F.col(text_col)), F.lit(FENCE_BODY), 1)
-    b = df.select(*key_cols, F.explode(blocks).alias("_b")) \
-        .select(*key_cols, F.filter(F.transform(lines("_b"), strip), lambda x: x != "").alias("_ls"))
+    # The lines are made inside the explode, so no later step works them out again.
+    listed = F.transform(blocks, lambda b: F.filter(F.transform(lines(b), strip), lambda x: x != ""))
+    b = df.select(*key_cols, F.explode(listed).alias("_ls"))
     b = b.select(*key_cols, F.get("_ls", 0).alias("rel_path"),
                  F.transform(F.slice("_ls", 2, F.greatest(F.size("_ls") - 1, F.lit(0))),
                              lambda x: strip(F.element_at(F.split(x, ":", -1), -1))).alias("_els")) \
