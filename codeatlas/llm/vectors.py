@@ -96,6 +96,24 @@ def build_graph(unit: np.ndarray, seed: int = 5) -> list[np.ndarray]:
     return [np.fromiter(sorted(x), np.int64, len(x)) for x in sets]
 
 
+def _near_among(own: np.ndarray, unit: np.ndarray, asked: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the (query, node) places marked in ``asked`` whose cosine is >= threshold: products of whole
+    tiles where many places of a tile are marked, single ones elsewhere."""
+    near = np.zeros_like(asked)
+    step = max(1, TILE // unit.shape[1])
+    for k in range(0, asked.shape[1], 256):
+        part = asked[:, k:k + 256]
+        count = np.count_nonzero(part)
+        if count * 16 > part.size:
+            near[:, k:k + 256] = part & (own @ unit[k:k + 256].T >= threshold)
+        elif count:
+            r, c = np.nonzero(part)
+            for h in range(0, count, step):
+                p, to = r[h:h + step], c[h:h + step] + k
+                near[p, to] = np.einsum("ij,ij->i", own[p], unit[to]) >= threshold
+    return near
+
+
 def range_search(unit: np.ndarray, adjacency: list[np.ndarray], threshold: float,
                  queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < j) found with cosine >= threshold: all ``queries`` (nodes) walk in lockstep.  A greedy
@@ -108,6 +126,9 @@ def range_search(unit: np.ndarray, adjacency: list[np.ndarray], threshold: float
     links = np.full((n, width), -1, np.int64)
     for i, x in enumerate(adjacency):
         links[i, :len(x)] = x
+    edge_to = np.concatenate(adjacency)
+    order = np.argsort(edge_to, kind="stable")
+    edge_from, edge_to = np.repeat(np.arange(n), [len(x) for x in adjacency])[order], edge_to[order]
     found_i, found_j = [], []
     start = medoid(unit)
     block = max(1, min((1 << 24) // n, (1 << 17) // width))
@@ -148,21 +169,21 @@ def range_search(unit: np.ndarray, adjacency: list[np.ndarray], threshold: float
             both_o = np.concatenate([open_[act], more > -3], axis=1)
             top = np.argpartition(-both_s, BEAM - 1, axis=1)[:, :BEAM]
             beam[act], score[act], open_[act] = (np.take_along_axis(x, top, axis=1) for x in (both_n, both_s, both_o))
-        while True:
-            who, node = np.nonzero(hit & ~done)
-            if not len(who):
+        new = hit & ~done
+        while new.any():
+            # All queries at once: a node's row of bits says which queries hit it anew, and a node is looked at by
+            # those that hit a node with an edge to it.
+            bits = np.packbits(new.T, axis=1)
+            live = new.any(0)[edge_from]
+            ends, first = np.unique(edge_to[live], return_index=True)
+            if not len(ends):
                 break
-            for k in range(0, len(who), 1 << 16):
-                w, x = who[k:k + (1 << 16)], node[k:k + (1 << 16)]
-                done[w, x] = True
-                nb = links[x]
-                r, c = np.nonzero((nb >= 0) & ~seen[w[:, None], np.maximum(nb, 0)])
-                if not len(r):
-                    continue
-                pair = np.unique(w[r] * n + nb[r, c])
-                pw, pt = pair // n, pair % n
-                seen[pw, pt] = True
-                hit[pw, pt] = np.einsum("ij,ij->i", unit[q[pw]], unit[pt]) >= threshold
+            looked = np.zeros((n, bits.shape[1]), np.uint8)
+            looked[ends] = np.bitwise_or.reduceat(bits[edge_from[live]], first, axis=0)
+            fresh = np.unpackbits(looked, axis=1, count=m).T.astype(bool) & ~seen
+            seen |= fresh
+            new = _near_among(unit[q], unit, fresh, threshold)
+            hit |= new
         who, node = np.nonzero(hit)
         who = q[who]
         keep = who != node
@@ -264,10 +285,15 @@ def _links(threshold: float):
         lists = [np.fromiter((where[c] for c in near if c in where), np.int64) for near in t["near"].to_pylist()]
         home = t["home_shard"].to_numpy()
         i, j = range_search(_unit(x), lists, threshold - 1e-9, np.flatnonzero(home == shard))
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        sure = np.concatenate([np.empty(0, bool), *(
-            np.einsum("ij,ij->i", x[i[k:k + 65536]], x[j[k:k + 65536]]) / (norm[i[k:k + 65536]] * norm[j[k:k + 65536]]) >= threshold
-            for k in range(0, len(i), 65536))])
+        sure = np.zeros(len(i), bool)
+        step = max(1, TILE // n)
+        for k in range(0, n, step):          # pairs come sorted by i
+            lo, hi = np.searchsorted(i, [k, min(n, k + step)])
+            u, v = i[lo:hi], j[lo:hi]
+            if len(u) * 16 > step * n:
+                sure[lo:hi] = _near(x[k:k + step], x, threshold)[u - k, v]
+            else:
+                sure[lo:hi] = _cosines(x, u, x, v) >= threshold
         i, j = i[sure], j[sure]
         # Only a pair of vectors that are each a member of the other's home shard can be found twice, so
         # it goes out as a row; any other is counted here, in the one shard that can find it.
@@ -332,16 +358,24 @@ def _linked(classes: DataFrame, overlap: int, threshold: float) -> tuple[DataFra
     return _searched(full, threshold), members.where("home").select("cid", F.col("shard").alias("home_shard"))
 
 
+def _cosines(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosine of ``x[i]`` and ``y[j]``, pair by pair."""
+    out = np.empty(len(i))
+    step = max(1, TILE // x.shape[1])
+    for k in range(0, len(i), step):
+        a, b = x[i[k:k + step]], y[j[k:k + step]]
+        norm = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
+        out[k:k + step] = np.einsum("ij,ij->i", a, b) / norm
+    return out
+
+
 def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """Rows of ``x`` by rows of ``y``: cosine >= threshold.  Products of unit vectors decide all but
     those next to the threshold, which are worked out as the search's verification does."""
     sims = _unit(x) @ _unit(y).T
     near = sims >= threshold
     i, j = np.nonzero(np.abs(sims - threshold) < 1e-9)
-    for k in range(0, len(i), 65536):
-        a, b = x[i[k:k + 65536]], y[j[k:k + 65536]]
-        norm = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
-        near[i[k:k + 65536], j[k:k + 65536]] = np.einsum("ij,ij->i", a, b) / norm >= threshold
+    near[i, j] = _cosines(x, i, y, j) >= threshold
     return near
 
 
