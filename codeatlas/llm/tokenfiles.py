@@ -21,31 +21,44 @@ from .tokens import encoder, groups
 
 MAGIC = b"IDBLOCK1"
 TRAILER = "<QQQI4x"
-FILE_BYTES = 16 << 20          # text bytes of a file, about
+TASK_BYTES = 256 << 20         # text bytes of a task, about
+TASK_ROWS = 1 << 20            # and its documents
 END_ID = 2
 NULL_ID = -(1 << 63)           # stands for a null doc_id in the index
 GROUP = idcoder.BLOCK_IDS * idcoder.LANES
+FILE_IDS = 4 * GROUP - GROUP // 32      # a task goes on in a further file beyond so many ids (its last blocks fill a group)
+FILE_DOCS = 1 << 18            # or documents
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write ``docs`` (doc_id, text) below ``folder``; returns the manifest (file_no, path, ids, docs).
 
-    One range exchange orders the documents; each task tokenizes its range, gathers ids for ``LANES``
-    blocks, codes them in lockstep and goes on, so memory doesn't grow with a range.  A file gets its
-    final name only when whole, so a repeated task replaces it."""
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    One range exchange orders the documents, in as many ranges as their bytes or their number asks for; an id that
+    very many rows share is cut by the text's hash.  Each task tokenizes its range, gathers ids for ``LANES``
+    blocks, codes them in lockstep and goes on, in a further file after ``FILE_IDS`` ids or ``FILE_DOCS`` documents, so
+    neither memory nor a file grows with a range.  A file gets its final name only when whole, so a
+    repeated task replaces it."""
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES), -(-rows // TASK_ROWS))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
-    dealt = docs.select("doc_id", "text").repartitionByRange(int(files), order[0]).sortWithinPartitions(*order)
+    dealt = docs.select("doc_id", "text").repartitionByRange(int(ranges), *order).sortWithinPartitions(*order)
 
     def write(batches):
         store, top = open_store(folder)
-        no = TaskContext.get().partitionId()
-        name = f"{top}/part-{no:06d}.idb"
+        task, files = TaskContext.get(), 0
         out = None
         index: list[tuple[int, int]] = []
         waiting: list[np.ndarray] = []
-        count = blocks = at = 0
+        count = total = blocks = at = 0
+
+        def start():
+            nonlocal out, name, part, index, waiting, count, total, blocks, at
+            store.create_dir(top, recursive=True)
+            name = f"{top}/part-{task.partitionId():06d}-{files:05d}.idb"
+            part = f"{name}.{task.taskAttemptId()}"
+            out = store.open_output_stream(part, compression=None)
+            out.write(MAGIC)
+            index, waiting, count, total, blocks, at = [], [], 0, 0, 0, len(MAGIC)
 
         def flush(last: bool):
             nonlocal waiting, count, blocks, at
@@ -58,33 +71,37 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
                 blocks += 1
             waiting, count = [ids[take:]], len(ids) - take
 
+        def finish() -> pa.RecordBatch:
+            nonlocal out, files
+            flush(True)
+            table = np.array(index, "<i8").tobytes()
+            out.write(table)
+            out.write(struct.pack(TRAILER, blocks, len(index), at, zlib.crc32(table)))
+            out.close()
+            store.move(part, name)
+            out, files = None, files + 1
+            return pa.RecordBatch.from_pydict(
+                {"file_no": [(task.partitionId() << 32) + files - 1], "path": [name], "ids": [total], "docs": [len(index)]},
+                pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("ids", pa.int64()), ("docs", pa.int64())]))
+
+        name = part = ""
         for b in batches:
-            if out is None:
-                store.create_dir(top, recursive=True)
-                part = f"{name}.{TaskContext.get().taskAttemptId()}"
-                out = store.open_output_stream(part, compression=None)
-                out.write(MAGIC)
-                at = len(MAGIC)
             texts, who = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             enc = encoder(tokenizer)
             for lo, hi in groups(texts):
                 for w, x in zip(who[lo:hi], enc.encode(texts[lo:hi]), strict=True):
+                    if out is None:
+                        start()
                     ids = np.append(np.frombuffer(x, "<u4"), np.uint32(end_id))
                     waiting.append(ids)
-                    count += len(ids)
+                    count, total = count + len(ids), total + len(ids)
                     index.append((NULL_ID if w is None else w, len(ids)))
+                    if total >= FILE_IDS or len(index) >= FILE_DOCS:
+                        yield finish()
                 if count >= GROUP:
                     flush(False)
         if out is not None:
-            flush(True)
-            table = np.array(index, "<i8").tobytes()
-            out.write(table)
-            out.write(struct.pack(TRAILER, blocks, len(index), at, zlib.crc32(table)))
-            out.close()
-            store.move(part, name)
-            yield pa.RecordBatch.from_pydict(
-                {"file_no": [no], "path": [name], "ids": [sum(n for _, n in index)], "docs": [len(index)]},
-                pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("ids", pa.int64()), ("docs", pa.int64())]))
+            yield finish()
 
     return write_table(dealt.mapInArrow(write, "file_no long, path string, ids long, docs long"), "ids-manifest")
 

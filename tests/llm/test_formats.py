@@ -154,7 +154,8 @@ def test_id_blocks():
 
 
 def test_token_files(spark, docs, odd_docs, clashing, plain, no_docs, monkeypatch):
-    monkeypatch.setattr(tokenfiles, "FILE_BYTES", 1 << 16)
+    monkeypatch.setattr(tokenfiles, "FILE_IDS", 30_000)
+    monkeypatch.setattr(tokenfiles, "FILE_DOCS", 20)
     got = sorted(tuple(r) for r in tokenfiles.encode_and_read(docs, queries.tokenizer_path()).collect())
     start, want = 0, []
     for i, ids in _wanted(sorted((r["doc_id"], r["text"]) for r in docs.collect()), plain, 2):
@@ -171,6 +172,23 @@ def test_token_files(spark, docs, odd_docs, clashing, plain, no_docs, monkeypatc
     assert tokenfiles.encode_and_read(no_docs, queries.tokenizer_path()).count() == 0
 
 
+def test_token_files_of_one_id_and_of_empty_texts(spark, monkeypatch):
+    """Tasks and files follow the number of documents too; rows of one id are cut by their text."""
+    monkeypatch.setattr(tokenfiles, "FILE_DOCS", 50)
+    monkeypatch.setattr(tokenfiles, "TASK_ROWS", 30)
+    rows = [(None, f"text {i}") for i in range(400)] + [(i, "") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = shared_folder(spark, "ids")
+    manifest = tokenfiles.write_ids(docs, folder, queries.tokenizer_path())
+    files = manifest.orderBy("file_no").collect()
+    assert max(f["docs"] for f in files) <= 50 and sum(f["docs"] for f in files) == 1000
+    got = tokenfiles.read_ids(manifest, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [*range(600), *[None] * 400]
+    assert [r["start"] for r in got[:601]] == list(range(601))
+    before = np.cumsum([0, *(f["docs"] for f in files)])
+    assert len({f["file_no"] >> 32 for f, n in zip(files, before, strict=False) if n >= 600}) > 3     # tasks of the one id
+
+
 def test_pack_covers_everything():
     rng = np.random.default_rng(3)
     for lengths in ([], [1], [1024], [1500, 700, 3], [int(x) for x in rng.geometric(0.003, 500)], [513] * 50, [100] * 7):
