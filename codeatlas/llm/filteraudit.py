@@ -23,6 +23,7 @@ WHOLE = len(PREFIXES)
 TRIE_ROWS = 20_000                      # texts of one trie
 TRIE_BYTES = 1 << 25
 TASK_BYTES = 1 << 25
+TASK_ROWS = 10 * TRIE_ROWS              # short and empty texts ask for tasks too
 BROADCAST_ROWS = 500_000                # of (level, hash) rows; a longer list is joined by a shuffle
 
 
@@ -118,11 +119,12 @@ def by_prefix(docs: DataFrame) -> DataFrame:
             free = free & F.col(f"n{k}").isNull()
         level, h = F.when(free, k).otherwise(level), F.when(free, hashes[k]).otherwise(h)
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), "salts")
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total, many = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(1, -(-total // TASK_BYTES), -(-many // TASK_ROWS))
     keys = ["start", "level", "h", "salt"]
     rows = rows.select("doc_id", "part", F.col("text").cast("binary").alias("text"), "chars", F.substring("text", 1, PREFIXES[0]).alias("start"),
                        level.cast("int").alias("level"), h.alias("h"), salt.alias("salt"), (F.col("salts") > 1).alias("salted"))
-    return rows.repartitionByRange(max(1, -(-total // TASK_BYTES)), *keys).sortWithinPartitions(*keys)
+    return rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
 
 
 def _masks(batches):

@@ -8,6 +8,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeatlas.llm import bestfit, dialogue, filteraudit, queries, tokens
 
@@ -264,6 +265,15 @@ def _audited(docs, labels):
             for r in filteraudit.audit(docs, labels).collect()}
 
 
+def test_empty_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(filteraudit, "TRIE_ROWS", 5)
+    monkeypatch.setattr(filteraudit, "TASK_ROWS", 20)
+    docs = spark.createDataFrame([(i, None if i % 2 else "", "s") for i in range(200)], "doc_id long, text string, source string")
+    dealt = filteraudit.by_prefix(docs)
+    assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert sorted((r["doc_id"], r["mask"]) for r in filteraudit.masks(docs).collect()) == [(i, 1 + 16 * (i > 0)) for i in range(200)]
+
+
 @pytest.mark.parametrize("rows,size", [(20_000, 1 << 25), (2, 1 << 25), (1, 200)])
 def test_filter_audit_of_odd_documents(spark, odd_docs, no_docs, monkeypatch, rows, size):
     """Also with tries so small that prefixes are lengthened and frequent texts salted."""
