@@ -41,10 +41,12 @@ def frames_payload(gifs: DataFrame, frames: DataFrame, key_cols: list[str], fram
 def instance_image_tokens(assets: DataFrame, frames: DataFrame, key_cols: list[str],
                           frame_col: str = "frame") -> DataFrame:
     """Vision tokens per instance: every non-gif asset by its own size, every gif by the sum over
-    its key frames of the same instance (frames carry ``key_cols``).  Missing sizes count 0.  Sums are partial aggregations (no skew on a hot key)."""
+    its key frames of the same instance (frames carry ``key_cols``).  Missing sizes count 0.  Sums are partial aggregations
+    (no skew on a hot key); gifs of one name are counted and their frames summed before they meet, so that
+    a name which many gifs and frames of an instance share costs one pair."""
     still = assets.filter(~F.col("name").endswith(".gif")).select(
         *key_cols, image_tokens(F.col("height"), F.col("width")).alias("t"))
-    fr = frames_of_gif(frames, frame_col).select(*key_cols, "gif", image_tokens(F.col("height"), F.col("width")).alias("t"))
-    gif = assets.filter(F.col("name").endswith(".gif")).select(*key_cols, F.col("name").alias("gif")) \
-        .join(fr, [*key_cols, "gif"]).select(*key_cols, "t")
+    fr = frames_of_gif(frames, frame_col).groupBy(*key_cols, "gif").agg(F.sum(image_tokens(F.col("height"), F.col("width"))).alias("t"))
+    gif = assets.filter(F.col("name").endswith(".gif")).groupBy(*key_cols, F.col("name").alias("gif")).agg(F.count(F.lit(1)).alias("_n")) \
+        .join(fr, [*key_cols, "gif"]).select(*key_cols, (F.col("_n") * F.col("t")).alias("t"))
     return still.unionByName(gif).groupBy(*key_cols).agg(F.sum("t").cast("long").alias("image_tokens"))

@@ -62,3 +62,12 @@ def test_waves_with_carried_docs(spark):
     carried = spark.createDataFrame([(9,)], "id long")
     got = {r["id"]: (r["level"], r["forced"]) for r in doc_waves(nodes, refs, ["id"], carried).collect()}
     assert got == {2: (0, False), 1: (1, False), 3: (None, True), 4: (None, True)}
+
+
+def test_gifs_of_one_name_meet_their_frames_once(spark):
+    """Many gifs and frames of an instance share a name: counted and summed before the join, not paired."""
+    from codeatlas.operators.media import instance_image_tokens
+
+    gifs = spark.range(300000).selectExpr("'a' as instance_key", "'img.gif' as name", "28L as height", "28L as width")
+    frames = spark.range(200000).selectExpr("'a' as instance_key", "concat('img.gif_', id, '.png') as frame", "56L as height", "56L as width")
+    assert [tuple(r) for r in instance_image_tokens(gifs, frames, ["instance_key"]).collect()] == [("a", 300000 * 200000 * 4)]
