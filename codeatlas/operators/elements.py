@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexing import Lexed, lex
+from ..session import spread
 from .ordered import row_index, window_sum
 
+BATCH_CHARS = 1 << 22        # characters of elements that leave a task at once
+ROW_CHARS = 256              # what an element's other fields count for
 IDENT = r"[A-Za-z_$][\w$]*"
 # Words that look like calls or method headers but are not.
 KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "with", "typeof", "new",
@@ -217,18 +220,22 @@ def parsed_files(files: DataFrame, key_cols: list[str] = ("instance_key", "rel_p
 
         kinds = [to_arrow_type(t) for _, t in _FIELDS]
         for b in batches:
-            rows, of = [], []
-            for i, text in enumerate(b.column("_text").to_pylist()):
+            texts, rows, of, held = b.column("_text"), [], [], 0
+            for i in range(b.num_rows):
+                text = texts[i].as_py()
                 found, problem = file_elements(text) if text is not None else ([], "no content")
                 if problem is not None:
                     found = [(*[None] * (len(_FIELDS) - 1), problem)]
                 rows += found
                 of += [i] * len(found)
-            keys = b.drop_columns(["_text"]).take(pa.array(of, pa.int64()))
-            cols = list(zip(*rows)) or [()] * len(_FIELDS)
-            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=schema.names)
-
-    return own.mapInArrow(parse, schema)
+                held += sum(len(r[-3] or "") + ROW_CHARS for r in found)
+                if held >= BATCH_CHARS or i == b.num_rows - 1:
+                    keys = b.drop_columns(["_text"]).take(pa.array(of, pa.int64()))
+                    cols = list(zip(*rows)) or [()] * len(_FIELDS)
+                    yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=schema.names)
+                    rows, of, held = [], [], 0
+
+    return spread(own).mapInArrow(parse, schema)
 
 
 def rejected_files(parsed: DataFrame, key_cols: list[str] = ("instance_key", "rel_path")) -> DataFrame:

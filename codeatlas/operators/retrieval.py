@@ -11,14 +11,11 @@ only when its measured size is under the threshold and uses a shuffled join othe
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 
 BATCH_CHARS = 1 << 22        # characters of chunks that leave a task at once
 CHUNK_SIZE = 500
@@ -184,14 +181,13 @@ def text_cuts(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -
     """Ends of the chunks of ``text``.  A chunk begins ``overlap`` characters before the last cut and holds at most
     ``size`` characters; it ends behind the last paragraph break between the last cut and there, else the last line
     break, else the last blank, else at its full size.  What fits one chunk is one."""
-    ends = [[m.start() + len(b) for m in re.finditer(f"(?={b})", text)] for b in BREAKS]
     cuts, cut = [], 0
     while True:
         reach = max(0, cut - overlap) + size
         if reach >= len(text):
             return [*cuts, len(text)]
-        behind = [e[bisect_right(e, reach) - 1] if e and e[0] <= reach else 0 for e in ends]
-        cut = next((e for e, b in zip(behind, BREAKS) if e >= cut + len(b)), reach)
+        behind = ((text.rfind(b, cut, reach), len(b)) for b in BREAKS)
+        cut = next((at + n for at, n in behind if at >= 0), reach)
         cuts.append(cut)
 
 
@@ -222,4 +218,4 @@ def chunk_recursive(docs: DataFrame, id_cols: list[str], text_col: str = "text",
                     yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(pos, pa.int32()), pa.array(chunks, pa.string())], names=schema.names)
                     of, pos, chunks, held = [], [], [], 0
 
-    return own.mapInArrow(split, schema)
+    return spread(own).mapInArrow(split, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job assumes: UTC, ANSI semantics, adaptive execution with skew-join splitting.
 DEFAULT_CONF = {
@@ -65,3 +66,16 @@ def target_partitions(spark: SparkSession) -> int:
     """Partition count for explicit range repartitions: the shuffle setting, never below the cores."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(n, spark.sparkContext.defaultParallelism)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast.  The planner guesses the size of derived texts from the few
+    bytes they are made of, and would send whole tables through the driver."""
+    return df.hint("merge")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all cores, by a hash of the whole row, before work in Python that takes far longer
+    than reading: small or well compressed input comes in few partitions, whatever it holds."""
+    n = max(32, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, F.xxhash64(*df.columns))

@@ -1,5 +1,7 @@
 """Code element extraction on hand-written sources."""
 
+from pyspark.sql import functions as F
+
 from codeatlas.operators.elements import code_elements, drop_overlaps
 from codeatlas.operators.graph import call_names
 
@@ -79,3 +81,23 @@ def test_unnamed_classes(spark):
     files = spark.createDataFrame([("i", "a.js", text)], "instance_key string, rel_path string, content string")
     el = sorted((r["start_line"], r["end_line"], r["kind"], r["name"]) for r in code_elements(files, ["instance_key", "rel_path"]).collect())
     assert el == [(1, 3, "class", "class_1"), (2, 2, "function", "run"), (4, 5, "class", "class_2"), (6, 7, "class", "Named")]
+
+
+def test_files_of_one_partition_are_parsed_in_many_tasks(spark):
+    from codeatlas.operators.elements import parsed_files
+    from codeatlas.operators.retrieval import chunk_recursive
+
+    files = spark.range(400).coalesce(1).selectExpr("'i' as instance_key", "concat('f', id, '.js') as rel_path", "concat('function f', id, '() {}') as content")
+    for df in (parsed_files(files), chunk_recursive(files, ["rel_path"], "content")):
+        sizes = [r["count"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+        assert len(sizes) > 16 and sum(sizes) == 400
+
+
+def test_elements_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    """A batch of files with many elements becomes several batches of elements."""
+    from codeatlas.operators import elements as E
+
+    files = spark.range(50).coalesce(1).selectExpr("'i' as instance_key", "concat('f', id, '.js') as rel_path", "repeat('function f() {}\\n', 40) as content")
+    whole = E.code_elements(files).count()
+    monkeypatch.setattr(E, "BATCH_CHARS", 1000)
+    assert E.code_elements(files).count() == whole == 2000
