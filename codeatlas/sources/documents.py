@@ -21,6 +21,12 @@ from .stores import listed, open_store, publish
 BLOCK = 1 << 16
 _MARK = re.compile(rb"[\"{}\[\],:]")
 _STRING_END = re.compile(rb"[\"\\]")
+# Whole strings, what else stands between brackets, and pairs of brackets up to four deep.
+_PLAIN = rb"[^\"{}\[\]]++|\"(?:[^\"\\]++|\\.)*+\""
+_NEST = _PLAIN
+for _ in range(4):
+    _NEST = _PLAIN + rb"|[{\[](?:" + _NEST + rb")*+[}\]]"
+_FLAT = re.compile(rb"(?:" + _NEST + rb")*+", re.DOTALL)
 
 
 def document_name(key: str | None) -> str:
@@ -104,15 +110,28 @@ class _Window:
             m = pattern.search(self.data, max(0, at - self.base))
             if m is not None:
                 return self.base + m.start(), bytes(m[0])
-            end = self.base + len(self.data)
-            at = max(at, end)
-            block = next(self.blocks, None)
-            if block is None:
+            at = max(at, self.base + len(self.data))
+            if not self.more(keep):
                 return None
-            drop = min(keep, end) - self.base
-            del self.data[:drop]
-            self.base += drop
-            self.data += block
+
+    def more(self, keep: int) -> bool:
+        """Read a block; False at the stream's end.  What lies before ``keep`` is dropped."""
+        block = next(self.blocks, None)
+        if block is None:
+            return False
+        drop = min(keep, self.base + len(self.data)) - self.base
+        del self.data[:drop]
+        self.base += drop
+        self.data += block
+        return True
+
+    def flat_end(self, at: int, keep: int) -> int:
+        """Offset of the next bracket from ``at`` on that closes what is open there, opens what ``_FLAT`` doesn't take
+        whole, or of a string that the window cuts off, or the stream's end."""
+        while True:
+            at = self.base + _FLAT.match(self.data, at - self.base).end()
+            if at < self.base + len(self.data) or not self.more(keep):
+                return at
 
     def text(self, a: int, b: int) -> bytes:
         return bytes(self.data[a - self.base:b - self.base])
@@ -135,7 +154,12 @@ def entries(blocks: Iterable[bytes], arrays: tuple[str, ...] = ()) -> Iterator[t
     key: str | None = None
     value: int | None = None             # where the open value begins
     items = False                        # within an array that is given out by item
-    while (found := text.find(_MARK, at, at if value is None else value)) is not None:
+    while True:
+        if value is not None and depth > 1 + items:
+            at = text.flat_end(at, value)        # commas and colons within a value tell nothing
+        found = text.find(_MARK, at, at if value is None else value)
+        if found is None:
+            break
         here, ch = found
         at = here + 1
         if ch == b'"':

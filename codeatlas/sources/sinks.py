@@ -58,6 +58,8 @@ def structure_pieces(elements: DataFrame, key_cols=("instance_key", "rel_path"))
 def write_structure(elements: DataFrame, path: str) -> DataFrame:
     """K2: one JSON map ``file -> node_key -> element`` per snapshot, as ``<path>/<instance>.json``, streamed (see
     ``write_documents``); returns the manifest.  ``read_structure`` reads them back."""
+    ensure_checkpoint_dir(elements.sparkSession)
+    elements = elements.checkpoint()             # read for the methods and for the elements that own them
     return write_documents(structure_pieces(elements), path, [("{", ",\n", "}\n")])
 
 

@@ -213,3 +213,19 @@ def test_sizes_of_jpeg_and_webp(spark):
         _write(root, f"i/{name}", data)
     got = {r["name"]: (r["width"], r["height"]) for r in S.read_images(spark, root).collect()}
     assert got == {n: size for n, (_, size) in images.items()}
+
+
+def test_values_are_passed_over_in_one_step(monkeypatch):
+    """Nested values cost a step of the reader each, not one a comma, colon or string."""
+    from codeatlas.sources import documents as D
+
+    doc = {f"f{i}": {f"e{k}": {"content": "}{\"[", "parameters": ["a", "b"], "functions": [{"name": "m"}]} for k in range(20)} for i in range(50)}
+    text = json.dumps(doc).encode()
+    steps = []
+    find = D._Window.find
+    monkeypatch.setattr(D._Window, "find", lambda self, *a: steps.append(1) or find(self, *a))
+    got = dict(D.entries(iter([text])))
+    assert {k: json.loads(v) for k, v in got.items()} == doc
+    assert len(steps) < 10 * len(doc)
+    small = [text[i:i + 5] for i in range(0, len(text), 5)]
+    assert dict(D.entries(iter(small))) == got
