@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import SUPPORTED_EXTS
+from ..session import shuffled
 from .elements import IDENT, KEYWORDS
 
 IMPORT_SOURCE = r"""\bimport\s+(?:[\w$*{}\s,]+?\s+from\s+)?['"]([^'"\n]+)['"]"""
@@ -69,7 +70,7 @@ def graph_nodes(files: DataFrame, edges: DataFrame, inst_cols: list[str], path_c
     """Every scanned file (type ``file``) plus every edge target that is not a file (untyped)."""
     f = files.select(*inst_cols, F.col(path_col).alias("node"), F.lit("file").alias("type"))
     t = edges.select(*inst_cols, F.col("dst_path").alias("node")).distinct() \
-        .join(f.select(*inst_cols, "node"), [*inst_cols, "node"], "left_anti") \
+        .join(shuffled(f.select(*inst_cols, "node")), [*inst_cols, "node"], "left_anti") \
         .withColumn("type", F.lit(None).cast("string"))
     return f.unionByName(t)
 
@@ -77,7 +78,7 @@ def graph_nodes(files: DataFrame, edges: DataFrame, inst_cols: list[str], path_c
 def internal_imports(edges: DataFrame, files: DataFrame, inst_cols: list[str], path_col: str = "rel_path") -> DataFrame:
     """Edges whose target is a scanned file of the same snapshot."""
     targets = files.select(*inst_cols, F.col(path_col).alias("dst_path"))
-    return edges.join(targets, [*inst_cols, "dst_path"], "left_semi")
+    return edges.join(shuffled(targets), [*inst_cols, "dst_path"], "left_semi")
 
 
 def imports_by_file(edges: DataFrame, inst_cols: list[str]) -> DataFrame:
@@ -132,7 +133,7 @@ def callee_refs(calls: DataFrame, edges: DataFrame, offered: DataFrame, inst_col
     c = calls.withColumnRenamed(path_col, "src_path")
     e = edges.select(*inst_cols, "src_path", "dst_path")
     o = offered.select(*inst_cols, F.col(path_col).alias("dst_path"), F.col("callee").alias("call_name"), "callee_line")
-    return c.join(e, [*inst_cols, "src_path"]).join(o, [*inst_cols, "dst_path", "call_name"])
+    return c.join(shuffled(e), [*inst_cols, "src_path"]).join(shuffled(o), [*inst_cols, "dst_path", "call_name"])
 
 
 def reference_context(refs: DataFrame, elements: DataFrame, docs: DataFrame, inst_cols: list[str],
@@ -145,7 +146,7 @@ def reference_context(refs: DataFrame, elements: DataFrame, docs: DataFrame, ins
     bounded by the calls in that element's own text."""
     keys = [*inst_cols, "dst_path", "callee_line"]
     at = [*inst_cols, F.col(path_col).alias("dst_path"), F.col("start_line").alias("callee_line")]
-    j = refs.join(elements.select(*at, "signature", "content"), keys).join(docs.select(*at, "doc"), keys, "left")
+    j = refs.join(shuffled(elements.select(*at, "signature", "content")), keys).join(shuffled(docs.select(*at, "doc")), keys, "left")
     text = F.concat_ws("\n", "dst_path", F.coalesce("doc", F.lit("None")), "signature", "content", F.lit(""))
     g = j.groupBy(*inst_cols, "src_path", "start_line").agg(
         F.count(F.lit(1)).alias("n_refs"),
@@ -182,12 +183,12 @@ def doc_waves(elements: DataFrame, refs: DataFrame, id_cols: list[str], document
         return df.select(*[F.col(c).alias(x) for c, x in zip(id_cols, cols)])
 
     nodes = elements.select(*id_cols).distinct()
-    live = refs.select(*src, *dst).distinct().join(named(nodes, src), src, "left_semi")
+    live = refs.select(*src, *dst).distinct().join(shuffled(named(nodes, src)), src, "left_semi")
     if documented is not None:
-        live = live.join(named(documented, dst), dst, "left_anti")
+        live = live.join(shuffled(named(documented, dst)), dst, "left_anti")
     live = live.checkpoint()
     counts = live.groupBy(*[F.col(s).alias(c) for c, s in zip(id_cols, src)]).agg(F.count(F.lit(1)).alias("_open"))
-    left = nodes.join(counts, id_cols, "left").withColumn("_open", F.coalesce("_open", F.lit(0))).checkpoint()
+    left = nodes.join(shuffled(counts), id_cols, "left").withColumn("_open", F.coalesce("_open", F.lit(0))).checkpoint()
     done, level = None, 0
     while True:
         ready = left.filter(F.col("_open") == 0).select(*id_cols)
@@ -195,9 +196,9 @@ def doc_waves(elements: DataFrame, refs: DataFrame, id_cols: list[str], document
             break
         wave = ready.withColumn("level", F.lit(level))
         done = wave if done is None else done.unionByName(wave)
-        closed = (live.join(named(ready, dst), dst, "left_semi")
+        closed = (live.join(shuffled(named(ready, dst)), dst, "left_semi")
                   .groupBy(*[F.col(s).alias(c) for c, s in zip(id_cols, src)]).agg(F.count(F.lit(1)).alias("_closed")))
-        left = (left.filter(F.col("_open") > 0).join(closed, id_cols, "left")
+        left = (left.filter(F.col("_open") > 0).join(shuffled(closed), id_cols, "left")
                 .withColumn("_open", F.col("_open") - F.coalesce("_closed", F.lit(0))).drop("_closed").checkpoint())
         level += 1
     forced = left.select(*id_cols).withColumn("level", F.lit(None).cast("int")).withColumn("forced", F.lit(True))

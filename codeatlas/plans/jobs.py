@@ -23,7 +23,7 @@ from ..operators.packing import PROMPT_BUDGET, pack_batches
 from ..operators.retrieval import attach_vectors, chunk_recursive, retrieved_files, topk_similar, with_text_hash
 from ..operators.sampling import SIMILARITY_THRESHOLD, keyframe_counts, keyframes
 from ..operators.snapshots import carry_forward, content_runs, snapshot_diff, to_regenerate
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shuffled
 
 # Our own wording; callers fill in theirs where a model needs another.
 DOC_PROMPT = "Document the %s `%s` of %s.\n\n%s\n\nIt uses:\n%s"
@@ -96,7 +96,7 @@ def refresh_history(files: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     files = files.filter(~is_test_path(F.col("rel_path")))
     runs = content_runs(files, ["repo"]).withColumn("instance_key", key).checkpoint()
     carried = (runs.withColumnRenamed("number", "_at").withColumnRenamed("since", "number")
-               .join(docs.groupBy("repo", "number", "rel_path", "name").agg(F.first("doc").alias("doc")), ["repo", "number", "rel_path"])
+               .join(shuffled(docs.groupBy("repo", "number", "rel_path", "name").agg(F.first("doc").alias("doc"))), ["repo", "number", "rel_path"])
                .select("instance_key", "rel_path", "name", "doc", F.col("number").alias("since")))
     snapshots = files.withColumn("instance_key", key).select(*KEY, "content")
     elements = build_code_catalog(snapshots).checkpoint()
@@ -104,21 +104,21 @@ def refresh_history(files: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     top = elements.filter(F.col("node_key").isNotNull())
     internal = internal_imports(edges, snapshots, INST)
     refs = callee_refs(element_calls(top, KEY), internal, callables(elements, KEY), INST).checkpoint()
-    new = top.join(runs.filter(F.col("since") == F.col("number")).select(*KEY), KEY, "left_semi")
+    new = top.join(shuffled(runs.filter(F.col("since") == F.col("number")).select(*KEY)), KEY, "left_semi")
     # A name that a file lists twice is documented once.
     todo = first_doc_wins(new.withColumn("at", F.struct("start_line", "col")), [*KEY, "name"], "at",
                           ["start_line", "kind", "signature", "content"]).drop("at").checkpoint()
     ids = [*KEY, "start_line"]
-    old = top.join(new.select(*ids), ids, "left_anti").select(*ids)
+    old = top.join(shuffled(new.select(*ids)), ids, "left_anti").select(*ids)
     pairs = refs.select("instance_key", F.col("src_path").alias("src_rel_path"), F.col("start_line").alias("src_start_line"),
                         F.col("dst_path").alias("dst_rel_path"), F.col("callee_line").alias("dst_start_line"))
     pairs = pairs.select(F.col("instance_key").alias("src_instance_key"), F.col("instance_key").alias("dst_instance_key"), "src_rel_path",
                          "src_start_line", "dst_rel_path", "dst_start_line")
     waves = doc_waves(todo.select(*ids), pairs, ids, old)
-    known = elements.join(carried, [*KEY, "name"]).select(*ids, "doc")
+    known = elements.join(shuffled(carried), [*KEY, "name"]).select(*ids, "doc")
     context = reference_context(refs, elements, known, INST).select("instance_key", F.col("src_path").alias("rel_path"), "start_line", "context")
     prompt = X.render_prompt(DOC_PROMPT, "kind", "name", "rel_path", F.concat_ws("\n", "signature", "content"), F.coalesce("context", F.lit("")))
-    plan = todo.join(waves, ids).join(context, ids, "left").withColumn("prompt", prompt)
+    plan = todo.join(shuffled(waves), ids).join(shuffled(context), ids, "left").withColumn("prompt", prompt)
     plan = plan.withColumn("over_budget", ~X.within_budget(X.token_count("prompt"), PROMPT_BUDGET, strict=False))
     return carried, plan.select(*ids, "name", "level", "forced", "prompt", "over_budget")
 

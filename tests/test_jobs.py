@@ -122,3 +122,15 @@ def test_repair_resumes_by_file(spark):
     done = spark.createDataFrame([("i", "src/a.js")], "instance_key string, rel_path string")
     left = {r["rel_path"] for r in jobs.repair_contexts(answers, files, el, done).collect()}
     assert "src/b.js" in every and left == every - {"src/a.js"}
+
+
+def test_history_broadcasts_no_table_of_texts(spark):
+    """Texts made from short keys look small to the planner; no table of them goes through the driver."""
+    rows = spark.range(300).selectExpr("'r' as repo", "1 as number", "concat('src/m_', id, '.js') as rel_path", "concat('function f_', id, '(a) { return a; }') as content")
+    docs = rows.selectExpr("repo", "number", "rel_path", "'f' as name", "'d' as doc")
+    carried, plan = jobs.refresh_history(rows, docs)
+    for df in (carried, plan):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "MapInArrow" not in text
+        joins = [ln for ln in text.split("\n") if "BroadcastHashJoin" in ln]
+        assert all("<=>" in ln or "_j0" in ln for ln in joins), joins
