@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.keys import is_test_path, normalize_path
 from ..operators.predicates import drop_minified_twins
 from .documents import read_entries
+from .listing import as_uri, list_files, read_files, spark_listed
 
 SOURCE_GLOB = "*.{js,jsx,ts,tsx}"
 
@@ -53,11 +54,10 @@ def _relative(path_col, root: str):
 def scan_source_files(spark: SparkSession, root: str, strict_test_dir: bool = False,
                       drop_minified: bool = True) -> DataFrame:
     """``(instance_key, rel_path, ext, content, sha256)`` for every .js/.jsx/.ts/.tsx file under
-    ``<root>/<org>/<name>/<number>/``.  The extension filter is a glob applied while listing;
+    ``<root>/<org>/<name>/<number>/``.  The extension filter is a glob applied while listing, which tasks do;
     test folders (folder path containing ``test``, or exactly test/tests with ``strict_test_dir``)
     and minified twins are removed.  Contents are decoded as UTF-8."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", SOURCE_GLOB).load(root))
+    raw = read_files(spark, root, SOURCE_GLOB)
     rel = _relative(F.col("path"), root)
     parts = F.split(rel, "/")
     df = raw.select(
@@ -106,9 +106,11 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_docs(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
     """Every matching file below ``root`` as one document ``(path, text)``."""
-    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-            .text(root, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    if spark_listed(root):
+        return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+                .text(root, wholetext=True)
+                .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return read_files(spark, root, glob, unpack=True).select(as_uri("path").alias("path"), F.col("content").cast("string").alias("text"))
 
 
 def _u(b, start, n: int, little: bool = False):
@@ -177,7 +179,7 @@ def read_images(spark: SparkSession, root: str, assets: DataFrame | None = None,
     when the list has ``instance_key``.  The list's own ``width`` and ``height`` count where the header
     gives none (another format, a damaged header).  A missing file keeps its row with null bytes; ``size_known`` is false where
     no size was found, which the token estimate counts as 0."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = read_files(spark, root)
     b = F.col("content")
     size = header_size(b)
     rel = _relative(F.col("path"), root)
@@ -195,5 +197,4 @@ def read_images(spark: SparkSession, root: str, assets: DataFrame | None = None,
 
 def list_gifs(spark: SparkSession, root: str) -> DataFrame:
     """Paths of ``.gif`` files (any case) below ``root``; file contents are not read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return raw.select("path").filter(F.lower("path").endswith(".gif"))
+    return list_files(spark, root).select("path").filter(F.lower("path").endswith(".gif"))

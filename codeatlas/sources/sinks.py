@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from .documents import document_name, write_documents
 from .stores import listed, open_store, publish
 
@@ -140,7 +140,7 @@ def write_statement(df: DataFrame, path: str, text_col: str = "problem_statement
 def write_files(df: DataFrame, path: str, name_col: str = "name", content_col: str = "content") -> DataFrame:
     """One file ``<path>/<name>`` per row, text as UTF-8 or bytes as they are; returns the manifest (name, bytes).  A file
     appears under its final name when it is whole and replaces an older one; rows without a name or content are left
-    out, and of rows that share a name the last written stands."""
+    out, and of rows that share a name the last written stands.  The rows are dealt over all cores."""
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.select(F.col(name_col).alias("name"), F.col(content_col).cast("binary").alias("content")).dropna()
 
@@ -149,9 +149,10 @@ def write_files(df: DataFrame, path: str, name_col: str = "name", content_col: s
         from pyspark import TaskContext
 
         store, top = open_store(path)
+        attempt, made = str(TaskContext.get().taskAttemptId()), set()
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                publish(store, f"{top}/{name}", str(TaskContext.get().taskAttemptId()), lambda out, content=content: out.write(content))
+                publish(store, f"{top}/{name}", attempt, lambda out, content=content: out.write(content), made)
             yield pd.DataFrame({"name": pdf["name"], "bytes": pdf["content"].map(len)})
 
-    return rows.mapInPandas(write, "name string, bytes long").checkpoint()
+    return spread(rows).mapInPandas(write, "name string, bytes long").checkpoint()

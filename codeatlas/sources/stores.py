@@ -15,9 +15,14 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def publish(store, path: str, attempt: str, write) -> None:
-    """Make a file under its final name only once it is whole: ``write`` gets the stream of a file of its own."""
-    store.create_dir(posixpath.dirname(path), recursive=True)
+def publish(store, path: str, attempt: str, write, made: set[str] | None = None) -> None:
+    """Make a file under its final name only once it is whole: ``write`` gets the stream of a file of its own.  ``made``
+    remembers the folders of many files, so that each is made once."""
+    folder = posixpath.dirname(path)
+    if made is None or folder not in made:
+        store.create_dir(folder, recursive=True)
+        if made is not None:
+            made.add(folder)
     part = f"{posixpath.dirname(path)}/.{posixpath.basename(path)}.{attempt}"
     with store.open_output_stream(part, compression=None) as out:
         write(out)

@@ -1,10 +1,13 @@
 """Round trips for file sources and sinks in a scratch folder."""
 
+import gzip
 import json
 import os
+import re
 import struct
 import tempfile
 
+import pytest
 
 from codeatlas.operators.elements import code_elements
 from codeatlas.operators.graph import graph_nodes, import_edges
@@ -229,3 +232,40 @@ def test_values_are_passed_over_in_one_step(monkeypatch):
     assert len(steps) < 10 * len(doc)
     small = [text[i:i + 5] for i in range(0, len(text), 5)]
     assert dict(D.entries(iter(small))) == got
+
+
+def test_files_are_listed_and_read_as_by_spark(spark, monkeypatch):
+    """Many files make few tasks, hidden and empty ones are left out, and paths are those of Spark's readers."""
+    from pyspark.sql import functions as F
+
+    from codeatlas.sources import listing as L
+
+    root = tempfile.mkdtemp(prefix="many-")
+    for name, data in (("e.txt", b""), ("a b/c%20 d#é.txt", b"hi"), ("_hid/q.txt", b"h"), (".dot/q.txt", b"h"), ("_s.txt", b"h"), ("_k=v/z.txt", b"k"),
+                       ("bad.txt", b"\xff\xfe"), ("g.txt.gz", gzip.compress(b"zipped"))):
+        _write(root, name, data)
+    for i in range(300):
+        _write(root, f"d{i % 7}/sub/f{i}.js", b"x" * (i + 1))
+    monkeypatch.setattr(L, "LISTED", 20)                   # so that folders are handed on
+    for at in (root, f"file:{root}/", f"file://{root}", f"{root}/bad.txt"):
+        old = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+        key = lambda df: sorted(map(tuple, df.collect()))
+        assert key(L.list_files(spark, at)) == key(old.select("path", "length"))
+        assert key(L.read_files(spark, at).select("path", F.hex("content"))) == key(old.select("path", F.hex("content")))
+    glob = "*.{txt,gz}"
+    old = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
+    assert key(S.read_text_docs(spark, root, glob).select("path", F.hex("text"))) == key(old.select("_metadata.file_path", F.hex("value")))
+    monkeypatch.undo()
+    most = max(32, 4 * spark.sparkContext.defaultParallelism)
+    for df in (S.read_images(spark, root), S.read_text_docs(spark, root, "*.js"), S.list_gifs(spark, root)):
+        assert df.rdd.getNumPartitions() <= most
+    with pytest.raises(FileNotFoundError):
+        L.list_files(spark, f"{root}/none")
+
+
+def test_name_patterns():
+    from codeatlas.sources.listing import glob_regex
+
+    for glob, hits, misses in (("*.{js,ts}", ["a.js", ".ts"], ["a.jsx", "ajs"]), ("a?[b-d]", ["axb", "a.d"], ["ab", "axe"]), ("[^a]x", ["bx"], ["ax"]),
+                               ("\\*", ["*"], ["a"]), ("a,b}", ["a,b}"], ["a"])):
+        assert all(re.fullmatch(glob_regex(glob), n) for n in hits) and not any(re.fullmatch(glob_regex(glob), n) for n in misses)
