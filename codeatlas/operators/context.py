@@ -87,8 +87,12 @@ def attach_element_type(docs: DataFrame, meta: DataFrame, keys: list[str], order
 
 
 def attach_instance(rows: DataFrame, instances: DataFrame, key_cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``(joined, quarantine)``: rows with their instance record, and rows whose key is missing."""
-    return rows.join(instances, key_cols), rows.join(instances.select(*key_cols), key_cols, "left_anti")
+    """``(joined, quarantine)``: rows with their instance record, and rows whose key is missing.
+
+    The instances of a task are hashed and the rows stream past them, so a task sorts neither and holds
+    no rows; adaptive execution still splits the rows of a hot instance."""
+    joined = rows.join(instances.hint("shuffle_hash"), key_cols)
+    return joined, rows.join(instances.select(*key_cols).hint("shuffle_hash"), key_cols, "left_anti")
 
 
 def distinct_knowledge(df: DataFrame, cols: list[str], order_col: str) -> DataFrame:

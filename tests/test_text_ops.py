@@ -57,3 +57,17 @@ def test_match_paths_suffix_and_substring(spark):
     sub = sorted((r["rel_path"], r["needle"]) for r in match_paths(needles, files, ["k"], mode="substring").collect())
     assert suf == [("src/a.js", "a.js"), ("src/a.js", "src/a.js")]
     assert sub == [("src/a.js", "a.js"), ("src/a.js", "src/a.js"), ("src/aa.jsx", "a.js")]
+
+
+def test_instances_are_hashed_not_sorted(spark):
+    """Rows stream past their instances: neither side is sorted, and null or repeated keys count as before."""
+    from codeatlas.operators.context import attach_instance
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "k int, v string")
+    instances = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, s string")
+    joined, missing = attach_instance(rows, instances, ["k"])
+    assert sorted(map(tuple, joined.collect())) == [(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (1, "b", "y"), (2, "c", "z")]
+    assert sorted(map(tuple, missing.collect()), key=str) == [(3, "e"), (None, "d")]
+    for df in (joined, missing):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan
