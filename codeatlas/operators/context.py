@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffled
+
 # Characters of the substrings that long needles are looked up by.
 GRAM = 8
 
@@ -63,7 +65,7 @@ def match_paths(needles: DataFrame, files: DataFrame, scope_cols: list[str], nee
     if mode == "substring":
         return contains_join(files, needles, scope_cols, path_col, needle_col)
     suf = files.select(*scope_cols, path_col, F.explode(path_suffixes(path_col)).alias(needle_col))
-    return suf.join(needles.select(*scope_cols, needle_col).distinct(), [*scope_cols, needle_col]) \
+    return suf.join(shuffled(needles.select(*scope_cols, needle_col).distinct()), [*scope_cols, needle_col]) \
         .select(*scope_cols, path_col, needle_col).distinct()
 
 
@@ -121,7 +123,7 @@ def prune_context(files: DataFrame, elements: DataFrame, key_cols: list[str], ke
     Elements are folded per file with ``aggregate``; the fold is bounded by the file."""
     drop = elements.filter(~F.col(keep_col)).groupBy(*key_cols).agg(
         F.array_sort(F.collect_list(F.struct(order_col, "signature", "text"))).alias("_e"))
-    j = files.join(drop, key_cols, "left")
+    j = files.join(shuffled(drop), key_cols, "left")
 
     def rm(acc, s):
         return F.when(s == "", acc).otherwise(F.replace(acc, s, F.lit("")))

@@ -39,7 +39,7 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def ready_inputs(work: DataFrame, upstream: DataFrame, keys: list[str]) -> DataFrame:
     """Work items whose upstream artefact exists."""
-    return work.join(upstream.select(*keys), keys, "left_semi")
+    return work.join(upstream.select(*keys).distinct(), keys, "left_semi")
 
 
 def pending_batched(work: DataFrame, done: DataFrame, instance_cols: list[str], batch_col: str,

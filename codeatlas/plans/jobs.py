@@ -34,8 +34,9 @@ INST = ["instance_key"]
 
 
 def build_code_catalog(files: DataFrame) -> DataFrame:
-    """C1: source files -> element table with overlapping nested functions removed."""
-    return drop_overlaps(code_elements(files, KEY), KEY)
+    """C1: source files -> element table with overlapping nested functions removed; each file is parsed once."""
+    ensure_checkpoint_dir(files.sparkSession)
+    return drop_overlaps(code_elements(files, KEY).checkpoint(), KEY)
 
 
 def catalog_and_quarantine(files: DataFrame, overlaps: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -239,12 +240,13 @@ def repair_contexts(answers: DataFrame, files: DataFrame, elements: DataFrame, d
     want = fenced_elements(answers, INST, "answer")
     matched = match_paths(want.select(*INST, F.col("rel_path").alias("needle")).distinct(), files.select(*KEY),
                           INST, "needle")
-    keep = matched.join(want.withColumnRenamed("rel_path", "needle"), [*INST, "needle"]).select(
+    # Paths, elements and texts are as many as the files, whatever the planner guesses: none of them is broadcast.
+    keep = matched.join(shuffled(want.withColumnRenamed("rel_path", "needle")), [*INST, "needle"]).select(
         *KEY, F.col("element").alias("name")).distinct().withColumn("keep", F.lit(True))
-    el = elements.filter(F.col("node_key").isNotNull()).join(keep, [*KEY, "name"], "left") \
+    el = elements.filter(F.col("node_key").isNotNull()).join(shuffled(keep), [*KEY, "name"], "left") \
         .withColumn("keep", F.coalesce("keep", F.lit(False))) \
         .select(*KEY, F.struct("start_line", "col").alias("at"), "signature", F.col("content").alias("text"), "keep")
-    pruned = prune_context(files.join(matched.select(*KEY).distinct(), KEY), el, KEY, "keep", "at", "content")
+    pruned = prune_context(files.join(shuffled(matched.select(*KEY).distinct()), KEY), el, KEY, "keep", "at", "content")
     pruned = distinct_knowledge(pruned.withColumn("_o", F.lit(0)), [*KEY, "pruned"], "_o").drop("_o")
     prompt = F.format_string("###%s\n\n%s", "rel_path", "pruned")
     if statements is not None:
@@ -255,7 +257,7 @@ def repair_contexts(answers: DataFrame, files: DataFrame, elements: DataFrame, d
         pruned, room = pruned.join(budgets.select(*INST, "text_budget"), INST, "left"), F.coalesce(F.col("text_budget").cast("long"), room)
     out = pruned.withColumn("prompt", prompt).withColumn("tokens", X.token_count("prompt"))
     out = out.withColumn("over_budget", F.col("tokens") > room).select(*KEY, "pruned", "prompt", "tokens", "over_budget")
-    return out if done is None else pending(out, done, KEY)
+    return out if done is None else pending(out, shuffled(done), KEY)
 
 
 def media_budget(assets: DataFrame, frames: DataFrame, budget: int = PROMPT_BUDGET) -> DataFrame:

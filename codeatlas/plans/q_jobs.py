@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.elements import code_elements
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from ..sources import sinks
 from . import jobs, q_media, q_retrieval, q_text  # noqa: F401 - their twins are built upon
 from .q_elements import _E_SQL
@@ -324,7 +324,7 @@ def q_repair_contexts(spark, root):
     nobody = spark.createDataFrame([("r9", "```\nsrc/m_1.js\nfunction: keep_1\n```")], answers.schema)
     issues = files.select("instance_key").distinct().withColumn("problem_statement", F.concat(F.lit("broken "), "instance_key"))
     budgets = spark.createDataFrame([("r1", 20)], "instance_key string, text_budget long")
-    files = files.checkpoint()
+    files = spread(files).checkpoint()
     return jobs.repair_contexts(answers.unionByName(nobody), files.drop("pk"), jobs.build_code_catalog(files.drop("pk")), files.filter("pk % 7 = 0").select(*KEY),
                                 1000, issues, budgets)
 

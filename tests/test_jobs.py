@@ -134,3 +134,22 @@ def test_history_broadcasts_no_table_of_texts(spark):
         assert "SortMergeJoin" in text and "MapInArrow" not in text
         joins = [ln for ln in text.split("\n") if "BroadcastHashJoin" in ln]
         assert all("<=>" in ln or "_j0" in ln for ln in joins), joins
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_parsed_once_and_their_tables_not_broadcast(spark):
+    from codeatlas.plans import jobs
+
+    files = spark.createDataFrame([("i", f"src/f{n}.js", f"function keep(a) {{\n  return a;\n}}\nfunction drop{n}(b) {{\n  return b;\n}}\n") for n in range(4)],
+                                  "instance_key string, rel_path string, content string")
+    elements = jobs.build_code_catalog(files)
+    assert "MapInArrow" not in _plan(elements)
+    answers = spark.createDataFrame([("i", "".join(f"```\nsrc/f{n}.js\nfunction: keep\n```\n" for n in range(3))), ("none", "```\nsrc/f1.js\n```")],
+                                    "instance_key string, answer string")
+    out = jobs.repair_contexts(answers, files, elements, files.filter("rel_path = 'src/f0.js'").select("instance_key", "rel_path"))
+    assert _plan(out).count("BroadcastHashJoin") <= 1          # the few instances that have files
+    got = {r["rel_path"]: r["pruned"] for r in out.collect()}
+    assert got == {f"src/f{n}.js": "function keep(a) {\n  return a;\n}\n\n" for n in (1, 2)}
