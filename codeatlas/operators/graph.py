@@ -146,7 +146,13 @@ def reference_context(refs: DataFrame, elements: DataFrame, docs: DataFrame, ins
     bounded by the calls in that element's own text."""
     keys = [*inst_cols, "dst_path", "callee_line"]
     at = [*inst_cols, F.col(path_col).alias("dst_path"), F.col("start_line").alias("callee_line")]
-    j = refs.join(shuffled(elements.select(*at, "signature", "content")), keys).join(shuffled(docs.select(*at, "doc")), keys, "left")
+    # Texts stream past the keys of the callees, so a task sorts only those that are referenced.
+    called = refs.select(*keys).distinct().hint("shuffle_hash")
+
+    def needed(df: DataFrame, *texts) -> DataFrame:
+        return shuffled(df.select(*at, *texts).join(called, keys, "left_semi"))
+
+    j = refs.join(needed(elements, "signature", "content"), keys).join(needed(docs, "doc"), keys, "left")
     text = F.concat_ws("\n", "dst_path", F.coalesce("doc", F.lit("None")), "signature", "content", F.lit(""))
     g = j.groupBy(*inst_cols, "src_path", "start_line").agg(
         F.count(F.lit(1)).alias("n_refs"),

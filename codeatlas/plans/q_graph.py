@@ -117,7 +117,7 @@ def _refs(spark, root):
     el = _elements(spark, root, files).checkpoint()
     calls = element_calls(el.filter(F.col("node_key").isNotNull()), KEY)   # a method's calls are its class's
     edges = internal_imports(_edges(spark, root, files), files, INST)
-    offered = callables(drop_overlaps(el, KEY), KEY)
+    offered = callables(drop_overlaps(el.drop("content", "signature"), KEY), KEY)
     return callee_refs(calls, edges, offered, INST), el
 
 
@@ -143,6 +143,7 @@ from refs r join el on el.instance_key = r.instance_key and el.rel_path = r.dst_
 group by r.instance_key, r.src_path, r.start_line""")
 def q_reference_context(spark, root):
     r, el = _refs(spark, root)
+    r = r.checkpoint()
     docs = el.filter(F.col("has_return")).select(*KEY, "start_line", F.concat(F.lit("Doc of "), F.col("name")).alias("doc"))
     return reference_context(r, el, docs, INST).withColumn("start_line", F.col("start_line").cast("long"))
 

@@ -153,3 +153,17 @@ def test_files_are_parsed_once_and_their_tables_not_broadcast(spark):
     assert _plan(out).count("BroadcastHashJoin") <= 1          # the few instances that have files
     got = {r["rel_path"]: r["pruned"] for r in out.collect()}
     assert got == {f"src/f{n}.js": "function keep(a) {\n  return a;\n}\n\n" for n in (1, 2)}
+
+
+def test_reference_context_sorts_only_texts_that_are_called(spark):
+    from codeatlas.operators.graph import reference_context
+
+    refs = spark.createDataFrame([("i", "a.js", 1, n, "b.js", "f", 5) for n in range(3)] + [("i", "a.js", 9, 0, "b.js", "g", 8)],
+                                 "instance_key string, src_path string, start_line int, pos int, dst_path string, call_name string, callee_line int")
+    elements = spark.createDataFrame([("i", "b.js", 5, "// f", "f()"), ("i", "b.js", 8, "", "g()"), ("i", "b.js", 20, "", "never")],
+                                     "instance_key string, rel_path string, start_line int, signature string, content string")
+    docs = spark.createDataFrame([("i", "b.js", 5, "Doc"), ("i", "b.js", 20, "no")], "instance_key string, rel_path string, start_line int, doc string")
+    out = reference_context(refs, elements, docs, ["instance_key"])
+    assert _plan(out).count("ShuffledHashJoin") == 2           # a semi join for the elements and one for the docs
+    got = {r["start_line"]: (r["n_refs"], r["context"]) for r in out.collect()}
+    assert got == {1: (3, "b.js\nDoc\n// f\nf()\n" * 3), 9: (1, "b.js\nNone\n\ng()\n")}
