@@ -19,7 +19,7 @@ from . import idcoder
 from .common import open_store, shared_folder, write_table
 from .tokens import encoder, groups
 
-MAGIC = b"IDBLOCK1"
+MAGIC = b"IDBLOCK2"
 TRAILER = "<QQQI4x"
 TASK_BYTES = 256 << 20         # text bytes of a task, about
 TASK_ROWS = 1 << 20            # and its documents

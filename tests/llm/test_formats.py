@@ -153,6 +153,23 @@ def test_id_blocks():
         idcoder.encode_blocks([np.array([2**32 - 1])])
 
 
+def test_id_blocks_lay_their_intervals_rarely(monkeypatch):
+    """The classes' bounds move at positions that don't depend on the other blocks, not at every one."""
+    import struct
+
+    calls = []
+    intervals = idcoder._intervals
+    monkeypatch.setattr(idcoder, "_intervals", lambda *args: calls.append(0) or intervals(*args))
+    rng = np.random.default_rng(8)
+    blocks = [(rng.zipf(1.3, n) % 50_000).astype(np.uint32) for n in (2048, 2048, 2000, 129, 128, 9, 8, 1, 0)]
+    coded = idcoder.encode_blocks(blocks)
+    assert len(calls) < 30
+    assert [idcoder.encode_blocks([b])[0] for b in blocks] == coded
+    heads = [(struct.unpack(idcoder.HEAD, c[:16]), c[16:]) for c in coded]
+    assert all(len(words) == 2 * head[1] for head, words in heads)
+    assert all((a == b).all() for a, b in zip(blocks, idcoder.decode_blocks(heads), strict=True))
+
+
 def test_token_files(spark, docs, odd_docs, clashing, plain, no_docs, monkeypatch):
     monkeypatch.setattr(tokenfiles, "FILE_IDS", 30_000)
     monkeypatch.setattr(tokenfiles, "FILE_DOCS", 20)
