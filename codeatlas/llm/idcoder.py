@@ -326,10 +326,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         order = sorted(range(lo, min(len(blocks), lo + LANES)), key=lambda i: -len(blocks[i]))
         lengths = np.array([len(blocks[i]) for i in order])
         wide = any(len(blocks[i]) and int(blocks[i].max()) >> 16 for i in order)
-        ids = np.zeros((len(order), max(1, int(lengths[0]))), np.uint32)
+        ids = np.zeros((max(1, int(lengths[0])), len(order)), np.uint32)
         for r, i in enumerate(order):
-            ids[r, :len(blocks[i])] = blocks[i]
-        coder = _Encoder(np.ascontiguousarray(ids.T))
+            ids[:len(blocks[i]), r] = blocks[i]
+        coder = _Encoder(ids)
         if lengths[0]:
             _run(coder, lengths, wide)
         for i, words in zip(order, coder.finish(), strict=True):

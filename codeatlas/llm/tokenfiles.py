@@ -23,6 +23,7 @@ MAGIC = b"IDBLOCK2"
 TRAILER = "<QQQI4x"
 TASK_BYTES = 256 << 20         # text bytes of a task, about
 TASK_ROWS = 1 << 20            # and its documents
+SLICE = 512                    # rows whose texts are Python strings at a time
 END_ID = 2
 NULL_ID = -(1 << 63)           # stands for a null doc_id in the index
 GROUP = idcoder.BLOCK_IDS * idcoder.LANES
@@ -63,13 +64,14 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
         def flush(last: bool):
             nonlocal waiting, count, blocks, at
             ids = np.concatenate(waiting) if waiting else np.empty(0, np.uint32)
+            waiting = []
             take = len(ids) if last else len(ids) // GROUP * GROUP
             step = idcoder.BLOCK_IDS
             for data in idcoder.encode_blocks([ids[k:min(take, k + step)] for k in range(0, take, step)]):
                 out.write(data)
                 at += len(data)
                 blocks += 1
-            waiting, count = [ids[take:]], len(ids) - take
+            waiting, count = [ids[take:].copy()], len(ids) - take
 
         def finish() -> pa.RecordBatch:
             nonlocal out, files
@@ -85,9 +87,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
                 pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("ids", pa.int64()), ("docs", pa.int64())]))
 
         name = part = ""
-        for b in batches:
+        enc = encoder(tokenizer)
+        for b in (batch.slice(k, SLICE) for batch in batches for k in range(0, batch.num_rows, SLICE)):
             texts, who = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            enc = encoder(tokenizer)
             for lo, hi in groups(texts):
                 for w, x in zip(who[lo:hi], enc.encode(texts[lo:hi]), strict=True):
                     if out is None:

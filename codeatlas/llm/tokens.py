@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 
 import numpy as np
@@ -15,10 +16,13 @@ _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 # A full stop or comma that doesn't follow a letter or digit, or that other punctuation follows.
-_RUN = re.compile(r"[.,](?:(?<![^\W_].)|(?=[^\w\s]|_))", re.DOTALL)
+_RUN = [re.compile(mark + r"(?:(?<![^\W_].)|(?=[^\w\s]|_))", re.DOTALL) for mark in (r"\.", ",")]
 # Byte-level alphabets write printable Latin-1 bytes as themselves and the others from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
+_BLANK = _BYTE_CHARS[32]
+_MARKS = string.punctuation.replace("'", "")
+_ID = struct.Struct("<I").pack
 _READY: dict[str, Encoder] = {}
 
 
@@ -39,26 +43,28 @@ class Encoder:
                      and spec.get("normalizer") is None)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.model = self.tok.model
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self.chunk)
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """A word of letters, with or without the blank before it, is one piece for the model; other
-        chunks go through the whole tokenizer."""
-        out: list[bytes] = [b""] * len(chunks)
-        rest = []
-        for i, c in enumerate(chunks):
-            if c.removeprefix(" ").isalpha():
-                seen = c.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS)
-                ids = [t.id for t in self.model.tokenize(seen)]
-                out[i] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(i)
-        for i, ids in zip(rest, self._each([chunks[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+    def _piece(self, piece: str) -> bytes:
+        seen = piece.replace(" ", _BLANK) if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS)
+        return b"".join([_ID(t.id) for t in self.model.tokenize(seen)])
+
+    def chunk(self, key: str) -> bytes:
+        """Ids of a chunk.  A word of letters, with or without the blank before it, is one piece for the model,
+        and so is ASCII punctuation other than apostrophes, alone or after such a word; other chunks go
+        through the whole tokenizer."""
+        c = key[1:] if key[:1] == "\0" else " " + key
+        if c.removeprefix(" ").isalpha():
+            return self._piece(c)
+        word = c.rstrip(_MARKS)
+        if c and not word:
+            return self._piece(c)
+        if word.removeprefix(" ").isalpha():
+            return self._piece(word) + self.cache["\0" + c[len(word):]]
+        return self._each([c])[0]
 
     def _chunks(self, text: str) -> list[str] | None:
         """Keys of the cache: a chunk that follows a blank without it, others behind a NUL mark."""
@@ -68,7 +74,7 @@ class Encoder:
         if odd or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
             return ["\0" + c for c in _CUT.split(text)]
         text = text.replace("\n", " \0\n \0")
-        if not _RUN.search(text):
+        if not any(run.search(text) for run in _RUN):
             text = text.replace(".", " \0.").replace(",", " \0,")
         parts = text.split(" ")
         parts[0] = "\0" + parts[0]
@@ -77,32 +83,27 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text (null: none).  The cache is bounded; a chunk that isn't in it is
         encoded once per call."""
-        chunks = [self._chunks(t) if t else [] for t in texts]
-        get = self.cache.get
-        found = [list(map(get, cs)) if cs is not None else None for cs in chunks]
-        holes = [_nones(vs) if vs else [] for vs in found]
-        new = list({cs[i] for cs, at in zip(chunks, holes, strict=True) for i in at})
-        got = dict(zip(new, self._encode([c[1:] if c[:1] == "\0" else " " + c for c in new]), strict=True))
-        out = []
-        for t, cs, vs, at in zip(texts, chunks, found, holes, strict=True):
-            for i in at:
-                vs[i] = got[cs[i]]
-            out.append(self._each([t])[0] if cs is None else b"".join(vs))
-        room = CACHE_CHUNKS - len(self.cache)
-        self.cache.update(got if len(got) <= room else list(got.items())[:max(0, room)])
+        out, get = [], self.cache.__getitem__
+        for t in texts:
+            chunks = self._chunks(t) if t else []
+            out.append(self._each([t])[0] if chunks is None else b"".join(map(get, chunks)))
+        self.cache.more.clear()
         return out
 
 
-def _nones(values: list) -> list[int]:
-    """Places of None; list.index walks faster than a loop here."""
-    out: list[int] = []
-    at = -1
-    try:
-        while True:
-            at = values.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
+class _Cache(dict):
+    """Ids by chunk, encoded when first asked for; beyond ``CACHE_CHUNKS`` kept in ``more`` for the call."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.more: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.more.get(key)
+        if ids is None:
+            ids = self.encode(key)
+            (self if len(self) < CACHE_CHUNKS else self.more)[key] = ids
+        return ids
 
 
 def encoder(path: str) -> Encoder:

@@ -131,6 +131,21 @@ def test_encoder_with_a_full_cache(plain, monkeypatch):
     assert len(enc.cache) == 3
 
 
+def test_encoder_asks_the_model_for_words_and_marks(plain, monkeypatch):
+    """Words, marks and words with marks need no whole tokenizer, each chunk only once while the cache is full too."""
+    texts = ["word!! Wörter### word", "word!! other(), x_ naïve", "((", "word!! word"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 2)
+    enc = tokens.Encoder(queries.tokenizer_path())
+    asked = []
+    piece = enc._piece
+    monkeypatch.setattr(enc, "_piece", lambda p: asked.append(p) or piece(p))
+    monkeypatch.setattr(enc, "_each", lambda _: pytest.fail("whole tokenizer"))
+    assert enc.encode(texts) == want
+    assert asked.count(" word") <= 1 and asked.count("word") == 1
+    assert len(enc.cache) == 2 and not enc.cache.more
+
+
 def _wanted(rows, plain, end):
     return [(i, np.array((plain.encode(t, add_special_tokens=False).ids if t else []) + [end], "<u4")) for i, t in rows]
 
